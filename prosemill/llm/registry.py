@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_search
+from . import queries_search, queries_text
 
-QUERIES = {**queries_search.QUERIES}
-SQL = {**queries_search.SQL}
+QUERIES = {**queries_search.QUERIES, **queries_text.QUERIES}
+SQL = {**queries_search.SQL, **queries_text.SQL}
