@@ -1,15 +1,59 @@
-"""The corpus pipeline: toxicity, near duplicates, personal data, mixture, tokens."""
+"""The corpus pipeline: toxicity, near duplicates, personal data, mixture, tokens.
+
+Each stage takes (spark, docs, sf_dir), with docs the rows that its predecessor kept, and returns a DataFrame; all but the last
+return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from prosemill.llm import bpe, mixing, pii, simhash, toxicity
+from prosemill.llm.common import stored, table
+from prosemill.llm.queries_search import PII_KEY
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject; n_chars stays that of the text."""
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id."""
+    return simhash.keep_one(docs).select(*COLUMNS)
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(docs, PII_KEY).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target rate draws it."""
+    return mixing.poisson_mix(docs, power=0.5, seed=42).select(*COLUMNS)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash near duplicates", drop_near_duplicates),
+    ("personal data", replace_personal_data),
+    ("source mixture", mix_sources),
+    ("byte-level BPE", encode_tokens),
+]
+#: Compression lengths and XXH64 fingerprints can't be had in SQL; the tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs)
     return docs

@@ -19,10 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpointed, crc_mod, crc_mod_col
 
@@ -188,12 +190,25 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     several for a document does. Without training rows of both classes the score is constant.
     """
     model = train(docs, labels)
+    return scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model).select("doc_id", "held_out", "score", "predicted")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose predicted class isn't toxic."""
+    return scored(docs, train(docs, labels)).filter("predicted = 0").select(*docs.columns)
+
+
+def scored(docs: DataFrame, model: Model | float) -> DataFrame:
+    """docs with held_out, score and predicted; columns of docs with these names are replaced."""
+    docs = docs.drop("held_out", "score", "predicted")
+    schema = T.StructType([*docs.schema.fields, T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(model) if isinstance(model, Model) else None
         for b in batches:
-            score = np.array([s.score(t) if s else model for t in b["text"]], float)
-            ids = [None if pd.isna(i) else int(i) for i in b["doc_id"]]
-            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "held_out": [crc_mod(i, 5) == 0 for i in ids], "score": score, "predicted": (score >= 0.5).astype(np.int32)})
+            score = [s.score(t) if s else model for t in b.column("text").to_pylist()]
+            held = [crc_mod(i, 5) == 0 for i in b.column("doc_id").to_pylist()]
+            more = [pa.array(held, pa.bool_()), pa.array(score, pa.float64()), pa.array([int(x >= 0.5) for x in score], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.mapInArrow(run, schema)
