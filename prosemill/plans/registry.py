@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import queries_text
+
+QUERIES = {**queries_text.QUERIES}
+SQL: dict[str, str] = {**queries_text.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return queries_text.fx1_vectors(spark, sf_dir)
