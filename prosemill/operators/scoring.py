@@ -72,11 +72,9 @@ def score_mlp(df: DataFrame, model: Network, vector: str = "vector") -> DataFram
     @F.pandas_udf("array<double>")
     def logits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            out = pd.Series([None] * len(b), index=b.index, dtype=object)
-            some = b.notna()
-            if some.any():
-                z = shared.value.forward(np.stack(b[some].to_numpy()))[-1].astype(float)
-                out[some] = list(z)
+            some = b.notna().to_numpy()
+            z = iter(shared.value.forward(np.stack(b[some].to_numpy()))[-1].astype(float)) if some.any() else iter(())
+            out = pd.Series([next(z) if x else None for x in some], index=b.index, dtype=object)
             yield out
 
     return df.withColumn("logits", logits(F.col(vector)))

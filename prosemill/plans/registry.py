@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_text
+from . import queries_model, queries_text
 
-QUERIES = {**queries_text.QUERIES}
-SQL: dict[str, str] = {**queries_text.SQL}
+QUERIES = {**queries_text.QUERIES, **queries_model.QUERIES}
+SQL: dict[str, str] = {**queries_text.SQL, **queries_model.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries_text.fx1_vectors(spark, sf_dir)
+    return queries_model.flagship(spark, sf_dir)
