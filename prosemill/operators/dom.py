@@ -15,7 +15,7 @@ BLOCKS = frozenset("p ul ol div dd blockquote".split())
 SKIPPED = frozenset("nav header footer aside form pre code button select textarea figure table".split())
 IGNORED = frozenset("script style svg noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-MOST_DEPTH = 400
+MOST_DEPTH = 200
 
 
 @dataclass

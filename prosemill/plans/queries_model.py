@@ -450,7 +450,8 @@ def fb9_keys(spark, d):
 def flagship(spark, d):
     """Distinct lines of enough words, their features, scores and decisions, brought back to documents and rolled up."""
     lines = T.split_lines_min_words(documents(spark, d), "text", ["doc_id"])
-    unique = features.extract_features(corpus.distinct_texts(lines), "text")
+    # features cost far more than moving their texts, so small inputs are dealt to all cores too
+    unique = features.extract_features(corpus.distinct_texts(lines).repartition(spark.sparkContext.defaultParallelism * 2, "key"), "text")
     scored = scoring.score_mlp(unique, scoring.Network.random((176, 224, 64, 3), seed=3)).withColumn("probs", scoring.softmax(F.col("logits")))
     read = scoring.reading(scoring.decide(scored, 0.5, 0.6)).select("key", "decision", "skipped")
     return scoring.file_summary(corpus.score_back(lines, read), ["doc_id"])
