@@ -40,6 +40,11 @@ def _pattern() -> str:
 PATTERN = _pattern()
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often and wherever body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def luhn_valid(digits: Column) -> Column:
     """Whether a string of digits ends in its Luhn check digit."""
     return luhn_sum(digits) % 10 == 0
@@ -77,20 +82,23 @@ def feistel_digits(key: Column, kind: Column, digits: Column) -> Column:
     left = F.floor(n / 2).cast("int")
     right = n - left
     kind = F.concat(kind, n.cast("string"))
-    p = feistel(key, kind, F.substr(digits, F.lit(1), left), F.substr(digits, left + 1, right), F.pow(F.lit(10.0), left).cast("long"), F.pow(F.lit(10.0), right).cast("long"))
-    return F.concat(F.lpad(p["x"].cast("string"), left, "0"), F.lpad(p["y"].cast("string"), right, "0"))
+    permuted = feistel(key, kind, F.substr(digits, F.lit(1), left), F.substr(digits, left + 1, right), F.pow(F.lit(10.0), left).cast("long"), F.pow(F.lit(10.0), right).cast("long"))
+    return let(permuted, lambda p: F.concat(F.lpad(p["x"].cast("string"), left, "0"), F.lpad(p["y"].cast("string"), right, "0")))
 
 
 def refill(mask: Column, digits: Column) -> Column:
     """mask with its digits replaced by these, in order."""
-    return F.aggregate(
-        F.split(mask, "(?<=.)(?=.)"),
-        F.struct(F.lit("").alias("text"), F.lit(1).alias("at")),
-        lambda s, c: F.when(c.rlike("^[0-9]$"), F.struct(F.concat(s["text"], F.substr(digits, s["at"], F.lit(1))).alias("text"), (s["at"] + 1).alias("at"))).otherwise(
-            F.struct(F.concat(s["text"], c).alias("text"), s["at"].alias("at"))
-        ),
-        lambda s: s["text"],
-    )
+    def fill(d: Column) -> Column:
+        return F.aggregate(
+            F.split(mask, "(?<=.)(?=.)"),
+            F.struct(F.lit("").alias("text"), F.lit(1).alias("at")),
+            lambda s, c: F.when(c.rlike("^[0-9]$"), F.struct(F.concat(s["text"], F.substr(d, s["at"], F.lit(1))).alias("text"), (s["at"] + 1).alias("at"))).otherwise(
+                F.struct(F.concat(s["text"], c).alias("text"), s["at"].alias("at"))
+            ),
+            lambda s: s["text"],
+        )
+
+    return let(digits, fill)
 
 
 def _digits(m: Column) -> Column:
@@ -99,47 +107,57 @@ def _digits(m: Column) -> Column:
 
 def _card(key: Column, m: Column) -> Column:
     """The first digit stays, the middle is permuted, the last is the new check digit."""
-    d = _digits(m)
-    body = F.concat(F.substring(d, 1, 1), feistel_digits(key, F.lit("card"), F.substr(d, F.lit(2), F.length(d) - 2)))
-    check = (F.lit(10) - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
-    return F.when(luhn_valid(d), refill(m, F.concat(body, check.cast("string"))))
+
+    def checked(body: Column) -> Column:
+        return F.concat(body, ((F.lit(10) - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
+
+    def one(d: Column) -> Column:
+        new = let(F.concat(F.substring(d, 1, 1), feistel_digits(key, F.lit("card"), F.substr(d, F.lit(2), F.length(d) - 2))), checked)
+        return F.when(luhn_valid(d), refill(m, new))
+
+    return let(_digits(m), one)
 
 
 def _phone(key: Column, m: Column) -> Column:
     """Area and exchange codes are 200 to 999 each: 800 x 800 x 10000 = 80000 x 80000 numbers."""
-    d = _digits(m)
-    at = F.length(d) - 9
-    n = (F.substr(d, at, F.lit(3)).cast("long") - 200) * 8000000 + (F.substr(d, at + 3, F.lit(3)).cast("long") - 200) * 10000 + F.substr(d, at + 6, F.lit(4)).cast("long")
-    p = feistel(key, F.lit("phone"), F.floor(n / 80000), n % 80000, F.lit(80000), F.lit(80000))
-    new = p["x"] * 80000 + p["y"]
-    digits = F.concat(F.substr(d, F.lit(1), at - 1), (F.floor(new / 8000000) + 200).cast("string"), (F.floor(new / 10000) % 800 + 200).cast("string"), F.lpad((new % 10000).cast("string"), 4, "0"))
-    return refill(m, digits)
+
+    def one(d: Column) -> Column:
+        at = F.length(d) - 9
+        n = (F.substr(d, at, F.lit(3)).cast("long") - 200) * 8000000 + (F.substr(d, at + 3, F.lit(3)).cast("long") - 200) * 10000 + F.substr(d, at + 6, F.lit(4)).cast("long")
+        p = feistel(key, F.lit("phone"), F.floor(n / 80000), n % 80000, F.lit(80000), F.lit(80000))
+        written = lambda new: F.concat(F.substr(d, F.lit(1), at - 1), (F.floor(new / 8000000) + 200).cast("string"), (F.floor(new / 10000) % 800 + 200).cast("string"), F.lpad((new % 10000).cast("string"), 4, "0"))
+        return refill(m, let(let(p, lambda h: h["x"] * 80000 + h["y"]), written))
+
+    return let(_digits(m), one)
 
 
 def _intl(key: Column, m: Column) -> Column:
     """The first two digits, where the country code is, stay."""
-    d = _digits(m)
-    return refill(m, F.concat(F.substring(d, 1, 2), feistel_digits(key, F.lit("intl"), F.substr(d, F.lit(3), F.length(d) - 2))))
+    return let(_digits(m), lambda d: refill(m, F.concat(F.substring(d, 1, 2), feistel_digits(key, F.lit("intl"), F.substr(d, F.lit(3), F.length(d) - 2)))))
 
 
 def _ip(key: Column, m: Column) -> Column:
     """Four numbers up to 255 without leading zeros: 65536 x 65536 addresses."""
     o = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
-    p = feistel(key, F.lit("ip"), o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536))
-    parts = [F.floor(p["x"] / 256), p["x"] % 256, F.floor(p["y"] / 256), p["y"] % 256]
+    permuted = feistel(key, F.lit("ip"), o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536))
+    written = lambda p: F.concat_ws(".", *[x.cast("long").cast("string") for x in (F.floor(p["x"] / 256), p["x"] % 256, F.floor(p["y"] / 256), p["y"] % 256)])
     valid = F.forall(F.split(m, r"\."), lambda x: (x.cast("int") <= 255) & (x.cast("int").cast("string") == x))
-    return F.when(valid, F.concat_ws(".", *[x.cast("long").cast("string") for x in parts]))
+    return F.when(valid, let(permuted, written))
 
 
 def _ssn(key: Column, m: Column) -> Column:
     """Area 001 to 899 but 666, group 01 to 99, serial 0001 to 9999."""
     area, group, serial = F.substring(m, 1, 3).cast("long"), F.substring(m, 5, 2).cast("long"), F.substring(m, 8, 4).cast("long")
     index = F.when(area > 666, area - 2).otherwise(area - 1)
-    p = feistel(key, F.lit("ssn"), index * 99 + group - 1, serial - 1, F.lit(898 * 99), F.lit(9999))
-    new = F.floor(p["x"] / 99)
-    area2 = F.when(new >= 665, new + 2).otherwise(new + 1)
+    permuted = feistel(key, F.lit("ssn"), index * 99 + group - 1, serial - 1, F.lit(898 * 99), F.lit(9999))
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
-    return F.when(valid, F.concat_ws("-", F.lpad(area2.cast("string"), 3, "0"), F.lpad((p["x"] % 99 + 1).cast("string"), 2, "0"), F.lpad((p["y"] + 1).cast("string"), 4, "0")))
+
+    def written(p: Column) -> Column:
+        new = F.floor(p["x"] / 99)
+        area2 = F.when(new >= 665, new + 2).otherwise(new + 1)
+        return F.concat_ws("-", F.lpad(area2.cast("string"), 3, "0"), F.lpad((p["x"] % 99 + 1).cast("string"), 2, "0"), F.lpad((p["y"] + 1).cast("string"), 4, "0"))
+
+    return F.when(valid, let(permuted, written))
 
 
 def _date(key: Column, m: Column, kind: str) -> Column:
@@ -153,14 +171,18 @@ def _date(key: Column, m: Column, kind: str) -> Column:
     else:
         a, b, y = F.substring(m, 1, 2), F.substring(m, 4, 2), F.substring(m, 7, 4)
         sep, forms = F.substring(m, 3, 1), {"dMy": day(y, b, a), "Mdy": day(y, a, b)}
-    out = F.lit(None).cast("string")
-    for form, date in reversed(forms.items()):
-        n = F.unix_date(date) - FIRST_DAY
-        p = feistel(key, F.lit("date"), F.floor(n / DAYS[1]), n % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]))
-        new = F.date_from_unix_date((p["x"] * DAYS[1] + p["y"] + FIRST_DAY).cast("int"))
-        parts = {"y": F.date_format(new, "yyyy"), "M": F.date_format(new, "MM"), "d": F.date_format(new, "dd")}
-        out = F.when(date.isNotNull() & n.between(0, DAYS[0] * DAYS[1] - 1), F.concat(parts[form[0]], sep, parts[form[1]], sep, parts[form[2]])).otherwise(out)
-    return out
+    def moved(form: str):
+        def one(date: Column) -> Column:
+            n = F.unix_date(date) - FIRST_DAY
+            p = feistel(key, F.lit("date"), F.floor(n / DAYS[1]), n % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]))
+            new = let(p, lambda h: F.date_from_unix_date((h["x"] * DAYS[1] + h["y"] + FIRST_DAY).cast("int")))
+            parts = {"y": "yyyy", "M": "MM", "d": "dd"}
+            written = let(new, lambda x: F.concat(F.date_format(x, parts[form[0]]), sep, F.date_format(x, parts[form[1]]), sep, F.date_format(x, parts[form[2]])))
+            return F.when(date.isNotNull() & n.between(0, DAYS[0] * DAYS[1] - 1), written)
+
+        return one
+
+    return F.coalesce(*[let(date, moved(form)) for form, date in forms.items()])
 
 
 def _email(key: Column, m: Column) -> Column:
@@ -170,23 +192,22 @@ def _email(key: Column, m: Column) -> Column:
     left = F.floor((n + 1) / 2).cast("int")
 
     def added(half: Column, other: Column, i: Column) -> Column:
-        h = F.sha2(F.concat_ws("|", key, F.lit("email"), i.cast("string"), other), 256)
+        def one(h: Column):
+            def char(c: Column, k: Column) -> Column:
+                v = F.conv(F.substr(h, k % 32 * 2 + 1, F.lit(2)), 16, 10).cast("int")
+                base = F.when(c.rlike("^[0-9]$"), 48).when(c.rlike("^[a-z]$"), 97).when(c.rlike("^[A-Z]$"), 65)
+                return F.when(base.isNull(), c).otherwise(F.chr((F.ascii(c) - base + v) % F.when(base == 48, 10).otherwise(26) + base))
 
-        def one(c: Column, k: Column) -> Column:
-            v = F.conv(F.substr(h, k % 32 * 2 + 1, F.lit(2)), 16, 10).cast("int")
-            code = F.ascii(c)
-            base = F.when(c.rlike("^[0-9]$"), 48).when(c.rlike("^[a-z]$"), 97).when(c.rlike("^[A-Z]$"), 65)
-            size = F.when(c.rlike("^[0-9]$"), 10).otherwise(26)
-            return F.when(base.isNull(), c).otherwise(F.chr((code - base + v) % size + base))
+            return F.array_join(F.transform(F.split(half, "(?<=.)(?=.)"), char), "")
 
-        return F.array_join(F.transform(F.split(half, "(?<=.)(?=.)"), one), "")
+        return let(F.sha2(F.concat_ws("|", key, F.lit("email"), i.cast("string"), other), 256), one)
 
     def turn(s: Column, i: Column) -> Column:
         return F.when(i % 2 == 1, F.struct(added(s["x"], s["y"], i).alias("x"), s["y"].alias("y"))).otherwise(F.struct(s["x"].alias("x"), added(s["y"], s["x"], i).alias("y")))
 
     halves = F.struct(F.substr(local, F.lit(1), left).alias("x"), F.substr(local, left + 1, n - left).alias("y"))
-    p = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), halves, turn)
-    return F.concat(p["x"], p["y"], F.substr(m, n + 1, F.length(m) - n))
+    permuted = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), halves, turn)
+    return let(permuted, lambda p: F.concat(p["x"], p["y"], F.substr(m, n + 1, F.length(m) - n)))
 
 
 def kind_of(m: Column) -> Column:
@@ -217,8 +238,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str = "pi
     hits = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(PATTERN), 0)).otherwise(F.array().cast("array<string>"))
 
     def one(m: Column) -> Column:
-        kind = kind_of(m)
-        return F.struct(kind.alias("kind"), m.alias("original"), pseudonym(k, kind, m).alias("pseudonym"))
+        return let(kind_of(m), lambda kind: F.struct(kind.alias("kind"), m.alias("original"), pseudonym(k, kind, m).alias("pseudonym")))
 
     names = [c for c in docs.columns if c not in (found, "_hits", "_all")]
     listed = docs.withColumn("_hits", F.coalesce(hits, F.array().cast("array<string>"))).withColumn("_all", F.transform("_hits", one))
