@@ -204,6 +204,8 @@ def content_blocks(df: DataFrame, html: str, keys: list[str], min_words: int = 2
         for b in batches:
             found = [blocks_of(h, min_words) for h in b[html]]
             rows = [i for i, f in enumerate(found) for _ in f]
+            if not rows:
+                continue
             out = b[keys].iloc[rows].reset_index(drop=True)
             yield out.assign(pos=[j for f in found for j in range(len(f))], kind=[k for f in found for k, _ in f], text=[t for f in found for _, t in f])
 

@@ -114,6 +114,8 @@ def explain(df: DataFrame, model: Network, keys: list[str], names: tuple[str, ..
             allowed = (push > 0) & ((x[:, :n] > fires) | (target == 0)[:, None])
             order = np.argsort(-np.where(allowed, push, -np.inf), axis=1, kind="stable")[:, :top]
             rows, ranks = np.nonzero(np.take_along_axis(allowed, order, 1))
+            if not len(rows):
+                continue
             places = order[rows, ranks]
             out = b[keys].iloc[rows].reset_index(drop=True)
             yield out.assign(rank=(ranks + 1).astype(np.int32), rule=[names[i] for i in places], push=push[rows, places].astype(float), value=x[rows, places].astype(float))

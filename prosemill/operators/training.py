@@ -101,21 +101,31 @@ def fit_temperature(df: DataFrame, grid: tuple[float, ...] = TEMPERATURES) -> Da
 
 def fit_vector_scaling(df: DataFrame, iterations: int = 25) -> tuple[list[float], list[float]]:
     """Scale and shift of each class's logit that minimise cross-entropy: Newton's method, its sums by one aggregation a step."""
-    scale, shift = [1.0] * 3, [0.0] * 3
+    at, best, step = np.array([1.0] * 3 + [0.0] * 3), None, np.zeros(6)
     for _ in range(iterations):
-        z = F.array(*[F.col("logits")[i] * F.lit(scale[i]) + F.lit(shift[i]) for i in range(3)])
+        a = [float(x) for x in at]
+        z = F.array(*[F.col("logits")[i] * F.lit(a[i]) + F.lit(a[i + 3]) for i in range(3)])
         rows = df.select(class_index(F.col("label")).alias("y"), "logits", softmax(z).alias("p"))
         x = [F.col("logits")[i] for i in range(3)] + [F.lit(1.0)] * 3
         grad = [((F.col("p")[i % 3] - (F.col("y") == i % 3).cast("double")) * x[i]) for i in range(6)]
         hess = {(i, j): x[i] * x[j] * (F.col("p")[i % 3] * ((1.0 if i % 3 == j % 3 else 0.0) - F.col("p")[j % 3])) for i in range(6) for j in range(i, 6)}
-        r = rows.agg(*[F.avg(g).alias(f"g{i}") for i, g in enumerate(grad)], *[F.avg(h).alias(f"h{i}_{j}") for (i, j), h in hess.items()]).first()
-        g = np.array([r[f"g{i}"] or 0.0 for i in range(6)])
-        h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(6)] for i in range(6)]) + 1e-6 * np.eye(6)
-        step = np.clip(np.linalg.solve(h, g), -1, 1)
-        scale, shift = [a - b for a, b in zip(scale, step[:3])], [a - b for a, b in zip(shift, step[3:])]
+        loss = -F.log(F.greatest(F.get("p", F.col("y").cast("int")), F.lit(1e-12)))
+        r = rows.agg(F.avg(loss).alias("loss"), *[F.avg(g).alias(f"g{i}") for i, g in enumerate(grad)], *[F.avg(h).alias(f"h{i}_{j}") for (i, j), h in hess.items()]).first()
+        if r["loss"] is None:
+            break
+        if best is not None and r["loss"] > best[0]:  # too far: half way back
+            step = step / 2
+            at = best[1] - step
+            continue
+        best = (r["loss"], at)
+        g = np.array([r[f"g{i}"] for i in range(6)])
+        h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(6)] for i in range(6)])
+        step = np.linalg.lstsq(h + 1e-9 * np.eye(6), g, rcond=1e-9)[0]  # equal shifts change nothing: the shortest step
+        at = at - step
         if np.abs(step).max() < 1e-7:
             break
-    return [float(x) for x in scale], [float(x) for x in shift]
+    at = at if best is None else best[1]
+    return [float(x) for x in at[:3]], [float(x) for x in at[3:]]
 
 
 def add_feedback(corpus: DataFrame, feedback: DataFrame, dim: int, holdout: float = 0.2) -> DataFrame:
