@@ -11,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The kinds in the order in which they are tried at a place, and their patterns.
+#: The kinds in the order in which they are tried at a place, and their patterns. A time may follow a date.
 PATTERNS = {
     # runs of more than 64 characters before the @ are no addresses
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
-    "ymd": r"(?<![0-9A-Za-z/.-])[0-9]{4}([-/.])[0-9]{2}\g[0-9]{2}(?![0-9A-Za-z])",
-    "dmy": r"(?<![0-9A-Za-z/.-])[0-9]{2}([-/.])[0-9]{2}\g[0-9]{4}(?![0-9A-Za-z])",
+    "ymd": r"(?<![0-9A-Za-z/.-])[0-9]{4}([-/.])[0-9]{2}\g[0-9]{2}(?:(?![0-9A-Za-z])|(?=[Tt][0-9]{2}))",
+    "dmy": r"(?<![0-9A-Za-z/.-])[0-9]{2}([-/.])[0-9]{2}\g[0-9]{4}(?:(?![0-9A-Za-z])|(?=[Tt][0-9]{2}))",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z])",
     "intl": r"(?<![0-9A-Za-z+])\+[1-9](?:[ .()-]{0,2}[0-9]){7,14}(?![0-9A-Za-z])",
@@ -29,15 +29,25 @@ FIRST_DAY, DAYS = -62091, (189, 773)
 ROUNDS = 8
 
 
-def _pattern() -> str:
+def _numeric() -> str:
     parts, group = [], 0
-    for p in PATTERNS.values():
-        group += p.count("([")
-        parts.append(p.replace(r"\g", f"\\{group}"))
+    for k, p in PATTERNS.items():
+        if k != "email":
+            group += p.count("([")
+            parts.append(p.replace(r"\g", f"\\{group}"))
     return "|".join(parts)
 
 
-PATTERN = _pattern()
+#: A run holds all characters that values other than addresses of mail consist of, up to where such an address starts.
+RUN = rf"[0-9+(](?:(?!{PATTERNS['email']})[0-9 ().+/-])*+"
+HIT = f"{PATTERNS['email']}|{RUN}"
+#: Whether a run can hold a value at all.
+NUMERIC = _numeric()
+#: Places in a run where a value can start, and what stands there with the character before; no numeric value is longer.
+CUT = r"(?<=[^0-9A-Za-z])(?=[0-9+(])"
+START = r"(?=([^0-9A-Za-z][0-9+(][\s\S]{0,63}))"
+CARD_LENGTHS = range(19, 12, -1)
+VALUES = "array<struct<kind:string,original:string,pseudonym:string>>"
 
 
 def let(value: Column, body) -> Column:
@@ -210,41 +220,91 @@ def _email(key: Column, m: Column) -> Column:
     return let(permuted, lambda p: F.concat(p["x"], p["y"], F.substr(m, n + 1, F.length(m) - n)))
 
 
-def kind_of(m: Column) -> Column:
-    """The kind of a match: the first whose pattern it is as a whole."""
-    out = F.lit(None).cast("string")
-    for k, p in reversed(PATTERNS.items()):
-        inner = p.replace(r"\g", r"\1")
-        out = F.when(m.rlike(f"^(?:{inner})$"), F.lit(k)).otherwise(out)
-    return out
+def _here(window: Column, pattern: str) -> Column:
+    """What the pattern matches right after the window's first character; empty if it doesn't."""
+    inner = pattern.replace(r"\g", r"\2")
+    return F.regexp_extract(window, rf"^[\s\S]({inner})", 1)
 
 
-def pseudonym(key: Column, kind: Column, m: Column) -> Column:
-    """The value that takes a match's place; null if the match isn't valid."""
-    by = {"email": _email, "ip": _ip, "ssn": _ssn, "phone": _phone, "intl": _intl, "card": _card, "ymd": lambda k, x: _date(k, x, "ymd"), "dmy": lambda k, x: _date(k, x, "dmy")}
-    out = F.lit(None).cast("string")
-    for name, f in by.items():
-        out = F.when(kind == name, f(key, m)).otherwise(out)
-    return out
+def _card_here(window: Column) -> Column:
+    """The longest number that starts here, ends with a token and passes Luhn."""
+    forms = [PATTERNS["card"].replace("{12,18}", f"{{{n - 1}}}") for n in CARD_LENGTHS]
+    valid = F.filter(F.array(*[_here(window, p) for p in forms]), lambda m: (m != "") & luhn_valid(_digits(m)))
+    return F.when(_here(window, PATTERNS["card"]) != "", F.get(valid, F.lit(0)))
+
+
+def _value(kind: str, original: Column, pseudonym: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), original.alias("original"), pseudonym.alias("pseudonym"))
+
+
+def valid_here(key: Column, window: Column) -> Column:
+    """struct(kind, original, pseudonym) of the first kind with a valid value after the window's first character, or null."""
+    by = {"ip": _ip, "ymd": lambda k, x: _date(k, x, "ymd"), "dmy": lambda k, x: _date(k, x, "dmy"), "ssn": _ssn, "phone": _phone, "intl": _intl, "card": _card}
+
+    def tried(kind: str) -> Column:
+        def one(m: Column) -> Column:
+            return F.when(m != "", let(by[kind](key, m), lambda p: F.when(p.isNotNull(), _value(kind, m, p))))
+
+        return let(_card_here(window) if kind == "card" else _here(window, PATTERNS[kind]), one)
+
+    return F.coalesce(*[tried(k) for k in KINDS if k != "email"])
+
+
+def in_run(key: Column, run: Column, before: Column, after: Column) -> Column:
+    """struct(text, values): the run with its valid values replaced, and these in order.
+
+    Each place where a value can start is tried from the left; only a valid value uses up its characters, so one that fails hides
+    none that starts inside it or reaches beyond it. before and after: what surrounds the run, not empty.
+    """
+    none = F.array().cast(VALUES)
+
+    def step(s: Column, x: Column) -> Column:
+        taken = (s["skip"] == 0) & x["value"].isNotNull()
+        n = F.when(taken, F.length(x["value"]["original"])).otherwise(s["skip"])
+        return F.struct(
+            F.greatest(n - F.length(x["part"]), F.lit(0)).alias("skip"),
+            F.concat(s["text"], F.when(taken, x["value"]["pseudonym"]).otherwise(""), F.substr(x["part"], n + 1, F.length(x["part"]))).alias("text"),
+            F.when(taken, F.concat(s["values"], F.array(x["value"]))).otherwise(s["values"]).alias("values"),
+        )
+
+    def walked(text: Column) -> Column:
+        def along(parts: Column) -> Column:
+            places = F.transform(F.regexp_extract_all(text, F.lit(START), 1), lambda w, i: F.struct(F.get(parts, i + 1).alias("part"), valid_here(key, w).alias("value")))
+            bare = lambda s: F.struct(F.substr(s["text"], F.lit(2), F.length(s["text"]) - 1 - F.length(after)).alias("text"), s["values"].alias("values"))
+            return F.aggregate(places, F.struct(F.lit(0).alias("skip"), F.get(parts, F.lit(0)).alias("text"), none.alias("values")), step, bare)
+
+        return let(F.split(text, CUT, -1), along)
+
+    surrounded = F.concat(F.right(before, F.lit(1)), run, after)
+    return let(surrounded, lambda text: F.when(text.rlike(NUMERIC), walked(text)).otherwise(F.struct(run.alias("text"), none.alias("values"))))
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str = "pii") -> DataFrame:
     """docs with personal data in the text column replaced, plus found: array of struct(kind, original, pseudonym), in order.
 
-    Matches that fail their validation stay as they are and aren't listed. A null text stays null with an empty list, and so does
-    an empty one; a column named as found is replaced, all others pass. Rows don't depend on each other: there is no shuffle.
+    What fails its validation stays as it is and isn't listed, and the search goes on at the next place inside it. Where valid values
+    overlap, the one that starts first counts, of cards the longest. A null text stays null with an empty list, and so does an empty
+    one; a column named as found is replaced, all others pass. Rows don't depend on each other: there is no shuffle.
     """
     t, k = F.col(text), F.lit(key)
-    hits = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(PATTERN), 0)).otherwise(F.array().cast("array<string>"))
+    # an array, not a struct: Spark would compute a struct's fields again at each use
+    hits = F.zip_with(F.split(t, HIT, -1), F.regexp_extract_all(t, F.lit(HIT), 0), lambda p, m: F.struct(p.alias("piece"), m.alias("hit")))
+
+    def one(x: Column, i: Column) -> Column:
+        edge = lambda c: F.when(c == "", "\n").otherwise(c)
+        digits = F.substring(F.coalesce(F.get("_hits", i + 1)["hit"], F.lit("")), 1, 2)
+
+        def numbers(piece: Column) -> Column:
+            after = F.when(F.concat(F.substring(piece, 1, 3), digits).rlike("^[Tt][0-9]{2}"), F.concat(F.substring(piece, 1, 3), digits)).otherwise(edge(F.substring(piece, 1, 1)))
+            return let(after, lambda a: in_run(k, x["hit"], edge(x["piece"]), a))
 
-    def one(m: Column) -> Column:
-        return let(kind_of(m), lambda kind: F.struct(kind.alias("kind"), m.alias("original"), pseudonym(k, kind, m).alias("pseudonym")))
+        mail = let(_email(k, x["hit"]), lambda p: F.struct(p.alias("text"), F.array(_value("email", x["hit"], p)).alias("values")))
+        return F.when(x["hit"].contains("@"), mail).when(x["hit"].isNotNull(), let(F.get("_hits", i + 1)["piece"], numbers))
 
     names = [c for c in docs.columns if c not in (found, "_hits", "_all")]
-    listed = docs.withColumn("_hits", F.coalesce(hits, F.array().cast("array<string>"))).withColumn("_all", F.transform("_hits", one))
-    pieces = F.split(t, PATTERN, -1)
-    rebuilt = F.array_join(F.flatten(F.zip_with(pieces, "_all", lambda p, h: F.array(F.coalesce(p, F.lit("")), F.coalesce(h["pseudonym"], h["original"], F.lit(""))))), "")
+    listed = docs.withColumn("_hits", F.when(t.rlike("[0-9@]"), hits)).withColumn("_all", F.transform("_hits", one))
+    rebuilt = F.array_join(F.zip_with("_hits", "_all", lambda x, h: F.concat(x["piece"], F.coalesce(h["text"], F.lit("")))), "")
     return listed.select(
-        *[F.when(F.size("_hits") > 0, rebuilt).otherwise(t).alias(c) if c == text else F.col(c) for c in names],
-        F.filter("_all", lambda h: h["pseudonym"].isNotNull()).alias(found),
+        *[F.when(F.size("_hits") > 1, rebuilt).otherwise(t).alias(c) if c == text else F.col(c) for c in names],
+        F.coalesce(F.flatten(F.transform(F.filter("_all", lambda h: h.isNotNull()), lambda h: h["values"])), F.array().cast(VALUES)).alias(found),
     )

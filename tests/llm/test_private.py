@@ -44,6 +44,25 @@ def test_what_is_not_valid_stays(spark, text):
     assert got["text"] == text and got["pii"] == []
 
 
+INSIDE = [
+    ("card 4111 1111 1111 1111 123", ["4111 1111 1111 1111"]), ("order 12 4111111111111111", ["4111111111111111"]), ("2024 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+    ("4111 1111 1111 1112 386-555-3733", ["386-555-3733"]), ("4111 1111 1111 1111 386-555-3733", ["4111 1111 1111 1111", "386-555-3733"]),
+    ("2024 " * 30 + "4111 1111 1111 1111 2024", ["4111 1111 1111 1111"]), ("4111 1111 1111 1112 12.bob@x.com", ["12.bob@x.com"]),
+    ("at 2024-01-05T10:00:00Z", ["2024-01-05"]), ("2024-01-05T1000, 05.01.2024t10", ["2024-01-05", "05.01.2024"]), ("é2024-01-05, 2024-01-05Tx 2024-01-05X", ["2024-01-05"]),
+]
+
+
+def test_values_inside_what_fails_are_found(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(INSIDE)], "doc_id long, text string")
+    for got in pii.pseudonymise(docs, "k").collect():
+        want, values = INSIDE[got["doc_id"]]
+        assert [h["original"] for h in got["pii"]] == values
+        for h in got["pii"]:
+            assert h["pseudonym"] != h["original"]
+            want = want.replace(h["original"], h["pseudonym"], 1)
+        assert got["text"] == want
+
+
 def test_permutations(spark):
     """Small formats are permuted one to one."""
     from pyspark.sql import functions as F
