@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, words
+from .common import checkpointed, stored, words
 
 #: Up to so many fingerprints under one variant are compared pairwise; larger groups are linked through their points.
 PAIRWISE = 24
@@ -135,7 +135,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2, seed: in
 
 
 def keep_one(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataFrame:
-    """One row of docs for each group: that of its smallest doc_id; rows without a doc_id stay."""
-    found = near_duplicates(docs, width, max_bits)
-    dropped = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    """One row of docs for each group: the first of its smallest doc_id; rows without a doc_id stay.
+
+    Rows are told apart by a number of their own, since ids may be null or repeat with other texts.
+    """
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), width, max_bits).select(F.col("doc_id").alias(row), "component_id")
+    ids = rows.select(row, F.col("doc_id").alias("id"))
+    firsts = ids.filter("id is not null").join(groups, row).groupBy("component_id").agg(F.min(F.struct("id", row)).alias("first")).select(F.col("first")[row].alias(row))
+    kept = firsts.unionByName(ids.filter("id is null").select(row))
+    return rows.join(kept, row, "left_semi").drop(row)

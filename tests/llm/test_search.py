@@ -123,6 +123,15 @@ def test_keep_one(spark):
     assert sorted((x["doc_id"], x["component_id"]) for x in simhash.keep_one(docs).filter("doc_id is not null").collect()) == [(2, "y"), (9, "z")]
 
 
+def test_keep_one_tells_rows_apart(spark):
+    """Null ids and ids with several texts lose no text that isn't a copy."""
+    rows = [(None, "one two three four", 0), (None, "five six seven eight", 1), (None, "one two three four", 2), (3, "red green blue black", 3), (7, "red green blue black", 4), (7, "sun moon stars sky", 5), (7, "north south east west", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int").repartition(3)
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns and sorted(x["_row"] for x in got.collect()) == [0, 1, 2, 3, 5, 6]
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
 def test_poisson_counts_and_rates(spark):
     from math import exp, lgamma, log
 
