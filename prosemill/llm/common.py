@@ -20,20 +20,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows written to the folder that the cluster names in spark.checkpoint.dir, so that a lost executor costs no lineage."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints: the one set on the context, or else what spark.checkpoint.dir names. Without either, a new one of
+    this machine in local mode; on a cluster, whose executors must all see it, that is an error."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+            named = tempfile.mkdtemp(prefix="spark-")
+        if not named:
+            raise ValueError("set spark.checkpoint.dir, or a checkpoint folder on the context, to a folder that all executors share")
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder for checkpoints, so that a lost executor costs no lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the folder for checkpoints, which executors share; smaller than a checkpoint."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-")
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

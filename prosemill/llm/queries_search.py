@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from . import maxscore, mixing, pii, secrets, simhash
 from .common import table
 
-#: Only a default, for tests and reports: production passes its own from a secret store.
+#: Stands in for a key in tests and reports. Production names its own in spark.prosemill.pii.key.
 PII_KEY = "replace-this-key"
 
 
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get("spark.prosemill.pii.key", PII_KEY)
+
+
 def op1_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = maxscore.integer_vectors(table(spark, sf_dir, "embeddings"))
     return maxscore.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
@@ -39,7 +43,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pii.pseudonymise(docs, PII_KEY)
+    found = pii.pseudonymise(docs, pii_key(spark))
     count = lambda k: F.size(F.filter("pii", lambda h: h["kind"] == k)).alias(f"n_{k}")
     return found.select("doc_id", "text", F.size("pii").alias("n_pii"), *[count(k) for k in pii.KINDS])
 

@@ -1,11 +1,14 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-A 64-bit fingerprint is cut into two segments of 32 bits. Two fingerprints at a distance of at most 2 (or 3) have a segment in
-which they differ by at most one bit, so they share one of the 32 variants of that segment with one bit wiped out. Every distinct
-fingerprint is indexed under its 64 variants, an equality on the variant finds candidates, and the bit count of the XOR verifies
-them. A variant that many fingerprints share gives no pairs: there, each fingerprint is indexed under itself and its 64
-neighbours at distance 1. Two fingerprints are within distance 2 exactly if they share such a point, so all that share a point
-belong together, and each is linked to the smallest. The work is linear in the number of distinct fingerprints.
+A 64-bit fingerprint is cut into two segments of 32 bits. Two fingerprints at a distance of at most 2 have a segment in which they
+differ by at most one bit, so they share one of the 32 variants of that segment with one bit wiped out. Every distinct fingerprint
+is indexed under its 64 variants, an equality on the variant finds candidates, and the bit count of the XOR verifies them where a
+variant has two. Where it has more, no pairs are made: each of them is indexed under itself and its 64 neighbours at distance 1.
+Two fingerprints are within distance 2 exactly if they share such a point, so all that share a point belong together, and each is
+linked to the smallest. The work is linear in the number of distinct fingerprints.
+
+A pair with a similarity of 0.8 differs in about 10 bits, beyond any radius that segments can index selectively. Several
+fingerprints from differently mixed hashes of the same shingles find more of such pairs: two texts link if any of them does.
 """
 
 from __future__ import annotations
@@ -21,10 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, stored, words
 
-#: Up to so many fingerprints under one variant are compared pairwise; larger groups are linked through their points.
-PAIRWISE = 24
-#: Shingles whose bits are spread out at once (64 bytes each).
-CHUNK = 1 << 17
+#: The lowest bit of each byte of a word of 8, and how many of them one byte can add up.
+ONES, LANE = np.uint64(0x0101010101010101), 255
 
 
 def shingle_hashes(text: str | None, width: int = 3, seed: int = 42) -> np.ndarray:
@@ -41,58 +42,63 @@ def shingle_hashes(text: str | None, width: int = 3, seed: int = 42) -> np.ndarr
 
 
 def bit_counts(h: np.ndarray) -> np.ndarray:
-    """How many hashes have each bit set, most significant first."""
-    total = np.zeros(64, np.int64)
-    for i in range(0, len(h), CHUNK):
-        total += np.unpackbits(h[i : i + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return total
-
-
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """As a signed 64-bit integer; 0 for a text without words."""
+    """How many hashes in each row of h [prints, hashes] have each bit set, most significant first."""
+    if not h.shape[1]:
+        return np.zeros((len(h), 64), np.int64)
+    starts = np.arange(0, h.shape[1], LANE)
+    # bits j, j + 8, ... of up to 255 hashes are summed in the bytes of one word
+    sums = [np.add.reduceat(h >> np.uint64(j) & ONES, starts, axis=1).astype("<u8").view(np.uint8).reshape(len(h), -1, 8).sum(axis=1, dtype=np.int64) for j in range(8)]
+    return np.stack(sums, axis=2).reshape(len(h), 64)[:, ::-1]
+
+
+def mixed(h: np.ndarray, prints: int) -> np.ndarray:
+    """The hashes for each fingerprint [prints, hashes]: themselves for the first, else permuted by xor-shifts and products."""
+    if prints == 1:
+        return h[None]
+    x = h[None] + np.arange(1, prints, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    return np.concatenate((h[None], x ^ x >> np.uint64(31)))
+
+
+def fingerprint(text: str | None, width: int = 3, seed: int = 42, prints: int = 1) -> list[int]:
+    """As signed 64-bit integers; 0 for a text without words."""
     h = shingle_hashes(text, width, seed)
-    bits = np.packbits(2 * bit_counts(h) > len(h))
-    return int(bits.view(">i8")[0])
+    return np.packbits(2 * bit_counts(mixed(h, prints)) > len(h), axis=1).view(">i8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) of each row of (doc_id, text)."""
+def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, prints: int = 1) -> DataFrame:
+    """(doc_id, fps array<long>) of each row of (doc_id, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([fingerprint(t, width, seed) for t in b["text"]], np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fps": [fingerprint(t, width, seed, prints) for t in b["text"]]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, fps array<long>")
 
 
-def links(fps: DataFrame, max_bits: int = 2, pairwise: int = PAIRWISE) -> DataFrame:
-    """(a, b): links that connect what is within max_bits (1 or 2), over the distinct fingerprints in fps.
+def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
+    """(p, a, b): links that connect what is within max_bits (1 or 2), over the distinct rows of fps (p, fp); p tells fingerprints of one kind.
 
-    Pairs under small variants are all found and verified. Those under large variants are linked to the smallest of each point
+    A variant of two fingerprints gives their pair, verified. Those under larger variants are linked to the smallest of each point
     they share, which joins the same groups.
     """
     if max_bits not in (1, 2):
         raise ValueError("max_bits is 1 or 2")
-    variants = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).selectExpr(
+    variants = fps.select("p", "fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).selectExpr(
+        "p",
         "fp",
         # the wiped bit's number above the segment that holds it, with this bit off
         "shiftleft(bit + 0L, 32) | ((if(bit < 32, fp & 4294967295L, shiftrightunsigned(fp, 32))) & ~shiftleft(1L, bit % 32)) AS key",
     )
-    w = W.partitionBy("key")
-    shared = variants.withColumn("n", F.count("*").over(w)).filter("n > 1")
-    shared = checkpointed(shared)
-    pairs = (
-        shared.filter(F.col("n") <= pairwise)
-        .withColumn("others", F.collect_list("fp").over(w.orderBy("fp").rowsBetween(1, pairwise)))
-        .select(F.col("fp").alias("a"), F.explode("others").alias("b"))
-        .filter(F.expr(f"bit_count(a ^ b) <= {int(max_bits)}"))
-    )
-    crowded = shared.filter(F.col("n") > pairwise).select("fp").distinct()
+    shared = checkpointed(variants.withColumn("n", F.count("*").over(W.partitionBy("p", "key"))).filter("n > 1"))
+    pairs = shared.filter("n = 2").groupBy("p", "key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter(F.expr(f"bit_count(a ^ b) <= {int(max_bits)}")).select("p", "a", "b")
+    crowded = shared.filter("n > 2").select("p", "fp").distinct()
     if max_bits == 2:
-        points = crowded.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("bit")).selectExpr("fp", "if(bit = 64, fp, fp ^ shiftleft(1L, bit)) AS point")
+        points = crowded.select("p", "fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("bit")).selectExpr("p", "fp", "if(bit = 64, fp, fp ^ shiftleft(1L, bit)) AS point")
     else:  # the 64 pairs of neighbours that it belongs to, told by the wiped bit
-        points = crowded.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).selectExpr("fp", "struct(bit, fp & ~shiftleft(1L, bit)) AS point")
-    stars = points.select("fp", F.min("fp").over(W.partitionBy("point")).alias("b")).filter("fp <> b").select(F.col("fp").alias("a"), "b")
+        points = crowded.select("p", "fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).selectExpr("p", "fp", "struct(bit, fp & ~shiftleft(1L, bit)) AS point")
+    stars = points.select("p", "fp", F.min("fp").over(W.partitionBy("p", "point")).alias("b")).filter("fp <> b").select("p", F.col("fp").alias("a"), "b")
     return pairs.unionByName(stars).distinct()
 
 
@@ -115,26 +121,38 @@ def connected(edges: DataFrame) -> DataFrame:
         labels = labels.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2, seed: int = 42) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs (doc_id, text, and any others).
+def class_links(classes: DataFrame, max_bits: int) -> DataFrame:
+    """(a, b) over the keys of classes (key, fps), whose links join the classes that any of their fingerprints joins."""
+    each = checkpointed(classes.select("key", F.posexplode("fps").alias("p", "fp")))
+    first = each.groupBy("p", "fp").agg(F.min("key").alias("rep"))
+    found = links(first.select("p", "fp"), max_bits)
+    named = found.join(first.select("p", F.col("fp").alias("a"), F.col("rep").alias("x")), ["p", "a"]).join(first.select("p", F.col("fp").alias("b"), F.col("rep").alias("y")), ["p", "b"])
+    same = each.join(first, ["p", "fp"]).filter("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b"))
+    return same.unionByName(named.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2, seed: int = 42, prints: int = 1) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of docs (doc_id, text, and any others); fp is the first fingerprint.
 
     component_id is the smallest doc_id among the rows that chains of links reach, its own included. Null and empty texts and
     texts of white space have fingerprint zero and link like any other. Repeated rows come back as often as they came. A null
-    doc_id never names a component unless all its members are null. An empty table gives an empty result.
+    doc_id never names a component unless all its members are null. An empty table gives an empty result. With several prints,
+    rows with equal 64-bit hashes of their fingerprints count as one class, which takes chances of n^2 / 4e19 among n classes.
     """
-    rows = checkpointed(fingerprints(docs, width, seed))
-    classes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labels = connected(links(classes.select("fp"), max_bits))
-    labelled = classes.join(labels, classes["fp"] == labels["node"]).select("fp", "first", "label")
-    linked = checkpointed(labelled)
+    key = F.col("fps")[0] if prints == 1 else F.xxhash64("fps")
+    rows = checkpointed(fingerprints(docs, width, seed, prints).select("doc_id", key.alias("key"), "fps"))
+    classes = checkpointed(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("fps").alias("fps")))
+    edges = links(classes.select(F.lit(0).alias("p"), F.col("key").alias("fp")), max_bits).select("a", "b") if prints == 1 else class_links(classes, max_bits)
+    labels = connected(edges)
+    linked = checkpointed(classes.join(labels, classes["key"] == labels["node"]).select("key", "first", "label"))
     firsts = linked.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = linked.join(firsts, "label").select("fp", "component_id")
-    alone = classes.join(labels, classes["fp"] == labels["node"], "left_anti").select("fp", F.col("first").alias("component_id"))
+    named = linked.join(firsts, "label").select("key", "component_id")
+    alone = classes.join(labels, classes["key"] == labels["node"], "left_anti").select("key", F.col("first").alias("component_id"))
     found = checkpointed(named.unionByName(alone))
-    return rows.join(found, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(found, "key").select("doc_id", F.col("fps")[0].alias("fp"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 3, max_bits: int = 2, prints: int = 1) -> DataFrame:
     """One row of docs for each group: the first of its smallest doc_id; rows without a doc_id stay.
 
     Rows are told apart by a number of their own, since ids may be null or repeat with other texts.
@@ -143,7 +161,7 @@ def keep_one(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataFrame:
     while row in docs.columns:
         row += "_"
     rows = stored(docs.withColumn(row, F.monotonically_increasing_id()))
-    groups = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), width, max_bits).select(F.col("doc_id").alias(row), "component_id")
+    groups = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), width, max_bits, prints=prints).select(F.col("doc_id").alias(row), "component_id")
     ids = rows.select(row, F.col("doc_id").alias("id"))
     firsts = ids.filter("id is not null").join(groups, row).groupBy("component_id").agg(F.min(F.struct("id", row)).alias("first")).select(F.col("first")[row].alias(row))
     kept = firsts.unionByName(ids.filter("id is null").select(row))

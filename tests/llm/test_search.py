@@ -66,16 +66,15 @@ def near(r, base, n):
     return out
 
 
-@pytest.mark.parametrize("pairwise", [2, 24])
-def test_links_connect_what_is_within_two_bits(spark, pairwise):
-    """A crowded ball of fingerprints, a long chain and loners: the same groups, whichever way a variant's members are linked."""
+def test_links_connect_what_is_within_two_bits(spark):
+    """A crowded ball of fingerprints, a long chain, pairs and loners; those of another kind never link."""
     r = random.Random(3)
     chain, x = [], r.getrandbits(64)
     for i in range(20):
         x ^= (1 << (3 * i)) | (1 << (3 * i + 1))
         chain.append(x)
-    fps = list({v - 2**64 if v >= 2**63 else v for v in near(r, r.getrandbits(64), 150) + chain + [r.getrandbits(64) for _ in range(30)] + [0]})
-    edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), 2, pairwise)
+    fps = list({0, 3, *(v - 2**64 if v >= 2**63 else v for v in near(r, r.getrandbits(64), 150) + chain + [r.getrandbits(64) for _ in range(30)])})
+    edges = simhash.links(spark.createDataFrame([(0, f) for f in fps] + [(1, f ^ 1) for f in fps], "p int, fp long"), 2).filter("p = 0").select("a", "b")
     rows = edges.collect()
     assert all(((e["a"] ^ e["b"]) & (2**64 - 1)).bit_count() <= 2 for e in rows)
     labels = {x["node"]: x["label"] for x in simhash.connected(edges).collect()}
@@ -118,6 +117,35 @@ def test_spark_hashes_agree(spark):
     assert int(simhash.shingle_hashes("A é c", 3)[0]) == want
 
 
+def test_bits_are_counted():
+    h = np.random.default_rng(5).integers(0, 2**64, 1000, dtype=np.uint64)
+    for n in (0, 1, 254, 255, 256, 1000):
+        rows = simhash.mixed(h[:n], 3)
+        assert simhash.bit_counts(rows).tolist() == [[sum(int(x) >> b & 1 for x in row) for b in range(63, -1, -1)] for row in rows]
+    assert len(set(simhash.mixed(h, 3).ravel().tolist())) == 3000
+
+
+def test_several_fingerprints(spark):
+    """Texts link if any of their fingerprints is near; the components equal those of all pairs."""
+    r = random.Random(8)
+    base = [str(r.randrange(10**6)) for _ in range(300)]
+    texts = []
+    for i in range(40):
+        ws = list(base)
+        for at in r.sample(range(300), i // 4):
+            ws[at] = "x" + str(r.randrange(10**6))
+        texts.append(" ".join(ws))
+    texts += [" ".join(str(r.randrange(10**6)) for _ in range(200)) for _ in range(20)] + ["", None, texts[7]]
+    prints = [simhash.fingerprint(t, 5, 42, 4) for t in texts]
+    up = list(range(len(texts)))
+    for i, j in combinations(range(len(texts)), 2):
+        if any(((a ^ b) & (2**64 - 1)).bit_count() <= 2 for a, b in zip(prints[i], prints[j])):
+            low, high = sorted((up[i], up[j]))
+            up = [low if x == high else x for x in up]
+    got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, prints=4).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == dict(enumerate(up)) and len(set(up[:40])) > 1
+
+
 def test_keep_one(spark):
     docs = spark.createDataFrame([(5, "a b c d", "x"), (2, "A b  c d", "y"), (9, "quite another text", "z"), (None, "a b c d", "n"), (9, "quite another text", "z")], "doc_id long, text string, component_id string")
     assert sorted((x["doc_id"], x["component_id"]) for x in simhash.keep_one(docs).filter("doc_id is not null").collect()) == [(2, "y"), (9, "z")]
