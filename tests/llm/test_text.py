@@ -11,7 +11,9 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from prosemill.llm import audio, bpe, html_text, mixlm, toxicity
+from pyspark.sql import functions as F
+
+from prosemill.llm import audio, bpe, html_text, mixlm, spelling, toxicity
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 PIECES = ["abc", "the ", "  ", "\n", "'s", "'ll", "don't", "é", "日本語", "12", "!!", " \t ", " ", "x" * 7, "🙂", "\r\n", "'", "aaaa", "   \n ", "a'l", " "]
@@ -148,14 +150,24 @@ def test_toxicity_without_labels_and_with_odd_rows(spark):
 
 
 def lm_docs():
+    """Texts in which a word often has the same successor."""
     r = random.Random(6)
-    word = lambda: "".join(r.choice(["an", "er", "th", "ou", "in", "És"]) for _ in range(r.randint(1, 4)))
-    return [(i, " ".join(word() for _ in range(r.choice([0, 3, 80]))), 1) for i in range(300)] + [(None, None, 1), (7, "Zz\n zz  zz", 1), (7, "Zz\n zz  zz", 1), (8, "w" * 150_000, 1)]
+    pool = ["".join(r.choice(["an", "er", "th", "ou", "in", "És"]) for _ in range(r.randint(1, 4))) for _ in range(150)]
+
+    def text(n):
+        at, out = 0, []
+        for _ in range(n):
+            at = (at * 7 + 1) % 150 if r.random() < 0.6 else r.randrange(150)
+            out.append(pool[at])
+        return " ".join(out)
+
+    return [(i, text(r.choice([0, 3, 80])), 1) for i in range(300)] + [(None, None, 1), (7, "Zz\n zz  zz", 1), (7, "Zz\n zz  zz", 1), (8, "w" * 150_000, 1)]
 
 
 def test_base_scores_and_model(spark):
     docs = lm_docs()
-    got = mixlm.language_scores(spark.createDataFrame(docs, "doc_id long, text string, score int")).collect()
+    rows = spark.createDataFrame(docs, "doc_id long, text string, score int")
+    got = mixlm.language_scores(rows).collect()
     token = lambda t: [*mixlm.words(t), None]
     learnt = Counter(w for i, t, _ in docs if zlib.crc32(b"" if i is None else str(i).encode()) % 10 for w in token(t))
     n, v = sum(learnt.values()), len(learnt)
@@ -165,32 +177,120 @@ def test_base_scores_and_model(spark):
         want[(i, len(token(t)), sum(w in learnt for w in token(t)), n, round(base, 6))] += 1
     assert Counter((x["doc_id"], x["n_tokens"], x["n_known"], x["train_tokens"], round(x["base_score"], 6)) for x in got) == want
     held = [x for x in got if x["held_out"] and x["n_tokens"] > 50]
-    assert held and sum(x["bits_per_byte"] for x in held) / len(held) < 2.5 and all(x["score"] < 0 for x in got)
+    assert held and sum(x["score"] for x in held) > sum(x["base_score"] for x in held) and all(x["score"] < 0 for x in got)
     assert len({x["score"] for x in got if x["doc_id"] == 7 and x["n_tokens"] == 4}) == 1
+    key = lambda rows: Counter((x["doc_id"], x["n_tokens"], round(x["score"], 4)) for x in rows)
+    assert key(mixlm.language_scores(rows.repartition(7).orderBy(F.rand(3))).collect()) == key(got)
 
 
-def test_probabilities_sum_to_one():
-    """Over all next bytes, whatever stands before."""
+def token_model():
     r = np.random.default_rng(3)
-    code = mixlm.huffman(r.integers(0, 50, (256, 256)) * (r.random((256, 256)) < 0.1))
-    tables = [r.integers(-60, 60, 1 << b, dtype=np.int8) for b in mixlm.TABLE_BITS]
-    m = mixlm.Model(code, tables, r.normal(0.3, 0.2, (mixlm.GATES, 3)).astype(np.float32), np.array([1.0, 2.0], np.float32), np.abs(r.normal(size=(256, mixlm.SSE, 2))).cumsum(axis=2))
-    for before in (b"", b"the ou", b"an"):
-        total = 0.0
-        whole = [bytes([*before, b]) for b in range(256)]
-        for t in whole:
-            score = lambda x: sum(float(p.sum()) for d, h, o in mixlm.chunks([x]) for _, p in [mixlm.log_probabilities(m, mixlm.decisions(d, h, code), o)])
-            total += 10 ** (score(t) - (score(before) if before else 0.0))
-        assert total == pytest.approx(1, abs=1e-3)
-
-
-def test_long_texts_are_scored_in_parts_with_history():
-    data = np.frombuffer((bytes(range(97, 123)) + b" ") * 40 + b"\xff", np.uint8)
-    code = mixlm.huffman(mixlm.pair_counts(data).reshape(256, 256))
-    whole = next([*mixlm.slots(mixlm.decisions(d, h, code))] for d, h, _ in mixlm.chunks([data.tobytes()]))
-    parts = [np.concatenate(x) for x in zip(*([*mixlm.slots(mixlm.decisions(d, h, code))] for d, h, _ in mixlm.chunks([data.tobytes()], 100)))]
-    assert all((a == b).all() for a, b in zip(whole, parts))
+    known = [(f"w{i:03}", int(3000 / (i + 1)) + 2, i % 3) for i in range(400)]
+    lex = mixlm.lexicon(known, 500, 700, 10_000.0)
+    bits = [12, 13, 12, 12]
+    m = mixlm.Model.new(lex, [r.integers(-30, 30, 1 << b, dtype=np.int8) for b in bits], bits)
+    m.weights = r.normal(0.2, 0.2, m.weights.shape).astype(np.float32)
+    m.curve = np.full(m.weights.shape, 0.01, np.float32)  # so that weights move fast
+    ones = r.integers(0, 50, len(m.sse))
+    m.sse = np.stack([ones, ones + r.integers(0, 50, len(m.sse))], axis=1).astype(float)
+    return m, r
+
+
+def slow_score(m, text):
+    """The same, decision by decision, with contexts from their definition."""
+    lex, end = m.lex, m.lex.rare + 1
+    weights, sse, total, at = m.weights.astype(float).copy(), m.refinement().astype(float).copy(), 0.0, 0
+    coarse = lambda w: w if w < min(mixlm.KNOWN2, lex.rare) else mixlm.KNOWN2 + int(lex.kind[w])
+    for until in mixlm.rounds(len(text)):
+        gains, outcomes = np.zeros(weights.shape), []
+        for i in range(at, until):
+            past = [end, *text[:i]]
+            p1, p2 = past[-1], past[-2] if len(past) > 1 else end
+            third = next(w for w in past[::-1] if w < min(mixlm.KNOWN3, lex.rare) or w == end)
+            some = [w for w in past if w < min(mixlm.KNOWN4, lex.rare) or w == end]
+            contexts = [(p1, p1), (coarse(p1), coarse(p2)), (third, third), (some[-1], some[-2] if len(some) > 1 else end)]
+            hashes = [int(mixlm.hashed(np.array([a]), np.array([b]), k)[0]) for k, (a, b) in enumerate(contexts)]
+            for s in lex.steps[lex.first[text[i]] :][: lex.length[text[i]]].tolist():
+                node, bit = divmod(s, 2)
+                slots = [((h + node * 0x9E3779B1) * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - b for h, b in zip(hashes, m.bits)]
+                raw = [int(t[x]) for t, x in zip(m.tables, slots)]
+                depth = node.bit_length() - 1
+                gate = depth * 4 + 2 * (raw[0] != 0) + (raw[2] != 0)
+                x = [*(v / mixlm.SCALE for v in raw), float(lex.own[node]), 1.0]
+                z = max(-12.0, min(12.0, float(np.dot(weights[:, gate], x))))
+                p, cell = 1 / (1 + math.exp(-z)), depth * mixlm.SSE + round(max(-8.0, min(8.0, z)) * 2 + 16)
+                q = (p + sse[0][cell] / sse[1][cell]) / 2
+                total += math.log10(q if bit else 1 - q)
+                gains[:, gate] += (bit - p) * np.array(x)
+                outcomes.append((cell, bit))
+            total += lex.tail[text[i]]
+        weights += gains / (m.curve * mixlm.STIFF)
+        for cell, bit in outcomes:
+            sse[:, cell] += (bit, 1)
+        at = until
+    return total
+
+
+def test_scores_equal_a_slow_model():
+    """Texts side by side, and each by itself, learn as one decision after the other would."""
+    m, r = token_model()
+    texts = [np.append(r.integers(0, m.lex.rare + 1, n) if n % 2 else np.minimum(r.geometric(0.02, n), m.lex.rare), m.lex.rare + 1) for n in (0, 1, 5, 31, 32, 200, 1501)]
+    got = mixlm.score(m, texts)
+    assert np.allclose(got, [slow_score(m, t.tolist()) for t in texts], rtol=1e-4)
+    assert np.allclose(got, [mixlm.score(m, [t])[0] for t in texts], rtol=1e-9)
+
+
+def test_long_texts_are_scored_in_parts(monkeypatch):
+    m, r = token_model()
+    t = np.append(np.minimum(r.geometric(0.02, 6000), m.lex.rare), m.lex.rare + 1)
+    whole = mixlm.score(m, [t])[0]
+    monkeypatch.setattr(mixlm, "PART", 2048)
+    assert mixlm.score(m, [t])[0] == pytest.approx(whole, rel=1e-3)
+
+
+def test_probabilities_of_next_symbols_sum_to_one():
+    m, r = token_model()
+    for before in ([], [3], [5, 401, 7, 2, 2]):
+        alone = [mixlm.score(m, [np.array([*before, w])])[0] for w in range(m.lex.rare + 2)]
+        start = mixlm.score(m, [np.array(before)])[0] if before else 0.0
+        assert sum(10 ** (s - start) for s in alone) == pytest.approx(1, abs=1e-4)
+
+
+def speller():
+    r = np.random.default_rng(3)
+    code = spelling.code_of(r.integers(0, 50, (256, 256)) * (r.random((256, 256)) < 0.1))
+    tables = [r.integers(-60, 60, 1 << b, dtype=np.int8) for b in spelling.TABLE_BITS]
+    return spelling.Speller(code, tables, r.normal(0.3, 0.2, (spelling.GATES, 3)).astype(np.float32), np.abs(r.normal(size=(256, spelling.SSE, 2))).cumsum(axis=2))
+
+
+def test_probabilities_of_next_bytes_sum_to_one():
+    m = speller()
+    for before in (b"", b"theou", b"an"):
+
+        def part(word):  # without its end mark
+            d = spelling.decisions(np.frombuffer(word, np.uint8), np.full(8, 255, np.uint8), m.code)
+            z, _, _, outcome = spelling.mixed(m, d)
+            low, share = spelling.sse_place(z)
+            cell = spelling.previous_byte(d) * spelling.SSE + low
+            p = (m.refinement[cell] * (1 - share) + m.refinement[cell + 1] * share + spelling.squash(z)) / 2
+            return float(np.log10(np.where(outcome > 0, p, 1 - p)).sum())
+
+        start = part(before) if before else 0.0
+        assert sum(10 ** (part(bytes([*before, b])) - start) for b in range(256)) == pytest.approx(1, abs=1e-3)
+    assert spelling.log_probabilities(m, [b"an"])[0] == pytest.approx(part(b"an\xff"), rel=1e-5)
+
+
+def test_long_words_are_spelt_in_parts_with_history():
+    word = bytes(range(97, 123)) * 40
+    m = speller()
+    whole = next([*spelling.slots(spelling.decisions(d, h, m.code))] for d, h, _ in spelling.chunks([word]))
+    cut = [np.concatenate(x) for x in zip(*([*spelling.slots(spelling.decisions(d, h, m.code))] for d, h, _ in spelling.chunks([word], 100)))]
+    assert all((a == b).all() for a, b in zip(whole[:2], cut[:2]))  # the word so far reaches back as far as history does
+    assert spelling.log_probabilities(m, [word, b"x", word])[0] == spelling.log_probabilities(m, [word])[0]
 
 
 def test_empty_language_model(spark):
     assert mixlm.language_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    some = [(i, "held out", 1) for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
+    got = mixlm.language_scores(spark.createDataFrame(some, "doc_id long, text string, row int")).collect()
+    assert [(x["n_tokens"], x["n_known"], x["train_tokens"]) for x in got] == [(3, 0, 0)] * 3 and all(x["score"] < -1 for x in got)
