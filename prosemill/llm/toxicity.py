@@ -1,14 +1,17 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text: one of ordinary text, one with the toxic text's own segments added. A
-window is compressed with both. It resembles toxic text where it gets shorter by knowing that text, and where little is left
-of it then. Windows are single words, framed by a carrier that both dictionaries hold, so that lengths differ by the word alone
-(zstandard starts no match in a block's last 8 bytes and stores small blocks raw). The two thresholds are calibrated on the
-training rows, and a logistic model turns a document's best window into a score.
-
-zstandard's own dictionary trainer picks segments that cut through words; of 100 words that only toxic text holds it kept 6 to 40.
-The dictionaries here are raw content, trained by counting: the words that most ordinary documents hold, and the words that toxic
-documents hold more often than chance allows.
+Two zstandard dictionaries are trained, one on the toxic and one on the ordinary labelled texts. A text is cut into windows of
+several words; each window is compressed with both dictionaries, and it resembles toxic text where that dictionary makes it shorter
+by some threshold. The threshold is calibrated on the training rows, and a logistic model turns the share of such windows
+in the text into a score.
+
+Lengths of letters would mostly tell syllables that words happen to share, so a word goes in as 32 bytes of a hash: zstandard then
+finds whole words and sequences of them, and what neither dictionary holds costs the same under both. That many bytes let knowing a
+word outweigh the few bytes that a sequence saves which only one dictionary happens to hold. A dictionary is trained as
+zstandard's own trainer does it, by segments of the text that cover most of what counts (that trainer counts strings by frequency
+alone, which in toxic text too are those of ordinary words). For the toxic dictionary, words count by how far chance would not put
+so many of their documents among the toxic ones. For the ordinary one, the words that most documents hold count, and before them all
+words that come along in the toxic dictionary's segments, so that knowing them speaks for neither side.
 """
 
 from __future__ import annotations
@@ -30,17 +33,20 @@ from .common import checkpointed, crc_mod, crc_mod_col
 
 #: Most labelled documents of each class that are learnt from, in the order of a hash of their ids.
 TOXIC_ROWS, ORDINARY_ROWS = 6000, 18000
-#: Most words of each dictionary.
-ORDINARY_WORDS, TOXIC_WORDS = 1500, 512
-CARRIER = (b" of the people and ", b" that was in the ")
-#: Stand where a word begins and ends, so that a part of a word isn't taken for a word.
-MARKS = (b"\x01", b"\x02")
+#: Words of a window, and of a dictionary's segment; bytes that stand for a word.
+WINDOW, CODE = 8, 32
+#: zstandard's window: what a dictionary can hold. Most common words that the ordinary dictionary covers.
+WINDOW_LOG, COMMON = 20, 1500
+#: One training in so many takes a word for telling by chance.
+ODDS = 20
+#: Stand around a window, and at the end of both dictionaries: zstandard starts no match in a block's last bytes and stores small blocks raw.
+FRAME = (xxhash.xxh3_128_digest(b"\x01") * 2, xxhash.xxh3_128_digest(b"\x02") * 2)
 #: A-Z to lower case, other ASCII but letters to spaces; bytes of other scripts stay.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-#: Distinct words whose savings a task remembers before it starts anew.
+#: Distinct words whose codes a task remembers before it starts anew.
 CACHE = 1 << 20
-#: Rests that thresholds are tried for, and the largest saving that is told apart.
-RESTS, MOST = 6, 12
+#: The largest saving that is told apart, in bytes.
+MOST = 80
 
 
 def letter_words(text: str | None) -> list[bytes]:
@@ -57,65 +63,68 @@ def signature(words: list[bytes]) -> int:
     return min(best, xxhash.xxh64_intdigest(b" ".join(piece)) >> 1) if piece else best
 
 
+def code(word: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(word) + xxhash.xxh3_128_digest(word, 1)
+
+
+def compressor(segments: tuple[bytes, ...]) -> zstandard.ZstdCompressor:
+    """Of a dictionary of these segments, texts of words; the last are nearest and so cheapest."""
+    content = b"".join(code(w) for s in segments for w in s.split())[-(1 << WINDOW_LOG) + 4096 :] + b"".join(FRAME)
+    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    p = zstandard.ZstdCompressionParameters(
+        window_log=WINDOW_LOG, hash_log=WINDOW_LOG, chain_log=WINDOW_LOG, search_log=6, min_match=6, strategy=zstandard.STRATEGY_GREEDY,
+        write_content_size=False, write_dict_id=False, write_checksum=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+    )
+    d.precompute_compress(compression_params=p)
+    return zstandard.ZstdCompressor(dict_data=d, compression_params=p)
+
+
 @dataclass
 class Model:
-    """The dictionaries' words and the logistic model; small, so it is sent with each task."""
+    """The dictionaries' segments and the logistic model; bounded by what zstandard's window holds, so it is sent with each task."""
 
     ordinary: tuple[bytes, ...]
     toxic: tuple[bytes, ...]
-    rest: int = 0
-    saving: int = MOST
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0)
-
-    def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
-        content = lambda ws: b"".join(MARKS[0] + w + MARKS[1] for w in ws)
-        # what comes last is nearest and so cheapest: the most telling words
-        ordinary = content(self.ordinary[::-1])
-        made = []
-        for known in (ordinary, ordinary + content(self.toxic[::-1])):
-            d = zstandard.ZstdCompressionDict(known + b"".join(CARRIER), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            p = zstandard.ZstdCompressionParameters(
-                window_log=15, hash_log=13, chain_log=13, search_log=5, min_match=4, strategy=zstandard.STRATEGY_GREEDY,
-                write_content_size=False, write_dict_id=False, write_checksum=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
-            )
-            d.precompute_compress(compression_params=p)
-            made.append(zstandard.ZstdCompressor(dict_data=d, compression_params=p))
-        return made[0], made[1]
+    threshold: int = MOST
+    weights: tuple[float, ...] = (0.0, 0.0)
 
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.cache = model, {}
-        self.plain, self.knowing = model.compressors()
-        self.bare = len(self.knowing.compress(CARRIER[0] + MARKS[0] + MARKS[1] + CARRIER[1]))
-
-    def window(self, word: bytes) -> int:
-        """RESTS * saving + rest of a word, 0 if it saves nothing or leaves more: bytes saved by knowing toxic text, bytes left."""
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        window = CARRIER[0] + MARKS[0] + word + MARKS[1] + CARRIER[1]
-        knowing = len(self.knowing.compress(window))
-        saving, rest = min(len(self.plain.compress(window)) - knowing, MOST), max(0, knowing - self.bare)
-        got = self.cache[word] = saving * RESTS + rest if saving > 0 and rest < RESTS else 0
-        return got
-
-    def best(self, text: str | None) -> list[int]:
-        """For each rest from 0 on, the largest saving of a window that leaves at most so much."""
-        cache, out = self.cache, [0] * RESTS
-        for code in {cache[w] if w in cache else self.window(w) for w in letter_words(text)}:
-            saving, rest = divmod(code, RESTS)
-            for r in range(rest, RESTS):
-                out[r] = max(out[r], saving)
+        self.model, self.codes = model, {}
+        self.plain, self.knowing = compressor(model.ordinary), compressor(model.toxic)
+
+    def savings(self, ws: list[bytes]) -> list[int]:
+        """For each window, by how many bytes it is shorter with the toxic dictionary than with the ordinary one."""
+        codes = self.codes
+        if len(codes) + len(ws) > CACHE:
+            codes.clear()
+        for w in set(ws).difference(codes):
+            codes[w] = code(w)
+        plain, knowing = self.plain.compress, self.knowing.compress
+        out = []
+        for i in range(0, len(ws), WINDOW):
+            window = FRAME[0] + b"".join([codes[w] for w in ws[i : i + WINDOW]]) + FRAME[1]
+            out.append(len(plain(window)) - len(knowing(window)))
         return out
 
+    def profile(self, text: str | None) -> tuple[list[int], int]:
+        """How many windows save at least 1, 2, ... MOST bytes, and the number of words."""
+        ws = letter_words(text)
+        counts = np.bincount(np.clip(self.savings(ws), 0, MOST).astype(int), minlength=MOST + 1)
+        return counts[::-1].cumsum()[::-1][1:].tolist(), len(ws)
+
     def score(self, text: str | None) -> float:
         m = self.model
-        z = float(np.dot(m.weights, features(self.best(text)[m.rest], m.saving)))
+        ws = letter_words(text)
+        hits = sum(s >= m.threshold for s in self.savings(ws))
+        z = float(np.dot(m.weights, features(hits, len(ws))))
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def features(saving: np.ndarray | int, threshold: int) -> np.ndarray:
-    return np.stack(np.broadcast_arrays(1.0, np.asarray(saving) >= threshold, np.asarray(saving) / MOST), axis=-1)
+def features(hits: np.ndarray | int, n: np.ndarray | int) -> np.ndarray:
+    """Of the number of telling windows and of words: the share by its logarithm, so that one window in a very long text says little."""
+    return np.stack(np.broadcast_arrays(1.0, np.log2(1 + 1000 * np.asarray(hits) / np.maximum(n, 1)) / 8), axis=-1).astype(float)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -141,6 +150,36 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_RO
     return texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
 
 
+def windows(ws: list[bytes]) -> Iterator[list[bytes]]:
+    for i in range(0, max(1, len(ws) - WINDOW // 2), WINDOW // 2):
+        yield ws[i : i + WINDOW]
+
+
+def segments(rows: DataFrame, toxic: int, worth: dict[bytes, float], rest: float) -> list[bytes]:
+    """For each word of worth, the window of a text of this class that holds it and is worth most, without repeats, the best last.
+
+    Windows overlap by half. Words that worth doesn't name count for rest. A task keeps one window for each word.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[bytes, tuple[float, bytes]] = {}
+        for b in batches:
+            for y, t in zip(b["toxic"], b["text"]):
+                if y == toxic:
+                    for window in windows(letter_words(t)):
+                        own = set(window)
+                        named = own.intersection(worth)
+                        if named:
+                            found = (sum(map(worth.__getitem__, sorted(named))) + rest * (len(own) - len(named)), b" ".join(window))
+                            for w in named:
+                                if w not in best or best[w] < found:
+                                    best[w] = found
+        yield pd.DataFrame({"word": list(best), "worth": [x for x, _ in best.values()], "segment": [s for _, s in best.values()]})
+
+    found = rows.mapInPandas(run, "word binary, worth double, segment binary").groupBy("word").agg(F.max(F.struct("worth", "segment")).alias("best")).collect()  # one for each word asked for
+    return [s for _, s in sorted({(r["best"]["worth"], bytes(r["best"]["segment"])) for r in found})]
+
+
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model | float:
     """The model; a constant score if only one class has training rows (0.0 without any)."""
     rows = training_rows(docs, labels, toxic_rows, ordinary_rows)
@@ -158,27 +197,36 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordi
         return 1.0 if n1 else 0.0
     counts = checkpointed(one.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("o")))
     # Chernoff's bound on so many toxic documents among those that hold a word, if it were as frequent in either kind of text; with
-    # as many words tried, one is expected to pass by chance
+    # as many words tried, there is one chance in ODDS that any passes
     n, p = F.col("t") + F.col("o"), n1 / (n1 + n0)
     unlikely = F.col("t") * F.log(F.col("t") / n / p) + F.when(F.col("o") > 0, F.col("o") * F.log(F.col("o") / n / (1 - p))).otherwise(0.0)
     tried = counts.filter("t > 0").count()
-    toxic = counts.filter((F.col("t") / n > p) & (F.col("t") > 0)).withColumn("z", unlikely).filter(F.col("z") > math.log(max(tried, 2))).orderBy(F.desc("z"), "word").limit(TOXIC_WORDS).collect()
-    ordinary = counts.orderBy(F.desc("o"), "word").limit(ORDINARY_WORDS + TOXIC_WORDS).collect()
-    own = {r["word"] for r in toxic}
-    model = Model(tuple(r["word"].encode() for r in ordinary if r["word"] not in own)[:ORDINARY_WORDS], tuple(r["word"].encode() for r in toxic))
+    room = (1 << WINDOW_LOG) // (WINDOW * CODE)
+    telling = counts.filter((F.col("t") / n > p) & (F.col("t") > 0)).withColumn("z", unlikely).filter(F.col("z") > math.log(ODDS * max(tried, 1))).orderBy(F.desc("z"), "word").limit(room).collect()
+    own = {r["word"].encode(): r["z"] for r in telling}
+    common = {w: math.log2(2 + r["o"]) for r in counts.orderBy(F.desc("o"), "word").limit(COMMON).collect() if (w := r["word"].encode()) not in own}
+    toxic = segments(rows, 1, common | own, -2.0)
+    wanted = {w: 1.0 for s in toxic for w in s.split() if w not in own} | common
+    # telling words never stand in the ordinary dictionary, and no others only in the toxic one
+    kept = lambda found, keep: tuple(s for x in found if (s := b" ".join(filter(keep, x.split()))))
+    ordinary = kept(segments(rows, 0, wanted, -2.0), lambda w: w not in own)
+    both = {w for s in ordinary for w in s.split()}
+    model = Model(ordinary, kept(toxic, lambda w: w in own or w in both))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = Scorer(model)
         for b in batches:
-            yield pd.DataFrame([(y, s.best(t)) for y, t in zip(b["toxic"], b["text"])], columns=["toxic", "best"])
-
-    sample = rows.mapInPandas(measure, "toxic int, best array<int>").toPandas()  # a bounded number of rows of a few small numbers
-    y, best = sample["toxic"].to_numpy(float), np.stack(sample["best"].to_numpy())
-    gain = {(s, -r): (best[y > 0, r] >= s).mean() - (best[y == 0, r] >= s).mean() for s in range(1, MOST + 1) for r in range(RESTS)}
-    model.saving, model.rest = (lambda k: (k[0], -k[1]))(max(gain, key=lambda k: (round(gain[k], 6), k)))
-    all_labels = labels.filter("doc_id is not null and toxic is not null").agg(F.avg((F.col("toxic") > 0).cast("double")).alias("p")).first()["p"]
-    weight = np.where(y > 0, all_labels / max(y.mean(), 1e-9), (1 - all_labels) / max(1 - y.mean(), 1e-9))  # as frequent as in all labels
-    model.weights = tuple(fit_logistic(features(best[:, model.rest], model.saving), y, weight))
+            yield pd.DataFrame([(y, *s.profile(t)) for y, t in zip(b["toxic"], b["text"])], columns=["toxic", "hits", "n"])
+
+    sample = rows.mapInPandas(measure, "toxic int, hits array<int>, n long").toPandas()  # a bounded number of rows of a few small numbers
+    y, hits = sample["toxic"].to_numpy(float), np.stack(sample["hits"].to_numpy())
+    gain = [(hits[y > 0, k] > 0).mean() - (hits[y == 0, k] > 0).mean() for k in range(MOST)]
+    best = [k for k, g in enumerate(gain) if g >= max(gain) - 1e-6]
+    model.threshold = 1 + (best[0] + best[-1]) // 2
+    known = labels.filter("doc_id is not null and toxic is not null").filter(crc_mod_col(F.col("doc_id").cast("long"), 5) != 0)
+    share = known.agg(F.avg((F.col("toxic") > 0).cast("double")).alias("p")).first()["p"]
+    weight = np.where(y > 0, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))  # as frequent as in all training labels
+    model.weights = tuple(fit_logistic(features(hits[:, model.threshold - 1], sample["n"].to_numpy()), y, weight))
     return model
 
 

@@ -142,6 +142,28 @@ def test_toxicity_on_held_out_rows(spark):
     assert clean.columns == docs.columns and clean.filter("doc_id % 4 = 0").count() == 0 and clean.count() == 675
 
 
+def test_held_out_labels_change_nothing(spark):
+    """Not even their share; scores equal those of windows that are compressed one by one."""
+    rows, labels = toxic_corpus()
+    docs = spark.createDataFrame(rows[:300] + [(1000, None, "x"), (1001, "vermin", "x"), (1002, "an er " * 30_000 + "dunce", "x")], "doc_id long, text string, score string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    schema = "doc_id long, quality int, toxic int"
+    model = toxicity.train(docs, spark.createDataFrame(labels[:300], schema))
+    other = toxicity.train(docs, spark.createDataFrame([(i, q, 1 - y if held(i) else y) for i, q, y in labels[:300]], schema))
+    assert model == other and model.toxic and model.ordinary
+    for x in toxicity.scored(docs, model).collect():
+        ws = toxicity.letter_words(x["text"])
+        hits = 0
+        for at in range(0, len(ws), toxicity.WINDOW):
+            window = toxicity.FRAME[0] + b"".join(map(toxicity.code, ws[at : at + toxicity.WINDOW])) + toxicity.FRAME[1]
+            hits += len(toxicity.compressor(model.ordinary).compress(window)) - len(toxicity.compressor(model.toxic).compress(window)) >= model.threshold if len(ws) < 1000 else 0
+        if len(ws) < 1000:
+            z = float(np.dot(model.weights, [1, math.log2(1 + 1000 * hits / max(len(ws), 1)) / 8]))
+            assert x["score"] == pytest.approx(1 / (1 + math.exp(-z)))
+        if x["doc_id"] >= 1000:
+            assert x["predicted"] == (x["doc_id"] == 1001)
+
+
 def test_toxicity_without_labels_and_with_odd_rows(spark):
     odd = spark.createDataFrame([(None, None), (1, ""), (2, "x" * 200_000), (2, "x" * 200_000)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
