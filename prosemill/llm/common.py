@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,19 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often and wherever body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as it takes to differ from all columns of df, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder for checkpoints, so that a lost executor costs no lineage."""
     shared_folder(df.sparkSession)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 #: Up to so many sources, their distributions are broadcast; beyond, they are joined by shuffling, salted.
 BROADCAST_SOURCES = 4096
 SALTS = 64
@@ -67,19 +69,20 @@ def poisson_mix(docs: DataFrame, power: float = 0.5, weights: dict[str, float] |
     """docs, each row as often as its Poisson count says, plus copy (from 0) and shuffle_key, by which partitions are dealt and sorted.
 
     Rows with one doc_id draw the same count. Null ids hash as the empty text; null texts are kept like any others. Columns of docs
-    named rate, copy, copies or shuffle_key are replaced. Sources beyond BROADCAST_SOURCES are joined on source and salt, so a
+    named copy or shuffle_key are replaced, all others pass, whatever their names. Sources beyond BROADCAST_SOURCES are joined on source and salt, so a
     source with a third of the rows is spread over SALTS partitions. An empty table gives an empty result.
     """
-    docs = docs.drop("copy", "copies", "shuffle_key")
-    rates = source_rates(docs, power, weights).select(F.col("source").alias("_source"), cumulative(F.col("rate")).alias("_sums"))
+    docs = docs.drop("copy", "shuffle_key")
+    kept = docs.columns
+    source, sums, salt, salted, u, n = (free_name(docs, x) for x in ("_source", "_sums", "_salt", "_salted", "_u", "_copies"))
+    rates = source_rates(docs, power, weights).select(F.col("source").alias(source), cumulative(F.col("rate")).alias(sums))
     name = F.coalesce(F.col("source").cast("string"), F.lit(""))
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        joined = docs.join(F.broadcast(rates), name == F.col("_source"))
+        joined = docs.join(F.broadcast(rates), name == F.col(source))
     else:
-        salted = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs.withColumn("_salted", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(salted, (name == F.col("_source")) & (F.col("_salted") == F.col("_salt"))).drop("_salt", "_salted")
-    u = unit_hash(F.lit(seed), F.col("doc_id"))
-    counted = joined.withColumn("_u", u).withColumn("copies", F.size(F.filter("_sums", lambda c: c <= F.col("_u"))))
-    copies = counted.filter("copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+        each = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = docs.withColumn(salted, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(each, (name == F.col(source)) & (F.col(salted) == F.col(salt)))
+    counted = joined.withColumn(u, unit_hash(F.lit(seed), F.col("doc_id"))).withColumn(n, F.size(F.filter(sums, lambda c: c <= F.col(u))))
+    copies = counted.filter(F.col(n) > 0).select(*[F.col(f"`{c}`") for c in kept], F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("copy"))
     keyed = copies.withColumn("shuffle_key", seeded_hash(F.lit(seed), F.col("doc_id"), F.col("copy")))
     return keyed.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")

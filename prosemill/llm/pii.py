@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name, let
+
 #: The kinds in the order in which they are tried at a place, and their patterns. A time may follow a date.
 PATTERNS = {
     # runs of more than 64 characters before the @ are no addresses
@@ -50,11 +52,6 @@ CARD_LENGTHS = range(19, 12, -1)
 VALUES = "array<struct<kind:string,original:string,pseudonym:string>>"
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with the value computed once, however often and wherever body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def luhn_valid(digits: Column) -> Column:
     """Whether a string of digits ends in its Luhn check digit."""
     return luhn_sum(digits) % 10 == 0
@@ -287,24 +284,25 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str = "pi
     one; a column named as found is replaced, all others pass. Rows don't depend on each other: there is no shuffle.
     """
     t, k = F.col(text), F.lit(key)
+    pieces, done = free_name(docs, "_pieces"), free_name(docs, "_done")
     # an array, not a struct: Spark would compute a struct's fields again at each use
     hits = F.zip_with(F.split(t, HIT, -1), F.regexp_extract_all(t, F.lit(HIT), 0), lambda p, m: F.struct(p.alias("piece"), m.alias("hit")))
 
     def one(x: Column, i: Column) -> Column:
         edge = lambda c: F.when(c == "", "\n").otherwise(c)
-        digits = F.substring(F.coalesce(F.get("_hits", i + 1)["hit"], F.lit("")), 1, 2)
+        digits = F.substring(F.coalesce(F.get(pieces, i + 1)["hit"], F.lit("")), 1, 2)
 
         def numbers(piece: Column) -> Column:
             after = F.when(F.concat(F.substring(piece, 1, 3), digits).rlike("^[Tt][0-9]{2}"), F.concat(F.substring(piece, 1, 3), digits)).otherwise(edge(F.substring(piece, 1, 1)))
             return let(after, lambda a: in_run(k, x["hit"], edge(x["piece"]), a))
 
         mail = let(_email(k, x["hit"]), lambda p: F.struct(p.alias("text"), F.array(_value("email", x["hit"], p)).alias("values")))
-        return F.when(x["hit"].contains("@"), mail).when(x["hit"].isNotNull(), let(F.get("_hits", i + 1)["piece"], numbers))
+        return F.when(x["hit"].contains("@"), mail).when(x["hit"].isNotNull(), let(F.get(pieces, i + 1)["piece"], numbers))
 
-    names = [c for c in docs.columns if c not in (found, "_hits", "_all")]
-    listed = docs.withColumn("_hits", F.when(t.rlike("[0-9@]"), hits)).withColumn("_all", F.transform("_hits", one))
-    rebuilt = F.array_join(F.zip_with("_hits", "_all", lambda x, h: F.concat(x["piece"], F.coalesce(h["text"], F.lit("")))), "")
+    names = [c for c in docs.columns if c != found]
+    listed = docs.withColumn(pieces, F.when(t.rlike("[0-9@]"), hits)).withColumn(done, F.transform(pieces, one))
+    rebuilt = F.array_join(F.zip_with(pieces, done, lambda x, h: F.concat(x["piece"], F.coalesce(h["text"], F.lit("")))), "")
     return listed.select(
-        *[F.when(F.size("_hits") > 1, rebuilt).otherwise(t).alias(c) if c == text else F.col(c) for c in names],
-        F.coalesce(F.flatten(F.transform(F.filter("_all", lambda h: h.isNotNull()), lambda h: h["values"])), F.array().cast(VALUES)).alias(found),
+        *[F.when(F.size(pieces) > 1, rebuilt).otherwise(t).alias(c) if c == text else F.col(c) for c in names],
+        F.coalesce(F.flatten(F.transform(F.filter(done, lambda h: h.isNotNull()), lambda h: h["values"])), F.array().cast(VALUES)).alias(found),
     )

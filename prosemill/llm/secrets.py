@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership frequency, with DataFrame functions only.
 
 Every text is scanned for candidates. The hashes of their values are counted over the whole corpus by distinct repositories and
-distinct owners: a value that several owners hold is a widely copied example, one that stays with its owner and looks random is
-taken for a live credential.
+distinct owners: a value that several owners hold, or two in many repositories, is a widely copied example; one that stays with its
+owner, in however many of the owner's repositories, and looks random is taken for a live credential.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, let
 
 #: Kinds in the order in which spans with one start are listed; pattern, the group that holds the value, its least
 #: length. A match whose value is shorter is dropped, but its characters are used up.
@@ -36,8 +36,12 @@ HINTS = {
 }
 KINDS = (*BASE, *ADDED)
 SPAN = "array<struct<start:int,ord:int,end:int,kind:string,value:string>>"
-#: A value that so many owners hold is a copied example.
-SHARED_OWNERS = 3
+#: A value that so many owners hold is a copied example, and so is one of at least two owners in so many repositories.
+SHARED_OWNERS, SHARED_REPOS = 3, 5
+#: Matches of a text whose places are added up at once: n of them take about n * BLOCK + (n / BLOCK)^2 steps.
+BLOCK = 256
+#: A value with so many rows is hot. Up to so many hot values' counts are broadcast; beyond, they are joined salted.
+HOT_ROWS, BROADCAST_VALUES, SALTS = 10_000, 100_000, 64
 
 
 def spans_of(t: Column, kind: str) -> Column:
@@ -56,9 +60,14 @@ def spans_of(t: Column, kind: str) -> Column:
         span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"), m["2"].alias("value"))
         return F.struct(end.alias("at"), F.when(F.length(m["2"]) >= least, F.concat(s["spans"], F.array(span))).otherwise(s["spans"]).alias("spans"))
 
+    def block(s: Column, ms: Column) -> Column:
+        inner = F.aggregate(ms, F.struct(s["at"].alias("at"), empty.alias("spans")), step)
+        return let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(s["spans"], F.array(x["spans"])).alias("spans")))
+
     # named by position, so that the lambda doesn't depend on how arrays_zip names expressions
     zipped = F.transform(parts, lambda x: x.cast("struct<`0`:string,`1`:string,`2`:string>"))
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda s: s["spans"])
+    blocks = let(zipped, lambda z: F.transform(F.sequence(F.lit(1), F.size(z), F.lit(BLOCK)), lambda i: F.slice(z, i, F.lit(BLOCK))))
+    found = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans")), block, lambda s: F.flatten(s["spans"]))
     return F.when(HINTS[kind](t), found).otherwise(empty)
 
 
@@ -89,23 +98,38 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"), F.sum("n").alias("n_rows"))
 
 
-def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "repository", shared_owners: int = SHARED_OWNERS) -> DataFrame:
+def with_counts(each: DataFrame, counts: DataFrame) -> DataFrame:
+    """each (row, span, hash) with n_owners and n_repos of its hash. Hot hashes' counts are broadcast or salted, so that no task gets a
+    hot hash's rows alone."""
+    counts = counts.select("hash", "n_owners", "n_repos", (F.col("n_rows") >= HOT_ROWS).alias("hot"))
+    hot, cold = counts.filter("hot").drop("hot"), counts.filter("not hot").drop("hot")
+    if hot.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES:
+        marked = each.join(F.broadcast(hot), "hash", "left")
+    else:
+        salted = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        marked = each.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["hash", "salt"], "left").drop("salt")
+    rest = marked.filter("n_owners is null").drop("n_owners", "n_repos").join(cold, "hash")
+    return marked.filter("n_owners is not null").unionByName(rest)
+
+
+def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "repository", shared_owners: int = SHARED_OWNERS, shared_repos: int = SHARED_REPOS) -> DataFrame:
     """(doc_id, spans, live, shared) for each row of docs (doc_id, text, the owner's and the repository's column, and any others).
 
-    spans holds every match; live those whose value fewer than shared_owners owners hold and which looks random; shared those with
-    that many owners or more. A value within the spans of two kinds is judged for each. Null or empty texts give empty arrays,
-    repeated rows come back as often as they came, an empty table gives an empty result.
+    spans holds every match; shared those whose value shared_owners owners or more hold, or two or more in shared_repos repositories
+    or more; live the others whose value looks random. A value within the spans of two kinds is judged for each. Null or empty texts
+    give empty arrays, repeated rows come back as often as they came, an empty table gives an empty result. A null owner or
+    repository counts as one.
     """
     rows = checkpointed(scan(docs, owner, repository).withColumn("row", F.monotonically_increasing_id()))
     some = rows.filter(F.size("spans") > 0)
     each = some.select("row", "owner", "repository", F.explode("spans").alias("span")).withColumn("hash", F.sha2("span.value", 256))
     counts = checkpointed(ownership(each.select("hash", "owner", "repository")))
+    copied = (F.col("n_owners") >= shared_owners) | (F.col("n_owners") >= 2) & (F.col("n_repos") >= shared_repos)
     judged = (
-        each.select("row", "span", "hash")
-        .join(counts.select("hash", "n_owners", "n_repos"), "hash")
-        .select("row", F.struct("span.*", "n_owners", "n_repos", ((F.col("n_owners") < shared_owners) & looks_random(F.col("span.value"))).alias("live")).alias("span"))
+        with_counts(each.select("row", "span", "hash"), counts)
+        .select("row", F.struct("span.*", "n_owners", "n_repos", copied.alias("shared"), (~copied & looks_random(F.col("span.value"))).alias("live")).alias("span"))
         .groupBy("row")
         .agg(F.array_sort(F.collect_list("span")).alias("judged"))
     )
-    pick = lambda keep: F.coalesce(F.filter("judged", keep), F.array().cast("array<struct<start:int,ord:int,end:int,kind:string,value:string,n_owners:bigint,n_repos:bigint,live:boolean>>"))
-    return rows.join(judged, "row", "left").select("doc_id", "spans", pick(lambda s: s["live"]).alias("live"), pick(lambda s: s["n_owners"] >= shared_owners).alias("shared"))
+    pick = lambda keep: F.coalesce(F.filter("judged", keep), F.array().cast("array<struct<start:int,ord:int,end:int,kind:string,value:string,n_owners:bigint,n_repos:bigint,shared:boolean,live:boolean>>"))
+    return rows.join(judged, "row", "left").select("doc_id", "spans", pick(lambda s: s["live"]).alias("live"), pick(lambda s: s["shared"]).alias("shared"))

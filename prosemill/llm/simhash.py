@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, stored, words
+from .common import checkpointed, free_name, stored, words
 
 #: The lowest bit of each byte of a word of 8, and how many of them one byte can add up.
 ONES, LANE = np.uint64(0x0101010101010101), 255
@@ -157,9 +157,7 @@ def keep_one(docs: DataFrame, width: int = 3, max_bits: int = 2, prints: int = 1
 
     Rows are told apart by a number of their own, since ids may be null or repeat with other texts.
     """
-    row = "_row"
-    while row in docs.columns:
-        row += "_"
+    row = free_name(docs, "_row")
     rows = stored(docs.withColumn(row, F.monotonically_increasing_id()))
     groups = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), width, max_bits, prints=prints).select(F.col("doc_id").alias(row), "component_id")
     ids = rows.select(row, F.col("doc_id").alias("id"))

@@ -112,3 +112,32 @@ def test_ownership_separates_examples_from_live_keys(spark):
     counts = secrets.ownership(spark.createDataFrame([("h", "a", "r1"), ("h", "a", "r2"), ("h", "b", "r1"), ("h", "a", "r1"), ("h", None, None)], "hash string, owner string, repository string")).first()
     assert (counts["n_repos"], counts["n_owners"], counts["n_rows"]) == (4, 3, 5)
     assert secrets.find_secrets(docs.limit(0)).count() == 0
+
+
+def test_decisions_equal_brute_force(spark, monkeypatch):
+    """By distinct owners and repositories, whether hot values are broadcast, salted or neither."""
+    r = random.Random(4)
+    values = [hashlib.sha256(bytes([i])).hexdigest()[: r.choice([24, 40])] for i in range(12)]
+    rows = [(i, " ".join(r.choices(values, [40, 9, 5, 3, 2, 2, 1, 1, 1, 1, 1, 1], k=r.randint(0, 3))), r.choice(["a", "b", None, "c"][: r.randint(1, 4)]), r.choice([None, "r", "s", "t"])) for i in range(60)]
+    pairs = {v: {(o or "", p or "") for _, t, o, p in rows if v in t.split()} for v in values}
+    shared = {v for v, x in pairs.items() if len({o for o, _ in x}) >= 3 or len({o for o, _ in x}) == 2 and len(x) >= 5}
+    assert 0 < len(shared) < 12
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, repository string")
+    for hot, most in ((10_000, 9), (5, 9), (5, 0)):
+        monkeypatch.setattr(secrets, "HOT_ROWS", hot)
+        monkeypatch.setattr(secrets, "BROADCAST_VALUES", most)
+        for x in secrets.find_secrets(docs).collect():
+            ws = rows[x["doc_id"]][1].split()
+            assert [s["value"] for s in x["shared"]] == [w for w in ws if w in shared]
+            assert {s["value"] for s in x["live"]} <= {w for w in ws if w not in shared}
+            assert all((s["n_owners"], s["n_repos"]) == (len({o for o, _ in pairs[s["value"]]}), len(pairs[s["value"]])) for s in [*x["shared"], *x["live"]])
+
+
+def test_very_many_spans_take_linear_time(spark):
+    import time
+
+    text = " ".join(hashlib.sha256(str(i).encode()).hexdigest()[:30] for i in range(100_000))
+    docs = spark.createDataFrame([(1, text, "o", "r")], "doc_id long, text string, source string, repository string")
+    began = time.time()
+    got = secrets.find_secrets(docs).select(F.size("spans").alias("n"), secrets.listed(F.col("spans")).alias("x")).first()
+    assert got["x"].startswith(base_spans(text[:310])) and got["x"].endswith("hex:3099969:3099999") and time.time() - began < 120

@@ -178,6 +178,12 @@ def test_poisson_counts_and_rates(spark):
     assert mixing.poisson_mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_keeps_columns_whatever_their_names(spark):
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), *[F.lit(7).alias(c) for c in ("_u", "_SUMS", "_source", "rate", "copies", "_salt", "a.b")])
+    got = mixing.poisson_mix(docs, power=1.0)
+    assert got.columns == [*docs.columns, "copy", "shuffle_key"] and set(got.select("_u", "_SUMS", "_source", "rate", "copies", "_salt", "`a.b`").distinct().collect()) == {(7,) * 7}
+
+
 def test_mixing_is_repeatable_and_salted_join_agrees(spark, monkeypatch):
     docs = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 7).cast("string")).alias("source"))
     one = sorted(map(tuple, mixing.poisson_mix(docs.repartition(3)).select("doc_id", "copy", "shuffle_key").collect()))
