@@ -1,7 +1,8 @@
 """Byte-level BPE by monoid tree reduction.
 
-A text is halved until its parts are short; parts are encoded, and neighbours are joined going up. A join keeps all tokens of both
-sides but those near the seam, which it encodes again in a window that grows until the tokens outside cannot change:
+A text is halved until its parts hold a few matches of the pattern; these are encoded by merging neighbours of the lowest rank, and
+parts are joined going up. A join keeps all tokens of both sides but those near the seam, which it encodes again in a window that
+grows until the tokens outside cannot change:
 
 - Between a character that is no white space and a white-space one every match of the pattern ends, whatever stands around. If the
   seam is such a place, nothing is encoded again; otherwise the window grows on both sides to the nearest such place.
@@ -17,17 +18,19 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a part that is encoded at once; bytes of a match that is; tokens that are decoded at once.
-PART, MATCH, TOKENS = 2048, 64, 4096
+#: Most characters of a part that isn't halved, bytes of a match that isn't, tokens that are decoded at once.
+PART, MATCH, TOKENS = 256, 64, 256
+#: Distinct matches whose tokens a worker remembers before it starts anew.
+CACHE = 1 << 18
+#: Stands for no rank.
+NONE = 1 << 40
 #: White space at which a match surely ends.
 SPACES = " \n\t\r"
 
@@ -41,16 +44,15 @@ class Bpe:
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.names = {i: str(i) for i in self.tokens}
         self.part, self.match = max(2, part), max(2, match)
-        self.core = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
+        self.cache: dict[str, list[int]] = {}
         self.pattern = regex.compile(pattern)
-        self.runs = re.compile(r"\S{%d}|\s{%d}" % (4 * self.match, 4 * self.match))
         self.fits = functools.lru_cache(1 << 16)(self._fits)
 
     # -- texts
 
     def encode(self, text: str) -> list[int]:
         if len(text) <= self.part:
-            return self._run(text) if self._long(text) else self.core.encode_ordinary(text)
+            return self._run(text)
         middle = len(text) // 2
         return self.join(text[:middle], self.encode(text[:middle]), text[middle:], self.encode(text[middle:]))
 
@@ -60,7 +62,7 @@ class Bpe:
             return left + right
         p, q = last_end(a), first_end(b)
         window = a[p:] + b[:q]
-        inner = self._run(window) if self._long(window) else self.core.encode_ordinary(window)
+        inner = self._run(window)
         return left[: len(left) - self._tokens(left, len(a[p:].encode()), -1)] + inner + right[self._tokens(right, len(b[:q].encode()), 1) :]
 
     def _tokens(self, ids: list[int], n: int, step: int) -> int:
@@ -73,34 +75,56 @@ class Bpe:
             count += 1
         return count
 
-    def _long(self, text: str) -> bool:
-        """Whether a run of white space or of other characters may make a match too long for one go."""
-        return self.runs.search(text) is not None
-
     def _run(self, text: str) -> list[int]:
-        out: list[int] = []
-        for m in self.pattern.finditer(text):
-            data = m.group().encode()
-            whole = self.ranks.get(data)
-            out += [whole] if whole is not None else self._match(data)
+        cache, out = self.cache, []
+        for m in self.pattern.findall(text):
+            ids = cache.get(m)
+            if ids is None:
+                data = m.encode()
+                whole = self.ranks.get(data)
+                ids = [whole] if whole is not None else self._match(data)
+                if len(data) <= self.match:
+                    if len(cache) >= CACHE:
+                        cache.clear()
+                    cache[m] = ids
+            out += ids
         return out
 
     # -- bytes of one match
 
     def _match(self, data: bytes) -> list[int]:
         if len(data) <= self.match:
-            return self.core._encode_single_piece(data)
+            return self._merged(data)
         middle = len(data) // 2
         return self._merge(self._match(data[:middle]), self._match(data[middle:]))
 
+    def _merged(self, data: bytes) -> list[int]:
+        """The tokens of a few bytes: of all neighbours that are a token together, those of the lowest rank become one, the first first."""
+        ranks = self.ranks
+        whole = ranks.get(data)
+        if whole is not None:
+            return [whole]
+        parts = [data[i : i + 1] for i in range(len(data))]
+        pairs = [ranks.get(data[i : i + 2], NONE) for i in range(len(data) - 1)]
+        while pairs and (best := min(pairs)) != NONE:
+            i = pairs.index(best)
+            joined = parts[i] + parts[i + 1]
+            parts[i : i + 2] = [joined]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = ranks.get(parts[i - 1] + joined, NONE)
+            if i < len(pairs):
+                pairs[i] = ranks.get(joined + parts[i + 1], NONE)
+        return [ranks[p] for p in parts]
+
     def _fits(self, a: int, b: int) -> bool:
-        return self.core._encode_single_piece(self.tokens[a] + self.tokens[b]) == [a, b]
+        return self._merged(self.tokens[a] + self.tokens[b]) == [a, b]
 
     def _merge(self, left: list[int], right: list[int]) -> list[int]:
         """The tokens of both halves' bytes together."""
         k = m = 0
         while True:
-            inner = self.core._encode_single_piece(b"".join(self.tokens[i] for i in left[len(left) - k :] + right[:m])) if k or m else []
+            inner = self._merged(b"".join(self.tokens[i] for i in left[len(left) - k :] + right[:m])) if k or m else []
             before, after = left[: len(left) - k], right[m:]
             row = [*before[-1:], *inner, *after[:1]]
             wrong_left = bool(before) and len(row) > 1 and not self.fits(row[0], row[1])

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -157,11 +158,10 @@ OTHER_WORDS = set(
 OTHER_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist".split())
 COMMENT_ROOTS = set("comment comments commentlist reply teaser related".split())
 
-TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<(?P<silent>" + "|".join(SILENT) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>(?:.*?</(?P=silent)\s*>|.*\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: The rest of a tag, whose quotes are closed.
+REST = re.compile(r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>")
+CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in SILENT}
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -184,26 +184,54 @@ class Open:
     hidden: bool
 
 
+def scan(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before, name, whether it is an end tag, rest) of each tag, with name "" for comments, declarations, elements without text
+    and, last, the page's end.
+
+    A tag ends at the first > outside of quotes. Where a quote is never closed, this one and all later tags end at their first >, and
+    a < without any > after it is text: each character is looked at a few times, however broken the page is.
+    """
+    at = start = 0
+    last, quoted = page.rfind(">"), True
+    while 0 <= (i := page.find("<", start)) < last or 0 <= i and page.startswith("<!--", i):
+        name, end, rest, start = "", False, "", i + 1
+        if page.startswith("<!--", i):
+            stop = page.find("-->", i + 4)
+            stop = len(page) if stop < 0 else stop + 3
+        elif page.startswith(("<!", "<?"), i):
+            stop = page.find(">", i) + 1
+        elif m := NAME.match(page, i):
+            found = REST.match(page, m.end()) if quoted else None
+            quoted = found is not None
+            stop = found.end() if found else page.find(">", i) + 1
+            name, end, rest = m[1].lower(), page[i + 1] == "/", page[m.end() : stop - 1]
+            if name in CLOSING and not end:
+                closing = CLOSING[name].search(page, stop)
+                name, stop = "", closing.end() if closing else len(page)
+        else:
+            continue
+        yield page[at:i], name, end, rest
+        at = start = stop
+    yield page[at:], "", False, ""
+
+
 @dataclass
 class Reader:
     """Reads a page into flat blocks."""
 
     blocks: list[Block] = field(default_factory=list)
     stack: list[Open] = field(default_factory=list)
+    names: Counter = field(default_factory=Counter)
     parts: list[tuple[str, bool]] = field(default_factory=list)
     in_link: bool = False
     heading: bool = False
 
     def read(self, page: str) -> list[Block]:
-        at = 0
-        for m in TOKEN.finditer(page):
-            if m.start() > at:
-                self.parts.append((page[at : m.start()], self.in_link))
-            at = m.end()
-            name = m["name"]
+        for text, name, end, rest in scan(page):
+            if text:
+                self.parts.append((text, self.in_link))
             if name:
-                self.tag(name.lower(), bool(m["end"]), m["rest"] or "")
-        self.parts.append((page[at:], self.in_link))
+                self.tag(name, end, rest)
         self.flush()
         return self.blocks
 
@@ -233,13 +261,14 @@ class Reader:
         if name in ("p", "hr", "html") or self.heading or name[0] == "h" and name[1:].isdigit():
             return
         if end:
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i].name == name:
-                    del self.stack[i:]
-                    self.in_link = False
-                    break
+            if self.names[name]:  # what it closes, with all that is still open within
+                self.in_link = False
+                while (closed := self.stack.pop().name) != name:
+                    self.names[closed] -= 1
+                self.names[name] -= 1
         elif not rest.rstrip().endswith("/"):
             self.stack.append(self.opened(name, rest))
+            self.names[name] += 1
 
     def opened(self, name: str, rest: str) -> Open:
         up = self.stack[-1] if self.stack else Open("", False, False, False)
@@ -297,7 +326,8 @@ def main_text(page: str | None, tree: Tree) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of pages (page_id, url, html, and any others).
 
-    Null and empty html and pages without main text give an empty text; an unclosed comment or script hides the rest of its page.
+    Null and empty html and pages without main text give an empty text; an unclosed comment or script hides the rest of its page. Very
+    long and broken pages take time in proportion to their length. An empty table gives an empty result.
     Rows don't depend on each other, so repeated rows come back as often as they came.
     """
     tree = train(pages.sparkSession)
