@@ -1,40 +1,47 @@
-"""Default phrase lists: short examples, to be replaced by the user's own table (see phrase_table)."""
+"""Default phrase lists: a few examples of our own for each rule, in alphabetical order. They show what a rule looks for; a user's own
+tables replace them (see phrase_table)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
 PHRASES: dict[str, tuple[str, ...]] = {
-    "r-001": ("delve", "delves", "tapestry", "intricate", "multifaceted", "underscore", "underscores", "foster", "fosters", "leverage", "robust", "seamless", "pivotal", "nuanced", "realm", "myriad"),
-    "r-002": ("serves as", "stands as", "acts as", "functions as", "represents a", "boasts"),
-    "r-003": ("it is important to note", "it is worth noting", "it's worth noting", "in order to", "at the end of the day", "needless to say"),
-    "r-004": ("as an ai", "i hope this helps", "certainly! here", "great question", "let me know if", "i'd be happy to"),
-    "r-005": ("vibrant", "breathtaking", "stunning", "world-class", "cutting-edge", "must-visit", "nestled", "rich cultural"),
-    "r-006": ("landscape of", "journey of", "beacon", "cornerstone", "testament", "symphony", "mosaic", "crossroads"),
-    "r-008": ("as of my last update", "my knowledge cutoff", "based on available information", "i cannot browse"),
-    "r-031": ("pivotal moment", "marks a turning point", "plays a crucial role", "plays a vital role", "lasting impact", "enduring legacy"),
-    "r-032": ("experts say", "experts argue", "studies show", "many believe", "critics argue", "observers note"),
-    "r-033": ("despite these challenges", "faces challenges", "challenges remain", "despite its"),
-    "r-035": ("the future looks bright", "exciting times", "only time will tell", "endless possibilities", "one thing is certain"),
-    "r-038": ("on the one hand", "on the other hand", "both sides", "pros and cons", "strike a balance"),
+    "r-001": ("bespoke", "delve", "holistic", "paradigm", "robust", "synergy", "tapestry", "transformative"),
+    "r-002": ("acts as", "comprises", "constitutes", "serves as"),
+    "r-003": ("as a matter of fact", "due to the fact that", "for all intents and purposes", "it is worth noting"),
+    "r-004": ("as a language model", "feel free to ask", "happy to help", "hope this helps"),
+    "r-005": ("awe-inspiring", "charming", "idyllic", "stunning", "unforgettable", "vibrant"),
+    "r-006": ("beacon", "gateway", "lifeblood", "testament", "treasure trove"),
+    "r-008": ("as of my last update", "i have no access to", "my training data"),
+    "r-031": ("game changer", "milestone", "pivotal moment", "watershed"),
+    "r-032": ("analysts agree", "commentators say", "experts say", "research suggests"),
+    "r-033": ("despite these challenges", "hurdles remain", "not without its problems"),
+    "r-035": ("bright future", "future looks bright", "stay tuned", "the best is yet to come"),
+    "r-038": ("a matter of perspective", "on the one hand", "there is no right answer"),
 }
 OPENERS: dict[str, tuple[str, ...]] = {
-    "r-007": ("moreover", "furthermore", "additionally", "however", "consequently", "nevertheless", "in addition", "notably"),
-    "r-024": ("in conclusion", "in summary", "to sum up", "overall", "ultimately", "to conclude"),
-    "r-027": ("here's", "here is", "let's dive", "let's explore", "below is", "what follows"),
+    "r-007": ("besides", "hence", "moreover", "similarly", "thus"),
+    "r-024": ("all in all", "in closing", "in conclusion", "to wrap up"),
+    "r-027": ("first things first", "here's what", "in this article", "let me walk you through"),
 }
-HEDGES = ("may", "might", "could", "perhaps", "possibly", "generally", "often", "arguably", "seems", "tends to")
-OPINIONS = ("i think", "i believe", "in my opinion", "i feel", "honestly", "personally", "i guess")
-PARTICIPLES = ("highlighting", "underscoring", "emphasizing", "reflecting", "showcasing", "ensuring", "fostering", "illustrating", "demonstrating", "contributing")
-IRREGULAR = ("made", "done", "seen", "known", "given", "taken", "shown", "found", "built", "held", "written", "sent", "kept", "left", "put", "set")
-RANGE_STARTS = ("[0-9]", "monday", "morning", "january", "top to", "start to", "left to", "time to", "place to", "a to", "one to", "east to", "north to")
-NOT_ADVERBS = ("family", "reply", "supply", "apply", "only", "early", "italy", "july", "belly", "rally", "ally", "daily", "lovely", "friendly", "likely", "ugly", "holy", "jelly", "bully", "assembly", "anomaly", "monopoly", "butterfly", "imply", "comply", "multiply", "rely", "silly")
-VOICE = ("i", "me", "my", "mine", "myself", "we", "us", "our", "ours", "i'm", "i've", "i'd", "i'll", "we're", "we've", "we'd", "we'll")
+HEDGES = ("apparently", "conceivably", "might", "perhaps", "presumably", "probably", "roughly", "somewhat")
+OPINIONS = ("i guess", "i reckon", "i suppose", "i think", "if you ask me", "to my mind")
+PARTICIPLES = ("cementing", "enabling", "highlighting", "marking", "paving", "signalling", "solidifying")
+IRREGULAR = ("born", "brought", "caught", "chosen", "driven", "eaten", "felt", "grown", "lost", "sold", "told", "worn")
+RANGE_STARTS = ("[0-9]", "april", "dawn", "dusk", "head to", "noon", "page", "sunday", "tuesday")
+NOT_ADVERBS = ("burly", "butterfly", "doily", "dragonfly", "family", "gully", "homily", "jelly", "panoply", "reply", "surly", "tally", "wily")
+VOICE = ("i", "me", "mine", "my", "myself", "our", "ours", "ourselves", "us", "we")
+
+
+MOST_PHRASES = 100_000
 
 
 def phrase_table(df: DataFrame) -> dict[str, tuple[str, ...]]:
-    """Phrase lists from a table (rule string, phrase string); at most 100,000 phrases."""
+    """Phrase lists from a table (rule string, phrase string); ValueError beyond MOST_PHRASES, since they become patterns in the plan."""
     out: dict[str, list[str]] = {}
-    for r in df.select("rule", "phrase").orderBy("rule", "phrase").limit(100_000).collect():
+    rows = df.select("rule", "phrase").orderBy("rule", "phrase").limit(MOST_PHRASES + 1).collect()
+    if len(rows) > MOST_PHRASES:
+        raise ValueError(f"more than {MOST_PHRASES} phrases")
+    for r in rows:
         out.setdefault(r["rule"], []).append(r["phrase"])
     return {k: tuple(v) for k, v in out.items()}

@@ -16,11 +16,11 @@ COUNTED: dict[str, tuple[str, int, tuple[tuple[str, str], ...]]] = {
     "lucide": ("Type and icons", 3, (("html", r'<svg\b[^>]*\bclass="[^"]*\blucide\b'),)),
     "sparkles": ("Type and icons", 1, (("html", r"\blucide-sparkles?\b"), ("text", "\u2728"))),
     "gradients": ("Surfaces", 3, (("css", r"linear-gradient\("), ("classes", r"\bbg-(?:gradient|linear)-to-[a-z]{1,2}\b"), ("classes", r"\bbg-clip-text\b"))),
-    "orbs": ("Surfaces", 1, (("classes", r"\bblur-(?:2xl\b|3xl\b|\[\d{2,3}px\](?=\w))"), ("css", r"filter:\s*blur\((?:[4-9]\d|\d{3})px\)"))),
+    "orbs": ("Surfaces", 1, (("classes", r"\bblur-(?:2xl|3xl|\[\d{2,3}px\])\b"), ("css", r"filter:\s*blur\((?:[4-9]\d|\d{3})px\)"))),
     "shadows": ("Surfaces", 5, (("classes", r"\bshadow-(?:md|lg|xl|2xl)\b"), ("css", r"box-shadow:\s*(?!none|0 0 0)[^;}]*\d+px[^;}]*\d+px"))),
     "glass": ("Surfaces", 1, (("classes", r"\bbackdrop-blur(?:-[a-z0-9]+)?\b"), ("css", r"backdrop-filter:\s*blur"))),
     "radius": ("Surfaces", 5, (("classes", r"\brounded-(?:2xl|3xl)\b"), ("css", r"border-radius:\s*(?:1[6-9]|[2-9]\d)px"))),
-    "left-stripe": ("Surfaces", 1, (("classes", r"\bborder-l-(?:[2-8]\b|\[\d+px\](?=\w))"), ("css", r"border-left:\s*[2-8]px\s+solid"))),
+    "left-stripe": ("Surfaces", 1, (("classes", r"\bborder-l-(?:[2-8]|\[\d+px\])\b"), ("css", r"border-left:\s*[2-8]px\s+solid"))),
     "dot-grid": ("Surfaces", 1, (("css", r"radial-gradient\([^)]*\b1px\b[^)]*\)"), ("classes", r"\b(?:bg-dot|dot-pattern|bg-grid)\b"))),
     "neon": ("Colour", 3, (("css", r"text-shadow:\s*0\s+0\s+\d+px"), ("classes", r"\bdrop-shadow-\[0_0_\d+px"), ("classes", r"\b(?:text|bg)-(?:lime|cyan|fuchsia)-(?:300|400)\b"))),
     "three-cards": ("Layout", 1, (("classes", r"\b(?:sm:|md:|lg:)?grid-cols-3\b"),)),

@@ -48,18 +48,28 @@ def length_band(df: DataFrame, text: str, low: int, high: int | None = None) ->
 
 
 def stratified_cap(df: DataFrame, by: list[str], n: int, key: str, salt: str = "") -> DataFrame:
-    """Up to n rows of each stratum, in hash order; null strata are strata.
+    """Up to n rows of each stratum, in hash order of the key; null strata are strata. Never fewer than min(n, its rows).
 
-    Sizes are counted first, and rows far behind the n-th in expectation are dropped before any window; strata that this would leave
-    short by chance keep all rows of a threshold four times as wide, or all.
+    Sizes are counted first, and rows far behind the n-th in expectation are dropped before any window. Strata that this leaves short,
+    such as those of few keys that repeat, keep all their rows up to the window. Rows of one key are told apart by a hash of all columns.
     """
     u = F.conv(F.substring(F.col("_order"), 1, 8), 16, 10).cast("double") / float(1 << 32)
     ordered = df.withColumn("_order", hash_order(key, salt=salt))
-    # the chance that fewer than n of a stratum's rows lie below this bound is beyond any number of strata
+    # the chance that fewer than n of a stratum's rows lie below this bound is small, if keys don't repeat
     sizes = df.groupBy(*by).agg(F.count("*").alias("_size")).withColumn("_bound", (F.lit(float(n)) + 20 * F.sqrt(F.lit(float(n))) + 400) / F.col("_size"))
-    same = [ordered[c].eqNullSafe(sizes[c]) for c in by]
-    near = ordered.join(F.broadcast(sizes) if sizes.limit(10_001).count() <= 10_000 else sizes, same).filter(u <= F.col("_bound")).select(*[ordered[c] for c in ordered.columns])
-    return near.withColumn("_rank", F.row_number().over(W.partitionBy(*by).orderBy("_order", key))).filter(F.col("_rank") <= n).drop("_rank", "_order")
+    few = sizes.limit(10_001).count() <= 10_000
+    small = F.broadcast if few else lambda x: x
+
+    def below(bounds: DataFrame) -> DataFrame:
+        same = [ordered[c].eqNullSafe(bounds[c]) for c in by]
+        return ordered.join(small(bounds), same).filter(u <= bounds["_bound"]).select(*[ordered[c] for c in ordered.columns])
+
+    kept = below(sizes).groupBy(*by).agg(F.count("*").alias("_kept"))
+    same = [sizes[c].eqNullSafe(kept[c]) for c in by]
+    short = F.coalesce(F.col("_kept"), F.lit(0)) < F.least(F.col("_size"), F.lit(n))
+    bounds = sizes.join(kept, same, "left").select(*[sizes[c] for c in by], F.when(short, 1.0).otherwise(F.col("_bound")).alias("_bound"))
+    rank = F.row_number().over(W.partitionBy(*by).orderBy("_order", key, F.xxhash64(*df.columns)))
+    return below(bounds).withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank", "_order")
 
 
 def assistant_replies(conv: DataFrame, budget: int, max_turn: int = 4, languages: tuple[str, ...] | None = None) -> DataFrame:
@@ -96,7 +106,8 @@ def until_total(df: DataFrame, amount: str, budget: int, key: list[str], salt: s
 
 
 def latest_generation(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    return df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(seq)))).filter("_rank = 1").drop("_rank")
+    """The row with the largest seq for each key; of several, the one with the smallest hash of all columns."""
+    return df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(seq), F.xxhash64(*df.columns)))).filter("_rank = 1").drop("_rank")
 
 
 def top_per_seed(df: DataFrame, n: int = 2) -> DataFrame:

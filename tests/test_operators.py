@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prosemill.functions import features
+from prosemill.functions import features, lexicons
 from prosemill.operators import audit, corpus, dom, evaluation, feedback, lm, scoring, training
 from prosemill.sources import io
 from prosemill.streaming import streams
@@ -196,3 +196,20 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     calls = spark.createDataFrame([("a", "k", "d", 2), ("a", "k", "d", 1)], "scope string, key string, period string, amount long")
     got = run_stream(spark, calls, calls.schema, tmp_path, "usage", streams.stream_usage, "complete")
     assert [x["n"] for x in got.collect()] == [3]
+
+
+def test_stratified_cap_of_repeated_keys(spark):
+    """No stratum gets fewer rows than it may have, whatever its keys."""
+    rows = [(k, f"s{k}", i) for k in (0, 1, 2, 3, None) for i in range(5000)] + [(i, "wide", i) for i in range(9000)] + [(i, None, i) for i in range(3)]
+    df = spark.createDataFrame(rows, "k long, stratum string, i int")
+    got = corpus.stratified_cap(df, ["stratum"], 8, "k")
+    assert {x["stratum"]: x["count"] for x in got.groupBy("stratum").count().collect()} == {"s0": 8, "s1": 8, "s2": 8, "s3": 8, "sNone": 8, "wide": 8, None: 3}
+    assert sorted(map(str, got.collect())) == sorted(map(str, corpus.stratified_cap(df.repartition(7), ["stratum"], 8, "k").collect()))
+
+
+def test_too_many_phrases_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(lexicons, "MOST_PHRASES", 2)
+    df = spark.createDataFrame([("r-001", x) for x in "abc"], "rule string, phrase string")
+    assert lexicons.phrase_table(df.limit(2)).keys() == {"r-001"}
+    with pytest.raises(ValueError):
+        lexicons.phrase_table(df)
