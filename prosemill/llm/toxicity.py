@@ -5,7 +5,7 @@ several words; each window is compressed with both dictionaries, and it resemble
 by some threshold. The threshold is calibrated on the training rows, and a logistic model turns the share of such windows
 in the text into a score.
 
-Lengths of letters would mostly tell syllables that words happen to share, so a word goes in as 32 bytes of a hash: zstandard then
+Lengths of letters would mostly tell syllables that words happen to share, so a word goes in as 24 bytes of a hash: zstandard then
 finds whole words and sequences of them, and what neither dictionary holds costs the same under both. That many bytes let knowing a
 word outweigh the few bytes that a sequence saves which only one dictionary happens to hold. A dictionary is trained as
 zstandard's own trainer does it, by segments of the text that cover most of what counts (that trainer counts strings by frequency
@@ -34,13 +34,13 @@ from .common import checkpointed, crc_mod, crc_mod_col
 #: Most labelled documents of each class that are learnt from, in the order of a hash of their ids.
 TOXIC_ROWS, ORDINARY_ROWS = 6000, 18000
 #: Words of a window, and of a dictionary's segment; bytes that stand for a word.
-WINDOW, CODE = 8, 32
+WINDOW, CODE = 8, 24
 #: zstandard's window: what a dictionary can hold. Most common words that the ordinary dictionary covers.
-WINDOW_LOG, COMMON = 20, 1500
+WINDOW_LOG, COMMON = 20, 1000
 #: One training in so many takes a word for telling by chance.
 ODDS = 20
 #: Stand around a window, and at the end of both dictionaries: zstandard starts no match in a block's last bytes and stores small blocks raw.
-FRAME = (xxhash.xxh3_128_digest(b"\x01") * 2, xxhash.xxh3_128_digest(b"\x02") * 2)
+FRAME = (xxhash.xxh3_128_digest(b"\x01"), xxhash.xxh3_128_digest(b"\x02"))
 #: A-Z to lower case, other ASCII but letters to spaces; bytes of other scripts stay.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Distinct words whose codes a task remembers before it starts anew.
@@ -64,7 +64,7 @@ def signature(words: list[bytes]) -> int:
 
 
 def code(word: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(word) + xxhash.xxh3_128_digest(word, 1)
+    return xxhash.xxh3_128_digest(word) + xxhash.xxh3_64_digest(word, 1)
 
 
 def compressor(segments: tuple[bytes, ...]) -> zstandard.ZstdCompressor:
@@ -72,7 +72,7 @@ def compressor(segments: tuple[bytes, ...]) -> zstandard.ZstdCompressor:
     content = b"".join(code(w) for s in segments for w in s.split())[-(1 << WINDOW_LOG) + 4096 :] + b"".join(FRAME)
     d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     p = zstandard.ZstdCompressionParameters(
-        window_log=WINDOW_LOG, hash_log=WINDOW_LOG, chain_log=WINDOW_LOG, search_log=6, min_match=6, strategy=zstandard.STRATEGY_GREEDY,
+        window_log=WINDOW_LOG, hash_log=WINDOW_LOG, chain_log=WINDOW_LOG, search_log=1, min_match=6, strategy=zstandard.STRATEGY_DFAST,
         write_content_size=False, write_dict_id=False, write_checksum=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
     )
     d.precompute_compress(compression_params=p)
