@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from prosemill.functions import features, lexicons, web
@@ -11,8 +13,6 @@ from prosemill.operators import audit, dom
 from . import frames
 from .frames import documents, table
 
-#: A lexicon that the tables' invented words hold.
-TEST_LEXICON = {"r-001": ("the", "and", "of", "license")}
 WS = r"[\t\n\x0B\f\r ]"
 TRIM = lambda x: f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
 SQL_WORD = r"[A-Za-z\x{00C0}-\x{024F}]+(?:[''\x{2019}][A-Za-z]+)*|[0-9]+(?:[.,][0-9]+)*"
@@ -80,14 +80,13 @@ def tk6_find_all(spark, d):
 
 
 def rules_values(spark, d):
-    parsed = features.rule_features(features.parse(documents(spark, d).select("doc_id", F.col("text").alias("body")), "body"), TEST_LEXICON)
-    shown = ("r-001", "r-015", "r-016", "r-017", "r-018", "r-022", "r-023", "r-025", "r-030", "r-034")
-    return parsed.select("doc_id", *[F.round(F.col(f"rules.`{r}`"), 6).alias(r.replace("-", "_")) for r in shown])
+    parsed = features.rule_features(features.parse(documents(spark, d).select("doc_id", F.col("text").alias("body")), "body"), TEST_PHRASES, TEST_OPENERS)
+    return parsed.select("doc_id", *[F.round(F.col(f"rules.`{r}`"), 6).alias(r.replace("-", "_")) for r in features.RULES])
 
 
 def rules_all(spark, d):
-    parsed = features.rule_features(features.parse(documents(spark, d).select("doc_id", F.col("text").alias("body")), "body"))
-    return features.rule_hits(parsed, ["doc_id"])
+    parsed = features.rule_features(features.parse(documents(spark, d).select("doc_id", F.col("text").alias("body")), "body"), TEST_PHRASES, TEST_OPENERS)
+    return features.rule_hits(parsed, ["doc_id"]).withColumn("value", F.round("value", 6))
 
 
 def style_values(spark, d):
@@ -96,10 +95,11 @@ def style_values(spark, d):
 
 
 def fx1_vectors(spark, d):
-    return features.extract_features(documents(spark, d).select("doc_id", "text"), "text").select("doc_id", "vector", "n_words", "english")
+    made = features.extract_features(documents(spark, d).select("doc_id", "text"), "text", TEST_PHRASES, TEST_OPENERS)
+    return made.select("doc_id", *[F.round(F.col("vector")[i].cast("double"), 4).alias(f"f{i:03d}") for i in range(len(features.FEATURE_NAMES))], "n_words", "english")
 
 
-def _style_sql() -> str:
+def _style_values() -> list[str]:
     share = lambda test: f"len(list_filter(w, lambda x: {test})) / n"
     q = lambda c: c.replace("'", "''")
     values = [share(f"x = '{q(x)}'") for x in features.FUNCTION_WORDS]
@@ -114,7 +114,10 @@ def _style_sql() -> str:
     values += ["len(list_filter(first, lambda x: regexp_matches(x, '^[a-z]'))) / s", COUNT("text", "[^\\n ] {2,}[^\\n ]") + " / s"]
     capital = "regexp_matches(x, '^[A-Z][a-z]')"
     values += [f"(len(list_filter(rw, lambda x: {capital})) - len(list_filter(first, lambda x: {capital}))) / n", COUNT("text", "[(]") + " / s", COUNT("text", "[?]") + " / s"]
-    return f"WITH {PARSED} SELECT doc_id, " + ", ".join(f"round(CAST({v} AS DOUBLE), 6) AS v{i}" for i, v in enumerate(values)) + " FROM full_parsed"
+    return values
+
+
+STYLE_SQL = _style_values()
 
 
 _squash = lambda x, k: f"1 - exp(-greatest(CAST({x} AS DOUBLE), 0.0) / {k})"
@@ -127,19 +130,64 @@ _SHORT = "list_transform(sw, lambda x: len(x) <= 4)"
 _NEAR = "len(list_filter(range(1, len(sw) + 1), lambda i: short[i] AND (coalesce(short[i - 1], false) AND i > 1 OR coalesce(short[i + 1], false))))"
 _VOICE = f"len(list_filter(w, lambda x: list_contains({_in(lexicons.VOICE)}, x))) + len(list_filter(w, lambda x: regexp_matches(x, '''(?:t|re|ve|ll|d|m)$')))"
 _LISTED = "^[\\t\\n\\f\\r ]*(?:[-*\\x{2022}\\x{25AA}\\x{25E6}]|[0-9]+[.)])[\\t\\n\\f\\r ]+"
-RULES_SQL = f"""WITH {PARSED}, extra AS (SELECT *, {_SHORT} AS short, list_transform(first, lambda x: lower(x)) AS openers FROM full_parsed)
-SELECT doc_id,
-  round({_squash(_per100("len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: list_contains(['the', 'and', 'of', 'license'], x)))"), 2.5)}, 6) AS r_001,
-  round(CASE WHEN {COUNT('raw', '[\\x{201C}\\x{201D}\\x{2018}\\x{2019}"'']')} > 0 THEN {COUNT('raw', '[\\x{201C}\\x{201D}\\x{2018}\\x{2019}]')} / {COUNT('raw', '[\\x{201C}\\x{201D}\\x{2018}\\x{2019}"'']')} ELSE 0 END, 6) AS r_015,
-  round(CASE WHEN len(lines) > 0 THEN len(list_filter(lines, lambda x: regexp_matches(x, '{_LISTED}'))) / len(lines) ELSE 0 END, 6) AS r_016,
-  round(CASE WHEN len(st) < 3 THEN 0 ELSE least(1, greatest(0, 1 - list_stddev_pop({_LENGTHS}) / greatest(list_avg({_LENGTHS}), 1))) END, 6) AS r_017,
-  round({_squash(_per100(f"len(list_filter(w, lambda x: length(x) > 4 AND x LIKE '%ly' AND NOT list_contains({_in(lexicons.NOT_ADVERBS)}, x)))"), 4)}, 6) AS r_018,
-  round(CASE WHEN len(w) < 15 THEN 0 WHEN len(w) <= 40 THEN len(list_distinct(w)) / len(w) ELSE {_DIVERSE} END, 6) AS r_022,
-  round({_squash("len(list_filter(w, lambda x: length(x) >= 10 AND regexp_matches(x, '^[a-z]'))) / greatest(len(w), 20)", 0.12)}, 6) AS r_023,
-  round({_squash(_sentence(_NEAR), 0.3)}, 6) AS r_025,
-  round(CASE WHEN len(st) < 3 OR list_max(map_values(list_histogram(openers))) < 2 THEN 0 ELSE (list_max(map_values(list_histogram(openers))) - 1) / (len(st) - 1) END, 6) AS r_030,
-  round(CASE WHEN len(w) < 40 THEN 0 ELSE exp(-({_per100(f'({_VOICE})')} + CASE WHEN regexp_matches(lower(text), '\\b(?:{"|".join(lexicons.OPINIONS)})\\b') THEN 3 ELSE 0 END) / 1.5) END, 6) AS r_034
-FROM extra"""
+#: A pattern of features.py in DuckDB's syntax, which knows no look-around and takes its own word boundary for EDGE.
+RE = lambda p: re.sub(r"\\u([0-9A-Fa-f]{4})", r"\\x{\1}", p.replace(T.EDGE, r"\b")).replace("'", "''")
+#: Phrases and openers that the tables' invented words hold, for every rule that takes some.
+TEST_PHRASES = {
+    "r-001": ("the", "and", "of", "license"), "r-002": ("der", "die"), "r-003": ("of the", "in the", "to"), "r-004": ("la", "los"), "r-005": ("with", "en"), "r-006": ("it is", "is"),
+    "r-008": ("for",), "r-031": ("que", "les"), "r-032": ("that", "was"), "r-033": ("on", "as"), "r-035": ("a",), "r-038": ("das", "und"),
+}
+TEST_OPENERS = {"r-007": ("the", "in", "it", "die"), "r-024": ("the", "of"), "r-027": ("de", "la", "and")}
+_SCALE = {"r-001": 2.5, "r-002": 1, "r-003": 1, "r-004": 0.7, "r-005": 1.5, "r-006": 1, "r-008": 0.5, "r-031": 0.7, "r-032": 0.7, "r-033": 0.7, "r-035": 0.7, "r-038": 0.7}
+_FOUND = lambda p, t="text": f"len(regexp_extract_all({t}, '{p}'))"
+_ANY = lambda items: r"\b(?:" + "|".join(items) + r")\b"
+#: With all that isn't a letter doubled, phrases next to each other don't share what stands between them.
+_PHRASE = lambda items: _FOUND("(?i)(?:^|[^A-Za-z])(?:" + "|".join(x.replace(" ", "  ") for x in items) + ")(?:$|[^A-Za-z])", "regexp_replace(text, '([^A-Za-z])', '\\1\\1', 'g')")
+_OPENS = lambda items: RE("(?i)" + features.LEADING) + _ANY(items)[2:]
+_FIRST = lambda items: f"CASE WHEN len(st) > 0 AND regexp_matches(st[1], '{_OPENS(items)}') THEN 1 ELSE 0 END"
+_PIECES = lambda t: f"string_split_regex({t}, '{WS}+')"
+_COLON = f"([a-z0-9)\\]\"\\x{{201D}}]):{WS}+([a-zA-Z])"
+_MARKED = f"regexp_replace(regexp_replace(text, '{_COLON}', '\\1' || chr(30) || '\\2', 'g'), '{_COLON}', '\\1' || chr(30) || '\\2', 'g')"
+_BEFORE = f"len(list_filter(range(1, len(string_split(x, chr(30)))), lambda i: len({_PIECES(TRIM('array_to_string(string_split(x, chr(30))[1:i], chr(58) || chr(32))'))}) > 3))"
+_TITLE = TRIM(f"regexp_replace(x, '^#+{WS}*', '')")
+_MAJOR = f"list_filter({_PIECES(_TITLE)}, lambda y: length(y) > 3)"
+_IS_TITLE = f"len({_PIECES(_TITLE)}) BETWEEN 3 AND 12 AND NOT regexp_matches({_TITLE}, '[.!?,;]$') AND len({_MAJOR}) >= 2 AND len(list_filter({_MAJOR}, lambda y: NOT regexp_matches(y, '^[A-Z]'))) = 0"
+_PASSIVE = RE(rf"(?i)\b(?:is|are|was|were|be|been|being|gets?|got){T.WS}+(?:\w+ly{T.WS}+)?(?:\w+ed|{'|'.join(lexicons.IRREGULAR)})\b")
+_QUOTES = """[\\x{201C}\\x{201D}\\x{2018}\\x{2019}]"""
+_ALL_QUOTES = """[\\x{201C}\\x{201D}\\x{2018}\\x{2019}"'']"""
+#: Each rule's value over extra, before rounding.
+RULE_SQL = {r: _squash(_per100(_PHRASE(TEST_PHRASES[r])), k) for r, k in _SCALE.items()} | {
+    "r-007": _squash(_sentence(f"len(list_filter(st, lambda x: regexp_matches(x, '{_OPENS(TEST_OPENERS['r-007'])}')))"), 0.25),
+    "r-009": _squash(_sentence(_FOUND(RE("\\u2014|\\u2013" + T.WS + "|" + T.WS + "--" + T.WS))), 0.35),
+    "r-010": _squash(_sentence(f"coalesce(list_sum(list_transform(string_split({_MARKED}, chr(10)), lambda x: {_BEFORE})), 0)"), 0.2),
+    "r-011": _squash(_FOUND(RE(features.LABEL)) + " / greatest(len(lines), 1)", 0.2),
+    "r-012": _squash(f"len(list_filter(lines, lambda x: {_IS_TITLE}))", 0.7),
+    "r-013": _squash(_per100(_FOUND(RE(features.EMOJI))), 1),
+    "r-014": _squash(_sentence(_FOUND(RE(features.PARALLEL))), 0.12),
+    "r-015": f"CASE WHEN {_FOUND(_ALL_QUOTES, 'raw')} > 0 THEN {_FOUND(_QUOTES, 'raw')} / {_FOUND(_ALL_QUOTES, 'raw')} ELSE 0 END",
+    "r-016": f"CASE WHEN len(lines) > 0 THEN len(list_filter(lines, lambda x: regexp_matches(x, '{_LISTED}'))) / len(lines) ELSE 0 END",
+    "r-017": f"CASE WHEN len(st) < 3 THEN 0 ELSE least(1, greatest(0, 1 - list_stddev_pop({_LENGTHS}) / greatest(list_avg({_LENGTHS}), 1))) END",
+    "r-018": _squash(_per100(f"len(list_filter(w, lambda x: length(x) > 4 AND x LIKE '%ly' AND NOT list_contains({_in(lexicons.NOT_ADVERBS)}, x)))"), 4),
+    "r-019": f"CASE WHEN len(st) > 0 THEN len(list_filter(st, lambda x: regexp_matches(x, '{_PASSIVE}'))) / len(st) ELSE 0 END",
+    "r-020": _squash(_sentence(f"len(list_filter(st, lambda x: {_FOUND('(?i)' + _ANY(lexicons.HEDGES), 'x')} >= 2))"), 0.3),
+    "r-021": _squash(_sentence(_FOUND(RE(features.TRIAD))), 0.35),
+    "r-022": f"CASE WHEN len(w) < 15 THEN 0 WHEN len(w) <= 40 THEN len(list_distinct(w)) / len(w) ELSE {_DIVERSE} END",
+    "r-023": _squash("len(list_filter(w, lambda x: length(x) >= 10 AND regexp_matches(x, '^[a-z]'))) / greatest(len(w), 20)", 0.12),
+    "r-024": _FIRST(TEST_OPENERS["r-024"]),
+    "r-025": _squash(_sentence(_NEAR), 0.3),
+    "r-026": _squash(_per100(f"len(list_filter(regexp_extract_all(text, '{RE(features.FROM_TO)}'), lambda x: NOT regexp_matches(x, '{RE('(?i)' + T.EDGE + 'from' + T.WS + '+(?:' + '|'.join(lexicons.RANGE_STARTS) + ')')}')))"), 0.8),
+    "r-027": _FIRST(TEST_OPENERS["r-027"]),
+    "r-028": _squash(_sentence(_FOUND(RE(rf"(?i),{T.WS}+(?:{'|'.join(lexicons.PARTICIPLES)})\b[^.!?]*[.!?]"))), 0.2),
+    "r-029": _squash(_FOUND(RE(features.STAGED.replace("(?=[A-Z])", "[A-Z]"))), 0.7),
+    "r-030": "CASE WHEN len(st) < 3 OR list_max(map_values(list_histogram(openers))) < 2 THEN 0 ELSE (list_max(map_values(list_histogram(openers))) - 1) / (len(st) - 1) END",
+    "r-034": f"CASE WHEN len(w) < 40 THEN 0 ELSE exp(-({_per100(f'({_VOICE})')} + CASE WHEN regexp_matches(text, '(?i){_ANY(lexicons.OPINIONS)}') THEN 3 ELSE 0 END) / 1.5) END",
+}
+_EXTRA = f"WITH {PARSED}, extra AS (SELECT *, {_SHORT} AS short, list_transform(first, lambda x: lower(x)) AS openers FROM full_parsed)"
+RULES_SQL = f"{_EXTRA} SELECT doc_id, " + ", ".join(f"round({RULE_SQL[r]}, 6) AS {r.replace('-', '_')}" for r in features.RULES) + " FROM extra"
+RULE_ROWS_SQL = f"{_EXTRA} SELECT doc_id, unnest({_in(features.RULES)}) AS rule, unnest([" + ", ".join(f"round(CAST({RULE_SQL[r]} AS DOUBLE), 6)" for r in features.RULES) + "]) AS value FROM extra"
+_FLOAT = lambda x: f"round(CAST(CAST({x} AS FLOAT) AS DOUBLE), 4)"
+_SHARE = f"len(list_filter(w, lambda x: list_contains({_in(T.ENGLISH_WORDS)}, x)))"
+VECTOR_SQL = f"{_EXTRA} SELECT doc_id, " + ", ".join(f"{_FLOAT(v)} AS f{i:03d}" for i, v in enumerate([*(RULE_SQL[r] for r in features.RULES), *STYLE_SQL])) + f", CAST(len(w) AS INTEGER) AS n_words, CASE WHEN len(w) > 0 THEN {_SHARE} / len(w) ELSE 0 END >= 0.1 AS english FROM extra"
 
 
 def ht1_visible_text(spark, d):
@@ -248,7 +296,7 @@ SQL = {
 FROM (SELECT doc_id, w, len(list_filter(w, lambda x: list_contains({_in(T.ENGLISH_WORDS)}, x))) AS e FROM (SELECT doc_id, {WORDS("replace(text, chr(8217), '''')")} AS w FROM documents))""",
     "tk_sentences": f"WITH {PARSED} SELECT doc_id, CAST(len(st) AS INTEGER) AS n_sentences, md5(array_to_string(st, '|')) AS sentences_md5, CAST(len(lines) AS INTEGER) AS n_lines FROM parsed",
     "tk6_find_all": "SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, x[i] AS hit FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+') AS x FROM documents))",
-    "rules_values": RULES_SQL, "style_values": _style_sql(),
+    "rules_values": RULES_SQL, "style_values": f"WITH {PARSED} SELECT doc_id, " + ", ".join(f"round(CAST({v} AS DOUBLE), 6) AS v{i}" for i, v in enumerate(STYLE_SQL)) + " FROM full_parsed", "rules_all": RULE_ROWS_SQL, "fx1_vectors": VECTOR_SQL,
     "ht1_visible_text": f"SELECT page_id, md5({VISIBLE('html')}) AS text_md5 FROM pages",
     "ht2_html_paragraphs": f"""SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, x[i] AS text FROM (SELECT page_id, x, unnest(range(1, len(x) + 1)) AS i FROM (
   SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<p\\b[^>]*>(.*?)</p>', 1), lambda h: {VISIBLE('h')}), lambda p: len(string_split_regex(p, '{WS}+')) >= 25) AS x FROM pages))""",
