@@ -228,6 +228,16 @@ def ur_urls(spark, d):
     return table(spark, d, "pages").select("page_id", host.alias("host"), u["error"].alias("error"), web.site_class(host, F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1), web.meta_content(F.col("html"), "og:type"), web.meta_content(F.col("html"), "generator")).alias("site_class"))
 
 
+def ur1_addresses(spark, d):
+    """Addresses made from the pages', good and bad ones in turn."""
+    rest, i = F.regexp_replace("url", "^[a-z]+://", ""), F.col("page_id") % 8
+    forms = [F.col("url"), F.concat(F.lit(" HTTP://"), rest, F.lit(" ")), rest, F.concat(F.lit("https://me:pw@"), rest), F.concat(F.lit("localhost/"), "page_id"), F.concat(F.lit("ftp://"), rest), F.concat(F.lit("https://"), F.regexp_replace(rest, "^([^/?#]+)", "$1:8080")), F.lit("https://")]
+    given = forms[0]
+    for k, form in enumerate(forms[1:], 1):
+        given = F.when(i == k, form).otherwise(given)
+    return table(spark, d, "pages").select("page_id", given.alias("given")).select("page_id", "given", web.normalise_url(F.col("given")).alias("u")).select("page_id", "given", "u.url", "u.error")
+
+
 def ur2_private(spark, d):
     part = lambda n: F.pmod(F.col("event_id") * n, F.lit(256)).cast("string")
     ip = F.concat_ws(".", part(7), part(13), part(29), part(31))
@@ -240,12 +250,34 @@ def ur5_default_off(spark, d):
     return web.default_off_host(pages, "host", domains).select("page_id", "host", "off")
 
 
+#: What the tables' pages lack, so that each check finds something on some: a page gets it page_id mod 7 times, in two halves.
+HABITS = (
+    '<style>.a{box-shadow: 0 2px 4px #000; border-radius: 16px; filter: blur(80px); border-left: 4px solid; background: linear-gradient(a); font-family: Inter; color: #7c3aed}</style><h2>\u2728 Fast</h2>'
+    '<p class="blur-2xl shadow-lg rounded-3xl backdrop-blur grid-cols-3 hover:scale-105 bg-pink-50 from-red-500 to-sky-300 bg-purple-500">\u2713 \u2014 $9/mo It\u0027s not just big, it\u0027s huge.</p>',
+    '<style>html{background:#000} .b{box-shadow:none; text-shadow: 0 0 9px; backdrop-filter: blur; background: radial-gradient(red 1px, x)} body { background: white}</style><a href="/tos">Terms</a>'
+    '<p class="blur-[80px] border-l-4 border-l-[3px] bg-dot group-hover:translate-x-1 bg-sky-50 bg-lime-100 bg-rose-50 via-pink-300 from-lime-200 to-teal-100 text-lime-300 col-span-2 bg-gradient-to-r"><svg class="lucide lucide-check lucide-sparkles"></svg>'
+    '<i class="bg-red-500"></i><i class="bg-yellow-400"></i><i class="bg-green-500"></i> \U0001F680 <a href="/x">Privacy</a> font __Geist_a1b2</p>',
+)
+
+
+def _habits(spark, d):
+    html = F.concat("html", F.repeat(F.lit(HABITS[0]), F.col("page_id").cast("int") % 7), F.repeat(F.lit(HABITS[1]), F.col("page_id").cast("int") % 3))
+    return table(spark, d, "pages").withColumn("html", html)
+
+
 def audit_pages(spark, d):
-    return audit.audit_pages(table(spark, d, "pages"), ["page_id"]).filter("id in ('em-dash', 'no-terms', 'no-privacy', 'gradients', 'pricing', 'rainbow')").select("page_id", "id", "hit", "n")
+    return audit.audit_pages(_habits(spark, d), ["page_id"])
 
 
-def audit_summary(spark, d):
+def audit_copy(spark, d):
+    """The finding that needs decisions, here by the paragraphs' lengths."""
     pages = table(spark, d, "pages")
+    read = web.html_paragraphs(pages, "html", ["page_id"]).withColumn("decision", F.when(F.length("text") % 4 == 0, "machine").otherwise("human"))
+    return audit.audit_pages(pages, ["page_id"], scored=read).filter("id = 'machine-copy'").select("page_id", "id", "group", "hit", "n")
+
+
+def audit_summary(spark, d):
+    pages = _habits(spark, d)
     return audit.audit_summary(audit.audit_pages(pages, ["page_id"]), pages, ["page_id"])
 
 
@@ -279,12 +311,62 @@ _NON_BLANK = f"list_filter(list_transform(string_split_regex(text, '\\n{WS}*\\n'
 _ROWS = lambda arr, frm: f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, x[i] AS text FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, {arr} AS x FROM {frm}))"
 _NWORDS = lambda t: f"(CASE WHEN {TRIM(t)} = '' THEN 0 ELSE len(string_split_regex({TRIM(t)}, '{WS}+')) END)"
 
+_LINK_TEXT = "list_transform(range(1, len(a) + 1), lambda i: a[i] || ' ' || b[i])"
+#: Parts of each page, as page_parts() has them.
+_AUDITED = f"""WITH p AS (SELECT page_id, html || repeat('{HABITS[0].replace("'", "''")}', page_id % 7) || repeat('{HABITS[1]}', page_id % 3) AS html FROM pages), q AS (SELECT page_id, html, {VISIBLE('html')} AS text, array_to_string(regexp_extract_all(html, '(?is)<style\\b[^>]*>(.*?)</style>', 1), chr(10)) || chr(10) AS css, {_BODY} AS body FROM p),
+r AS (SELECT *, array_to_string(regexp_extract_all(body, '\\bclass(?:Name)?="([^"]*)"', 1), ' ') AS classes, list_transform(regexp_extract_all(body, '(?is)<h[1-3]\\b[^>]*>(.*?)</h[1-3]>', 1), lambda h: {VISIBLE('h')}) AS headings,
+  regexp_extract_all(body, '(?is)<a\\b([^>]*)>(.*?)</a>', 1) AS a, list_transform(regexp_extract_all(body, '(?is)<a\\b([^>]*)>(.*?)</a>', 2), lambda h: {VISIBLE('h')}) AS b FROM q),
+parts AS (SELECT *, {_LINK_TEXT} AS links, list_sort(list_distinct(list_transform(list_concat(list_concat(regexp_extract_all(css || ' ' || html, '{RE(audit.FONT)}', 1), regexp_extract_all(css || ' ' || html, '{RE(audit.FONT_LINK)}', 1)), regexp_extract_all(css || ' ' || html, '{RE(audit.FONT_MODULE)}', 1)), lambda x: translate(x, '+_', '  ')))) AS fonts,
+  trim(regexp_extract(text, '{RE(audit.NOT_X)}', 0)) AS phrase FROM r)"""
+
+
+def _counted_sql(name: str, column: str, pattern: str) -> str:
+    if "(?!" in pattern:  # shadows: without look-ahead, whole values are taken and then looked at
+        return f"len(list_filter(regexp_extract_all({column}, 'box-shadow:\\s*([^;}}]*)', 1), lambda x: NOT regexp_matches(x, '^(?:none|0 0 0)') AND regexp_matches(x, '\\d+px[^;}}]*\\d+px')))"
+    return _FOUND(RE(pattern), column)
+
+
+def _audit_rows() -> list[tuple[str, str, str, str, str]]:
+    """(id, group, hit, n, sample) of each check."""
+    rows = []
+    for name, (group, least, parts) in audit.COUNTED.items():
+        n = " + ".join(_counted_sql(name, c, p) for c, p in parts)
+        rows.append((name, group, f"{n} >= {least}", n, "NULL"))
+    kinds = lambda p: f"len(list_distinct(regexp_extract_all(classes, '{RE(p)}', 1)))"
+    emojis, purple = _FOUND(RE(features.EMOJI)), _FOUND(RE(audit.PURPLE_CLASS), "classes") + " + " + _FOUND(RE(audit.PURPLE_HEX), "css")
+    heads = f"list_filter(headings, lambda h: regexp_matches(h, '{RE(features.EMOJI)}'))"
+    white = f"(regexp_matches(regexp_extract(html, '(?i)(<body\\b[^>]*>)', 1), '\\bbg-white\\b') OR regexp_matches(css, '{RE(audit.WHITE)}'))"
+    bento, dots = _FOUND(r"\b(?:md:|lg:)?(?:col|row)-span-2\b", "classes"), f"regexp_matches(html, '{audit.DOTS}')"
+    without = lambda p: f"len(list_filter(links, lambda x: regexp_matches(x, '{p}')))"
+    return rows + [
+        ("not-x-its-y", "Copy", "phrase <> ''", "CAST(phrase <> '' AS INTEGER)", "substring(phrase, 1, 90)"),
+        ("emojis", "Copy", f"len({heads}) > 0 OR {emojis} >= 5", emojis, f"substring({heads}[1], 1, 60)"),
+        ("fonts", "Type and icons", "len(fonts) > 0", "len(fonts)", "array_to_string(fonts, ', ')"),
+        ("purple-black", "Colour", f"{purple} >= 3 AND regexp_matches(classes || ' ' || css || ' ' || substring(html, 1, 4000), '{RE(audit.DARK)}')", purple, "NULL"),
+        ("rainbow", "Colour", f"{kinds(audit.HUES)} >= 5", kinds(audit.HUES), "NULL"), ("pastel", "Colour", f"{kinds(audit.PASTEL)} >= 4", kinds(audit.PASTEL), "NULL"),
+        ("pure-white", "Colour", white, f"CAST({white} AS INTEGER)", "NULL"), ("bento", "Layout", f"{bento} >= 2 OR regexp_matches(classes, '(?i)\\bbento\\b')", bento, "NULL"),
+        ("terminal", "Layout", dots, f"CAST({dots} AS INTEGER)", "NULL"),
+        ("no-terms", "Trust", without(r"(?i)terms|\btos\b") + " = 0", without(r"(?i)terms|\btos\b"), "NULL"), ("no-privacy", "Trust", without("(?i)privacy") + " = 0", without("(?i)privacy"), "NULL"),
+    ]
+
+
+_AUDIT = " UNION ALL ".join(f"SELECT page_id, '{k}' AS id, '{g}' AS \"group\", coalesce({hit}, false) AS hit, CAST({n} AS INTEGER) AS n, CAST({sample} AS VARCHAR) AS sample FROM parts" for k, g, hit, n, sample in _audit_rows())
+AUDIT_SQL = f"{_AUDITED} {_AUDIT}"
+SUMMARY_SQL = f"""{_AUDITED}, found AS ({_AUDIT}) SELECT page_id, count(*) FILTER (hit) AS found, count(*) AS total,
+  any_value((SELECT length(regexp_replace(h.html, '(?is)<script\\b.*?</script>', '', 'g')) < 3000 FROM p h WHERE h.page_id = found.page_id)) AS partial FROM found GROUP BY page_id"""
+_REST = "regexp_replace(url, '^[a-z]+://', '')"
+_SLASHED = lambda x: f"(CASE WHEN regexp_matches({x}, '^[a-z]+://[^/?#]+/') THEN {x} ELSE regexp_replace({x}, '^([a-z]+://[^/?#]+)', '\\1/') END)"
+ADDRESSES_SQL = f"""SELECT page_id, given, CASE page_id % 8 WHEN 0 THEN {_SLASHED('url')} WHEN 1 THEN {_SLASHED(f"'http://' || {_REST}")} WHEN 2 THEN {_SLASHED(f"'https://' || {_REST}")} WHEN 6 THEN {_SLASHED('given')} END AS url,
+  CASE WHEN page_id % 8 IN (4, 5) THEN 'not a public address' WHEN page_id % 8 = 7 THEN 'not an address' WHEN page_id % 8 = 3 THEN 'has credentials' END AS error
+FROM (SELECT page_id, url, CASE page_id % 8 WHEN 0 THEN url WHEN 1 THEN ' HTTP://' || {_REST} || ' ' WHEN 2 THEN {_REST} WHEN 3 THEN 'https://me:pw@' || {_REST} WHEN 4 THEN 'localhost/' || page_id WHEN 5 THEN 'ftp://' || {_REST}
+  WHEN 6 THEN 'https://' || regexp_replace({_REST}, '^([^/?#]+)', '\\1:8080') ELSE 'https://' END AS given FROM pages)"""
+
 QUERIES = {
     "sg1_segment": sg1_segment, "sg2_segment_spans": sg2_segment_spans, "sg3_split_blank": sg3_split_blank, "sg4_long_lines": sg4_long_lines, "sg5_training_paragraphs": sg5_training_paragraphs,
     "sg6_sg8_clean": sg6_sg8_clean, "sg7_markdown_prose": sg7_markdown_prose, "tk_words": tk_words, "tk_sentences": tk_sentences, "tk6_find_all": tk6_find_all, "rules_values": rules_values,
     "rules_all": rules_all, "style_values": style_values, "fx1_vectors": fx1_vectors, "ht1_visible_text": ht1_visible_text, "ht2_html_paragraphs": ht2_html_paragraphs, "ht3_page_parts": ht3_page_parts,
-    "ht4_content_blocks": ht4_content_blocks, "ht7_attach_css": ht7_attach_css, "ur_urls": ur_urls, "ur2_private": ur2_private, "ur5_default_off": ur5_default_off,
-    "audit_pages": audit_pages, "audit_summary": audit_summary,
+    "ht4_content_blocks": ht4_content_blocks, "ht7_attach_css": ht7_attach_css, "ur_urls": ur_urls, "ur1_addresses": ur1_addresses, "ur2_private": ur2_private, "ur5_default_off": ur5_default_off,
+    "audit_pages": audit_pages, "audit_copy": audit_copy, "audit_summary": audit_summary,
 }
 SQL = {
     "sg1_segment": f"WITH {DOUBLE} " + _ROWS(_SEGMENTS, "documents_2"), "sg2_segment_spans": f"WITH {DOUBLE} " + _ROWS(_SEGMENTS, "documents_2"), "sg3_split_blank": f"WITH {DOUBLE} " + _ROWS(_NON_BLANK, "documents_2"),
@@ -308,11 +390,7 @@ FROM (SELECT *, regexp_extract_all(body, '(?is)<a\\b([^>]*)>(.*?)</a>', 1) AS a,
     "ur2_private": f"SELECT event_id, {_PRIVATE} AS private, {_PRIVATE} AS mapped FROM (SELECT event_id, event_id * 7 % 256 AS a, event_id * 13 % 256 AS b FROM events)",
     "ur5_default_off": f"""WITH h AS (SELECT page_id, {_HOST} AS host FROM pages), l AS (SELECT DISTINCT regexp_extract(host, '([^.]+\\.[^.]+\\.[^.]+)$', 1) AS domain FROM h WHERE page_id % 7 = 0)
 SELECT page_id, host, regexp_matches(host, '{web.OFF_PATTERN}') OR EXISTS (SELECT 1 FROM l WHERE host = domain OR ends_with(host, '.' || domain)) AS off FROM h""",
-    "audit_pages": f"""WITH p AS (SELECT page_id, html, {VISIBLE('html')} AS text, array_to_string(regexp_extract_all(html, '(?is)<style\\b[^>]*>(.*?)</style>', 1), chr(10)) AS css, {_BODY} AS body FROM pages),
-q AS (SELECT *, array_to_string(regexp_extract_all(body, '\\bclass(?:Name)?="([^"]*)"', 1), ' ') AS classes, regexp_extract_all(body, '(?is)<a\\b([^>]*)>(.*?)</a>', 0) AS links FROM p),
-c AS (SELECT page_id, len(regexp_extract_all(text, chr(8212))) AS em, len(list_filter(links, lambda x: regexp_matches(x, '(?i)terms|\\btos\\b'))) AS terms, len(list_filter(links, lambda x: regexp_matches(x, '(?i)privacy'))) AS privacy,
-  len(regexp_extract_all(css, 'linear-gradient\\(')) + len(regexp_extract_all(classes, '\\bbg-(?:gradient|linear)-to-[a-z]{{1,2}}\\b|\\bbg-clip-text\\b')) AS gradients, len(regexp_extract_all(text, '(?i)\\$\\s?\\d+(?:\\.\\d{{2}})?\\s*/\\s*(?:mo|month|user)\\b')) AS pricing,
-  len(list_distinct(regexp_extract_all(classes, '{audit.HUES}', 1))) AS hues FROM q)
-SELECT page_id, 'em-dash' AS id, em >= 2 AS hit, CAST(em AS INTEGER) AS n FROM c UNION ALL SELECT page_id, 'no-terms', terms = 0, CAST(terms AS INTEGER) FROM c UNION ALL SELECT page_id, 'no-privacy', privacy = 0, CAST(privacy AS INTEGER) FROM c
-UNION ALL SELECT page_id, 'gradients', gradients >= 3, CAST(gradients AS INTEGER) FROM c UNION ALL SELECT page_id, 'pricing', pricing >= 3, CAST(pricing AS INTEGER) FROM c UNION ALL SELECT page_id, 'rainbow', hues >= 5, CAST(hues AS INTEGER) FROM c""",
+    "audit_pages": AUDIT_SQL, "audit_summary": SUMMARY_SQL, "ur1_addresses": ADDRESSES_SQL,
 }
+SQL["audit_copy"] = f"""SELECT page_id, 'machine-copy' AS id, 'Copy' AS "group", coalesce(read >= 5 AND machine >= 0.2 * read, false) AS hit, CAST(coalesce(machine, 0) AS INTEGER) AS n FROM pages LEFT JOIN (
+  SELECT page_id, count(*) AS read, count(*) FILTER (length(text) % 4 = 0) AS machine FROM ({SQL['ht2_html_paragraphs']}) WHERE pos < 60 GROUP BY page_id) USING (page_id)"""
