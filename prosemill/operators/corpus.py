@@ -122,6 +122,11 @@ def family_cap(df: DataFrame, share: float = 0.2, key: str = "key") -> DataFrame
     return stratified_cap(df.withColumn("lab", F.split("model", "/")[0]), ["lab"], cap, key, "family").drop("lab")
 
 
+def pair_words(text: Column) -> Column:
+    """The words whose pairs are compared: runs of a-z, digits and straight apostrophes."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9']+"), 0)
+
+
 def word_pairs(ws: Column) -> Column:
     n = F.size(ws)
     pairs = F.zip_with(F.slice(ws, 1, F.greatest(n - 1, F.lit(0))), F.slice(ws, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
@@ -235,7 +240,7 @@ def splice(humans: DataFrame, machines: DataFrame, on: str, cap: int = 1200, min
 def polish_originals(rewrites: DataFrame, seeds: DataFrame) -> DataFrame:
     """rewrites (group, text) with the original of their group from seeds (group, human), and the label that it gives."""
     joined = rewrites.join(seeds.select("group", F.col("human").alias("original")), "group", "left")
-    return joined.withColumn("label", F.when(F.col("original").isNotNull(), polish_label(T.words(F.col("original")), T.words(F.col("text")))))
+    return joined.withColumn("label", F.when(F.col("original").isNotNull(), polish_label(pair_words(F.col("original")), pair_words(F.col("text")))))
 
 
 def text_key(text: Column) -> Column:

@@ -13,6 +13,7 @@ from prosemill.sources import io
 
 from . import frames
 from .frames import FEEDBACK, GENERATIONS, LABELLED, SCORED, documents, table
+from .queries_text import SENTENCES
 
 ORDER = lambda salt, *cols: "md5(concat_ws('|', '" + salt + "', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in cols) + "))"
 R6 = lambda e: f"round({e}, 6)"
@@ -77,14 +78,15 @@ def cp9_family(spark, d):
 
 
 def _pairs(spark, d):
+    """Each user's turn with the assistant's next one."""
     c = table(spark, d, "conversations").filter("text is not null")
-    a, b = c.filter("role = 'user'").groupBy("conv_id").agg(F.min("text").alias("a")), c.filter("role = 'assistant'").groupBy("conv_id").agg(F.min("text").alias("b"))
-    return a.join(b, "conv_id")
+    a = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("a"))
+    return a.join(c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b")), ["conv_id", "turn"])
 
 
 def cp10_polish(spark, d):
-    a, b = T.words(F.col("a")), T.words(F.concat_ws(" ", F.substring("a", 1, 200), F.substring("b", 1, 100)))
-    return _pairs(spark, d).select("conv_id", F.round(corpus.bigram_kept(a, b), 6).alias("kept"), corpus.polish_label(a, b).alias("label"))
+    a, b = corpus.pair_words(F.col("a")), corpus.pair_words(F.concat_ws(" ", "a", "b"))
+    return _pairs(spark, d).select("conv_id", "turn", F.round(corpus.bigram_kept(a, b), 6).alias("kept"), corpus.polish_label(a, b).alias("label"))
 
 
 def _shards(spark, d):
@@ -138,9 +140,10 @@ def jn2_unseen(spark, d):
 
 
 def jn4_originals(spark, d):
-    p = _pairs(spark, d)
-    rewrites = p.select(F.col("conv_id").cast("string").alias("group"), F.col("a").alias("text"))
-    return corpus.polish_originals(rewrites, p.filter("conv_id % 2 = 0").select(F.col("conv_id").cast("string").alias("group"), F.col("a").alias("human"))).select("group", "label")
+    """Every other conversation has its originals: there, the question with the answer after it is held against the question."""
+    p = _pairs(spark, d).withColumn("group", F.concat_ws(":", "conv_id", "turn"))
+    rewrites = p.select("group", F.concat_ws(" ", "a", "b").alias("text"))
+    return corpus.polish_originals(rewrites, p.filter("conv_id % 2 = 0").select("group", F.col("a").alias("human"))).select("group", "label")
 
 
 def jn5_score_back(spark, d):
@@ -151,8 +154,8 @@ def jn5_score_back(spark, d):
 
 def jn6_with_lm(spark, d):
     e = table(spark, d, "embeddings")
-    base = e.select("vec_id", F.slice(F.col("embedding"), 1, 4).alias("vector"))
-    return corpus.with_lm(base, e.select("vec_id", F.slice(F.col("embedding"), 5, 2).alias("lm")), "vec_id").select("vec_id", F.size("vector").alias("n"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total"))
+    base = e.select("vec_id", F.slice(F.col("embedding"), 1, 56).alias("vector"))
+    return corpus.with_lm(base, e.select("vec_id", F.slice(F.col("embedding"), 57, 8).alias("lm")), "vec_id").select("vec_id", F.size("vector").alias("n"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total"))
 
 
 def jn7_rule_names(spark, d):
@@ -174,7 +177,7 @@ def fx3_incremental(spark, d):
 def tr1_standardise(spark, d):
     e = table(spark, d, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
     out, _ = training.standardise(e, F.pmod("vec_id", F.lit(3)) == 0, "v", 64)
-    return out.select("vec_id", *[F.round(F.col("v")[i], 5).alias(f"v{i}") for i in (0, 1, 43, 44, 63)])
+    return out.select("vec_id", *[F.round(F.col("v")[i], 5).alias(f"v{i}") for i in range(64)])
 
 
 def tr2_weights(spark, d):
@@ -277,7 +280,7 @@ def sc8_distribution(spark, d):
 
 
 def sc9_diff(spark, d):
-    return scoring.word_diff(_pairs(spark, d), "a", "b").select("conv_id", "diff")
+    return scoring.word_diff(_pairs(spark, d), "a", "b").select("conv_id", "turn", "diff")
 
 
 def sc10_rewrite(spark, d):
@@ -287,7 +290,7 @@ def sc10_rewrite(spark, d):
 
 
 def lm2_features(spark, d):
-    e = table(spark, d, "embeddings").select(F.pmod("vec_id", F.lit(50)).alias("para"), F.floor(F.col("vec_id") / 50).alias("pos"), F.array(*[F.round(F.abs(F.col("embedding")[i].cast("double")), 4) for i in range(4)]).alias("x"))
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("para"), F.pmod("vec_id", F.lit(50)).alias("pos"), F.array(*[F.round(F.abs(F.col("embedding")[i].cast("double")), 4) for i in range(4)]).alias("x"))
     stats = e.select("para", "pos", (-F.col("x")[0]).alias("observed"), F.col("x")[1].alias("entropy"), F.col("x")[2].alias("variance"), (F.floor(F.col("x")[3] * 40) + 1).cast("int").alias("rank"))
     return lm.lm_features(stats, ["para"]).select("para", *[F.round(F.col("lm")[i], 5).alias(f"l{i}") for i in range(8)])
 
@@ -461,7 +464,9 @@ _NWORDS = "(CASE WHEN trim(text) = '' THEN 0 ELSE len(string_split_regex(regexp_
 _SQL_WORDS = lambda x: f"list_transform(regexp_extract_all({x}, '[A-Za-z\\x{{00C0}}-\\x{{024F}}]+(?:[''\\x{{2019}}][A-Za-z]+)*|[0-9]+(?:[.,][0-9]+)*'), lambda w: lower(w))"
 _PAIR = lambda w: f"list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
 _SHARDS = "shards AS (SELECT page_id AS doc_id, page_id % 7 AS shard, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host, len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages)"
-_PAIRS = "pairs AS (SELECT conv_id, min(text) FILTER (role = 'user') AS a, min(text) FILTER (role = 'assistant') AS b FROM conversations WHERE text IS NOT NULL GROUP BY conv_id HAVING a IS NOT NULL AND b IS NOT NULL)"
+_PAIRS = "pairs AS (SELECT u.conv_id, u.turn, u.text AS a, v.text AS b FROM conversations u JOIN conversations v ON u.conv_id = v.conv_id AND v.turn = u.turn + 1 WHERE u.role = 'user' AND v.role = 'assistant' AND u.text IS NOT NULL AND v.text IS NOT NULL)"
+_PAIR_WORDS = lambda x: f"regexp_extract_all(lower({x}), '[a-z0-9'']+')"
+_KEPT = lambda o, r: f"CASE WHEN len({_PAIR(r)}) > 0 THEN len(list_intersect({_PAIR(r)}, {_PAIR(o)})) / len({_PAIR(r)}) ELSE 0 END"
 _P = lambda g: f"(CAST('0x' || substr(md5({g}), 1, 8) AS BIGINT) % 100)"
 _SPLIT = lambda g: f"CASE WHEN {_P(g)} < 15 THEN 'test' WHEN {_P(g)} < 25 THEN 'val' ELSE 'train' END"
 _RATE = lambda t, among="TRUE": f"round(avg(CAST({t} AS INTEGER)) FILTER ({among}), 6)"
@@ -536,8 +541,10 @@ SQL = {
     "cp8_top": f"""WITH {GENERATIONS}, latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "group", source, model ORDER BY seq DESC) AS r FROM generations) WHERE r = 1)
 SELECT key, "group", source FROM (SELECT *, row_number() OVER (PARTITION BY "group", source ORDER BY {ORDER('top', '"group"', 'model')}, text) AS k FROM latest) WHERE k <= 2""",
     "cp9_family": f"""WITH {GENERATIONS}, u AS (SELECT DISTINCT key, model FROM generations) SELECT key, model FROM (SELECT *, row_number() OVER (PARTITION BY string_split(model, '/')[1] ORDER BY {ORDER('family', 'key')}, key) AS r FROM u) WHERE r <= (SELECT CAST(floor(0.2 * count(*)) AS BIGINT) FROM u)""",
-    "cp10_polish": f"""WITH {_PAIRS}, w AS (SELECT conv_id, {_SQL_WORDS('a')} AS o, {_SQL_WORDS("substr(a, 1, 200) || ' ' || substr(b, 1, 100)")} AS r FROM pairs), k AS (SELECT conv_id, CASE WHEN len({_PAIR('r')}) > 0 THEN len(list_intersect({_PAIR('r')}, {_PAIR('o')})) / len({_PAIR('r')}) ELSE 0 END AS kept FROM w)
-SELECT conv_id, round(kept, 6) AS kept, CASE WHEN kept >= 0.8 THEN 'human' WHEN kept < 0.2 THEN 'machine' ELSE 'mixed' END AS label FROM k""",
+    "cp10_polish": f"""WITH {_PAIRS}, w AS (SELECT conv_id, turn, {_PAIR_WORDS('a')} AS o, {_PAIR_WORDS("a || ' ' || b")} AS r FROM pairs), k AS (SELECT conv_id, turn, {_KEPT('o', 'r')} AS kept FROM w)
+SELECT conv_id, turn, round(kept, 6) AS kept, CASE WHEN kept >= 0.8 THEN 'human' WHEN kept < 0.2 THEN 'machine' ELSE 'mixed' END AS label FROM k""",
+    "jn1_splice": f"""WITH {LABELLED}, s AS (SELECT source, label, text, {SENTENCES} AS st FROM labelled WHERE label IN ('human', 'machine')), o AS (SELECT source, label, arg_min(st, md5(text) || text) AS st FROM s WHERE len(st) >= 2 GROUP BY source, label),
+j AS (SELECT h.source, array_to_string(list_concat(h.st[1:len(h.st) // 2], m.st[len(m.st) // 2 + 1:]), ' ') AS text FROM o h JOIN o m ON h.source = m.source AND h.label = 'human' AND m.label = 'machine') SELECT source, md5(text) AS text_md5 FROM j WHERE {_NWORDS} >= 25""",
     "cp11_holdout": f"""WITH {_SHARDS}, capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY {ORDER('web', 'doc_id')}, doc_id) AS r FROM shards) WHERE r <= 20)
 SELECT doc_id, shard, host, CAST(paragraphs AS INTEGER) AS paragraphs FROM (SELECT *, coalesce(sum(paragraphs) OVER (ORDER BY {ORDER('web', 'doc_id')}, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM capped) WHERE before < 300""",
     "cp12_train_pages": f"""WITH {_SHARDS} SELECT doc_id, host, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (ORDER BY {ORDER('train', 'doc_id')}, doc_id) AS r FROM shards WHERE paragraphs > 0 AND host NOT IN (SELECT host FROM shards WHERE doc_id % 10 = 0)) WHERE r <= 50""",
@@ -547,12 +554,13 @@ SELECT doc_id, label, source FROM (SELECT *, row_number() OVER (PARTITION BY lab
     "cp15_plan": f"WITH {_PLAN} SELECT * FROM plan", "jn3_pending": f"""WITH {_PLAN} SELECT *, CASE WHEN mode IN ('antitell', 'humanize') AND route = 'r1' THEN 'adv' END AS split, CASE WHEN mode = 'polish' THEN 'mixed' ELSE 'machine' END AS label FROM plan WHERE route <> 'r0'""",
     "cp17_report": f"WITH {LABELLED} SELECT source, count(*) FILTER (label = 'human') AS human, count(*) FILTER (label = 'machine') AS machine, count(*) FILTER (label = 'mixed') AS mixed FROM labelled GROUP BY source",
     "jn2_unseen": f"WITH {_SHARDS} SELECT doc_id, host FROM shards WHERE host NOT IN (SELECT host FROM shards WHERE doc_id % 10 = 0)",
-    "jn4_originals": f"""WITH {_PAIRS} SELECT CAST(conv_id AS VARCHAR) AS "group", CASE WHEN conv_id % 2 = 0 THEN CASE WHEN len({_PAIR('w')}) > 0 THEN 'human' ELSE 'machine' END END AS label FROM (SELECT conv_id, {_SQL_WORDS('a')} AS w FROM pairs)""",
-    "jn5_score_back": "SELECT doc_id, CAST(length(text) AS INTEGER) AS n FROM documents", "jn6_with_lm": "SELECT vec_id, CAST(6 AS INTEGER) AS n, round(list_sum(list_transform(embedding[1:6], lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings",
+    "jn4_originals": f"""WITH {_PAIRS}, w AS (SELECT p.conv_id, p.turn, {_PAIR_WORDS('s.a')} AS o, {_PAIR_WORDS("p.a || ' ' || p.b")} AS r, s.a IS NOT NULL AS known FROM pairs p LEFT JOIN pairs s ON s.conv_id = p.conv_id AND s.turn = p.turn AND s.conv_id % 2 = 0),
+k AS (SELECT *, {_KEPT('o', 'r')} AS kept FROM w) SELECT conv_id || ':' || turn AS "group", CASE WHEN known THEN CASE WHEN kept >= 0.8 THEN 'human' WHEN kept < 0.2 THEN 'machine' ELSE 'mixed' END END AS label FROM k""",
+    "jn5_score_back": "SELECT doc_id, CAST(length(text) AS INTEGER) AS n FROM documents", "jn6_with_lm": "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings",
     "jn7_rule_names": "SELECT 'r-00' || CAST(doc_id % 5 + 1 AS VARCHAR) AS rule, doc_id, 'rule ' || CAST(doc_id % 5 + 1 AS VARCHAR) AS name, 'lexical' AS tier FROM documents",
     "fx3_incremental": "SELECT sha1(coalesce(text, '')) AS key, CAST(length(any_value(text)) AS INTEGER) AS n, CAST(1 AS INTEGER) AS spec FROM documents GROUP BY 1",
-    "tr1_standardise": "WITH s AS (SELECT " + ", ".join(f"avg(CAST(embedding[{i + 1}] AS DOUBLE)) AS m{i}, stddev_pop(CAST(embedding[{i + 1}] AS DOUBLE)) AS s{i}" for i in (0, 1, 43, 44, 63)) + " FROM embeddings WHERE vec_id % 3 = 0) SELECT vec_id, "
-    + ", ".join(f"round((CAST(embedding[{i + 1}] AS DOUBLE) - m{i}) / CASE WHEN s{i} < 1e-4 THEN 1 ELSE s{i} END, 5) AS v{i}" for i in (0, 1, 43, 44, 63)) + " FROM embeddings, s",
+    "tr1_standardise": "WITH s AS (SELECT " + ", ".join(f"avg(CAST(embedding[{i + 1}] AS DOUBLE)) AS m{i}, stddev_pop(CAST(embedding[{i + 1}] AS DOUBLE)) AS s{i}" for i in range(64)) + " FROM embeddings WHERE vec_id % 3 = 0) SELECT vec_id, "
+    + ", ".join(f"round((CAST(embedding[{i + 1}] AS DOUBLE) - m{i}) / CASE WHEN s{i} < 1e-4 THEN 1 ELSE s{i} END, 5) AS v{i}" for i in range(64)) + " FROM embeddings, s",
     "tr2_weights": f"""WITH {LABELLED}, r AS (SELECT doc_id, label, {_SPLIT('CAST(doc_id AS VARCHAR)')} AS split, CASE WHEN modern THEN 2.0 ELSE 1.0 END AS raw, {_NWORDS} AS n FROM labelled),
 b AS (SELECT *, CASE WHEN n < 40 THEN 0 WHEN n < 60 THEN 1 WHEN n < 80 THEN 2 WHEN n < 120 THEN 3 WHEN n < 200 THEN 4 ELSE 5 END AS bucket FROM r)
 SELECT doc_id, round(least(raw * count(*) OVER (PARTITION BY split, bucket) / (3 * sum(raw) OVER (PARTITION BY split, bucket, label)), 10.0), 6) AS weight FROM b""",
@@ -571,7 +579,7 @@ SELECT round(temperature, 6) AS temperature, round(loss, 6) AS loss FROM l ORDER
     "sc8_distribution": f"""WITH {SCORED}, {_DECIDED}, c AS (SELECT source, d2 AS decision, count(*) AS n FROM decided GROUP BY 1, 2), e AS (SELECT *, 100.0 * n / sum(n) OVER (PARTITION BY source) AS x, list_position(['machine', 'mixed', 'unsure', 'human'], decision) AS o FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(x - floor(x), 9) DESC, o) AS k, 100 - sum(floor(x)) OVER (PARTITION BY source) AS left_over FROM e) SELECT source, decision, CAST(floor(x) + CASE WHEN k <= left_over THEN 1 ELSE 0 END AS BIGINT) AS percent FROM r WHERE floor(x) + CASE WHEN k <= left_over THEN 1 ELSE 0 END > 0""",
     "sc10_rewrite": "SELECT doc_id, md5(trim(text)) AS text_md5, CASE WHEN doc_id % 2 = 0 THEN 'r-00' || CAST(doc_id % 9 AS VARCHAR) || ',r-010' ELSE '' END AS removed FROM documents",
-    "lm2_features": """WITH s AS (SELECT vec_id % 50 AS para, -round(abs(CAST(embedding[1] AS DOUBLE)), 4) AS o, round(abs(CAST(embedding[2] AS DOUBLE)), 4) AS e, round(abs(CAST(embedding[3] AS DOUBLE)), 4) AS v, floor(round(abs(CAST(embedding[4] AS DOUBLE)), 4) * 40) + 1 AS r FROM embeddings WHERE vec_id // 50 < 256)
+    "lm2_features": """WITH s AS (SELECT vec_id // 50 AS para, -round(abs(CAST(embedding[1] AS DOUBLE)), 4) AS o, round(abs(CAST(embedding[2] AS DOUBLE)), 4) AS e, round(abs(CAST(embedding[3] AS DOUBLE)), 4) AS v, floor(round(abs(CAST(embedding[4] AS DOUBLE)), 4) * 40) + 1 AS r FROM embeddings)
 SELECT para, round(avg(o), 5) AS l0, round(avg(e), 5) AS l1, round((sum(o) + sum(e)) / sqrt(greatest(sum(v), 1e-6)), 5) AS l2, round(CASE WHEN sum(e) > 0 THEN -sum(o) / sum(e) ELSE 0 END, 5) AS l3, round(avg(ln(r)), 5) AS l4, round(avg(CAST(r = 1 AS INTEGER)), 5) AS l5, round(avg(CAST(r <= 10 AS INTEGER)), 5) AS l6,
   round(CASE WHEN count(*) > 1 THEN stddev_samp(o) ELSE 0 END, 5) AS l7 FROM s GROUP BY para""",
     "ev1_confusion": f"WITH {SCORED} SELECT label, pred, count(*) AS n FROM scored GROUP BY 1, 2",
