@@ -6,6 +6,8 @@ own so that no pattern is matched twice.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ FUNCTION_WORDS = (
     "not no can could will would shall should may might must just very really also only even still yet here there when where why how what all some any each every "
     "both more most such own same other"
 ).split()
+LETTERS, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 PUNCTUATION = (",", ";", ":", "(", "!", "?", '"', "'", "-", "\u2014", "\u2026")
 LENGTH_BINS = ((0, 5), (5, 10), (10, 15), (15, 20), (20, 30), (30, 40), (40, 1 << 30))
 FIRST_PERSON = ("i", "me", "my", "i'm", "i've", "i'd", "i'll", "mine")
@@ -35,17 +38,17 @@ STYLE_NAMES = (
 FEATURE_NAMES = RULES + STYLE_NAMES
 #: Patterns of the rules that are no phrase lists.
 DASH = r"\u2014|\u2013(?=" + T.WS + ")|" + T.WS + "--" + T.WS
-TRIAD = rf"(?i){T.EDGE}[\w'-]+(?:{T.WS}+[\w'-]+){{0,2}},{T.WS}+[\w'-]+(?:{T.WS}+[\w'-]+){{0,2}},?{T.WS}+(?:and|or){T.WS}+[\w'-]+"
+TRIAD = rf"(?i){T.START}(?=[A-Za-z0-9_])[\w'-]+(?:{T.WS}+[\w'-]+){{0,2}},{T.WS}+[\w'-]+(?:{T.WS}+[\w'-]+){{0,2}},?{T.WS}+(?:and|or){T.WS}+[\w'-]+"
 EMOJI = r"[\x{1F000}-\x{1FAFF}\u2600-\u27BF\u2B05-\u2B07\u2B1B\u2B1C\u2B50\u2B55\u231A\u231B\u2328\u23CF\u23E9-\u23F3\u23F8-\u23FA\u00A9\u00AE\u203C\u2049\u2122\u2139\u2194-\u2199\u21A9\u21AA\u24C2\u25AA\u25AB\u25B6\u25C0\u25FB-\u25FE\u2934\u2935\u3030\u303D\u3297\u3299]"
 LIST_LINE = "^" + T.WS + r"*(?:[-*\u2022\u25AA\u25E6]|[0-9]+[.)])" + T.WS + "+"
 LABEL = r"(?:^|\n)" + T.WS + r"*(?:[-*\u2022]|[0-9]+\.)?" + T.WS + r"*(?:\*\*|__)[^*_\n]{1,40}(?:\*\*|__)" + T.WS + "*:|" + r"(?:^|\n)" + T.WS + r"*(?:[-*\u2022]|[0-9]+\.)" + T.WS + r"*\*\*[^*\n]{1,40}:\*\*"
 STAGED = r"(?:^|[.!?]" + T.WS + r"+)(?:(?:the|so|and|but)?" + T.WS + r"*\w+(?:" + T.WS + r"+\w+){0,4}\?)" + T.WS + "+(?=[A-Z])"
-FROM_TO = rf"(?i){T.EDGE}from{T.WS}+(?:the{T.WS}+)?[a-z][\w-]*(?:{T.WS}+[a-z][\w-]*){{0,3}}{T.WS}+to{T.WS}+(?:the{T.WS}+)?[a-z][\w-]*(?:{T.WS}+[a-z][\w-]*){{0,3}}"
+FROM_TO = rf"(?i){T.START}from{T.WS}+(?:the{T.WS}+)?[a-z][\w-]*(?:{T.WS}+[a-z][\w-]*){{0,3}}{T.WS}+to{T.WS}+(?:the{T.WS}+)?[a-z][\w-]*(?:{T.WS}+[a-z][\w-]*){{0,3}}"
 PARALLEL = (
-    rf"(?i){T.EDGE}(?:not (?:just|only|merely|simply){T.EDGE}[^.!?;]{{1,80}}?{T.EDGE}(?:but|it'?s|it is|they'?re|they are){T.EDGE}"
-    rf"|it(?:'s| is)(?: not| n't|n't) (?:about|just|only){T.EDGE}[^.!?]{{1,60}}?[,;.\u2014\u2013-]{T.WS}*it(?:'s| is){T.EDGE}"
-    rf"|isn't (?:just )?(?:a|an|about){T.EDGE}[^.!?]{{1,60}}?[,;.\u2014\u2013-]{T.WS}*(?:it'?s|it is){T.EDGE}"
-    rf"|no{T.WS}+\w+,{T.WS}+no{T.WS}+\w+[,.]?{T.WS}+just{T.EDGE})"
+    rf"(?i){T.START}(?:not (?:just|only|merely|simply){T.END}[^.!?;]{{1,80}}?{T.START}(?:but|it'?s|it is|they'?re|they are){T.END}"
+    rf"|it(?:'s| is)(?: not| n't|n't) (?:about|just|only){T.END}[^.!?]{{1,60}}?[,;.\u2014\u2013-]{T.WS}*it(?:'s| is){T.END}"
+    rf"|isn't (?:just )?(?:a|an|about){T.END}[^.!?]{{1,60}}?[,;.\u2014\u2013-]{T.WS}*(?:it'?s|it is){T.END}"
+    rf"|no{T.WS}+\w+,{T.WS}+no{T.WS}+\w+[,.]?{T.WS}+just{T.END})"
 )
 LEADING = "^[\\t\\n\\x0B\\f\\r \\u00A0\"'\u201C(*-]*"
 
@@ -55,11 +58,11 @@ def squash(x: Column, k: float) -> Column:
 
 
 def parse(df: DataFrame, text: str) -> DataFrame:
-    """df with raw, text, words, raw_words, sentences, lines; a null text is read as an empty one."""
+    """df with raw, text, low (lower-cased), words, raw_words, sentences, lines; a null text is read as an empty one."""
     raw = F.coalesce(F.col(text), F.lit(""))
-    kept = [c for c in df.columns if c not in ("raw", "text", "words", "raw_words", "sentences", "lines")]
+    kept = [c for c in df.columns if c not in ("raw", "text", "low", "words", "raw_words", "sentences", "lines")]
     base = df.select(*kept, raw.alias("raw"), T.normalise_quotes(raw).alias("text"))
-    return base.select("*", T.raw_words(F.col("text")).alias("raw_words"), T.sentences(F.col("text")).alias("sentences"), T.lines(F.col("text")).alias("lines")).withColumn("words", F.transform("raw_words", F.lower))
+    return base.select("*", F.lower("text").alias("low"), T.raw_words(F.col("text")).alias("raw_words"), T.sentences(F.col("text")).alias("sentences"), T.lines(F.col("text")).alias("lines")).withColumn("words", F.transform("raw_words", F.lower))
 
 
 def _n_words() -> Column:
@@ -82,12 +85,29 @@ def phrase_pattern(phrases: tuple[str, ...]) -> str:
     return "(?i)(?<![A-Za-z])(?:" + "|".join(phrases) + ")(?![A-Za-z])"
 
 
+def holds(*parts: str, c: str = "low") -> Column:
+    """Whether the lower-cased text holds any of these strings: a search for plain bytes, which spares most texts a pattern."""
+    out = F.col(c).contains(parts[0])
+    for p in parts[1:]:
+        out = out | F.col(c).contains(p)
+    return out
+
+
+def holds_any(phrases: tuple[str, ...]) -> Column:
+    """A condition without which none of the phrases can match; phrases that are patterns can always."""
+    return holds(*(p.lower() for p in phrases)) if all(re.fullmatch("[A-Za-z' -]+", p) for p in phrases) else F.lit(True)
+
+
+def only_if(condition: Column, value: Column, otherwise=0) -> Column:
+    return F.when(condition, value).otherwise(otherwise)
+
+
 def lexicon_rule(phrases: tuple[str, ...], k: float) -> Column:
-    return squash(per100(count(phrase_pattern(phrases))), k) if phrases else F.lit(0.0)
+    return squash(per100(only_if(holds_any(phrases), count(phrase_pattern(phrases)))), k) if phrases else F.lit(0.0)
 
 
 def opener_pattern(phrases: tuple[str, ...]) -> str:
-    return f"(?i){LEADING}(?:{'|'.join(phrases)}){T.EDGE}"
+    return f"(?i){LEADING}(?:{'|'.join(phrases)}){T.END}"
 
 
 def _sentences_with(test) -> Column:
@@ -99,6 +119,10 @@ def _words_with(test) -> Column:
 
 
 def _title_line(line: Column) -> Column:
+    return ~line.rlike("[.!?,;]" + T.WS + "*\\z") & _title(line)
+
+
+def _title(line: Column) -> Column:
     t = T.trim(F.regexp_replace(line, "^#+" + T.WS + "*", ""))
     ws = T.space_words(t)
     major = F.filter(ws, lambda w: F.length(w) > 3)
@@ -126,9 +150,18 @@ def _mean_sd() -> tuple[Column, Column]:
 
 
 def _diversity(window: int = 40) -> Column:
+    """Mean share of different words in all windows. A word counts in the windows that reach back neither beyond its last occurrence
+    nor beyond their length, so their number is told from the distance to that occurrence."""
     n = _n_words()
-    shares = F.transform(F.sequence(F.lit(1), n - window + 1), lambda i: F.size(F.array_distinct(F.slice("words", i, window))) / window)
-    return F.when(n < 15, 0.0).when(n <= window, F.size(F.array_distinct("words")) / n).otherwise(F.aggregate(shares, F.lit(0.0), lambda a, x: a + x) / (n - window + 1))
+    placed = F.sort_array(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    before = F.concat(F.array(F.lit(None).cast("struct<w:string,i:int>")), placed)
+
+    def windows(x: Column, y: Column) -> Column:
+        reach = F.when((x["w"] == y["w"]) & (x["i"] - y["i"] < window), x["i"] - y["i"] - 1).otherwise(window - 1)
+        return F.coalesce(F.greatest(F.least(x["i"], n - window) - F.greatest(x["i"] - reach, F.lit(0)) + 1, F.lit(0)), F.lit(0))
+
+    total = F.aggregate(F.zip_with(placed, before, lambda x, y: F.when(x.isNotNull(), windows(x, y)).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.when(n < 15, 0.0).when(n <= window, F.size(F.array_distinct("words")) / n).otherwise(total / window / (n - window + 1))
 
 
 def _fragments() -> Column:
@@ -152,37 +185,40 @@ def rule_columns(phrases: dict[str, tuple[str, ...]] | None = None, openers: dic
     mean, sd = _mean_sd()
     first = F.get("sentences", F.lit(0))["text"]
     n_lines, n_sentences = F.size("lines"), F.size("sentences")
-    any_of = lambda items: rf"{T.EDGE}(?:{'|'.join(items)}){T.EDGE}"
-    passive = rf"(?i){T.EDGE}(?:is|are|was|were|be|been|being|gets?|got){T.WS}+(?:\w+ly{T.WS}+)?(?:\w+ed|{'|'.join(L.IRREGULAR)}){T.EDGE}"
-    real_range = rf"(?i){T.EDGE}from{T.WS}+(?:{'|'.join(L.RANGE_STARTS)})"
-    curly, straight = count("[\u201c\u201d\u2018\u2019]", "raw"), count("[\"']", "raw")
+    any_of = lambda items: rf"{T.START}(?:{'|'.join(items)}){T.END}"
+    passive = rf"(?i){T.START}(?:is|are|was|were|be|been|being|gets?|got){T.WS}+(?:\w+ly{T.WS}+)?(?:\w+ed|{'|'.join(L.IRREGULAR)}){T.END}"
+    real_range = rf"(?i){T.START}from{T.WS}+(?:{'|'.join(L.RANGE_STARTS)})"
+    # all of them take more than one byte
+    wide = F.octet_length("raw") > F.length("raw")
+    curly = only_if(wide, F.length("raw") - F.length(F.translate("raw", "\u201c\u201d\u2018\u2019", "")))
+    straight = F.length("raw") - F.length(F.translate("raw", "\"'", ""))
     contraction = lambda w: w.rlike("'(?:t|re|ve|ll|d|m)\\z")
-    voice = per100(_words_with(lambda w: w.isin(*L.VOICE)) + _words_with(contraction)) + F.when(F.col("text").rlike("(?i)" + any_of(L.OPINIONS)), 3).otherwise(0)
+    voice = per100(_words_with(lambda w: w.isin(*L.VOICE)) + _words_with(contraction)) + only_if(holds_any(L.OPINIONS) & F.col("text").rlike("(?i)" + any_of(L.OPINIONS)), F.lit(3))
     opener = lambda r: F.when(first.rlike(opener_pattern(o[r])), 1.0).otherwise(0.0)
     scale = {"r-001": 2.5, "r-002": 1, "r-003": 1, "r-004": 0.7, "r-005": 1.5, "r-006": 1, "r-008": 0.5, "r-031": 0.7, "r-032": 0.7, "r-033": 0.7, "r-035": 0.7, "r-038": 0.7}
     out = {r: lexicon_rule(p[r], k) for r, k in scale.items()} | {
         "r-007": squash(per_sentence(_sentences_with(lambda s: s.rlike(opener_pattern(o["r-007"])))), 0.25),
-        "r-009": squash(per_sentence(count(DASH)), 0.35),
-        "r-010": squash(per_sentence(_colons()), 0.2),
-        "r-011": squash(count(LABEL) / F.greatest(n_lines, F.lit(1)), 0.2),
+        "r-009": squash(per_sentence(only_if(wide | holds("--"), count(DASH))), 0.35),
+        "r-010": squash(per_sentence(only_if(holds(":"), _colons())), 0.2),
+        "r-011": squash(only_if(holds("**", "__"), count(LABEL)) / F.greatest(n_lines, F.lit(1)), 0.2),
         "r-012": squash(F.size(F.filter("lines", _title_line)).cast("double"), 0.7),
-        "r-013": squash(per100(count(EMOJI)), 1),
-        "r-014": squash(per_sentence(count(PARALLEL)), 0.12),
+        "r-013": squash(per100(only_if(wide, count(EMOJI))), 1),
+        "r-014": squash(per_sentence(only_if(holds("not ", "n't ") | holds("no") & holds("just"), count(PARALLEL))), 0.12),
         "r-015": F.when(curly + straight > 0, curly / (curly + straight)).otherwise(0.0),
         "r-016": F.when(n_lines > 0, F.size(F.filter("lines", lambda x: x.rlike(LIST_LINE))) / n_lines).otherwise(0.0),
         "r-017": F.when(n_sentences < 3, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - sd / F.greatest(mean, F.lit(1.0))))),
         "r-018": squash(per100(_words_with(lambda w: (F.length(w) > 4) & w.endswith("ly") & ~w.isin(*L.NOT_ADVERBS))), 4),
         "r-019": F.when(n_sentences > 0, _sentences_with(lambda s: s.rlike(passive)) / n_sentences).otherwise(0.0),
-        "r-020": squash(per_sentence(_sentences_with(lambda s: F.regexp_count(s, F.lit("(?i)" + any_of(L.HEDGES))) >= 2)), 0.3),
-        "r-021": squash(per_sentence(count(TRIAD)), 0.35),
+        "r-020": squash(per_sentence(only_if(holds_any(L.HEDGES), _sentences_with(lambda s: F.regexp_count(s, F.lit("(?i)" + any_of(L.HEDGES))) >= 2))), 0.3),
+        "r-021": squash(per_sentence(only_if(holds(",") & holds("and", "or"), count(TRIAD))), 0.35),
         "r-022": _diversity(),
         "r-023": squash(_words_with(lambda w: (F.length(w) >= 10) & w.rlike("^[a-z]")) / F.greatest(_n_words(), F.lit(20)), 0.12),
         "r-024": opener("r-024"),
         "r-025": squash(per_sentence(_fragments()), 0.3),
-        "r-026": squash(per100(F.size(F.filter(F.regexp_extract_all("text", F.lit(FROM_TO), 0), lambda m: ~m.rlike(real_range)))), 0.8),
+        "r-026": squash(per100(only_if(holds("from"), F.size(F.filter(F.regexp_extract_all("text", F.lit(FROM_TO), 0), lambda m: ~m.rlike(real_range))))), 0.8),
         "r-027": opener("r-027"),
-        "r-028": squash(per_sentence(count(rf"(?i),{T.WS}+(?:{'|'.join(L.PARTICIPLES)}){T.EDGE}[^.!?]*[.!?]")), 0.2),
-        "r-029": squash(count(STAGED).cast("double"), 0.7),
+        "r-028": squash(per_sentence(only_if(holds_any(L.PARTICIPLES), count(rf"(?i),{T.WS}+(?:{'|'.join(L.PARTICIPLES)}){T.END}[^.!?]*[.!?]"))), 0.2),
+        "r-029": squash(only_if(holds("?"), count(STAGED)).cast("double"), 0.7),
         "r-030": _repeated_openers(),
         "r-034": F.when(_n_words() < 40, 0.0).otherwise(F.exp(-voice / 1.5)),
     }
@@ -190,19 +226,20 @@ def rule_columns(phrases: dict[str, tuple[str, ...]] | None = None, openers: dic
 
 
 def style_columns() -> list[Column]:
-    """The style values over parsed columns, in the order of STYLE_NAMES. Function words are filtered out once (column known)."""
+    """The style values over parsed columns, in the order of STYLE_NAMES. Function words are gathered once (column known)."""
     n, s = F.greatest(_n_words(), F.lit(1)), F.greatest(F.size("sentences"), F.lit(1))
     chars = F.greatest(F.length("text"), F.lit(1))
     share = lambda test: _words_with(test) / n
     lengths = lambda lo, hi: F.size(F.filter("sentences", lambda x: (F.size(x["words"]) > lo) & (F.size(x["words"]) <= hi))) / s
     capital = lambda w: w.rlike("^[A-Z][a-z]") & (w != "I")
+    capitals = F.length("text") - F.length(F.translate("text", LETTERS, ""))
     starts = F.size(F.filter("sentences", lambda x: capital(x["first"])))
-    informal = rf"(?i){T.EDGE}(?:{'|'.join(INFORMAL_WORDS)}){T.EDGE}|!!|\?\?|\.\.\.(?!\.)"
+    informal = rf"(?i){T.START}(?:{'|'.join(INFORMAL_WORDS)}){T.END}|!!|\?\?|\.\.\.(?!\.)"
     return [
-        *[F.size(F.filter("known", _equals(x))) / n for x in FUNCTION_WORDS],
+        *[(F.length("known") - F.length(F.replace(F.col("known"), F.lit(f" {x} "), F.lit("")))) / (len(x) + 2) / n for x in FUNCTION_WORDS],
         *[100 * (F.length("raw") - F.length(F.replace(F.col("raw"), F.lit(c), F.lit("")))) / chars for c in PUNCTUATION],
-        count("[0-9]") / chars,
-        count("[A-Z]") / F.greatest(count("[A-Za-z]"), F.lit(1)),
+        (F.length("text") - F.length(F.translate("text", DIGITS, ""))) / chars,
+        capitals / F.greatest(F.length("text") - F.length(F.translate("text", LETTERS + LETTERS.lower(), "")), F.lit(1)),
         *[lengths(lo, hi) for lo, hi in LENGTH_BINS],
         F.aggregate("sentences", F.lit(0), lambda a, x: a + F.size(x["words"])) / s / 30,
         F.aggregate("words", F.lit(0), lambda a, w: a + F.length(w)) / n / 6,
@@ -213,17 +250,13 @@ def style_columns() -> list[Column]:
         share(lambda w: w.isin(*SECOND_PERSON)),
         count(informal) / n,
         F.size(F.filter("sentences", lambda x: x["first"].rlike("^[a-z]"))) / s,
-        count(r"[^\n ] {2,}[^\n ]") / s,
+        only_if(holds("  "), count(r"[^\n ] {2,}[^\n ]")) / s,
         (F.size(F.filter("raw_words", capital)) - starts) / n,
-        count(r"\(") / s,
-        count(r"\?") / s,
+        (F.length("text") - F.length(F.translate("text", "(", ""))) / s,
+        (F.length("text") - F.length(F.translate("text", "?", ""))) / s,
     ]
 
 
-def _equals(x: str):
-    return lambda w: w == x
-
-
 def rule_features(parsed: DataFrame, phrases=None, openers=None) -> DataFrame:
     """parsed with rules: struct of a double for each rule."""
     return parsed.withColumn("rules", F.struct(*[c.alias(r) for r, c in rule_columns(phrases, openers).items()]))
@@ -231,7 +264,9 @@ def rule_features(parsed: DataFrame, phrases=None, openers=None) -> DataFrame:
 
 def style_features(parsed: DataFrame) -> DataFrame:
     """parsed with style: array of 140 doubles."""
-    known = parsed.withColumn("known", F.filter("words", lambda w: w.isin(*FUNCTION_WORDS)))
+    # each between spaces of its own, so that a word's count is told by what the text loses with it
+    among = F.filter("words", lambda w: w.isin(*FUNCTION_WORDS))
+    known = parsed.withColumn("known", F.when(F.size(among) > 0, F.concat(F.lit(" "), F.array_join(among, "  "), F.lit(" "))).otherwise(""))
     return known.withColumn("style", F.array(*[c.cast("double") for c in style_columns()])).drop("known")
 
 

@@ -14,8 +14,8 @@ NOT_WS = r"[^\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u300
 WORD = r"[A-Za-z\u00C0-\u024F]+(?:['\u2019][A-Za-z]+)*|[0-9]+(?:[.,][0-9]+)*"
 SENTENCE_END = r"([.!?\u2026]+[\"'\u201D\u2019)\]]*)(?=" + WS + r"|\z)|\n+(?![ \t]*[a-z])"
 MARK = "\x1e"
-#: Boundary of an ASCII word.
-EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+#: What stands before and after a word, which starts and ends with an ASCII word character.
+START, END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 #: The words by whose share English is told.
 ENGLISH_WORDS = (
     "the of and to in is it that was for on are as with his her they be this from or had by but what were we when your there their which been these "
