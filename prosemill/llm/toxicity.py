@@ -11,7 +11,8 @@ word outweigh the few bytes that a sequence saves which only one dictionary happ
 zstandard's own trainer does it, by segments of the text that cover most of what counts (that trainer counts strings by frequency
 alone, which in toxic text too are those of ordinary words). For the toxic dictionary, words count by how far chance would not put
 so many of their documents among the toxic ones. For the ordinary one, the words that most documents hold count, and before them all
-words that come along in the toxic dictionary's segments, so that knowing them speaks for neither side.
+words that come along in the toxic dictionary's segments. Of either dictionary's segments only words that both hold stay, and the
+telling words of the toxic one, so that knowing any other word speaks for neither side.
 """
 
 from __future__ import annotations
@@ -207,11 +208,11 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordi
     common = {w: math.log2(2 + r["o"]) for r in counts.orderBy(F.desc("o"), "word").limit(COMMON).collect() if (w := r["word"].encode()) not in own}
     toxic = segments(rows, 1, common | own, -2.0)
     wanted = {w: 1.0 for s in toxic for w in s.split() if w not in own} | common
-    # telling words never stand in the ordinary dictionary, and no others only in the toxic one
-    kept = lambda found, keep: tuple(s for x in found if (s := b" ".join(filter(keep, x.split()))))
-    ordinary = kept(segments(rows, 0, wanted, -2.0), lambda w: w not in own)
-    both = {w for s in ordinary for w in s.split()}
-    model = Model(ordinary, kept(toxic, lambda w: w in own or w in both))
+    # telling words stand in the toxic dictionary alone, all others in both or neither: one word never hides another in its window
+    ordinary = segments(rows, 0, wanted, -2.0)
+    both = {w for s in ordinary for w in s.split()} & {w for s in toxic for w in s.split()} - set(own)
+    kept = lambda found, words: tuple(s for x in found if (s := b" ".join(w for w in x.split() if w in words)))
+    model = Model(kept(ordinary, both), kept(toxic, both | set(own)))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = Scorer(model)
