@@ -136,28 +136,39 @@ def split_lines_min_words(df: DataFrame, text: str, keys: list[str], n: int = MI
     return df.select(*keys, F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "text")).filter(count_space_words(F.col("text")) >= n)
 
 
-def training_paragraphs(df: DataFrame, text: str, keys: list[str], limit: int = 2, min_words: int = MIN_WORDS, low: int = 60, high: int = 220) -> DataFrame:
+#: Median and spread of the logarithm of a chunk's words.
+CHUNK_WORDS, CHUNK_SPREAD = 40.0, 0.65
+
+
+def chunk_words(*seed: Column, min_words: int = MIN_WORDS) -> Column:
+    """A number of words drawn by hash: e to a normal variable, at least min_words."""
+    unit = lambda k: (F.pmod(F.xxhash64(*seed, F.lit(k)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
+    normal = F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * F.pi() * unit(2))
+    return F.greatest(F.lit(min_words), F.floor(F.lit(CHUNK_WORDS) * F.exp(F.lit(CHUNK_SPREAD) * normal)).cast("int"))
+
+
+def training_paragraphs(df: DataFrame, text: str, keys: list[str], limit: int = 2, min_words: int = MIN_WORDS) -> DataFrame:
     """keys, pos, text: at most limit paragraphs of a document.
 
-    Blocks between blank lines with enough words are filled sentence by sentence up to a size that is drawn for each block by hash
-    from low..high words; what remains is kept if it has enough words. Documents without such a block give no rows.
+    Blocks between blank lines with enough words, blanks and tabs in them squeezed, are filled sentence by sentence up to a size that is
+    drawn anew for each chunk (see chunk_words); what remains is kept if it has enough words. Documents without such a block give no rows.
     """
-    blocks = F.filter(F.transform(F.split(unix_lines(F.col(text)), BLANK), lambda b: trim(F.regexp_replace(b, f"{WS}+", " "))), lambda b: count_space_words(b) >= min_words)
+    blocks = F.filter(F.transform(F.split(trim(unix_lines(F.col(text))), BLANK), lambda b: F.regexp_replace(trim(b), "[ \\t]+", " ")), lambda b: count_space_words(b) >= min_words)
     exploded = df.select(*keys, F.posexplode(blocks).alias("block", "body"))
-    target = F.lit(low) + F.pmod(F.xxhash64("body"), F.lit(high - low + 1))
-    parts = F.split(F.regexp_replace("body", r"(?<=[.!?])" + WS + "+", MARK), MARK)
+    parts = F.split(F.regexp_replace("body", r"(?<=[.!?])(" + WS + "+)", MARK + "$1"), MARK)
+    target = lambda out: chunk_words(F.col("body"), F.size(out), min_words=min_words)
+
+    def fill(s: Column, x: Column) -> Column:
+        joined = F.concat(s["now"], x)
+        full = F.concat(s["out"], F.array(trim(joined)))
+        return F.when(count_space_words(joined) >= s["target"], F.struct(F.lit("").alias("now"), full.alias("out"), target(full).alias("target"))).otherwise(
+            F.struct(joined.alias("now"), s["out"].alias("out"), s["target"].alias("target"))
+        )
+
     empty = F.array().cast("array<string>")
-    filled = F.aggregate(
-        parts,
-        F.struct(F.lit("").alias("now"), empty.alias("out")),
-        lambda s, x: (
-            lambda joined: F.when(count_space_words(joined) >= F.col("target"), F.struct(F.lit("").alias("now"), F.concat(s["out"], F.array(joined)).alias("out"))).otherwise(
-                F.struct(joined.alias("now"), s["out"].alias("out"))
-            )
-        )(F.when(s["now"] == "", x).otherwise(F.concat(s["now"], F.lit(" "), x))),
-        lambda s: F.when(count_space_words(s["now"]) >= min_words, F.concat(s["out"], F.array(s["now"]))).otherwise(s["out"]),
-    )
-    cut = exploded.withColumn("target", target).select(*keys, "block", F.posexplode(filled).alias("part", "text"))
+    start = F.struct(F.lit("").alias("now"), empty.alias("out"), target(empty).alias("target"))
+    filled = F.aggregate(parts, start, fill, lambda s: F.when(count_space_words(s["now"]) >= min_words, F.concat(s["out"], F.array(trim(s["now"])))).otherwise(s["out"]))
+    cut = exploded.select(*keys, "block", F.posexplode(filled).alias("part", "text"))
     best = cut.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(F.struct("block", "part", "text"))), 1, limit).alias("rows"))
     return best.select(*keys, F.posexplode("rows").alias("pos", "row")).select(*keys, "pos", "row.text")
 
@@ -177,21 +188,28 @@ def markdown_prose(c: Column) -> Column:
     return F.regexp_replace(c, r"(?m)^#{1,6}[ \t].*$", "")
 
 
+#: Fences and table rows of documents, signs of code, beginnings of leaked thoughts.
+FENCED = r"(?md)^ {0,3}(?:```|~~~)[\s\S]*?(?:```|~~~)\s*$"
+TABLE_ROW = r"(?md)^\s*\|.*\|\s*$"
+CODE = r"(?md)```|^\s{4}\S|[{};]\s*$|^\s*\"[^\"\n]{1,60}\"\s*:"
+THOUGHT = r"(?i)^(?:<think|the user (?:wants|is asking|asked)|let me think)"
+
+
 def document_prose(c: Column) -> Column:
     """Without fences, images and table rows; at most one blank line between paragraphs."""
-    c = F.regexp_replace(unix_lines(c), r"(?s)```.*?```", "")
+    c = F.regexp_replace(unix_lines(c), FENCED, "")
     c = F.regexp_replace(c, r"!\[[^\]]*\]\([^)]*\)", "")
-    c = F.regexp_replace(c, r"(?m)^[ \t]*\|.*$", "")
+    c = F.regexp_replace(c, TABLE_ROW, "")
     return trim(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
 def looks_like_code(c: Column) -> Column:
-    return c.rlike(r"(?m)```|^ {4}[^ \n]|[{};][ \t]*$|^[ \t]*\"[A-Za-z0-9_-]+\"[ \t]*:")
+    return c.rlike(CODE)
 
 
 def looks_like_reasoning(c: Column) -> Column:
     """Whether a text begins as a model's leaked thoughts do."""
-    return trim(c).rlike(r"(?i)^(?:<think|okay, (?:so|let)|hmm,|let me think|the user (?:wants|is asking|asked)|i need to (?:write|rewrite|produce)|we need to (?:write|rewrite|produce)|first, i)")
+    return trim(c).rlike(THOUGHT)
 
 
 def too_short(c: Column, n: int = MIN_WORDS) -> Column:

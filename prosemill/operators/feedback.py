@@ -70,11 +70,11 @@ def calibration_snapshot(df: DataFrame, version: str) -> DataFrame:
 def spend(calls: DataFrame, limits: DataFrame) -> DataFrame:
     """call_id, scope, key, period, running, within, allowed: a call passes if each budget it draws on stays within its limit.
 
-    calls: call_id, ts, scope, key, period, amount; refused calls still count. limits: scope, limit. The period in the key bounds how
-    long a hot key's window gets.
+    calls: call_id, ts, scope, key, period, amount; refused calls still count. limits: scope, limit; a scope without one has no bound.
+    The period in the key bounds how long a hot key's window gets.
     """
     w = W.partitionBy("scope", "key", "period").orderBy("ts", "call_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    run = calls.join(limits, "scope").withColumn("running", F.sum("amount").over(w)).withColumn("within", F.col("running") <= F.col("limit"))
+    run = calls.join(limits, "scope", "left").withColumn("running", F.sum("amount").over(w)).withColumn("within", F.coalesce(F.col("running") <= F.col("limit"), F.lit(True)))
     verdict = run.groupBy("call_id").agg(F.bool_and("within").alias("allowed"))
     return run.join(verdict, "call_id").select("call_id", "scope", "key", "period", "running", "within", "allowed")
 

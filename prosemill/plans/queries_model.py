@@ -536,7 +536,7 @@ SQL = {
     "cp3_cap": f"SELECT doc_id, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY {ORDER('cap', 'doc_id')}, doc_id) AS r FROM documents) WHERE r <= 8",
     "cp4_band": f"SELECT doc_id, source IN ('src3', 'src4') OR source LIKE 'src1%' AS modern FROM documents WHERE {_NWORDS} BETWEEN 60 AND 400",
     "cp6_replies": f"""SELECT conv_id, turn, paragraphs FROM (SELECT *, coalesce(sum(paragraphs) OVER (ORDER BY {ORDER('', 'conv_id', 'turn')}, conv_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
-  SELECT conv_id, turn, CAST(len(list_filter(string_split_regex(text, '\\n\\s*\\n'), lambda x: trim(x) <> '')) AS INTEGER) AS paragraphs FROM conversations WHERE turn < 4 AND role = 'assistant' AND text IS NOT NULL AND NOT regexp_matches(text, '(?m)```|^ {{4}}[^ \\n]|[{{}};][ \\t]*$|^[ \\t]*\"[A-Za-z0-9_-]+\"[ \\t]*:'))) WHERE before < 100""",
+  SELECT conv_id, turn, CAST(len(list_filter(string_split_regex(text, '\\n\\s*\\n'), lambda x: trim(x) <> '')) AS INTEGER) AS paragraphs FROM conversations WHERE turn < 4 AND role = 'assistant' AND text IS NOT NULL AND NOT regexp_matches(text, '{T.CODE.replace('(?md)', '(?m)')}'))) WHERE before < 100""",
     "cp7_latest": f'WITH {GENERATIONS} SELECT key, "group", source, model FROM (SELECT *, row_number() OVER (PARTITION BY "group", source, model ORDER BY seq DESC) AS r FROM generations) WHERE r = 1',
     "cp8_top": f"""WITH {GENERATIONS}, latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "group", source, model ORDER BY seq DESC) AS r FROM generations) WHERE r = 1)
 SELECT key, "group", source FROM (SELECT *, row_number() OVER (PARTITION BY "group", source ORDER BY {ORDER('top', '"group"', 'model')}, text) AS k FROM latest) WHERE k <= 2""",

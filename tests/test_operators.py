@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prosemill.functions import features, lexicons
+from prosemill.functions import text as T
 from prosemill.operators import audit, corpus, dom, evaluation, feedback, lm, scoring, training
 from prosemill.sources import io
 from prosemill.streaming import streams
@@ -213,3 +214,33 @@ def test_too_many_phrases_are_an_error(spark, monkeypatch):
     assert lexicons.phrase_table(df.limit(2)).keys() == {"r-001"}
     with pytest.raises(ValueError):
         lexicons.phrase_table(df)
+
+
+def test_index_percentiles_of_hot_groups_ties_and_nulls(spark):
+    r = np.random.default_rng(2)
+    rows = [("hot", float(v)) for v in r.normal(size=3000)] + [("tied", 1.0)] * 500 + [("tied", 2.0)] * 3 + [(None, 7.0), ("one", 5.0), ("none", None)]
+    got = {x["g"]: (x["p50"], x["p90"]) for x in evaluation.index_percentiles(spark.createDataFrame(rows, "g string, v double"), "v", ["g"]).collect()}
+    want = {}
+    for g in ("hot", "tied", None, "one"):
+        v = sorted(x for k, x in rows if k == g)
+        want[g] = tuple(v[min(int(len(v) * q), len(v) - 1)] for q in (0.5, 0.9))
+    assert got == want
+
+
+def test_calls_of_scopes_without_a_limit_pass(spark):
+    calls = spark.createDataFrame([(1, 1, "a", "k", "d", 5), (2, 2, "b", "k", "d", 5)], "call_id int, ts int, scope string, key string, period string, amount int")
+    got = feedback.spend(calls, spark.createDataFrame([("a", 3)], "scope string, limit int")).collect()
+    assert {(x["call_id"], x["allowed"]) for x in got} == {(1, False), (2, True)}
+
+
+def test_training_paragraphs(spark):
+    """Chunks end where enough words have come, line breaks within a block stay, sizes differ from chunk to chunk."""
+    text = ". ".join(f"word{i} and some more of it" for i in range(400)) + "."
+    docs = spark.createDataFrame([(1, text), (2, "too short"), (3, "a  b\tc\nd " * 10), (4, None)], "id int, t string")
+    got = T.training_paragraphs(docs, "t", ["id"], limit=50).collect()
+    sizes = [len(x["text"].split()) for x in got if x["id"] == 1]
+    assert all(n >= 25 for n in sizes) and len(set(sizes)) > 5 and {x["id"] for x in got} == {1, 3}
+    assert " ".join(x["text"] for x in sorted(got, key=lambda x: x["pos"]) if x["id"] == 1) in text
+    assert [x["text"] for x in got if x["id"] == 3] == [("a b c\nd " * 10).strip()]
+    drawn = [x["n"] for x in spark.range(4000).select(T.chunk_words(F.col("id"), min_words=1).alias("n")).collect()]
+    assert abs(np.log(drawn).mean() - np.log(40)) < 0.05 and abs(np.log(drawn).std() - 0.65) < 0.05
