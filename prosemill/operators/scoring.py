@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -165,13 +166,17 @@ def distribution(df: DataFrame, by: list[str]) -> DataFrame:
     return ranked.select(*by, "decision", (F.col("_floor") + (F.col("_rank") <= F.col("_left")).cast("long")).alias("percent")).filter("percent > 0")
 
 
+#: Words, and line breaks as tokens of their own.
+TOKEN = re.compile(r"\n|\S+")
+
+
 def word_diff(df: DataFrame, a: str, b: str, most_cells: int = 4_000_000) -> DataFrame:
-    """df with diff: array<struct<kind, words>> of kept, removed and added words, removals first; too long pairs are replaced whole."""
+    """df with diff: array<struct<kind, words>> of kept, removed and added words and line breaks, removals first; too long pairs are replaced whole."""
     kind = "array<struct<kind:string,words:string>>"
 
     @F.pandas_udf(kind)
     def diff(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([_diff((x or "").split(), (y or "").split(), most_cells) for x, y in zip(left, right)])
+        return pd.Series([_diff(TOKEN.findall(x or ""), TOKEN.findall(y or ""), most_cells) for x, y in zip(left, right)])
 
     return df.withColumn("diff", diff(F.col(a), F.col(b)))
 
@@ -200,7 +205,7 @@ def _diff(a: list[str], b: list[str], most_cells: int) -> list[dict]:
             if i < len(mid_a) and j < len(mid_b) and mid_a[i] == mid_b[j]:
                 steps.append(("same", mid_a[i]))
                 i, j = i + 1, j + 1
-            elif j >= len(mid_b) or i < len(mid_a) and table[i + 1, j] >= table[i, j + 1]:
+            elif j >= len(mid_b) or i < len(mid_a) and table[i + 1, j] > table[i, j + 1]:  # where either keeps as much, words are added first
                 steps.append(("removed", mid_a[i]))
                 i += 1
             else:

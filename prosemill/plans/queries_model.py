@@ -297,7 +297,7 @@ def lm2_features(spark, d):
 
 def lm1_stats(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("logits"), F.pmod("vec_id", F.lit(64)).cast("int").alias("next_token"))
-    return lm.token_stats(e, ["vec_id"])
+    return lm.token_stats(e, ["vec_id"]).select("vec_id", *[F.round(c, 5).alias(c) for c in ("observed", "entropy", "variance")], "rank")
 
 
 # -- evaluation
@@ -579,6 +579,9 @@ SELECT round(temperature, 6) AS temperature, round(loss, 6) AS loss FROM l ORDER
     "sc8_distribution": f"""WITH {SCORED}, {_DECIDED}, c AS (SELECT source, d2 AS decision, count(*) AS n FROM decided GROUP BY 1, 2), e AS (SELECT *, 100.0 * n / sum(n) OVER (PARTITION BY source) AS x, list_position(['machine', 'mixed', 'unsure', 'human'], decision) AS o FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(x - floor(x), 9) DESC, o) AS k, 100 - sum(floor(x)) OVER (PARTITION BY source) AS left_over FROM e) SELECT source, decision, CAST(floor(x) + CASE WHEN k <= left_over THEN 1 ELSE 0 END AS BIGINT) AS percent FROM r WHERE floor(x) + CASE WHEN k <= left_over THEN 1 ELSE 0 END > 0""",
     "sc10_rewrite": "SELECT doc_id, md5(trim(text)) AS text_md5, CASE WHEN doc_id % 2 = 0 THEN 'r-00' || CAST(doc_id % 9 AS VARCHAR) || ',r-010' ELSE '' END AS removed FROM documents",
+    "lm1_stats": """WITH z AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS z, vec_id % 64 + 1 AS t FROM embeddings), m AS (SELECT *, list_max(z) + ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z))))) AS total FROM z),
+l AS (SELECT vec_id, t, list_transform(z, lambda x: x - total) AS p FROM m), e AS (SELECT *, -list_sum(list_transform(p, lambda x: exp(x) * x)) AS entropy FROM l)
+SELECT vec_id, round(p[t], 5) AS observed, round(entropy, 5) AS entropy, round(list_sum(list_transform(p, lambda x: exp(x) * x * x)) - entropy * entropy, 5) AS variance, CAST(1 + len(list_filter(p, lambda x: x > p[t])) AS INTEGER) AS rank FROM e""",
     "lm2_features": """WITH s AS (SELECT vec_id // 50 AS para, -round(abs(CAST(embedding[1] AS DOUBLE)), 4) AS o, round(abs(CAST(embedding[2] AS DOUBLE)), 4) AS e, round(abs(CAST(embedding[3] AS DOUBLE)), 4) AS v, floor(round(abs(CAST(embedding[4] AS DOUBLE)), 4) * 40) + 1 AS r FROM embeddings)
 SELECT para, round(avg(o), 5) AS l0, round(avg(e), 5) AS l1, round((sum(o) + sum(e)) / sqrt(greatest(sum(v), 1e-6)), 5) AS l2, round(CASE WHEN sum(e) > 0 THEN -sum(o) / sum(e) ELSE 0 END, 5) AS l3, round(avg(ln(r)), 5) AS l4, round(avg(CAST(r = 1 AS INTEGER)), 5) AS l5, round(avg(CAST(r <= 10 AS INTEGER)), 5) AS l6,
   round(CASE WHEN count(*) > 1 THEN stddev_samp(o) ELSE 0 END, 5) AS l7 FROM s GROUP BY para""",
