@@ -168,24 +168,29 @@ def decoded(files: list[bytes | None]) -> list[tuple[int, int, bytes, np.ndarray
         elif x:
             out[i] = None
     for size, rows in by_size.items():
-        blocks = [np.frombuffer(out[i][3], np.uint8)[: len(out[i][3]) // size * size].reshape(-1, size) for i in rows]
-        parts, together, count = [], [], 0
-        for b in [*blocks, None]:
-            if together and (b is None or count + len(b) > TOGETHER):
-                parts.append(decode_adpcm(np.concatenate(together)))
-                together, count = [], 0
-            if b is not None:
-                together.append(b)
-                count += len(b)
-        # parts end where a file ends
-        at, part = 0, iter(parts)
-        current = next(part, None)
-        for i, b in zip(rows, blocks):
-            if current is not None and at >= len(current):
-                current, at = next(part, None), 0
-            samples = current[at : at + len(b)].ravel() if len(b) else np.empty(0, np.int16)
-            at += len(b)
-            out[i] = (out[i][0], out[i][1], out[i][3], samples)
+        samples: dict[int, list[np.ndarray]] = {i: [] for i in rows}
+        together: list[tuple[int, np.ndarray]] = []
+        held = 0
+
+        def decode() -> None:
+            at, both = 0, decode_adpcm(np.concatenate([b for _, b in together]))
+            for i, b in together:
+                samples[i].append(both[at : at + len(b)].ravel())
+                at += len(b)
+            together.clear()
+
+        for i in rows:  # long files in slices, short ones side by side
+            blocks = np.frombuffer(out[i][3], np.uint8)[: len(out[i][3]) // size * size].reshape(-1, size)
+            for part in (blocks[k : k + TOGETHER] for k in range(0, len(blocks), TOGETHER)):
+                if together and held + len(part) > TOGETHER:
+                    decode()
+                    held = 0
+                together.append((i, part))
+                held += len(part)
+        if together:
+            decode()
+        for i in rows:
+            out[i] = (out[i][0], out[i][1], out[i][3], np.concatenate(samples[i]) if samples[i] else np.empty(0, np.int16))
     return out
 
 
@@ -230,7 +235,11 @@ def measures(pcm: np.ndarray) -> str:
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): each text as a WAVE file. Null texts are stored as empty ones."""
+    """(doc_id, n_bytes, media): each text as a WAVE file. Null texts are stored as empty ones.
+
+    Repeated rows come back as often as they came, equal texts as equal files; a null doc_id stays null. An empty table gives an empty
+    result; other columns of docs, whatever their names, don't count. A file holds its whole text, however long.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -241,7 +250,11 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 
 def digests(stored: DataFrame, up: int = 2) -> DataFrame:
-    """What is read back of each row (doc_id, n_bytes, media): lengths, checksums and measures of the resampled PCM."""
+    """What is read back of each row (doc_id, n_bytes, media): lengths, checksums and measures of the resampled PCM.
+
+    Long files are decoded TOGETHER blocks at a time. Repeated rows come back as often as they came, an empty table gives an empty
+    result; other columns don't count.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sha = lambda x: hashlib.sha256(x).hexdigest()

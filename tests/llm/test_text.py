@@ -74,6 +74,14 @@ def test_adpcm_blocks_decode_as_one_by_one():
     assert np.abs(back.astype(int) - wave)[100:].max() < 400
 
 
+def test_long_files_are_decoded_in_slices(monkeypatch):
+    r = np.random.default_rng(4)
+    files = [audio.wave(r.integers(0, 256, 576 * n, dtype=np.uint8).tobytes(), audio.IMA_ADPCM) for n in (1, 7, 0, 3, 20)]
+    whole = audio.decoded(files)
+    monkeypatch.setattr(audio, "TOGETHER", 3)
+    assert all((a[3] == b[3]).all() and len(a[3]) == n * 1145 for a, b, n in zip(whole, audio.decoded(files), (1, 7, 0, 3, 20)))
+
+
 def test_logarithmic_tables():
     """Symmetric, monotonic, and with the known ends."""
     mu, a = audio.TABLES[audio.MU_LAW].astype(int), audio.TABLES[audio.A_LAW].astype(int)
