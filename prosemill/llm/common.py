@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prosemill.session import ready
@@ -62,6 +63,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def best(df: DataFrame, by: list[str], order: list[Column], k: int, parts: int = 64) -> DataFrame:
+    """df with rank (from 1): the k first rows of each group in this order. Each of some parts of a group is ranked and cut first, so
+    that no task gets a large group whole."""
+    part = free_name(df, "part")
+    first = df.withColumn(part, F.pmod(F.xxhash64(*[c for c in df.columns if c not in by]), F.lit(parts)))
+    short = first.withColumn("rank", F.row_number().over(W.partitionBy(*by, part).orderBy(*order))).filter(F.col("rank") <= k)
+    return short.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("int")).filter(F.col("rank") <= k).drop(part)
+
+
 def words(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z only) words as UTF-8; none for null."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_search, queries_text
+from . import queries_corpus, queries_search, queries_text
 
-QUERIES = {**queries_search.QUERIES, **queries_text.QUERIES}
-SQL = {**queries_search.SQL, **queries_text.SQL}
+QUERIES = {**queries_search.QUERIES, **queries_text.QUERIES, **queries_corpus.QUERIES}
+SQL = {**queries_search.SQL, **queries_text.SQL, **queries_corpus.SQL}
