@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, best, stored
 
 #: Bits for each term and level put in, slices of a term, bits and documents of a block at most (a document's own bits may be more).
-BITS, SLICES, BLOCK_BITS, BLOCK_DOCS = 10, 4, 1 << 23, 4096
+BITS, SLICES, BLOCK_BITS, BLOCK_DOCS = 16, 8, 1 << 24, 4096
 #: Bytes of items that are answered together, and candidates that are broadcast rather than shuffled.
 ITEM_BYTES, BROADCAST = 1 << 18, 1 << 20
 INDEX = "docs long, total long, levels int, width int, keys array<long>, ns array<long>, slices binary, terms array<string>, dfs array<long>"
@@ -42,9 +42,9 @@ def terms(text: str | None) -> list[bytes]:
 
 def thresholds(most: int) -> np.ndarray:
     """The occurrences of each level up to the first above most: 1, 2, 3, 4, 6, 8, 12, ..."""
-    out = [1, 2]
+    out = [1, 2, 3]
     while out[-1] <= most:
-        out.append(3 * out[-2] // 2 if len(out) % 2 == 0 else 2 * out[-2])
+        out.append(2 * out[-2])
     return np.array(out)
 
 
@@ -53,11 +53,9 @@ def places(hashes: np.ndarray, width: int) -> np.ndarray:
     return ((hashes & np.uint64(0xFFFFFFFF))[:, None] + np.arange(SLICES, dtype=np.uint64) * (hashes >> np.uint64(32) | np.uint64(1))[:, None]) % np.uint64(width)
 
 
-def at_level(hashes: np.ndarray, level: int | np.ndarray) -> np.ndarray:
-    """Hashes of terms at a level, mixed anew."""
-    x = hashes + np.asarray(level, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ x >> np.uint64(31)
+def at_level(hashes: np.ndarray, level: int) -> np.ndarray:
+    """Hashes of terms at a level, by another odd factor each."""
+    return hashes * np.uint64(pow(0x9E3779B97F4A7C15, level, 1 << 64))
 
 
 class _Block:
