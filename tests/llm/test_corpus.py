@@ -6,9 +6,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
-from prosemill.llm import lexical
+from prosemill.llm import lexical, phrases
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 DOCS = "doc_id long, text string, KEY string, score double, lang string"
@@ -63,7 +64,6 @@ def test_ranks_are_exact(spark, monkeypatch):
     assert ranked(lexical.rank_documents(df, asked, 10).collect()) == want
     monkeypatch.setattr(lexical, "ITEM_BYTES", 100)
     monkeypatch.setattr(lexical, "BROADCAST", 0)
-    monkeypatch.setattr(lexical, "BLOCK_DOCS", 16)
     assert ranked(lexical.rank_documents(df, asked, 10).collect()) == want
 
 
@@ -99,3 +99,61 @@ def test_bounds_hold_and_are_close():
             close += most[i, d] <= 1.3 * score
     assert close > 0.9 * most.size
     assert lexical.thresholds(9).tolist() == [1, 2, 3, 4, 6, 8, 12]
+
+
+def brute_phrases(docs, least, inside, k):
+    n, f = Counter(), {1: Counter(), 2: Counter(), 3: Counter()}
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", "".join(c.lower() if c < "\x80" else c for c in text or "")):
+            ws = re.findall("[^ \t]+", piece)
+            n[lang] += len(ws)
+            for size in f:
+                f[size].update((lang, *ws[i : i + size]) for i in range(len(ws) - size + 1))
+    rows = []
+    for size in (2, 3):
+        for (lang, *ws), a in f[size].items():
+            if a < least:
+                continue
+            longer = [b for (m, *x), b in f[3].items() if size == 2 and m == lang and b >= least and ws in (x[:2], x[1:])]
+            if any(100 * b >= inside * a for b in longer):
+                continue
+            cuts = [(f[c][(lang, *ws[:c])], f[size - c][(lang, *ws[c:])]) for c in range(1, size)]
+            score, _, l, r = min((10**6 * a * a // (l * r), i, l, r) for i, (l, r) in enumerate(cuts))
+            rows.append((lang, -score, -a, " ".join(ws).encode(), l, r))
+    out, seen = [], Counter()
+    for lang, score, a, phrase, l, r in sorted(rows):
+        seen[lang] += 1
+        if seen[lang] <= k:
+            out.append((lang, seen[lang], phrase.decode(), -a, l, r, n[lang], -score))
+    return out
+
+
+@pytest.mark.parametrize("head,pairs,lookup", [(1 << 19, 1 << 20, 9), (40, 1 << 20, 9), (1 << 19, 30, 2), (25, 20, 3), (0, 0, 1)])
+def test_phrases_are_exact(spark, monkeypatch, head, pairs, lookup):
+    """All words and pairs held by tasks, some of them, or none; ties, repeats, null languages and texts, long texts, odd white space."""
+    for name, value in (("HEAD", head), ("PAIRS", pairs), ("LOOKUP", lookup), ("GROUP", 500), ("FILTER_PART", 1 << 23)):
+        monkeypatch.setattr(phrases, name, value)
+    r = random.Random(3)
+    words = ["Of", "the", "été", "New", "york", "ÄB", "x\xa0y", "a'b", "-", *[f"w{i}" for i in range(60)]]
+    line = lambda n: "".join(r.choice([" ", " ", " ", "\t", "  ", ", ", ".", "\n", "\r\n"]) + w for w in r.choices(words, [1 / (i + 1) for i in range(len(words))], k=n))
+    docs = [(r.choice(["en", "fr", None, "und", ""]), line(r.choice([1, 2, 30, 300])) + " of the world new york city" * r.randint(0, 2)) for _ in range(120)]
+    docs += [("en", None), (None, ""), ("en", " . ; "), ("fr", "yes no " * 4000), ("de", "a b c " * 9)] + [docs[5]] * 3
+    df = spark.createDataFrame([(i, t, lang, 1, "p") for i, (lang, t) in enumerate(docs)], "doc_id long, text string, lang string, n long, phrase string").repartition(3)
+    names = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    got = sorted(tuple(x[c] for c in names) for x in phrases.mine(df, 10, 50, 40).collect())
+    assert got == sorted(brute_phrases(docs, 10, 50, 40)) and len(got) > 100
+
+
+def test_phrases_without_rows(spark):
+    df = spark.createDataFrame([(1, None, None), (2, "", "en")], "doc_id long, text string, lang string")
+    assert phrases.mine(df).count() == 0 and phrases.mine(df.limit(0)).count() == 0
+
+
+def test_tiles_dense_and_sparse(monkeypatch):
+    monkeypatch.setattr(phrases, "SIDE", 3)
+    monkeypatch.setattr(phrases, "DENSE", 50)
+    r = np.random.default_rng(0)
+    left, right = (np.minimum(r.geometric(0.08, 4000) - 1, 70) for _ in range(2))
+    codes, counts = phrases.tile_counts(left, right)
+    assert dict(zip(codes.tolist(), counts.tolist())) == Counter((left << 32 | right).tolist()) and len(set(codes.tolist())) == len(codes)
