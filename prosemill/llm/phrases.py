@@ -49,7 +49,7 @@ def languages(docs: DataFrame) -> DataFrame:
 def drained(counts: dict[str, Counter[bytes]]) -> pd.DataFrame:
     rows = [(lang, w.decode("utf-8", "surrogatepass"), n) for lang, c in counts.items() for w, n in c.items()]
     counts.clear()
-    return pd.DataFrame(rows, columns=["lang", "phrase", "n"]).astype({"n": "int64"})
+    return pd.DataFrame(rows, columns=["lang", "phrase", "n"]).astype({"lang": object, "phrase": object, "n": "int64"})
 
 
 def word_counts(texts: DataFrame, least: int) -> DataFrame:
@@ -67,7 +67,7 @@ def word_counts(texts: DataFrame, least: int) -> DataFrame:
                 if sum(map(len, counts.values())) >= STRINGS:
                     yield drained(counts)
         yield drained(counts)
-        yield pd.DataFrame({"lang": list(totals), "phrase": None, "n": list(totals.values())}).astype({"n": "int64"})
+        yield pd.DataFrame([(lang, None, n) for lang, n in totals.items()], columns=["lang", "phrase", "n"]).astype({"lang": object, "phrase": object, "n": "int64"})
 
     return texts.mapInPandas(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | F.col("phrase").isNull())
 
@@ -136,8 +136,9 @@ def dealt(lang: str, codes: np.ndarray, counts: np.ndarray, groups: int) -> pd.D
     order = np.argsort(group, kind="stable")
     codes, counts, group = codes[order], counts[order], group[order]
     own, starts = np.unique(group, return_index=True)
-    ends = [*starts[1:].tolist(), len(group)]
-    return pd.DataFrame({"lang": lang, "part": own, "codes": [codes[a:b].tobytes() for a, b in zip(starts, ends)], "counts": [counts[a:b].tobytes() for a, b in zip(starts, ends)]})
+    ends = np.append(starts, len(group))[1:]
+    cut = lambda x: pd.Series([x[a:b].tobytes() for a, b in zip(starts, ends)], dtype=object)
+    return pd.DataFrame({"lang": pd.Series([lang] * len(own), dtype=object), "part": own, "codes": cut(codes), "counts": cut(counts)})
 
 
 def tiled(texts: DataFrame, heads: dict[str, Head], pairs: dict[str, Pairs] | None, groups: int, least: int) -> DataFrame:
@@ -200,7 +201,8 @@ def tiled(texts: DataFrame, heads: dict[str, Head], pairs: dict[str, Pairs] | No
             rest = ranked.counts[ranked.find(joined(middle, right))]
             l = np.stack((head.counts[first_id], ranked.counts[left]), 1).tolist()
             r = np.stack((rest, last), 1).tolist()
-        return pd.DataFrame({"lang": key[0], "words": words, "a": total, "l": l, "r": r})
+        lists = lambda x: pd.Series(x, dtype=object)  # noqa: E731  also without rows
+        return pd.DataFrame({"lang": lists([key[0]] * len(total)), "words": lists(words), "a": total, "l": lists(l), "r": lists(r)})
 
     partial = texts.mapInPandas(run, "lang string, part long, codes binary, counts binary")
     return partial.groupBy("lang", "part").applyInPandas(add, COUNTS)
