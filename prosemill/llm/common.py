@@ -55,10 +55,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored_path(spark: SparkSession) -> str:
+    """A new place in the folder for checkpoints, which executors share."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the folder for checkpoints, which executors share; smaller than a checkpoint."""
+    """The rows as a Parquet table in the folder for checkpoints; smaller than a checkpoint."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = stored_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
