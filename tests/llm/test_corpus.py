@@ -1,5 +1,8 @@
 """Lexical search, archives and phrases against brute force, with empty, null, tied and repeated rows."""
 
+import glob
+import gzip
+import hashlib
 import math
 import random
 import re
@@ -8,8 +11,10 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from prosemill.llm import lexical, phrases
+from prosemill.llm import lexical, phrases, warc
+from prosemill.llm.common import stored_path
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 DOCS = "doc_id long, text string, KEY string, score double, lang string"
@@ -157,3 +162,63 @@ def test_tiles_dense_and_sparse(monkeypatch):
     left, right = (np.minimum(r.geometric(0.08, 4000) - 1, 70) for _ in range(2))
     codes, counts = phrases.tile_counts(left, right)
     assert dict(zip(codes.tolist(), counts.tolist())) == Counter((left << 32 | right).tolist()) and len(set(codes.tolist())) == len(codes)
+
+
+PAGES = "page_id long, url string, html string, digest string, record_id int, value string"
+
+
+def some_pages(spark, rows):
+    return spark.createDataFrame([(*x, "d", 1, "v") for x in rows], PAGES)
+
+
+def brute_archive(rows):
+    data = [(i, (x or "").encode()) for i, _, x in rows]
+    best, out = {}, []
+    for row, (i, d) in enumerate(data):
+        best[d] = max(best.get(d, (False, 0, -(10**9))), (i is not None, i or 0, -row))
+    for row, (i, d) in enumerate(data):
+        whole = len(d) < 1000 or best[d] == (i is not None, i or 0, -row)
+        out.append((i, len(d), hashlib.sha1(d).hexdigest(), "response" if whole else "revisit", None if whole else (best[d][1] if best[d][0] else None)))
+    return sorted(out, key=repr)
+
+
+def test_archives_keep_each_payload_once(spark):
+    """Sizes around the least, repeated rows and pages, null ids and texts, payloads that look like records, urls with line breaks."""
+    long = lambda c: c * 1000
+    rows = [(i, f"http://a/{i}", long("x")) for i in range(40)] + [(i, "u", "x" * 999) for i in range(5)] + [(50, "u", long("é")), (51, None, long("é")), (51, "other", long("é"))]
+    trick = "<p>\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 30
+    rows += [(60, "http://b/\r\nWARC-Type: metadata", trick), (61, "u", trick), (62, "u", None), (63, "u", ""), (None, "u", long("x")), (None, "u", long("n")), (None, "v", long("n")), (70, "u", "y\n" * 900), (70, "u", "y\n" * 900)]
+    got = warc.archive(some_pages(spark, rows).repartition(3), 1000).collect()
+    assert sorted((tuple(x) for x in got), key=repr) == brute_archive(rows)
+    assert warc.archive(some_pages(spark, []), 1000).count() == 0
+
+
+def test_archives_are_whole_and_can_be_resolved_again(spark):
+    """Records as the format has them; payloads come back; new crawls' revisits find the originals; a broken file raises."""
+    long = lambda c: c * 1200
+    crawl, target, again = (stored_path(spark) for _ in range(3))
+    warc.write(warc.crawled(some_pages(spark, [(1, "http://a/ü", long("ü")), (2, "http://b", long("ü")), (3, "c", "")])), crawl)
+    warc.resolve_archives(spark, crawl, target)
+    data = b"".join(gzip.open(f).read() for f in sorted(glob.glob(f"{target.removeprefix('file:')}/part-*")))
+    records = list(warc.parsed(data, "all"))
+    assert len(records) == 3 and data.count(long("ü").encode()) == 1
+    kinds = {f["page-id"]: f for _, f, _ in records}
+    assert kinds["1"]["warc-type"] == "revisit" and kinds["1"]["warc-refers-to"] == kinds["2"]["warc-record-id"] and kinds["1"]["warc-profile"] == warc.PROFILE
+    assert {x["page_id"]: x["payload"] for x in warc.read(spark, target).collect()} == {1: None, 2: long("ü").encode(), 3: b""}
+    # another crawl of the same page beside the resolved archives: the old revisit gets the newest original
+    warc.write(warc.crawled(some_pages(spark, [(9, "d", long("ü"))])), target, mode="append")
+    warc.resolve_archives(spark, target, again)
+    assert {x["page_id"]: (x["record_type"], x["payload_bytes"], x["refers_to"]) for x in warc.described(spark, again).collect()} == {1: ("revisit", 2400, 9), 2: ("revisit", 2400, 9), 3: ("response", 0, None), 9: ("response", 2400, None)}
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.parsed(data[:-400], "x"))
+    with pytest.raises(ValueError, match="no record"):
+        list(warc.parsed(b"GIF89a", "x"))
+
+
+def test_attached_splits_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST", 10)
+    rows = spark.range(9000).select("id", F.when(F.col("id") < 4000, 0).otherwise(F.col("id") % 500).alias("key"))
+    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("most")).filter("key <> 7")
+    got = warc.attached(rows, groups, "key", 9000)
+    assert got.count() == 9000 and got.filter("key = 0 and most is null or key = 7 and most is not null").count() == 0
+    assert got.filter("most is null").count() == rows.filter("key = 7").count()
