@@ -33,6 +33,7 @@ CHUNK, GROUP, STRINGS = 1 << 21, 1 << 21, 1 << 19
 FILTER, FILTER_PART, LOOKUP = 1 << 27, 1 << 20, 1 << 16
 #: A-Z are lower-cased; what ends a piece becomes a line break.
 TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9)
+PACKED = "lang string, size long, codes binary, counts binary"
 COUNTS = "lang string, words array<string>, a long, l array<long>, r array<long>"
 
 
@@ -142,9 +143,8 @@ def dealt(lang: str, codes: np.ndarray, counts: np.ndarray, groups: int) -> pd.D
 
 
 def tiled(texts: DataFrame, heads: dict[str, Head], pairs: dict[str, Pairs] | None, groups: int, least: int) -> DataFrame:
-    """(see COUNTS) of frequent pairs of ranked words, or of frequent phrases of a ranked pair and a word if pairs are given."""
-    sc = texts.sparkSession.sparkContext
-    shared = sc.broadcast((heads, pairs))
+    """PACKED codes and counts of frequent pairs of ranked words, or of frequent phrases of a ranked pair and a word if pairs are given."""
+    shared = texts.sparkSession.sparkContext.broadcast((heads, pairs))
 
     def count(lang: str, ids: np.ndarray, own: dict[str, Pairs] | None) -> pd.DataFrame:
         code = pair_codes(ids)
@@ -178,34 +178,43 @@ def tiled(texts: DataFrame, heads: dict[str, Head], pairs: dict[str, Pairs] | No
             yield count(lang, np.concatenate(parts), own_pairs)
 
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        own_heads, own_pairs = shared.value
         codes = np.concatenate([np.frombuffer(x, np.int64) for x in rows["codes"]])
         counts = np.concatenate([np.frombuffer(x, np.int64) for x in rows["counts"]])
         order = np.argsort(codes, kind="stable")
         codes = codes[order]
         first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
         total = np.add.reduceat(counts[order], first)
-        codes, total = codes[first][total >= least], total[total >= least]
-        head = own_heads[key[0]]
-        left, right = codes >> 32, codes & 0xFFFFFFFF
-        name = [w.decode("utf-8", "surrogatepass") for w in map(head.words.__getitem__, right)]
-        last = head.counts[right]
-        if own_pairs is None:
-            words = [[head.words[a].decode("utf-8", "surrogatepass"), b] for a, b in zip(left, name)]
-            l, r = [[x] for x in head.counts[left].tolist()], [[x] for x in last.tolist()]
-        else:
-            ranked = own_pairs[key[0]]
-            before = ranked.by_rank[left]
-            first_id, middle = before >> 32, before & 0xFFFFFFFF
-            words = [[head.words[a].decode("utf-8", "surrogatepass"), head.words[m].decode("utf-8", "surrogatepass"), b] for a, m, b in zip(first_id, middle, name)]
-            rest = ranked.counts[ranked.find(joined(middle, right))]
-            l = np.stack((head.counts[first_id], ranked.counts[left]), 1).tolist()
-            r = np.stack((rest, last), 1).tolist()
-        lists = lambda x: pd.Series(x, dtype=object)  # noqa: E731  also without rows
-        return pd.DataFrame({"lang": lists([key[0]] * len(total)), "words": lists(words), "a": total, "l": lists(l), "r": lists(r)})
+        return packed(key[0], codes[first][total >= least], total[total >= least])
 
     partial = texts.mapInPandas(run, "lang string, part long, codes binary, counts binary")
-    return partial.groupBy("lang", "part").applyInPandas(add, COUNTS)
+    return partial.groupBy("lang", "part").applyInPandas(add, PACKED).filter("size > 0")
+
+
+def packed(lang: str, codes: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"lang": [lang], "size": [len(codes)], "codes": [codes.tobytes()], "counts": [counts.tobytes()]})
+
+
+def unpacked(found: DataFrame, heads: dict[str, Head], pairs: dict[str, Pairs] | None) -> DataFrame:
+    """COUNTS of what tiled() found."""
+    shared = found.sparkSession.sparkContext.broadcast((heads, pairs))
+    lists = lambda x: pd.Series(x, dtype=object)
+    text = lambda head, ids: [w.decode("utf-8", "surrogatepass") for w in map(head.words.__getitem__, ids.tolist())]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own_heads, own_pairs = shared.value
+        for row in (r for b in batches for r in b.itertuples()):
+            head, codes = own_heads[row.lang], np.frombuffer(row.codes, np.int64)
+            left, right = codes >> 32, codes & 0xFFFFFFFF
+            if own_pairs is None:
+                words, before, after = zip(text(head, left), text(head, right)), [head.counts[left]], [head.counts[right]]
+            else:
+                ranked = own_pairs[row.lang]
+                first, middle = ranked.by_rank[left] >> 32, ranked.by_rank[left] & 0xFFFFFFFF
+                words = zip(text(head, first), text(head, middle), text(head, right))
+                before, after = [head.counts[first], ranked.counts[left]], [ranked.counts[ranked.find(joined(middle, right))], head.counts[right]]
+            yield pd.DataFrame({"lang": lists([row.lang] * len(codes)), "words": lists([list(w) for w in words]), "a": np.frombuffer(row.counts, np.int64), "l": lists(np.stack(before, 1).tolist()), "r": lists(np.stack(after, 1).tolist())})
+
+    return found.mapInPandas(run, COUNTS)
 
 
 # -- beyond what tasks hold
@@ -305,19 +314,42 @@ def ranked_heads(words: DataFrame) -> tuple[dict[str, Head], bool]:
     return heads, more
 
 
-def ranked_pairs(pairs: DataFrame, heads: dict[str, Head]) -> tuple[dict[str, Pairs], bool]:
-    """The PAIRS most frequent pairs of ranked words by language, and whether there are more pairs than these."""
-    more = pairs.count() > PAIRS
-    rows = pairs.select("lang", F.col("words")[0].alias("v"), F.col("words")[1].alias("w"), "a")
-    top = (rows.orderBy(F.desc("a"), "lang", "v", "w").limit(PAIRS) if more else rows).toPandas()
+def frequent(found: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """PACKED pairs of at most so many, the most frequent ones, and whether others were left out: all of one size class are in or out."""
+    if (found.agg(F.sum("size")).first()[0] or 0) <= most:
+        return found, False
+    grade = lambda counts: (16 * np.log2(counts)).astype(np.int64)
+
+    def grades(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own, n = np.unique(grade(np.concatenate([np.frombuffer(x, np.int64) for x in b["counts"]])), return_counts=True)
+            yield pd.DataFrame({"grade": own, "n": n})
+
+    cut, total = 1 << 20, 0
+    for x in found.mapInPandas(grades, "grade long, n long").groupBy("grade").agg(F.sum("n").alias("n")).orderBy(F.desc("grade")).collect():
+        total += x["n"]
+        if total > most:
+            break
+        cut = x["grade"]
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row in (r for b in batches for r in b.itertuples()):
+            codes, counts = np.frombuffer(row.codes, np.int64), np.frombuffer(row.counts, np.int64)
+            large = grade(counts) >= cut
+            yield packed(row.lang, codes[large], counts[large])
+
+    return found.mapInPandas(keep, PACKED).filter("size > 0"), True
+
+
+def ranked_pairs(found: DataFrame) -> tuple[dict[str, Pairs], bool]:
+    """The PAIRS most frequent of PACKED pairs, ranked by language, and whether there are more."""
+    top, more = frequent(found, PAIRS)
+    parts: dict[str, list] = {}
+    for x in top.select("lang", "codes", "counts").collect():
+        parts.setdefault(x["lang"], []).append((np.frombuffer(x["codes"], np.int64), np.frombuffer(x["counts"], np.int64)))
     out = {}
-    for lang, own in top.groupby("lang", sort=True):
-        ids = heads[lang].ids if lang in heads else {}
-        v = np.array([ids.get(x.encode("utf-8", "surrogatepass"), -1) for x in own["v"]], np.int64)
-        w = np.array([ids.get(x.encode("utf-8", "surrogatepass"), -1) for x in own["w"]], np.int64)
-        known = (v >= 0) & (w >= 0)
-        more |= not known.all()
-        codes, counts = joined(v[known], w[known]), own["a"].to_numpy(np.int64)[known]
+    for lang, own in parts.items():
+        codes, counts = (np.concatenate(x) for x in zip(*own))
         order = np.lexsort((codes, -counts))
         codes, counts = codes[order], counts[order]
         ranks = np.argsort(codes, kind="stable")
@@ -325,10 +357,6 @@ def ranked_pairs(pairs: DataFrame, heads: dict[str, Head]) -> tuple[dict[str, Pa
     return out, more
 
 
-def unranked(pairs: DataFrame) -> DataFrame:
-    return pairs.select("lang", F.array_join("words", " ").alias("phrase"), F.col("a").alias("n"))
-
-
 def phrase_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lang, n) of all words; frequent pairs and phrases of three words as COUNTS."""
     texts = languages(docs)
@@ -338,16 +366,18 @@ def phrase_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, Da
     groups = max(1, -(-size // GROUP))
     words = counted.filter("phrase is not null and n >= %d" % least)
     heads, more = ranked_heads(words)
-    pairs = stored(tiled(texts, heads, None, groups, least))
+    tiles = stored(tiled(texts, heads, None, groups, least))
+    pairs = unpacked(tiles, heads, None)
     words_in = bitmap(words) if more else None
+    ranks, unranked = ranked_pairs(tiles)
     if more:
-        pairs = stored(pairs.unionByName(counted_cuts(string_counts(texts, heads, None, words_in, None, least), words)))
-    ranks, more = ranked_pairs(pairs, heads)
-    triples = stored(tiled(texts, heads, ranks, groups, least))
-    if more:
-        both = unranked(pairs)
+        pairs = pairs.unionByName(counted_cuts(stored(string_counts(texts, heads, None, words_in, None, least)), words))
+    triples = unpacked(stored(tiled(texts, heads, ranks, groups, least)), heads, ranks)
+    if more or unranked:
+        pairs = stored(pairs)
+        both = pairs.select("lang", F.array_join("words", " ").alias("phrase"), F.col("a").alias("n"))
         found = stored(string_counts(texts, heads, ranks, words_in, bitmap(both), least))
-        triples = stored(triples.unionByName(counted_cuts(found, words.unionByName(both))))
+        triples = triples.unionByName(counted_cuts(found, words.unionByName(both)))
     return totals, pairs, triples
 
 
