@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .offsets import UNITS, bare, matches, once, prefix_sums
+
 #: White space and word patterns.
 WS = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 NOT_WS = r"[^\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
@@ -76,20 +78,9 @@ def is_english(ws: Column) -> Column:
     return english_share(ws) >= 0.1
 
 
-def find_all(c: Column, pattern: str) -> Column:
-    """array<struct<start, end>> of all matches, in code points; the pattern has no groups that matter."""
-    pieces, hits = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), 0)
-    both = F.zip_with(pieces, hits, lambda p, h: F.struct(F.length(p).alias("gap"), F.length(h).alias("hit")))
-    spans = F.array().cast("array<struct<start:int,end:int>>")
-    return F.aggregate(
-        F.filter(both, lambda x: x["hit"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), spans.alias("spans")),
-        lambda s, x: F.struct(
-            (s["at"] + x["gap"] + x["hit"]).alias("at"),
-            F.concat(s["spans"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["hit"]).alias("end")))).alias("spans"),
-        ),
-        lambda s: s["spans"],
-    )
+def find_all(c: Column, pattern: str, units: str = "points") -> Column:
+    """array<struct<start, end>> of all matches, in code points or, for units utf16, in UTF-16 units; the pattern has no groups that matter."""
+    return bare(matches(c, pattern, length=UNITS[units]))
 
 
 # -- segments
@@ -108,22 +99,19 @@ def segment(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.posexplode(pieces).alias("pos", "text"))
 
 
-def segment_spans(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """keys, pos, start, end: where segment's chunks stand in the text with unified line ends, in code points."""
-    t = unix_lines(F.col(text))
-    pieces, gaps = F.split(t, BLANK), F.regexp_extract_all(t, F.lit(BLANK), 0)
-    both = F.zip_with(pieces, gaps, lambda p, g: F.struct(p.alias("p"), F.coalesce(F.length(g), F.lit(0)).alias("g")))
-    lead = lambda p: F.length(p) - F.length(F.regexp_replace(p, f"^{WS}+", ""))
-    spans = F.aggregate(
-        both,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,keep:boolean>>").alias("s")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["p"]) + x["g"]).alias("at"),
-            F.concat(s["s"], F.array(F.struct((s["at"] + lead(x["p"])).alias("start"), (s["at"] + lead(x["p"]) + F.length(trim(x["p"]))).alias("end"), x["p"].rlike("[A-Za-z]").alias("keep")))).alias("s"),
-        ),
-        lambda s: F.filter(s["s"], lambda y: y["keep"]),
-    )
-    return df.select(*keys, F.posexplode(spans).alias("pos", "s")).select(*keys, "pos", "s.start", "s.end")
+def segment_spans(df: DataFrame, text: str, keys: list[str], units: str = "points") -> DataFrame:
+    """keys, pos, start, end: where segment's chunks stand in the text with unified line ends, in code points or UTF-16 units (utf16)."""
+    t, length = unix_lines(F.col(text)), UNITS[units]
+    pieces, gaps = F.split(t, BLANK, -1), F.regexp_extract_all(t, F.lit(BLANK), 0)
+    both = F.zip_with(pieces, gaps, lambda p, g: F.struct(p.alias("p"), F.coalesce(length(g), F.lit(0)).alias("g")))
+
+    def placed(found: Column) -> Column:
+        starts = prefix_sums(F.transform(found, lambda x: length(x["p"]) + x["g"]))
+        lead = lambda p: length(p) - length(F.regexp_replace(p, f"^{WS}+", ""))
+        at = lambda x, s: F.struct((s + lead(x["p"])).alias("start"), (s + lead(x["p"]) + length(trim(x["p"]))).alias("end"), x["p"].rlike("[A-Za-z]").alias("keep"))
+        return F.filter(F.zip_with(found, starts, at), lambda y: y["keep"])
+
+    return df.select(*keys, F.posexplode(once(both, placed)).alias("pos", "s")).select(*keys, "pos", "s.start", "s.end")
 
 
 def split_blank(df: DataFrame, text: str, keys: list[str]) -> DataFrame:

@@ -124,6 +124,25 @@ def explain(df: DataFrame, model: Network, keys: list[str], names: tuple[str, ..
     return df.select(*keys, "vector", "decision").mapInPandas(run, schema)
 
 
+def reasons(df: DataFrame, pushes: DataFrame, keys: list[str], names: DataFrame | None = None, hits: str | None = None) -> DataFrame:
+    """df with reasons: array<struct<id, name, spans>>, the rules of pushes (keys, rank, rule; see explain) in order of rank.
+
+    names: (id, name) of rules, a few dozen rows; a rule without one shows its id. hits: df's column of array<struct<rule, spans>>; a rule
+    without hits has no spans. Rows without pushes, and null spans, have empty arrays. keys tell df's rows apart.
+    """
+    spans = "array<struct<start:int,end:int>>"
+    called = pushes.select(*keys, "rank", "rule")
+    if names is not None:
+        table = names.select(F.col("id").alias("rule"), "name")
+        called = called.join(F.broadcast(table) if table.limit(10_001).count() <= 10_000 else table, "rule", "left")
+    else:
+        called = called.withColumn("name", F.lit(None).cast("string"))
+    why = called.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("rule").alias("id"), F.coalesce("name", "rule").alias("name")))).alias("_why"))
+    own = lambda x: F.get(F.filter(F.col(hits), lambda h: h["rule"] == x["id"]), F.lit(0))["spans"] if hits else F.lit(None).cast(spans)
+    rows = F.transform("_why", lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name"), F.coalesce(own(x), F.array().cast(spans)).alias("spans")))
+    return df.join(why, keys, "left").withColumn("reasons", F.coalesce(rows, F.array().cast(f"array<struct<id:string,name:string,spans:{spans}>>"))).drop("_why")
+
+
 def shown_p(p: Column) -> Column:
     return F.least(p, F.lit(0.99))
 
@@ -137,8 +156,9 @@ def reading(df: DataFrame, reasons: str | None = None, min_words: int = 25) -> D
     skipped = F.when(F.col("n_words") < min_words, "too-short").when(~F.col("english"), "not-english")
     label = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])[F.col("decision")]
     why = F.when(skipped.isNull(), F.col(reasons)) if reasons else F.lit(None).cast("array<string>")
+    empty = F.array().cast(df.schema[reasons].dataType if reasons else "array<string>")
     probs = F.struct(*[F.col("probs")[i].alias(c) for i, c in enumerate(CLASSES)])
-    return df.withColumn("verdict", F.col("decision")).withColumn("label", label).withColumn("confidence", shown_p(F.col("p"))).withColumn("probabilities", probs).withColumn("skipped", skipped).withColumn("reasons", F.coalesce(why, F.array().cast("array<string>")))
+    return df.withColumn("verdict", F.col("decision")).withColumn("label", label).withColumn("confidence", shown_p(F.col("p"))).withColumn("probabilities", probs).withColumn("skipped", skipped).withColumn("reasons", F.coalesce(why, empty))
 
 
 def file_summary(df: DataFrame, by: list[str]) -> DataFrame:

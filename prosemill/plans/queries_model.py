@@ -271,6 +271,18 @@ def sc5_reading(spark, d):
     return scoring.reading(_decided(spark, d)).select("vec_id", "verdict", F.col("label").alias("shown"), F.round("confidence", 6).alias("confidence"), "skipped", F.size("reasons").alias("n_reasons"))
 
 
+def sc5_reasons(spark, d):
+    """Readings of documents by an untrained network, with the rules that push and their spans."""
+    phrases, openers = queries_text.TEST_PHRASES, queries_text.TEST_OPENERS
+    rows = features.extract_features(documents(spark, d).select("doc_id", "text"), "text", phrases, openers)
+    model = network(len(features.FEATURE_NAMES))
+    read = scoring.decide(scoring.score_mlp(rows, model).withColumn("probs", scoring.softmax(F.col("logits"))), 0.5, 0.7).drop("logits")
+    pushes = scoring.explain(read, model, ["doc_id"], features.RULES)
+    found = spans.located(read.withColumnRenamed("text", "body"), "body").withColumn("hits", spans.rule_hit_structs(phrases, openers))
+    read = scoring.reading(scoring.reasons(found, pushes, ["doc_id"], hits="hits"), "reasons")
+    return read.select("doc_id", "verdict", "label", "confidence", "skipped", F.transform("reasons", lambda r: F.struct(r["id"], F.size(r["spans"]).alias("n_spans"))).alias("reasons"))
+
+
 def sc7_summary(spark, d):
     return scoring.file_summary(scoring.reading(_decided(spark, d)), ["source"])
 

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from prosemill.functions import features, lexicons, web
+from prosemill.functions import features, lexicons, spans, web
 from prosemill.functions import text as T
 from prosemill.operators import audit, dom
 
@@ -89,6 +89,20 @@ def rules_all(spark, d):
     return features.rule_hits(parsed, ["doc_id"]).withColumn("value", F.round("value", 6))
 
 
+def tk7_tell_spans(spark, d):
+    """Each span that is shown, by what the raw text has there, without white space at its ends."""
+    rows = spans.tell_spans(spans.span_rows(documents(spark, d), "text", ["doc_id"], TEST_PHRASES, TEST_OPENERS))
+    return rows.select("doc_id", "rule", "pos", T.trim(F.col("hit")).alias("hit"))
+
+
+def tk7_utf16_spans(spark, d):
+    """Spans of long words in both units, in texts that begin with page_id mod 3 supplementary characters."""
+    text = F.concat(F.repeat(F.lit("\U0001F680 "), F.col("page_id").cast("int") % 3), web.visible_text(F.col("html")))
+    pages = table(spark, d, "pages").select("page_id", text.alias("text"))
+    both = pages.select("page_id", F.posexplode(F.arrays_zip(T.find_all(F.col("text"), "[A-Za-z]{10,}").alias("p"), T.find_all(F.col("text"), "[A-Za-z]{10,}", "utf16").alias("u"))).alias("pos", "s"))
+    return both.select("page_id", "pos", F.col("s.p.start").alias("start"), F.col("s.p.end").alias("end"), F.col("s.u.start").alias("unit_start"), F.col("s.u.end").alias("unit_end"))
+
+
 def style_values(spark, d):
     parsed = features.style_features(features.parse(documents(spark, d).select("doc_id", F.col("text").alias("body")), "body"))
     return parsed.select("doc_id", *[F.round(F.col("style")[i], 6).alias(f"v{i}") for i in range(len(features.STYLE_NAMES))])
@@ -191,6 +205,27 @@ _SHARE = f"len(list_filter(w, lambda x: list_contains({_in(T.ENGLISH_WORDS)}, x)
 VECTOR_SQL = f"{_EXTRA} SELECT doc_id, " + ", ".join(f"{_FLOAT(v)} AS f{i:03d}" for i, v in enumerate([*(RULE_SQL[r] for r in features.RULES), *STYLE_SQL])) + f", CAST(len(w) AS INTEGER) AS n_words, CASE WHEN len(w) > 0 THEN {_SHARE} / len(w) ELSE 0 END >= 0.1 AS english FROM extra"
 
 
+_HITS_OF = lambda p, group=0, t="text": f"regexp_extract_all({t}, '{p}', {group})"
+_PHRASE_HITS = lambda items: "list_transform(" + _HITS_OF("(?i)(?:^|[^A-Za-z])(" + "|".join(x.replace(" ", "  ") for x in items) + ")(?:$|[^A-Za-z])", 1, "regexp_replace(text, '([^A-Za-z])', '\\1\\1', 'g')") + ", lambda x: replace(x, '  ', ' '))"
+_OPENING = lambda items: f"CASE WHEN len(st) > 0 AND regexp_matches(st[1], '{_OPENS(items)}') THEN [regexp_extract(st[1], '{RE('(?i)' + features.LEADING)}({'|'.join(items)})\\b', 1)] ELSE [] END"
+_REPEATED = "list_sort(list_transform(list_distinct(openers), lambda x: {'n': -len(list_filter(openers, lambda y: y = x)), 'i': list_position(openers, x), 'w': x}))[1]"
+#: What each shown rule hits, in order.
+HITS_SQL = {r: _PHRASE_HITS(TEST_PHRASES[r]) for r in _SCALE} | {
+    "r-007": f"list_transform(list_filter(st, lambda x: regexp_matches(x, '{_OPENS(TEST_OPENERS['r-007'])}')), lambda x: substring(x, 1, instr(x, regexp_extract(x, '{SQL_WORD}')) + length(regexp_extract(x, '{SQL_WORD}')) - 1))",
+    "r-009": _HITS_OF(RE("\\u2014|\\u2013" + T.WS + "|" + T.WS + "--" + T.WS)),
+    "r-010": f"list_transform(range(0, CAST(coalesce(list_sum(list_transform(string_split({_MARKED}, chr(10)), lambda x: {_BEFORE})), 0) AS BIGINT)), lambda i: ':')",
+    "r-011": _HITS_OF(RE(features.LABEL)), "r-012": f"list_filter(lines, lambda x: {_IS_TITLE})", "r-013": _HITS_OF(RE(features.EMOJI)), "r-014": _HITS_OF(RE(features.PARALLEL)),
+    "r-015": _HITS_OF(_QUOTES, 0, "raw"), "r-016": f"list_filter(lines, lambda x: regexp_matches(x, '{_LISTED}'))", "r-024": _OPENING(TEST_OPENERS["r-024"]),
+    "r-025": f"list_transform(list_filter(range(1, len(sw) + 1), lambda i: short[i] AND (coalesce(short[i - 1], false) AND i > 1 OR coalesce(short[i + 1], false))), lambda i: st[i])",
+    "r-026": f"list_filter(regexp_extract_all(text, '{RE(features.FROM_TO)}'), lambda x: NOT regexp_matches(x, '{RE('(?i)' + T.START + 'from' + T.WS + '+(?:' + '|'.join(lexicons.RANGE_STARTS) + ')')}'))",
+    "r-027": _OPENING(TEST_OPENERS["r-027"]), "r-028": _HITS_OF(RE(rf"(?i),{T.WS}+(?:{'|'.join(lexicons.PARTICIPLES)})\b[^.!?]*[.!?]")), "r-029": _HITS_OF(RE(spans.STAGED_PART.replace("(?=[A-Z])", "[A-Z]")), 1),
+    "r-030": f"CASE WHEN len(st) >= 3 AND {_REPEATED}.n <= -2 THEN list_transform(list_filter(range(1, len(st) + 1), lambda i: openers[i] = {_REPEATED}.w), lambda i: first[i]) ELSE [] END",
+}
+TELLS_SQL = f"""{_EXTRA}, hits AS ({" UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule, CAST({h} AS VARCHAR[]) AS hits FROM extra" for r, h in HITS_SQL.items())}),
+  each AS (SELECT doc_id, rule, hits, unnest(range(1, len(hits) + 1)) AS i FROM hits)
+SELECT doc_id, rule, CAST(i - 1 AS INTEGER) AS pos, {TRIM('hits[i]')} AS hit FROM each WHERE length(hits[i]) <= 48"""
+
+
 def ht1_visible_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(web.visible_text(F.col("html")).cast("binary")).alias("text_md5"))
 
@@ -203,6 +238,13 @@ VISIBLE = lambda h: (
 )
 
 
+_PREFIX = "repeat(chr(128640) || ' ', page_id % 3)"
+_LONG = "regexp_extract_all(text, '[A-Za-z]{10,}')"
+UNITS_SQL = f"""WITH t AS (SELECT page_id, page_id % 3 AS k, {_PREFIX} || {VISIBLE('html')} AS text FROM pages), m AS (SELECT page_id, k, string_split_regex(text, '[A-Za-z]{{10,}}') AS gaps, {_LONG} AS hits FROM t),
+  e AS (SELECT page_id, k, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM m), p AS (SELECT page_id, k, i, hits, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS place FROM e)
+SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, CAST(place AS INTEGER) AS start, CAST(place + length(hits[i]) AS INTEGER) AS "end", CAST(place + k AS INTEGER) AS unit_start, CAST(place + length(hits[i]) + k AS INTEGER) AS unit_end FROM p"""
+
+
 def ht2_html_paragraphs(spark, d):
     return web.html_paragraphs(table(spark, d, "pages"), "html", ["page_id"])
 
@@ -365,6 +407,7 @@ FROM (SELECT page_id, url, CASE page_id % 8 WHEN 0 THEN url WHEN 1 THEN ' HTTP:/
 QUERIES = {
     "sg1_segment": sg1_segment, "sg2_segment_spans": sg2_segment_spans, "sg3_split_blank": sg3_split_blank, "sg4_long_lines": sg4_long_lines, "sg5_training_paragraphs": sg5_training_paragraphs,
     "sg6_sg8_clean": sg6_sg8_clean, "sg7_markdown_prose": sg7_markdown_prose, "tk_words": tk_words, "tk_sentences": tk_sentences, "tk6_find_all": tk6_find_all, "rules_values": rules_values,
+    "tk7_tell_spans": tk7_tell_spans, "tk7_utf16_spans": tk7_utf16_spans,
     "rules_all": rules_all, "style_values": style_values, "fx1_vectors": fx1_vectors, "ht1_visible_text": ht1_visible_text, "ht2_html_paragraphs": ht2_html_paragraphs, "ht3_page_parts": ht3_page_parts,
     "ht4_content_blocks": ht4_content_blocks, "ht7_attach_css": ht7_attach_css, "ur_urls": ur_urls, "ur1_addresses": ur1_addresses, "ur2_private": ur2_private, "ur5_default_off": ur5_default_off,
     "audit_pages": audit_pages, "audit_copy": audit_copy, "audit_summary": audit_summary,
@@ -378,6 +421,7 @@ SQL = {
 FROM (SELECT doc_id, w, len(list_filter(w, lambda x: list_contains({_in(T.ENGLISH_WORDS)}, x))) AS e FROM (SELECT doc_id, {WORDS("replace(text, chr(8217), '''')")} AS w FROM documents))""",
     "tk_sentences": f"WITH {PARSED} SELECT doc_id, CAST(len(st) AS INTEGER) AS n_sentences, md5(array_to_string(st, '|')) AS sentences_md5, CAST(len(lines) AS INTEGER) AS n_lines FROM parsed",
     "tk6_find_all": "SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, x[i] AS hit FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+') AS x FROM documents))",
+    "tk7_tell_spans": TELLS_SQL, "tk7_utf16_spans": UNITS_SQL,
     "rules_values": RULES_SQL, "style_values": f"WITH {PARSED} SELECT doc_id, " + ", ".join(f"round(CAST({v} AS DOUBLE), 6) AS v{i}" for i, v in enumerate(STYLE_SQL)) + " FROM full_parsed", "rules_all": RULE_ROWS_SQL, "fx1_vectors": VECTOR_SQL,
     "ht1_visible_text": f"SELECT page_id, md5({VISIBLE('html')}) AS text_md5 FROM pages",
     "ht2_html_paragraphs": f"""SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, x[i] AS text FROM (SELECT page_id, x, unnest(range(1, len(x) + 1)) AS i FROM (
