@@ -5,14 +5,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prosemill.functions import features, web
+from prosemill.functions import features, spans, web
 from prosemill.functions import text as T
-from prosemill.operators import corpus, evaluation, feedback, lm, scoring, training
+from prosemill.operators import corpus, evaluation, feedback, lm, network, scoring, training
 from prosemill.operators.evaluation import CLASSES
 from prosemill.sources import io
 
 from . import frames
 from .frames import FEEDBACK, GENERATIONS, LABELLED, SCORED, documents, table
+from . import queries_text
 from .queries_text import SENTENCES
 
 ORDER = lambda salt, *cols: "md5(concat_ws('|', '" + salt + "', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in cols) + "))"
@@ -241,12 +242,20 @@ def tr12_catch(spark, d):
 # -- scoring
 
 
-def network(dim: int = 64) -> scoring.Network:
+def untrained(dim: int = 64) -> scoring.Network:
     return scoring.Network.random((dim, 32, 16, 3), seed=5)
 
 
 def sc1_mlp(spark, d):
-    return scoring.score_mlp(table(spark, d, "embeddings").select("vec_id", "embedding"), network(), "embedding").select("vec_id", "logits")
+    return scoring.score_mlp(table(spark, d, "embeddings").select("vec_id", "embedding"), untrained(), "embedding").select("vec_id", "logits")
+
+
+def tr4_network(spark, d):
+    """A network fitted to two thirds of the vectors and scored on all of them in its rounded form."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"), frames.pick(CLASSES, F.col("label")).alias("label"), frames.pick(("train", "val", "test"), F.col("vec_id")).alias("split"), (F.pmod("vec_id", F.lit(200)) + 10).cast("int").alias("n_words"), (F.pmod("vec_id", F.lit(2)) == 0).alias("modern"))
+    fitted = network.fit_network(rows, "vector", 64, hidden=(32, 16), modern_weights=(1.0, 2.0), seeds=(0, 1), members=2, steps=25)
+    scored = scoring.score_mlp(rows, fitted.network).withColumn("probs", scoring.softmax(F.col("logits")))
+    return scored.select("vec_id", "split", "label", *[F.round(F.col("probs")[i], 4).alias(f"p_{c}") for i, c in enumerate(CLASSES)])
 
 
 def sc2_softmax(spark, d):
@@ -264,7 +273,7 @@ def sc3_decide(spark, d):
 
 def sc4_explain(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"), frames.pick(evaluation.DECISIONS, F.col("vec_id")).alias("decision"))
-    return scoring.explain(rows, network(), ["vec_id"], tuple(f"f{i}" for i in range(36)))
+    return scoring.explain(rows, untrained(), ["vec_id"], tuple(f"f{i}" for i in range(36)))
 
 
 def sc5_reading(spark, d):
@@ -275,7 +284,7 @@ def sc5_reasons(spark, d):
     """Readings of documents by an untrained network, with the rules that push and their spans."""
     phrases, openers = queries_text.TEST_PHRASES, queries_text.TEST_OPENERS
     rows = features.extract_features(documents(spark, d).select("doc_id", "text"), "text", phrases, openers)
-    model = network(len(features.FEATURE_NAMES))
+    model = untrained(len(features.FEATURE_NAMES))
     read = scoring.decide(scoring.score_mlp(rows, model).withColumn("probs", scoring.softmax(F.col("logits"))), 0.5, 0.7).drop("logits")
     pushes = scoring.explain(read, model, ["doc_id"], features.RULES)
     found = spans.located(read.withColumnRenamed("text", "body"), "body").withColumn("hits", spans.rule_hit_structs(phrases, openers))
@@ -538,8 +547,8 @@ _TEMPS = ", ".join(repr(t) for t in training.TEMPERATURES)
 
 QUERIES = {f.__name__: f for f in (
     io2_columns, io6_feedback, io8_stamp, cp1_split, cp1_split_crc, cp3_cap, cp4_band, cp6_replies, cp7_latest, cp8_top, cp9_family, cp10_polish, cp11_holdout, cp12_train_pages, cp13_seeds, cp14_sample, cp15_plan, jn3_pending, cp17_report,
-    jn1_splice, jn2_unseen, jn4_originals, jn5_score_back, jn6_with_lm, jn7_rule_names, fx3_incremental, tr1_standardise, tr2_weights, tr3_logistic, tr4_mlp, tr5_ensemble, tr6_temperature, tr7_vector_scaling, tr8_feedback, tr9_thresholds, tr10_rates,
-    tr11_ablate, tr12_catch, sc1_mlp, sc2_softmax, sc3_decide, sc4_explain, sc5_reading, sc7_summary, sc8_distribution, sc9_diff, sc10_rewrite, lm1_stats, lm2_features, ev1_confusion, ev1_scores, ev4_reliability, ev5_auroc, ev7_outcome, ev8_by_source,
+    jn1_splice, jn2_unseen, jn4_originals, jn5_score_back, jn6_with_lm, jn7_rule_names, fx3_incremental, tr1_standardise, tr2_weights, tr3_logistic, tr4_mlp, tr4_network, tr5_ensemble, tr6_temperature, tr7_vector_scaling, tr8_feedback, tr9_thresholds, tr10_rates,
+    tr11_ablate, tr12_catch, sc1_mlp, sc2_softmax, sc3_decide, sc4_explain, sc5_reading, sc5_reasons, sc7_summary, sc8_distribution, sc9_diff, sc10_rewrite, lm1_stats, lm2_features, ev1_confusion, ev1_scores, ev4_reliability, ev5_auroc, ev7_outcome, ev8_by_source,
     ev9_curves, ev10_wilson, ev11_gate, ev12_compare, ev13_study, ev14_systems, ev15_curve, ev15_closest, ev16_bootstrap, ev17_latency, ev18_delta, fb1_reasons, fb2_batches, fb3_reliability, fb5_weeks, fb6_snapshot, fb7_spend, fb8_merge, fb9_keys, flagship,
 )}
 SQL = {
