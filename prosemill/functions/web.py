@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prosemill.operators.skew import join_hot
+
 from . import text as T
 
 #: Decoded in this order, so doubly escaped text is decoded twice.
@@ -123,10 +125,13 @@ def meta_content(html: Column, name: str) -> Column:
 
 
 def default_off_host(df: DataFrame, host: str, domains: DataFrame) -> DataFrame:
-    """df with off: whether the host or a domain above it is in domains (domain), or looks like a mail or bank host."""
+    """df with off: whether the host or a domain above it is in domains (domain), or looks like a mail or bank host.
+
+    Each host is looked up once; the answers for hosts of very many rows go to where these are. A null host has a null off.
+    """
     h = F.col(host)
     parts = F.split("_host", r"\.")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    listed = df.select(h.alias("_host")).distinct().select("_host", F.explode(above).alias("domain"))
-    hit = listed.join(domains.select("domain").distinct(), "domain", "left_semi").select("_host").distinct().withColumn("_hit", F.lit(True))
-    return df.join(hit, h == F.col("_host"), "left").withColumn("off", F.coalesce("_hit", F.lit(False)) | h.rlike(OFF_PATTERN)).drop("_host", "_hit")
+    listed = df.filter(h.isNotNull()).select(h.alias("_host")).distinct().select("_host", F.explode(above).alias("domain"))
+    hit = listed.join(domains.select("domain").distinct(), "domain", "left_semi").select(F.col("_host").alias(host)).distinct().withColumn("_hit", F.lit(True))
+    return join_hot(df, hit, host, "left").withColumn("off", F.coalesce("_hit", F.lit(False)) | h.rlike(OFF_PATTERN)).drop("_hit")

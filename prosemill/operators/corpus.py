@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from prosemill.functions import text as T
 
+from .skew import join_hot
+
 
 def hash_order(*cols: str, salt: str = "") -> Column:
     """A fixed pseudo-random string for a row: MD5 of salt and columns."""
@@ -253,8 +255,11 @@ def distinct_texts(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def score_back(df: DataFrame, scored: DataFrame, text: str = "text") -> DataFrame:
-    """df with the columns of scored (key, ...): results of distinct texts brought back to every occurrence."""
-    return df.withColumn("key", text_key(F.col(text))).join(scored, "key").drop("key")
+    """df with the columns of scored (key, ...): results of distinct texts brought back to every occurrence.
+
+    Results of texts that occur very often go to where these are; others are shuffled.
+    """
+    return join_hot(df.withColumn("key", text_key(F.col(text))), scored, "key").drop("key")
 
 
 def with_lm(base: DataFrame, lm: DataFrame, key: str) -> DataFrame:
@@ -283,7 +288,15 @@ def featurize_incremental(df: DataFrame, store: DataFrame, compute, spec: int, t
     return store.join(wanted.select("key"), "key", "left_semi").unionByName(new.select(*store.columns))
 
 
-def corpus_stamp(df: DataFrame, cols: tuple[str, ...] = ("text", "label", "split")) -> tuple[int, int]:
-    """(rows, XOR of row hashes): changes with any row, whatever their order."""
-    r = df.agg(F.count("*").alias("n"), F.expr(f"bit_xor(xxhash64({', '.join(cols)}))").alias("x")).first()
-    return r["n"], r["x"] or 0
+def corpus_stamp(df: DataFrame, cols: tuple[str, ...] = ("text", "label", "split")) -> DataFrame:
+    """(rows, first, second): the number of rows, and sums of two independent hashes of 60 bits of each row, modulo 2^60.
+
+    A hash of the multiset of rows: their order and partitions don't matter, and any row added, removed, changed or repeated shows. Nulls
+    differ from empty values, and a value's place among the columns counts. An empty table has three zeros.
+    """
+    value = lambda c: F.col(c).cast("string")
+    row = F.concat(*[F.coalesce(F.concat(F.length(value(c)).cast("string"), F.lit(":"), value(c)), F.lit("-")) for c in cols])
+    digest = F.md5(row.cast("binary"))
+    part = lambda start: F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(28,0)")  # noqa: E731  sums of 10^20 rows fit
+    total = lambda start: F.coalesce((F.sum(part(start)) % F.lit(1 << 60)).cast("long"), F.lit(0).cast("long"))
+    return df.agg(F.count("*").alias("rows"), total(1).alias("first"), total(16).alias("second"))

@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from prosemill.functions.text import trim
 
+from .quoted import read_quoted_csv
+
 #: The corpus: text, label, source, domain, model, group, split and whether the model is a modern one.
 CORPUS = "text string, label string, source string, domain string, model string, `group` string, split string, modern boolean"
 SLIM = "id string, source_id string, model string, decoding string, attack string, domain string, title string, generation string"
 
 
 def slim_csv(spark: SparkSession, path: str, schema: str, keep: list[str], kinds: tuple[str, ...] = ("none", "paraphrase"), min_domains: int = 8, text: str = "generation") -> DataFrame:
-    """Columns keep of a CSV with quoted, multi-line text: rows of these attacks whose text isn't blank. Too few domains raise."""
-    rows = spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST").select(*keep)
+    """Columns keep of a CSV with quoted, multi-line text, read by byte ranges: rows of these attacks whose text isn't blank. Too few
+    domains raise."""
+    rows = read_quoted_csv(spark, path, schema).select(*keep)
     rows = rows.filter(F.col("attack").isin(*kinds) & F.col(text).isNotNull() & (trim(F.col(text)) != ""))
     if rows.agg(F.countDistinct("domain").alias("n")).first()["n"] < min_domains:
         raise ValueError(f"fewer than {min_domains} domains in {path}")
@@ -49,8 +52,9 @@ def read_feedback(df: DataFrame, spec: int) -> DataFrame:
     return df.filter((F.col("spec") == spec) & (F.col("label") != "unsure"))
 
 
-def append_snapshot(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append_snapshot(df: DataFrame, path: str, run: str) -> None:
+    """df's rows as those of one run: a run that is written again replaces its own rows alone, so that a retried job adds nothing."""
+    df.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
 
 
 def stamp(df: DataFrame, text: str) -> DataFrame:
