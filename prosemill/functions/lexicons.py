@@ -10,13 +10,13 @@ PHRASES: dict[str, tuple[str, ...]] = {
     "r-002": ("acts as", "comprises", "constitutes", "serves as"),
     "r-003": ("as a matter of fact", "due to the fact that", "for all intents and purposes", "it is worth noting"),
     "r-004": ("as a language model", "feel free to ask", "happy to help", "hope this helps"),
-    "r-005": ("awe-inspiring", "charming", "idyllic", "stunning", "unforgettable", "vibrant"),
+    "r-005": ("dreamlike", "lavish", "one-of-a-kind", "opulent", "postcard-perfect", "sun-drenched"),
     "r-006": ("beacon", "gateway", "lifeblood", "testament", "treasure trove"),
     "r-008": ("as of my last update", "i have no access to", "my training data"),
     "r-031": ("game changer", "milestone", "pivotal moment", "watershed"),
     "r-032": ("analysts agree", "commentators say", "experts say", "research suggests"),
     "r-033": ("despite these challenges", "hurdles remain", "not without its problems"),
-    "r-035": ("bright future", "future looks bright", "stay tuned", "the best is yet to come"),
+    "r-035": ("and this is just the start", "better days lie ahead", "onwards and upwards", "the sky is the limit"),
     "r-038": ("a matter of perspective", "on the one hand", "there is no right answer"),
 }
 OPENERS: dict[str, tuple[str, ...]] = {
@@ -26,7 +26,7 @@ OPENERS: dict[str, tuple[str, ...]] = {
 }
 HEDGES = ("apparently", "conceivably", "might", "perhaps", "presumably", "probably", "roughly", "somewhat")
 OPINIONS = ("i guess", "i reckon", "i suppose", "i think", "if you ask me", "to my mind")
-PARTICIPLES = ("cementing", "enabling", "highlighting", "marking", "paving", "signalling", "solidifying")
+PARTICIPLES = ("confirming", "hinting", "proving", "revealing", "showing", "suggesting", "turning")
 IRREGULAR = ("born", "brought", "caught", "chosen", "driven", "eaten", "felt", "grown", "lost", "sold", "told", "worn")
 RANGE_STARTS = ("[0-9]", "april", "dawn", "dusk", "head to", "noon", "page", "sunday", "tuesday")
 NOT_ADVERBS = ("burly", "butterfly", "doily", "dragonfly", "family", "gully", "homily", "jelly", "panoply", "reply", "surly", "tally", "wily")

@@ -11,7 +11,8 @@ from . import text as T
 
 #: Decoded in this order, so doubly escaped text is decoded twice.
 ENTITIES = ((r"&nbsp;", " "), (r"&amp;", "&"), (r"&#39;|&apos;|&rsquo;", "'"), (r"&quot;", '"'), (r"&mdash;", "\u2014"), (r"&#8212;", "\u2014"))
-#: Site classes in order; pattern of the host, then of another signal.
+#: Site classes in order; pattern of the host, then of another signal. A correction carries the class that a reader's page
+#: had (see feedback.SITES), so a host must get the class here that it has there; site_class takes other rules too.
 SITE_RULES = (
     ("social", r"(^|\.)(twitter|x|facebook|instagram|linkedin|threads|bsky|tiktok|youtube|mastodon)\.", None, None),
     ("forum", r"(^|\.)(reddit|quora|stackoverflow|stackexchange|ycombinator|discord)\.|^(forums?|community|discuss)\.", "generator", "(?i)discourse"),

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prosemill.functions import text as T
+from prosemill.session import scratch
 
 from .skew import join_hot
 
@@ -52,8 +53,9 @@ def length_band(df: DataFrame, text: str, low: int, high: int | None = None) ->
 def stratified_cap(df: DataFrame, by: list[str], n: int, key: str, salt: str = "") -> DataFrame:
     """Up to n rows of each stratum, in hash order of the key; null strata are strata. Never fewer than min(n, its rows).
 
-    Sizes are counted first, and rows far behind the n-th in expectation are dropped before any window. Strata that this leaves short,
-    such as those of few keys that repeat, keep all their rows up to the window. Rows of one key are told apart by a hash of all columns.
+    Sizes are counted first, and rows far behind the n-th in expectation are dropped before any window. What is left is written to the
+    shared folder; only strata that it leaves short, such as those of few keys that repeat, are read again, with all their rows. Rows of
+    one key are told apart by a hash of all columns.
     """
     u = F.conv(F.substring(F.col("_order"), 1, 8), 16, 10).cast("double") / float(1 << 32)
     ordered = df.withColumn("_order", hash_order(key, salt=salt))
@@ -61,17 +63,23 @@ def stratified_cap(df: DataFrame, by: list[str], n: int, key: str, salt: str = "
     sizes = df.groupBy(*by).agg(F.count("*").alias("_size")).withColumn("_bound", (F.lit(float(n)) + 20 * F.sqrt(F.lit(float(n))) + 400) / F.col("_size"))
     few = sizes.limit(10_001).count() <= 10_000
     small = F.broadcast if few else lambda x: x
+    rank = F.row_number().over(W.partitionBy(*by).orderBy("_order", key, F.xxhash64(*df.columns)))
 
-    def below(bounds: DataFrame) -> DataFrame:
+    def first(bounds: DataFrame) -> DataFrame:
         same = [ordered[c].eqNullSafe(bounds[c]) for c in by]
-        return ordered.join(small(bounds), same).filter(u <= bounds["_bound"]).select(*[ordered[c] for c in ordered.columns])
+        rows = ordered.join(small(bounds), same).filter(u <= bounds["_bound"]).select(*[ordered[c] for c in ordered.columns])
+        return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank", "_order")
 
-    kept = below(sizes).groupBy(*by).agg(F.count("*").alias("_kept"))
-    same = [sizes[c].eqNullSafe(kept[c]) for c in by]
-    short = F.coalesce(F.col("_kept"), F.lit(0)) < F.least(F.col("_size"), F.lit(n))
-    bounds = sizes.join(kept, same, "left").select(*[sizes[c] for c in by], F.when(short, 1.0).otherwise(F.col("_bound")).alias("_bound"))
-    rank = F.row_number().over(W.partitionBy(*by).orderBy("_order", key, F.xxhash64(*df.columns)))
-    return below(bounds).withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank", "_order")
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    first(sizes).write.parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    held = found.groupBy(*by).agg(F.count("*").alias("_held"))
+    same = [sizes[c].eqNullSafe(held[c]) for c in by]
+    short = sizes.join(held, same, "left").filter(F.coalesce("_held", F.lit(0)) < F.least(F.col("_size"), F.lit(n))).select(*[sizes[c] for c in by], F.lit(1.0).alias("_bound"))
+    if short.isEmpty():
+        return found
+    again = [found[c].eqNullSafe(short[c]) for c in by]
+    return found.join(small(short), again, "left_anti").unionByName(first(short))
 
 
 def assistant_replies(conv: DataFrame, budget: int, max_turn: int = 4, languages: tuple[str, ...] | None = None) -> DataFrame:
@@ -179,7 +187,8 @@ def eval_sample(df: DataFrame, quota: dict[str, int], key: str = "doc_id") -> Da
     w = W.partitionBy("label", "source").orderBy("_order", key)
     per = df.filter(F.col("label").isin(*quota)).groupBy("label").agg(F.countDistinct("source").alias("_sources"))
     allowed = F.create_map(*[F.lit(x) for kv in sorted(quota.items()) for x in kv])[F.col("label")]
-    ranked = df.filter(F.col("label").isin(*quota)).withColumn("_order", hash_order(key, salt="eval")).withColumn("_head", F.row_number().over(w)).filter(F.col("_head") <= allowed)
+    most = stratified_cap(df.filter(F.col("label").isin(*quota)), ["label", "source"], max(quota.values(), default=0), key, "eval")  # so no window sees a large source
+    ranked = most.withColumn("_order", hash_order(key, salt="eval")).withColumn("_head", F.row_number().over(w)).filter(F.col("_head") <= allowed)
     placed = ranked.join(per, "label").withColumn("_late", (F.col("_head") > F.floor(allowed / F.col("_sources"))).cast("int"))
     final = placed.withColumn("_rank", F.row_number().over(W.partitionBy("label").orderBy("_late", "_order", key))).filter(F.col("_rank") <= allowed)
     return final.drop("_order", "_head", "_sources", "_late", "_rank")

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from prosemill.functions import features
-from prosemill.operators import feedback, scoring
+from prosemill.operators import corpus, feedback, scoring
 
 
 def stream_score(stream: DataFrame, model: scoring.Network, text: str = "text", tau: float = 0.9, tau_machine: float = 0.97) -> DataFrame:
@@ -20,6 +21,57 @@ def stream_score(stream: DataFrame, model: scoring.Network, text: str = "text",
     return scoring.decide(scored.withColumn("probs", scoring.softmax(F.col("logits"))), tau, tau_machine)
 
 
+def _others(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
+    """What other batches have written to path; None before the first."""
+    try:
+        return spark.read.parquet(path).filter(F.col("batch") != batch).drop("batch")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND" and e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return None
+
+
+def _put(df: DataFrame, path: str, batch: int) -> None:
+    df.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def score_batch(rows: DataFrame, batch: int, compute: Callable[[DataFrame], DataFrame], store: str, out: str, text: str = "text") -> None:
+    """One batch of a stream: texts that no earlier batch has scored go to the store (key, and compute's columns), all rows with their
+    results to out, both under the batch's number. A batch that is run again replaces what it wrote, so nothing changes.
+
+    compute takes distinct texts (key, text) and gives a row for each. An empty batch writes nothing.
+    """
+    spark = rows.sparkSession
+    rows = rows.persist()
+    try:
+        if rows.isEmpty():
+            return
+        wanted, known = corpus.distinct_texts(rows, text), _others(spark, store, batch)
+        fresh = wanted if known is None else wanted.join(known.select("key"), "key", "left_anti")
+        _put(compute(fresh), store, batch)
+        scored = spark.read.parquet(store).drop("batch").dropDuplicates(["key"])
+        _put(corpus.score_back(rows, scored.join(wanted.select("key"), "key", "left_semi"), text), out, batch)
+    finally:
+        rows.unpersist()
+
+
+def stream_score_once(stream: DataFrame, model: scoring.Network, store: str, out: str, text: str = "text", tau: float = 0.9, tau_machine: float = 0.97) -> DataStreamWriter:
+    """The writer of a stream whose texts are scored once each, however often and in whatever batches they come (see score_batch).
+
+    Start it with a checkpoint of its own. The store may be read by others; its folders by batch can be compacted between runs.
+    """
+
+    def compute(texts: DataFrame) -> DataFrame:
+        scored = scoring.score_mlp(features.extract_features(texts, "text"), model)
+        decided = scoring.decide(scored.withColumn("probs", scoring.softmax(F.col("logits"))), tau, tau_machine)
+        return decided.select("key", "probs", "p", "n_words", "english", "decision")
+
+    def each(rows: DataFrame, batch: int) -> None:
+        score_batch(rows, batch, compute, store, out, text)
+
+    return stream.writeStream.foreachBatch(each)
+
+
 def stream_feedback(stream: DataFrame, dim: int, delay: str = "2 days") -> DataFrame:
     """week (its Monday), n, unsure_rate of valid corrections, repeats of an id within the delay dropped."""
     good = feedback.valid_correction(stream, dim).filter("reason is null").withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id"])
@@ -33,6 +85,8 @@ def stream_usage(stream: DataFrame) -> DataFrame:
 
 
 class _Budget(StatefulProcessor):
+    """Running usage of one budget; each of its calls is told whether the budget allows it."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.used = handle.getValueState("used", "n long", ttlDurationMs=2 * 86_400_000)
 
@@ -41,22 +95,71 @@ class _Budget(StatefulProcessor):
         before = self.used.get()[0] if self.used.exists() else 0
         running = got["amount"].cumsum() + before
         self.used.update((int(running.iloc[-1]),))
-        yield pd.DataFrame({"call_id": got["call_id"], "scope": key[0], "key": key[1], "period": key[2], "running": running, "within": running <= got["limit"]})
+        within = (running <= got["limit"]) | got["limit"].isna()
+        yield pd.DataFrame({"call_id": got["call_id"], "budgets": got["budgets"], "scope": key[0], "key": key[1], "period": key[2], "running": running, "within": within})
+
+    def close(self) -> None:
+        pass
+
+
+class _Verdict(StatefulProcessor):
+    """A call's budgets as they answer: refused by the first that is used up, allowed when all have said so, refused when its time is up."""
+
+    def __init__(self, wait_ms: int):
+        self.wait_ms = wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "answers int, refused boolean, done boolean", ttlDurationMs=2 * 86_400_000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        got = pd.concat(list(rows))
+        answers, refused, done = self.seen.get() if self.seen.exists() else (0, False, False)
+        first = answers == 0
+        answers, refused = answers + len(got), refused or not got["within"].all()
+        now = not done and (refused or answers >= int(got["budgets"].iloc[0]))
+        self.seen.update((answers, refused, done or now))
+        if first and not now:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+        if now:
+            yield pd.DataFrame({"call_id": [key[0]], "allowed": [not refused], "answers": pd.Series([answers], dtype="int32")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        answers, refused, done = self.seen.get() if self.seen.exists() else (0, False, True)
+        if not done:
+            self.seen.update((answers, True, True))
+            yield pd.DataFrame({"call_id": [key[0]], "allowed": [False], "answers": pd.Series([answers], dtype="int32")})
 
     def close(self) -> None:
         pass
 
 
 def stream_budgets(stream: DataFrame) -> DataFrame:
-    """call_id, scope, key, period, running, within of calls (with their limit); state is forgotten two days after its last call."""
-    out = "call_id long, scope string, key string, period string, running long, within boolean"
-    return stream.groupBy("scope", "key", "period").transformWithStateInPandas(_Budget(), outputStructType=out, outputMode="Append", timeMode="ProcessingTime")
+    """call_id, budgets, scope, key, period, running, within of calls (call_id, budgets, ts, scope, key, period, amount, limit), one row for
+    each budget that a call draws on; refused calls still count. State is forgotten two days after a budget's last call."""
+    out = "call_id long, budgets int, scope string, key string, period string, running long, within boolean"
+    rows = stream.select("call_id", F.col("budgets").cast("int").alias("budgets"), "ts", "scope", "key", "period", "amount", "limit")
+    return rows.groupBy("scope", "key", "period").transformWithStateInPandas(_Budget(), outputStructType=out, outputMode="Append", timeMode="ProcessingTime")
+
+
+def stream_verdicts(stream: DataFrame, wait_ms: int = 60_000) -> DataFrame:
+    """call_id, allowed, answers: one verdict a call. budgets says on how many a call draws; one that waits for answers longer than wait_ms is
+    refused. A call allowed by all its budgets is allowed as spend() allows it, if calls arrive in their order."""
+    out = "call_id long, allowed boolean, answers int"
+    answers = stream_budgets(stream).select("call_id", "budgets", "within")
+    return answers.groupBy("call_id").transformWithStateInPandas(_Verdict(wait_ms), outputStructType=out, outputMode="Append", timeMode="ProcessingTime")
+
 
+def stream_rescore(stream: DataFrame, keys: list[str], schema: str, idle_ms: int = 30 * 86_400_000) -> DataFrame:
+    """keys and text of blocks (keys, ts, text) whose text is new or has changed since the last of their key; schema: DDL of the keys.
 
-def stream_rescore(stream: DataFrame, keys: list[str], schema: str) -> DataFrame:
-    """keys and text of blocks (keys, ts, text) whose text is new or has changed since the last of their key; schema: DDL of the keys."""
+    A key without rows for idle_ms is forgotten; its next text counts as new.
+    """
 
     def changed(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         out = []
         for row in pd.concat(list(batches)).sort_values("ts").itertuples():
@@ -64,8 +167,9 @@ def stream_rescore(stream: DataFrame, keys: list[str], schema: str) -> DataFrame
                 out.append(row.text)
                 last = row.sha
         state.update((last,))
+        state.setTimeoutDuration(idle_ms)
         if out:
             yield pd.DataFrame({**{k: [v] * len(out) for k, v in zip(keys, key)}, "text": out})
 
     rows = stream.select(*keys, "ts", "text", F.sha1(F.coalesce("text", F.lit("")).cast("binary")).alias("sha"))
-    return rows.groupBy(*keys).applyInPandasWithState(changed, f"{schema}, text string", "sha string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(*keys).applyInPandasWithState(changed, f"{schema}, text string", "sha string", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -2,12 +2,13 @@
 
 import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prosemill.functions import web
-from prosemill.operators import corpus, feedback, skew
+from prosemill.operators import corpus, feedback, skew, training
 
 
 @pytest.fixture
@@ -83,3 +84,21 @@ def test_spend_of_a_hot_budget(plain):
     assert all(x["allowed"] == (want[x["call_id"], "all"][1] and want[x["call_id"], "user"][1]) for x in out) and 0 < sum(x["allowed"] for x in out) < 8000
     totals = skew.running_totals(calls, ["scope", "key", "period"], ["ts", "call_id"], "amount", "running", feedback.time_slices(calls, "ts"))
     assert most_in_a_task(totals) < 1000
+
+
+@pytest.mark.parametrize("values", [[5.0], [1.0, 2.0], [0.5] * 3000 + [0.7], list(np.random.default_rng(1).normal(size=3000)), [1.0, np.nextafter(1.0, 2), np.nextafter(1.0, 2), 2.0], [-1.7e308, 0.0, 1e-300, 1.7e308], [float("-inf"), 1.0, 3.0]])
+def test_quantile_is_exact(spark, values):
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "x double")
+    sound = [v for v in values if np.isfinite(v)]
+    if len(sound) < len(values):
+        df = df.filter("x > -1e308 or x is null")
+    for q in (0.0, 0.25, 0.5, 0.995, 1.0):
+        assert training.quantile(df, "x", q) == pytest.approx(float(np.quantile(sound, q)), rel=1e-12, abs=1e-300)
+    assert training.quantile(df.filter("x is null"), "x", 0.5) is None
+
+
+def test_eval_sample_of_a_hot_source(plain):
+    df = plain.range(0, 6000, 1, 8).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "human").otherwise("machine").alias("label"), F.when(F.col("id") % 10 == 0, F.col("id") % 3).otherwise(7).cast("string").alias("source"))
+    got = corpus.eval_sample(df, {"human": 40, "machine": 10})
+    assert {x["label"]: x["count"] for x in got.groupBy("label").count().collect()} == {"human": 40, "machine": 10}
+    assert got.filter("label = 'human'").groupBy("source").count().agg(F.min("count")).first()[0] == 10

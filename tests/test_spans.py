@@ -35,7 +35,7 @@ CASES = {
     "r-025": ("Short one. Two words. This one here is long enough. Bye.", ["Short one.", "Two words."]),
     "r-026": ("It runs from dawn to dusk, from apples to oranges.", ["from apples to oranges"]),
     "r-027": ("Here's what I know. Not much.", ["Here's what"]),
-    "r-028": ("It grew, highlighting the need. End.", [", highlighting the need."]),
+    "r-028": ("It grew, showing the need. End.", [", showing the need."]),
     "r-029": ("We tried. The result? It broke.", ["The result?"]),
     "r-030": ("They ran. They hid. We saw. We left. they slept.", ["They", "They", "they"]),
     "r-034": ("word " * 50, []),

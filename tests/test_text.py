@@ -38,16 +38,16 @@ def test_cleaning(spark):
 FILL = " The bus was late and the rain came down on us while old Tom read his paper by the door"
 PAIRS = {
     "r-001": ("We delve into a robust tapestry.", "We look at a plain rug."), "r-002": ("It serves as a base.", "It is a base."), "r-003": ("It is worth noting that it rained.", "It rained."),
-    "r-004": ("I hope this helps with it.", "That is all of it."), "r-005": ("A vibrant, stunning town.", "A small, quiet town."), "r-006": ("It is a testament and a beacon.", "It is a sign and a light."),
+    "r-004": ("I hope this helps with it.", "That is all of it."), "r-005": ("An opulent, sun-drenched town.", "A small, quiet town."), "r-006": ("It is a testament and a beacon.", "It is a sign and a light."),
     "r-007": ("Moreover, it rained.", "It rained."), "r-008": ("As of my last update it stood.", "It stood last year."), "r-009": ("It rained — and hard — all day.", "It rained, and hard, all day."),
     "r-010": ("The old man said it plain: nothing works.", "The old man said nothing works."), "r-011": ("**Speed**: it is fast.\n**Cost**: it is low.", "It is fast.\nIt costs little."), "r-012": ("The Quick Brown Answer\nit rained", "the quick brown answer\nit rained"),
     "r-013": ("Great 🚀 work 🎉 here.", "Great work here."), "r-014": ("It is not just a tool, but a way of life.", "It is a tool and a way of life."), "r-015": ("He said “yes” and ‘no’.", "He said \"yes\" and 'no'."),
     "r-016": ("- one thing\n- two things", "one thing\ntwo things"), "r-017": ("We ate the bread. We saw the town. We had the tea.", "We ate. We saw the old town by the sea in the rain. Tea."), "r-018": ("He quickly and boldly ran and slowly sat.", "He ran and sat with a thud."),
     "r-019": ("The cake was eaten. The bread was baked.", "We ate the cake. We baked bread."), "r-020": ("It might perhaps rain.", "It will rain."), "r-021": ("Red apples, green pears, and blue plums.", "Red apples with green pears."),
     "r-023": ("Extraordinary circumstances notwithstanding.", "Odd days or not."), "r-024": ("In conclusion, it rained.", "It rained."), "r-025": ("It rained. Hard. All day.", "It rained hard for all of that long day."),
-    "r-026": ("It goes from joy to sorrow.", "It goes past joy and sorrow."), "r-027": ("Here's what we know of it.", "We know this of it."), "r-028": ("It rained, highlighting the need.", "It rained and we saw the need."),
+    "r-026": ("It goes from joy to sorrow.", "It goes past joy and sorrow."), "r-027": ("Here's what we know of it.", "We know this of it."), "r-028": ("It rained, showing the need.", "It rained and we saw the need."),
     "r-029": ("It rained. The result? We stayed.", "It rained. We stayed."), "r-030": ("We ate. We ran. We slept.", "We ate. Then Tom ran. All slept."), "r-031": ("It was a pivotal moment.", "It was a Monday."), "r-032": ("Experts say it rains.", "Ann says it rains."),
-    "r-033": ("Despite these challenges it grew.", "It grew."), "r-034": ("The road is long." + FILL * 3, "I think I like my road." + FILL * 3), "r-035": ("The future looks bright.", "The sun is out."), "r-038": ("On the one hand it rains.", "It rains."),
+    "r-033": ("Despite these challenges it grew.", "It grew."), "r-034": ("The road is long." + FILL * 3, "I think I like my road." + FILL * 3), "r-035": ("Onwards and upwards then.", "The sun is out."), "r-038": ("On the one hand it rains.", "It rains."),
 }
 
 
