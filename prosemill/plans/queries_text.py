@@ -64,8 +64,8 @@ def sg7_markdown_prose(spark, d):
 
 
 def tk_words(spark, d):
-    ws = T.words(T.normalise_quotes(F.col("text")))
-    return documents(spark, d).select("doc_id", F.size(ws).alias("n_words"), F.md5(F.array_join(ws, " ").cast("binary")).alias("words_md5"), F.round(T.english_share(ws), 9).alias("english_share"), T.is_english(ws).alias("english"))
+    docs, ws = documents(spark, d).select("doc_id", T.words(T.normalise_quotes(F.col("text"))).alias("words")), F.col("words")  # matched once
+    return docs.select("doc_id", F.size(ws).alias("n_words"), F.md5(F.array_join(ws, " ").cast("binary")).alias("words_md5"), F.round(T.english_share(ws), 9).alias("english_share"), T.is_english(ws).alias("english"))
 
 
 def tk_sentences(spark, d):

@@ -1,4 +1,8 @@
-"""Streams of paragraphs, feedback and calls; each gives what the batch operator gives over the same rows."""
+"""Streams of paragraphs, feedback and calls; each gives what the batch operator gives over the same rows.
+
+stream_budgets, stream_verdicts and stream_rescore have timers. Under a trigger by time, these are looked at in every batch. A run over
+what has arrived (availableNow) needs spark.sql.streaming.noDataMicroBatches.enabled=false to end, and looks at them with its rows.
+"""
 
 from __future__ import annotations
 

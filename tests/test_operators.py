@@ -176,7 +176,7 @@ def test_sources(spark, tmp_path):
 def run_stream(spark, df, schema, tmp_path, name, build, mode):
     df.write.parquet(str(tmp_path / name))
     q = build(spark.readStream.schema(schema).parquet(str(tmp_path / name))).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"{name}-state")).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     return spark.sql(f"select * from {name}")
 
 
@@ -192,7 +192,9 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     got = run_stream(spark, fb, fb.schema, tmp_path, "weeks", lambda s: streams.stream_feedback(s, 1), "complete")
     assert sorted(map(tuple, got.collect())) == [(datetime.date(2026, 9, 14), 2, 0.5), (datetime.date(2026, 9, 21), 2, 0.5)]
     blocks = spark.createDataFrame([("p", 1, "a"), ("p", 2, "a"), ("p", 3, "b"), ("q", 1, "a")], "page string, ts int, text string")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # see streams
     got = run_stream(spark, blocks.coalesce(1), blocks.schema, tmp_path, "blocks", lambda s: streams.stream_rescore(s, ["page"], "page string"), "append")
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     assert sorted(map(tuple, got.collect())) == [("p", "a"), ("p", "b"), ("q", "a")]
     calls = spark.createDataFrame([("a", "k", "d", 2), ("a", "k", "d", 1)], "scope string, key string, period string, amount long")
     got = run_stream(spark, calls, calls.schema, tmp_path, "usage", streams.stream_usage, "complete")
