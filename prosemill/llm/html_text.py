@@ -140,7 +140,7 @@ words before after links before after other root heading main
 1 0 1 0.0 0.0 0.0 0 -1 0 0
 """
 #: Elements whose text is never shown as text; void elements; elements that begin a block; and what isn't the article.
-SILENT = "script style noscript template svg math iframe object head title textarea select option canvas audio video map datalist".split()
+SILENT = "script style noscript template svg math iframe object title textarea select option canvas audio video map datalist".split()
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set(
     """address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header
@@ -326,7 +326,7 @@ def main_text(page: str | None, tree: Tree) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of pages (page_id, url, html, and any others).
 
-    Null and empty html and pages without main text give an empty text; an unclosed comment or script hides the rest of its page. Very
+    A head needs no end tag: what it shows nothing of has tags of its own. Null and empty html and pages without main text give an empty text; an unclosed comment or script hides the rest of its page. Very
     long and broken pages take time in proportion to their length. An empty table gives an empty result.
     Rows don't depend on each other, so repeated rows come back as often as they came.
     """

@@ -89,6 +89,25 @@ def test_logarithmic_tables():
     assert a[0x55] == -8 and a[0xD5] == 8 and a[0xAA] == 32256 and a[0x2A] == -32256 and len(set(a)) == 256
 
 
+def test_media_that_cannot_be_read(spark):
+    good = audio.wave(b"\x00\x80" * 288, audio.MU_LAW)
+    rows = [(1, 576, good), (2, None, None), (3, 4, b"oops"), (4, 0, b""), (None, 576, good)]
+    got = {x["doc_id"]: x for x in audio.digests(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert got[1]["payload_bytes"] == got[None]["payload_bytes"] == 576 and got[1]["feature"] == got[None]["feature"]
+    assert all(got[i][c] is None for i in (2, 3, 4) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "feature"))
+    assert got[2]["media_bytes"] is None and got[3]["media_bytes"] == 4 and got[4]["media_bytes"] == 0
+
+
+def test_pages_without_an_end_of_head(spark):
+    body = "<article><p>" + "This is a plain sentence of an article. " * 12 + "</p></article>"
+    head = '<head><meta charset="utf-8"><title>Not shown</title><style>p {}</style><script>x()</script>'
+    tree = html_text.train(spark)
+    want = html_text.main_text(f"<html>{head}</head><body>{body}</body></html>", tree)
+    assert want.startswith("This is a plain") and "Not shown" not in want
+    for page in (f"<html>{head}<body>{body}</body></html>", f"<!doctype html>{head}{body}", f"{head}\n<base href='/'>\n<body class=x>{body}"):
+        assert html_text.main_text(page, tree) == want
+
+
 def test_resampling_passes_samples_and_keeps_tones():
     x = (10_000 * np.sin(np.arange(2000) / 7)).astype(np.int16)
     y = audio.resample(x, 2)
