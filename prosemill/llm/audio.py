@@ -253,7 +253,8 @@ def digests(stored: DataFrame, up: int = 2) -> DataFrame:
     """What is read back of each row (doc_id, n_bytes, media): lengths, checksums and measures of the resampled PCM.
 
     Long files are decoded TOGETHER blocks at a time. Repeated rows come back as often as they came, an empty table gives an empty
-    result; other columns don't count.
+    result; other columns don't count. A null media, and one that isn't a file of a known form,
+    has no payload and no feature: these are null.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,9 +262,12 @@ def digests(stored: DataFrame, up: int = 2) -> DataFrame:
         for b in batches:
             rows = []
             for data, x in zip(b["media"], decoded(list(b["media"]))):
+                if x is None:
+                    rows.append((None, None, None, *((None, None) if data is None else (len(data), sha(data))), None))
+                    continue
                 tag, _, payload, pcm = x
                 rows.append((len(payload), sha(payload), zlib.crc32(payload[-32:]), len(data), sha(data), f"{tag}:{measures(resample(pcm, up))}"))
-            out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]).astype({c: "Int64" for c in ("payload_bytes", "tail_crc32", "media_bytes")})
             out.insert(0, "doc_id", b["doc_id"].array)
             out.insert(1, "n_bytes", b["n_bytes"].array)
             yield out
