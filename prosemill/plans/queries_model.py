@@ -160,9 +160,9 @@ def jn6_with_lm(spark, d):
 
 
 def jn7_rule_names(spark, d):
-    hits = documents(spark, d).select("doc_id", F.concat(F.lit("r-00"), (F.pmod("doc_id", F.lit(5)) + 1).cast("string")).alias("rule"))
-    rules = documents(spark, d).filter("doc_id between 1 and 5").select(F.concat(F.lit("r-00"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("rule "), F.col("doc_id").cast("string")).alias("name"), F.lit("lexical").alias("tier"))
-    return corpus.rule_names(hits, rules)
+    """All rules' values of all documents, with the rules' names and kinds."""
+    rules = spark.createDataFrame([(r, f"rule {r}", "statistical" if r in spans.STATISTICAL else "shown") for r in features.RULES], "id string, name string, tier string")
+    return corpus.rule_names(queries_text.rules_all(spark, d), rules)
 
 
 def fx3_incremental(spark, d):
@@ -219,7 +219,7 @@ def tr7_vector_scaling(spark, d):
 def tr8_feedback(spark, d):
     fb = frames.feedback(spark, d).withColumn("vector", F.array(F.lit(0.0), F.col("p")))
     base = fb.limit(0).select("vector", "label", F.lit("train").alias("split"), F.lit(0).alias("n_words"))
-    return training.add_feedback(base, fb, 2).groupBy("split", "label").agg(F.count("*").alias("n"))
+    return training.add_feedback(base, fb, 2).select("label", F.col("vector")[1].alias("p"), "split", "n_words")
 
 
 def tr9_thresholds(spark, d):
@@ -443,7 +443,11 @@ def fb5_weeks(spark, d):
 
 def fb6_snapshot(spark, d):
     s = feedback.calibration_snapshot(frames.feedback(spark, d), "1.0.1")
-    return s.select("n", F.round("ece", 6).alias("ece"), F.size("unsure_by_week").alias("weeks"), F.size(F.col("bins")["human"]).alias("human_cells"))
+    whole, none = s.select("n", F.round("ece", 6).alias("ece"), "bins", "unsure_by_week"), F.lit(None)
+    cells = whole.select("n", "ece", F.explode("bins").alias("name", "cells")).select("n", "ece", "name", F.explode("cells").alias("c"))
+    cells = cells.select("n", "ece", "name", F.col("c.bin").alias("bin"), F.round("c.mean_p", 6).alias("mean"), F.round("c.observed", 6).alias("observed"), F.col("c.n").alias("rows"))
+    weeks = whole.select("n", "ece", F.explode("unsure_by_week").alias("w")).select("n", "ece", F.col("w.week").alias("name"), none.cast("int").alias("bin"), F.round("w.unsure_rate", 6).alias("mean"), none.cast("double").alias("observed"), F.col("w.n").alias("rows"))
+    return cells.unionByName(weeks)
 
 
 def _calls(spark, d):
@@ -578,7 +582,7 @@ SELECT doc_id, label, source FROM (SELECT *, row_number() OVER (PARTITION BY lab
     "jn4_originals": f"""WITH {_PAIRS}, w AS (SELECT p.conv_id, p.turn, {_PAIR_WORDS('s.a')} AS o, {_PAIR_WORDS("p.a || ' ' || p.b")} AS r, s.a IS NOT NULL AS known FROM pairs p LEFT JOIN pairs s ON s.conv_id = p.conv_id AND s.turn = p.turn AND s.conv_id % 2 = 0),
 k AS (SELECT *, {_KEPT('o', 'r')} AS kept FROM w) SELECT conv_id || ':' || turn AS "group", CASE WHEN known THEN CASE WHEN kept >= 0.8 THEN 'human' WHEN kept < 0.2 THEN 'machine' ELSE 'mixed' END END AS label FROM k""",
     "jn5_score_back": "SELECT doc_id, CAST(length(text) AS INTEGER) AS n FROM documents", "jn6_with_lm": "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings",
-    "jn7_rule_names": "SELECT 'r-00' || CAST(doc_id % 5 + 1 AS VARCHAR) AS rule, doc_id, 'rule ' || CAST(doc_id % 5 + 1 AS VARCHAR) AS name, 'lexical' AS tier FROM documents",
+    "jn7_rule_names": f"SELECT rule, doc_id, value, 'rule ' || rule AS name, CASE WHEN rule IN ({', '.join(repr(r) for r in spans.STATISTICAL)}) THEN 'statistical' ELSE 'shown' END AS tier FROM ({queries_text.SQL['rules_all']})",
     "fx3_incremental": "SELECT sha1(coalesce(text, '')) AS key, CAST(length(any_value(text)) AS INTEGER) AS n, CAST(1 AS INTEGER) AS spec FROM documents GROUP BY 1",
     "tr1_standardise": "WITH s AS (SELECT " + ", ".join(f"avg(CAST(embedding[{i + 1}] AS DOUBLE)) AS m{i}, stddev_pop(CAST(embedding[{i + 1}] AS DOUBLE)) AS s{i}" for i in range(64)) + " FROM embeddings WHERE vec_id % 3 = 0) SELECT vec_id, "
     + ", ".join(f"round((CAST(embedding[{i + 1}] AS DOUBLE) - m{i}) / CASE WHEN s{i} < 1e-4 THEN 1 ELSE s{i} END, 5) AS v{i}" for i in range(64)) + " FROM embeddings, s",
@@ -588,7 +592,7 @@ SELECT doc_id, round(least(raw * count(*) OVER (PARTITION BY split, bucket) / (3
     "tr5_ensemble": f"WITH {SCORED} SELECT vec_id, " + ", ".join(f"round((logits[{i}] + logits[{i}] * 2 + logits[{i}] + 3) / 3, 6) AS z{i - 1}" for i in (1, 2, 3)) + " FROM scored",
     "tr6_temperature": f"""WITH {SCORED}, t AS (SELECT unnest(CAST([{_TEMPS}] AS DOUBLE[])) AS temperature), l AS (SELECT temperature, avg(-ln(greatest(exp((logits[list_position({frames.sql_list(CLASSES)}, label)] - list_max(logits)) / temperature) / list_sum(list_transform(logits, lambda x: exp((x - list_max(logits)) / temperature))), 1e-12))) AS loss FROM scored, t GROUP BY temperature)
 SELECT round(temperature, 6) AS temperature, round(loss, 6) AS loss FROM l ORDER BY l.loss, l.temperature LIMIT 1""",
-    "tr8_feedback": f"""WITH {FEEDBACK}, r AS (SELECT label, row_number() OVER (ORDER BY created_at, id) AS k, count(*) OVER () AS n FROM feedback) SELECT CASE WHEN k <= floor(0.8 * n) THEN 'train' ELSE 'fresh' END AS split, label, count(*) AS n FROM r GROUP BY 1, 2""",
+    "tr8_feedback": f"""WITH {FEEDBACK}, r AS (SELECT label, p, row_number() OVER (ORDER BY created_at, id) AS k, count(*) OVER () AS n FROM feedback) SELECT label, p, CASE WHEN k <= floor(0.8 * n) THEN 'train' ELSE 'fresh' END AS split, -1 AS n_words FROM r""",
     "tr9_thresholds": f"WITH {SCORED}, {_TAUS}",
     "tr10_rates": f"WITH {SCORED}, h AS (SELECT label, 'r' || CAST(i AS VARCHAR) AS rule, probs[i + 1] AS v FROM scored, range(0, 3) t(i)) SELECT rule, {_RATE('v > 0.05', '''label = 'human' ''')} AS fire_rate_human, {_RATE('v > 0.05', '''label = 'machine' ''')} AS fire_rate_machine FROM h GROUP BY rule",
     "tr11_ablate": f"WITH {SCORED} SELECT vec_id, logits[1] AS z0, CAST(0 AS DOUBLE) AS z1, logits[3] AS z2 FROM scored",
@@ -627,7 +631,10 @@ SELECT *, n >= 50 AND ece_new < ece_old AND coalesce(hcm_new, 0) <= coalesce(hcm
     "fb3_reliability": f"WITH {FEEDBACK} SELECT predicted, CAST(least(9, floor(p * 10)) AS INTEGER) AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, {_RATE('predicted = label')} AS observed FROM feedback WHERE predicted <> 'unsure' GROUP BY 1, 2",
     "fb5_weeks": f"WITH {FEEDBACK} SELECT strftime(created_at, '%G-W%V') AS week, count(*) AS n, {_RATE('''predicted = 'unsure' ''')} AS unsure_rate FROM feedback GROUP BY 1",
     "fb6_snapshot": f"""WITH {FEEDBACK}, f AS (SELECT * FROM feedback WHERE model_version = '1.0.1'), c AS (SELECT predicted, least(9, floor(p * 10)) AS bin, count(*) AS n, avg(p) AS m, avg(CAST(predicted = label AS INTEGER)) AS o FROM f WHERE predicted <> 'unsure' GROUP BY 1, 2)
-SELECT (SELECT count(*) FROM f) AS n, (SELECT round(sum(n * abs(m - o)) / sum(n), 6) FROM c) AS ece, (SELECT CAST(count(DISTINCT strftime(created_at, '%G-W%V')) AS INTEGER) FROM f) AS weeks, (SELECT CAST(count(*) AS INTEGER) FROM c WHERE predicted = 'human') AS human_cells""",
+SELECT (SELECT count(*) FROM f) AS n, (SELECT round(sum(n * abs(m - o)) / sum(n), 6) FROM c) AS ece, x.* FROM (
+  SELECT predicted AS name, CAST(bin AS INTEGER) AS bin, round(m, 6) AS mean, round(o, 6) AS observed, n AS rows FROM c
+  UNION ALL SELECT strftime(created_at, '%G-W%V'), NULL, {_RATE("predicted = 'unsure'")}, NULL, count(*) FROM f GROUP BY 1
+) x""",
     "fb7_spend": f"""WITH {_CALLS}, r AS (SELECT *, CAST(sum(amount) OVER (PARTITION BY scope, key, period ORDER BY ts, call_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM calls), w AS (SELECT *, running <= CASE WHEN scope = 'user' THEN 20 ELSE 400 END AS within FROM r)
 SELECT call_id, scope, key, period, running, within, bool_and(within) OVER (PARTITION BY call_id) AS allowed FROM w""",
     "fb8_merge": f"WITH {_CALLS} SELECT scope, key, period, CAST(sum(amount) AS BIGINT) AS n FROM calls GROUP BY 1, 2, 3",
