@@ -9,6 +9,7 @@ from prosemill.functions import features, spans, web
 from prosemill.functions import text as T
 from prosemill.operators import corpus, evaluation, feedback, lm, network, scoring, training
 from prosemill.operators.evaluation import CLASSES
+from prosemill.session import scratch
 from prosemill.sources import io
 
 from . import frames
@@ -286,8 +287,10 @@ def sc5_reasons(spark, d):
     rows = features.extract_features(documents(spark, d).select("doc_id", "text"), "text", phrases, openers)
     model = untrained(len(features.FEATURE_NAMES))
     read = scoring.decide(scoring.score_mlp(rows, model).withColumn("probs", scoring.softmax(F.col("logits"))), 0.5, 0.7).drop("logits")
-    pushes = scoring.explain(read, model, ["doc_id"], features.RULES)
-    found = spans.located(read.withColumnRenamed("text", "body"), "body").withColumn("hits", spans.rule_hit_structs(phrases, openers))
+    path = scratch(spark)
+    spans.located(read.withColumnRenamed("text", "body"), "body").withColumn("hits", spans.rule_hit_structs(phrases, openers)).drop("found_words", "found_sentences", "found_lines", "low", "raw", "text").write.parquet(path)
+    found = spark.read.parquet(path)  # scored once, for the reasons and for what they join
+    pushes = scoring.explain(found, model, ["doc_id"], features.RULES)
     read = scoring.reading(scoring.reasons(found, pushes, ["doc_id"], hits="hits"), "reasons")
     return read.select("doc_id", "verdict", "label", "confidence", "skipped", F.transform("reasons", lambda r: F.struct(r["id"], F.size(r["spans"]).alias("n_spans"))).alias("reasons"))
 
