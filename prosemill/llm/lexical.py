@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, best, stored
 
 #: Bits for each term and level put in, slices of a term, bits and documents of a block at most (a document's own bits may be more).
-BITS, SLICES, BLOCK_BITS, BLOCK_DOCS = 16, 8, 1 << 24, 4096
+BITS, SLICES, BLOCK_BITS, BLOCK_DOCS = 16, 8, 1 << 23, 4096
 #: Bytes of items that are answered together, and candidates that are broadcast rather than shuffled.
 ITEM_BYTES, BROADCAST = 1 << 18, 1 << 20
 INDEX = "docs long, total long, levels int, width int, keys array<long>, ns array<long>, slices binary, terms array<string>, dfs array<long>"
