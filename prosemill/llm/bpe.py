@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,6 +34,8 @@ CACHE = 1 << 18
 NONE = 1 << 40
 #: White space at which a match surely ends.
 SPACES = " \n\t\r"
+#: The last character of a match that surely ends.
+CUT = re.compile(rf"\S(?=[{SPACES}])")
 
 
 class Bpe:
@@ -54,6 +57,8 @@ class Bpe:
         if len(text) <= self.part:
             return self._run(text)
         middle = len(text) // 2
+        near = CUT.search(text, middle, middle + self.match)  # cut there, no token is encoded twice
+        middle = near.end() if near else middle
         return self.join(text[:middle], self.encode(text[:middle]), text[middle:], self.encode(text[middle:]))
 
     def join(self, a: str, left: list[int], b: str, right: list[int]) -> list[int]:
@@ -104,18 +109,16 @@ class Bpe:
         whole = ranks.get(data)
         if whole is not None:
             return [whole]
-        parts = [data[i : i + 1] for i in range(len(data))]
-        pairs = [ranks.get(data[i : i + 2], NONE) for i in range(len(data) - 1)]
+        get, starts = ranks.get, list(range(len(data) + 1))
+        pairs = [get(data[i : i + 2], NONE) for i in range(len(data) - 1)]
         while pairs and (best := min(pairs)) != NONE:
             i = pairs.index(best)
-            joined = parts[i] + parts[i + 1]
-            parts[i : i + 2] = [joined]
-            del pairs[i]
+            del pairs[i], starts[i + 1]
             if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + joined, NONE)
+                pairs[i - 1] = get(data[starts[i - 1] : starts[i + 1]], NONE)
             if i < len(pairs):
-                pairs[i] = ranks.get(joined + parts[i + 1], NONE)
-        return [ranks[p] for p in parts]
+                pairs[i] = get(data[starts[i] : starts[i + 2]], NONE)
+        return [ranks[data[a:b]] for a, b in zip(starts, starts[1:])]
 
     def _fits(self, a: int, b: int) -> bool:
         return self._merged(self.tokens[a] + self.tokens[b]) == [a, b]

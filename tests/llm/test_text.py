@@ -42,6 +42,15 @@ def test_bpe_long_runs():
         assert b.encode(s) == library(b).encode_ordinary(s)
 
 
+def test_bpe_halves_where_matches_end():
+    """Ordinary texts are never cut within a match, so no token is encoded twice."""
+    b, r = bpe.Bpe(PATH, PATTERN), random.Random(2)
+    seen, join = [], b.join
+    b.join = lambda a, left, c, right: seen.append(bpe.ends_match(a[-1], c[0])) or join(a, left, c, right)
+    s = " ".join("".join(r.choice("abcdeé") for _ in range(r.randint(1, 12))) for _ in range(3000))
+    assert b.encode(s) == library(b).encode_ordinary(s) and len(seen) > 50 and all(seen)
+
+
 def test_bpe_rows(spark):
     docs = spark.createDataFrame([(1, "Hello world", 5), (None, None, 1), (3, "", 2), (3, "", 2)], "doc_id long, text string, n_tokens int")
     got = bpe.round_trip(docs, PATH, PATTERN).collect()
