@@ -2,13 +2,12 @@
 
 A text is its lower-cased words and an end mark. Each of these tokens is a path of binary decisions in a tree: first to the group of
 the token, then, by Huffman's rule, to the token itself. Groups are words of documents that share a most frequent word, which tells
-languages and kinds of text apart; the end and "a rare word" are groups of their own. For each of the first decisions of a path,
+languages and kinds of text apart; the end and "a rare word" are groups of their own. For each decision of a path,
 hashed contexts (the word before, the two words before, the last frequent word, the last two very frequent ones) look up how often it
 went either way in the training texts. Their logits and the tree's own are mixed by weights that a gate selects, by depth and by
 which contexts know anything. Weights are learnt online, decision block by decision block: first on a slice of the training rows that
 the tables don't count, then anew within each document, which starts from what the slice taught. An adaptive table, which learns
-within the document too, maps the mixture to its probability. Deeper decisions have their counted probabilities. A rare word is told
-by its exact count, mixed with its spelling (module spelling). All decisions' probabilities multiply to a proper distribution.
+within the document too, maps the mixture to its probability. A rare word is told by its exact count, mixed with its spelling (module spelling). All decisions' probabilities multiply to a proper distribution.
 
 Passes over the texts, each a Spark job: words; context counts; two short ones for weights; scores. What is learnt grows with the
 corpus: counts of all words and the spellings' probabilities are Spark tables, joined by shuffling; the tables of contexts take their
@@ -37,8 +36,10 @@ from .spelling import SCALE, huffman, logit_table, squash
 
 #: Rows with crc32(doc_id) mod HELD of 0 are never learnt from; of the others, one in TUNE is left to the weights.
 HELD, TUNE = 10, 16
-#: Most words that have paths of their own, their most bytes; groups; decisions of a path that are mixed.
-VOCABULARY, LONGEST, GROUPS, DEPTH = 1 << 17, 64, 15, 7
+#: Most words that have paths of their own, their most bytes; groups; depths that weights tell apart, the last one for all deeper ones.
+VOCABULARY, LONGEST, GROUPS, DEPTH = 1 << 17, 64, 15, 16
+#: Most decisions to a group, of a path (enough for VOCABULARY words), and those that tell which kind of word it is.
+HEAD, MOST, KIND = 5, 22, 7
 #: Words that the second context tells apart, and what counts as frequent and very frequent for the third and fourth.
 KNOWN2, KNOWN3, KNOWN4 = 2048, 4096, 256
 #: Most bits of each context's table; they have 2^bits slots, about as many as training tokens up to this.
@@ -64,8 +65,8 @@ END = " "
 class Lexicon:
     """Symbols: words in order of frequency, then a rare word (len(ids)), then the end (len(ids) + 1).
 
-    steps: flat node * 2 + outcome of the mixed decisions, node 2^depth + the path so far; first place and number of them by symbol;
-    kind: the path so far after them; tail: log10 of the deeper decisions' probability; own: logits of the nodes; base: log10 of the
+    steps: flat node * 2 + outcome of all decisions, node 2^depth + the path so far; first place and number of them by symbol; kind: the
+    path so far after the first KIND ones; tail: log10 of what isn't mixed, 0 throughout; own: logits of the nodes; base: log10 of the
     base probability of words and end.
     """
 
@@ -97,28 +98,32 @@ def lexicon(known: list[tuple[str, int, int]], ends: int, rest: int, divisor: fl
         members[g if g in members else -1].append(i)
     groups = [m for m in members.values() if m] + [[len(known)], [len(known) + 1]]
     paths: list[list[int]] = [[]] * len(weight)
-    for head, group in zip(huffman([weight[m].sum() for m in groups]), groups):
-        for i, path in zip(group, huffman(weight[group].tolist())):
+    for head, group in zip(limited([weight[m].sum() for m in groups], HEAD), groups):
+        for i, path in zip(group, limited(weight[group].tolist(), MOST - len(head))):
             paths[i] = head + path
-    steps, length, kind, tail = [], [], [], np.zeros(len(weight))
-    node_weight, ones = np.zeros(1 << DEPTH), np.zeros(1 << DEPTH)
-    below = np.zeros(2 << DEPTH)
-    for path, n in zip(paths, weight):
-        node = 1
-        for bit in path[:DEPTH]:
-            steps.append(node * 2 + bit)
-            node_weight[node] += n
-            ones[node] += bit * n
-            node = node * 2 + bit
-        below[node] += n
-        length.append(min(len(path), DEPTH))
-        kind.append(node)
-    kind = np.array(kind)
-    tail = np.where(np.array([len(p) for p in paths]) > DEPTH, np.log10(weight / below[kind]), 0.0)
-    length = np.array(length, np.int64)
+    length = np.array([len(p) for p in paths], np.int64)
+    first, leaf = np.cumsum(length) - length, np.array([int("1" + "".join(map(str, p)), 2) for p in paths], np.int64)
+    steps, deepest = np.zeros(length.sum(), np.int64), int(length.max())
+    node_weight, ones = np.zeros(1 << deepest), np.zeros(1 << deepest)
+    for depth in range(deepest):
+        some = np.flatnonzero(length > depth)
+        step = leaf[some] >> length[some] - depth - 1
+        steps[first[some] + depth] = step
+        np.add.at(node_weight, step >> 1, weight[some])
+        np.add.at(ones, step >> 1, (step & 1) * weight[some])
+    kind = leaf >> np.maximum(length - KIND, 0)
     own = np.log((ones + 0.4) / (node_weight - ones + 0.4)).astype(np.float32)
     base = np.log10((np.array([n for _, n, _ in known] + [0, ends]) + 0.1) / divisor)
-    return Lexicon({w.encode(): i for i, (w, _, _) in enumerate(known)}, np.array(steps, np.int64), np.cumsum(length) - length, length, kind, tail, own, base, not ends)
+    return Lexicon({w.encode(): i for i, (w, _, _) in enumerate(known)}, steps, first, length, kind, np.zeros(len(weight)), own, base, not ends)
+
+
+def limited(weights: list[float], most: int) -> list[list[int]]:
+    """Huffman's paths, of at most so many bits: small weights are raised until that holds."""
+    paths, least = huffman(weights), sum(weights) / (1 << most)
+    while max(map(len, paths)) > most:
+        paths = huffman([max(w, least) for w in weights])
+        least *= 2
+    return paths
 
 
 def tokens(ws: list[bytes], lex: Lexicon) -> np.ndarray:
@@ -165,7 +170,7 @@ def decisions(t: np.ndarray, hashes: list[np.ndarray], lex: Lexicon, bits: list[
     place = np.repeat(np.arange(len(t)), n)
     step = lex.steps.take((lex.first.take(t) - begin).take(place) + np.arange(len(place)))
     node = step >> 1
-    mark = _NODES.take(node)
+    mark = node.astype(np.uint32) * np.uint32(0x9E3779B1)
     slots = []
     for x, b in zip(hashes, bits):
         x = x.take(place)
@@ -176,8 +181,9 @@ def decisions(t: np.ndarray, hashes: list[np.ndarray], lex: Lexicon, bits: list[
     return Decisions(place, node, step & 1, slots)
 
 
-_NODES = np.arange(1 << DEPTH, dtype=np.uint32) * np.uint32(0x9E3779B1)
-_DEPTHS = np.array([max(i, 1).bit_length() - 1 for i in range(1 << DEPTH)])
+def depths(node: np.ndarray) -> np.ndarray:
+    """Exponents of node numbers, which doubles hold exactly."""
+    return np.minimum(np.frexp(node.astype(np.float64))[1].astype(np.int64) - 1, DEPTH - 1)
 
 
 def parts(t: np.ndarray, lex: Lexicon) -> Iterator[tuple[np.ndarray, int]]:
@@ -229,7 +235,7 @@ def mixed(m: Model, s: State, t: np.ndarray, hashes: list[np.ndarray], row: np.n
     """(decisions, inputs, their weights' places, the adaptive table's, mixture's probability) of symbols, each with its row of the state."""
     d = decisions(t, hashes, m.lex, m.bits)
     raw = [table.take(x) for table, x in zip(m.tables, d.slots)]
-    depth = _DEPTHS.take(d.node)
+    depth = depths(d.node)
     own_row = row.take(d.place)
     gate = own_row * GATES + depth * 4 + (raw[0] != 0) * 2 + (raw[2] != 0)
     inputs = [spelling.LOGITS.take(r.view(np.uint8)) for r in raw] + [m.lex.own.take(d.node)]
@@ -247,7 +253,7 @@ def advance(m: Model, s: State, rows: int, t: np.ndarray, hashes: list[np.ndarra
     bit = d.bit.astype(np.float32)
     q = (p + s.sse[0].take(cell) / s.sse[1].take(cell)) * np.float32(0.5)
     q = np.abs(np.float32(1) - bit - q)  # of what came
-    out = np.bincount(row.take(d.place), np.log(np.maximum(q, np.float32(1e-9))), rows) * math.log10(math.e) + np.bincount(row, m.lex.tail.take(t), rows)
+    out = np.bincount(row.take(d.place), np.log(np.maximum(q, np.float32(1e-9))), rows) * math.log10(math.e)
     error, n = bit - p, rows * GATES
     for k in range(INPUTS):
         s.weights[k, :n] += np.bincount(gate, error * inputs[k] if k < len(inputs) else error, n) * s.step[k, :n]

@@ -311,6 +311,19 @@ def token_model():
     return m, r
 
 
+def test_all_decisions_of_a_path_are_mixed():
+    """No two words share their decisions, whatever stands before changes each word's probability, and paths are bounded."""
+    m, r = token_model()
+    lex = m.lex
+    paths = [tuple(lex.steps[a : a + n].tolist()) for a, n in zip(lex.first, lex.length)]
+    assert len(set(paths)) == len(paths) == lex.rare + 2 and max(map(len, paths)) > 7 and not lex.tail.any()
+    steep = mixlm.lexicon([(f"x{i}", 3**i, i % 2) for i in range(30)], 5, 5, 1e15)
+    assert steep.length.max() <= mixlm.MOST and sum(0.5 ** steep.length.astype(float)) == pytest.approx(1)
+    deep = int(np.argmax(lex.length))
+    t, k = np.array([deep]), [np.array([7])] * 4
+    assert len(mixlm.decisions(t, k, lex, m.bits).bit) == lex.length[deep]
+
+
 def slow_score(m, text):
     """The same, decision by decision, with contexts from their definition."""
     lex, end = m.lex, m.lex.rare + 1
