@@ -10,7 +10,7 @@ finds whole words and sequences of them, and what neither dictionary holds costs
 word outweigh the few bytes that a sequence saves which only one dictionary happens to hold. A dictionary is trained as
 zstandard's own trainer does it, by segments of the text that cover most of what counts (that trainer counts strings by frequency
 alone, which in toxic text too are those of ordinary words). For the toxic dictionary, words count by how far chance would not put
-so many of their documents among the toxic ones. For the ordinary one, the words that most documents hold count, and before them all
+so many of their documents among the toxic ones, if holding the word makes a text toxic rather than not. For the ordinary one, the words that most documents hold count, and before them all
 words that come along in the toxic dictionary's segments. Of either dictionary's segments only words that both hold stay, and the
 telling words of the toxic one, so that knowing any other word speaks for neither side.
 """
@@ -202,8 +202,12 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordi
     n, p = F.col("t") + F.col("o"), n1 / (n1 + n0)
     unlikely = F.col("t") * F.log(F.col("t") / n / p) + F.when(F.col("o") > 0, F.col("o") * F.log(F.col("o") / n / (1 - p))).otherwise(0.0)
     tried = counts.filter("t > 0").count()
+    known = labels.filter("doc_id is not null and toxic is not null").filter(crc_mod_col(F.col("doc_id").cast("long"), 5) != 0)
+    share = known.agg(F.avg((F.col("toxic") > 0).cast("double")).alias("p")).first()["p"]
+    # many documents make even slight differences of common words unlikely, so a word must also outweigh the share of toxic labels
+    weighs = F.col("t") / n1 * share >= F.col("o") / n0 * (1 - share)
     room = (1 << WINDOW_LOG) // (WINDOW * CODE)
-    telling = counts.filter((F.col("t") / n > p) & (F.col("t") > 0)).withColumn("z", unlikely).filter(F.col("z") > math.log(ODDS * max(tried, 1))).orderBy(F.desc("z"), "word").limit(room).collect()
+    telling = counts.filter((F.col("t") / n > p) & (F.col("t") > 0) & weighs).withColumn("z", unlikely).filter(F.col("z") > math.log(ODDS * max(tried, 1))).orderBy(F.desc("z"), "word").limit(room).collect()
     own = {r["word"].encode(): r["z"] for r in telling}
     common = {w: math.log2(2 + r["o"]) for r in counts.orderBy(F.desc("o"), "word").limit(COMMON).collect() if (w := r["word"].encode()) not in own}
     toxic = segments(rows, 1, common | own, -2.0)
@@ -224,8 +228,6 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordi
     gain = [(hits[y > 0, k] > 0).mean() - (hits[y == 0, k] > 0).mean() for k in range(MOST)]
     best = [k for k, g in enumerate(gain) if g >= max(gain) - 1e-6]
     model.threshold = 1 + (best[0] + best[-1]) // 2
-    known = labels.filter("doc_id is not null and toxic is not null").filter(crc_mod_col(F.col("doc_id").cast("long"), 5) != 0)
-    share = known.agg(F.avg((F.col("toxic") > 0).cast("double")).alias("p")).first()["p"]
     weight = np.where(y > 0, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))  # as frequent as in all training labels
     model.weights = tuple(fit_logistic(features(hits[:, model.threshold - 1], sample["n"].to_numpy()), y, weight))
     return model

@@ -235,6 +235,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert clean.columns == docs.columns and clean.filter("doc_id % 4 = 0").count() == 0 and clean.count() == 675
 
 
+def test_common_words_do_not_tell(spark):
+    """A word of most texts that toxic ones hold somewhat more often, beyond chance, stays in both dictionaries."""
+    rows, labels = toxic_corpus()
+    often = lambda i: i // 4 % 10 < 9 if i % 4 == 0 else i % 20 < 11
+    rows = [(i, t[:-1] + " mostly." if often(i) else t, s) for i, t, s in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    words = lambda segments: {w for s in segments for w in s.split()}
+    assert words(model.toxic) - words(model.ordinary) == {b"scoundrel", b"vermin", b"blockhead", b"dunce"}
+    assert all(x["predicted"] == (x["doc_id"] % 4 == 0) for x in toxicity.scored(docs, model).collect())
+
+
 def test_held_out_labels_change_nothing(spark):
     """Not even their share; scores equal those of windows that are compressed one by one."""
     rows, labels = toxic_corpus()
