@@ -20,13 +20,14 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +68,8 @@ class Lexicon:
 
     steps: flat node * 2 + outcome of all decisions, node 2^depth + the path so far; first place and number of them by symbol; kind: the
     path so far after the first KIND ones; tail: log10 of what isn't mixed, 0 throughout; own: logits of the nodes; base: log10 of the
-    base probability of words and end.
+    base probability of words and end. leaf, a path with a leading 1, and weight are what the tree is laid out from: pickled, a lexicon is
+    these, a tenth of the whole.
     """
 
     ids: dict[bytes, int]
@@ -79,6 +81,11 @@ class Lexicon:
     own: np.ndarray
     base: np.ndarray
     endless: bool
+    leaf: np.ndarray
+    weight: np.ndarray
+
+    def __reduce__(self):
+        return laid_out, (list(self.ids), self.leaf.astype(np.int32), self.length.astype(np.int8), self.weight, self.base, self.endless)
 
     @property
     def rare(self) -> int:
@@ -101,8 +108,15 @@ def lexicon(known: list[tuple[str, int, int]], ends: int, rest: int, divisor: fl
     for head, group in zip(limited([weight[m].sum() for m in groups], HEAD), groups):
         for i, path in zip(group, limited(weight[group].tolist(), MOST - len(head))):
             paths[i] = head + path
-    length = np.array([len(p) for p in paths], np.int64)
-    first, leaf = np.cumsum(length) - length, np.array([int("1" + "".join(map(str, p)), 2) for p in paths], np.int64)
+    base = np.log10((np.array([n for _, n, _ in known] + [0, ends]) + 0.1) / divisor)
+    leaf = np.array([int("1" + "".join(map(str, p)), 2) for p in paths], np.int64)
+    return laid_out([w.encode() for w, _, _ in known], leaf, np.array([len(p) for p in paths], np.int64), weight, base, not ends)
+
+
+def laid_out(ws: list[bytes], leaf: np.ndarray, length: np.ndarray, weight: np.ndarray, base: np.ndarray, endless: bool) -> Lexicon:
+    """The lexicon of words, with the paths and weights of all symbols."""
+    length, leaf = length.astype(np.int64), leaf.astype(np.int64)
+    first = np.cumsum(length) - length
     steps, deepest = np.zeros(length.sum(), np.int64), int(length.max())
     node_weight, ones = np.zeros(1 << deepest), np.zeros(1 << deepest)
     for depth in range(deepest):
@@ -113,8 +127,7 @@ def lexicon(known: list[tuple[str, int, int]], ends: int, rest: int, divisor: fl
         np.add.at(ones, step >> 1, (step & 1) * weight[some])
     kind = leaf >> np.maximum(length - KIND, 0)
     own = np.log((ones + 0.4) / (node_weight - ones + 0.4)).astype(np.float32)
-    base = np.log10((np.array([n for _, n, _ in known] + [0, ends]) + 0.1) / divisor)
-    return Lexicon({w.encode(): i for i, (w, _, _) in enumerate(known)}, steps, first, length, kind, np.zeros(len(weight)), own, base, not ends)
+    return Lexicon({w: i for i, w in enumerate(ws)}, steps, first, length, kind, np.zeros(len(weight)), own, base, endless, leaf, weight)
 
 
 def limited(weights: list[float], most: int) -> list[list[int]]:
@@ -348,6 +361,22 @@ def learn(m: Model, texts: list[np.ndarray], rate: float) -> tuple[Model, np.nda
 # -- passes
 
 
+@dataclass
+class Sent:
+    """A model on its way to tasks: its large parts are broadcast once, the small ones, which learn, go with each job."""
+
+    kind: type
+    large: Broadcast
+    small: dict
+
+    @property
+    def value(self) -> Model | spelling.Speller:
+        return self.kind(**self.large.value, **self.small)
+
+    def learnt(self, **small: np.ndarray) -> Sent:
+        return replace(self, small=self.small | small)
+
+
 def learnt_by(doc_id) -> str:
     """What a row's id makes of it: held, tune or train."""
     if crc_mod(doc_id, HELD) == 0:
@@ -466,7 +495,9 @@ def context_tables(docs: DataFrame, lex: Lexicon, bits: list[int]) -> list[np.nd
                     for table, x in zip(tables, d.slots):
                         np.add.at(table, x * 2 + d.bit, np.uint32(1))
 
-    return summed_tables(docs, count, bits)
+    tables = summed_tables(docs, count, bits)
+    shared.destroy()
+    return tables
 
 
 def grouped(texts: Iterator[np.ndarray], lex: Lexicon) -> Iterator[tuple[np.ndarray, int]]:
@@ -514,18 +545,18 @@ def averaged(rows: DataFrame, run) -> tuple[np.ndarray, float] | None:
     return (np.array([r["x"] for r in got]), got[0]["n"]) if got and got[0]["n"] else None
 
 
-def tuned(docs: DataFrame, model: Model, train_tokens: int) -> Model:
+def tuned(docs: DataFrame, model: Model, train_tokens: int) -> Sent:
     """The model with weights learnt on the tuning slice: online within each lane, then averaged by numbers of decisions; twice."""
-    sc = docs.sparkSession.sparkContext
+    large = docs.sparkSession.sparkContext.broadcast({"lex": model.lex, "tables": model.tables, "bits": model.bits})
+    sent = Sent(Model, large, {"weights": model.weights, "curve": model.curve, "sse": model.sse})
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     slice_ = docs.filter(((F.crc32(F.concat(name, F.lit("#")).cast("binary")) % TUNE) == 0) & ((F.crc32(name.cast("binary")) % HELD) != 0))
     lanes = stored(in_lanes(slice_, max(1, train_tokens // (TUNE * LANE)), "doc_id", "text"))
     for rate in (0.1, 0.03):
-        model.curve, model.sse = np.zeros((INPUTS, GATES), np.float64), np.zeros((DEPTH * SSE, 2))
-        shared = sc.broadcast(model)
+        sent = sent.learnt(curve=np.zeros((INPUTS, GATES), np.float64), sse=np.zeros((DEPTH * SSE, 2)))
 
-        def run(rate=rate, shared=shared):
-            state, seen = shared.value, np.zeros(GATES)
+        def run(rate=rate, sent=sent):
+            state, seen = sent.value, np.zeros(GATES)
 
             def learner(part: pd.DataFrame | None):
                 nonlocal state, seen
@@ -538,16 +569,18 @@ def tuned(docs: DataFrame, model: Model, train_tokens: int) -> Model:
 
         got = averaged(lanes.sortWithinPartitions("lane", "h", "doc_id", "text"), run)
         if not got:
-            model.curve = np.ones((INPUTS, GATES), np.float32)
-            return model
+            return sent.learnt(curve=np.ones((INPUTS, GATES), np.float32))
         x, n = got
         # sums of doubles come in any order: rounding makes them equal again
         w, curve, sse, seen = np.split(x, np.cumsum([INPUTS * GATES, INPUTS * GATES, DEPTH * SSE * 2]))
-        model = Model(model.lex, model.tables, model.bits, np.round(w / n, 6).reshape(INPUTS, GATES).astype(np.float32), np.round(curve.reshape(INPUTS, GATES) / np.maximum(seen, 1) + 0.02, 6).astype(np.float32), np.round(sse, 3).reshape(-1, 2))
-    return model
+        sent = sent.learnt(
+            weights=np.round(w / n, 6).reshape(INPUTS, GATES).astype(np.float32), sse=np.round(sse, 3).reshape(-1, 2),
+            curve=np.round(curve.reshape(INPUTS, GATES) / np.maximum(seen, 1) + 0.02, 6).astype(np.float32),
+        )
+    return sent
 
 
-def speller(rare: DataFrame, types: int) -> spelling.Speller:
+def speller(rare: DataFrame, types: int) -> Sent:
     """Learnt from the spellings of rare words, each once: 15/16 of them fill the tables, the others teach the weights."""
     sc = rare.sparkSession.sparkContext
     held = F.crc32(F.col("word").cast("binary")) % TUNE == 0
@@ -569,13 +602,14 @@ def speller(rare: DataFrame, types: int) -> spelling.Speller:
             spelling.count([w.encode() for w in b["word"]], shared.value, tables)
 
     model = spelling.Speller.new(shared.value, summed_tables(rare.filter(~held), count, list(spelling.TABLE_BITS)))
+    shared.destroy()
+    sent = Sent(spelling.Speller, sc.broadcast({"code": model.code, "tables": model.tables}), {"weights": model.weights, "sse": model.sse})
     lanes = stored(in_lanes(rare.filter(held).select("word"), max(1, types // (TUNE * LANE)), "word"))
     for rate in (0.1, 0.03):
-        model.sse = np.zeros_like(model.sse)
-        given = sc.broadcast(model)
+        sent = sent.learnt(sse=np.zeros_like(model.sse))
 
-        def run(rate=rate, given=given):
-            state, seen = given.value, 0
+        def run(rate=rate, sent=sent):
+            state, seen = sent.value, 0
 
             def learner(part: pd.DataFrame | None):
                 nonlocal state, seen
@@ -588,23 +622,21 @@ def speller(rare: DataFrame, types: int) -> spelling.Speller:
 
         got = averaged(lanes.sortWithinPartitions("lane", "h", "word"), run)
         if not got:
-            return model
+            return sent
         w, sse = np.split(got[0], [model.weights.size])
-        model = spelling.Speller(model.code, model.tables, np.round(w / got[1], 6).reshape(model.weights.shape).astype(np.float32), np.round(sse, 3).reshape(model.sse.shape))
-    return model
+        sent = sent.learnt(weights=np.round(w / got[1], 6).reshape(model.weights.shape).astype(np.float32), sse=np.round(sse, 3).reshape(model.sse.shape))
+    return sent
 
 
-def score_texts(docs: DataFrame, model: Model) -> DataFrame:
+def score_texts(docs: DataFrame, model: Sent) -> DataFrame:
     """Of each row: its number, id, lengths, the model's log10 probability but for rare words, the base score's, and the rare words' hashes.
 
     Only rows that weren't learnt from can hold words that were never seen; theirs come along.
     """
     from pyspark import TaskContext
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        m = model.value
         number = TaskContext.get().partitionId() << 33
 
         def frame(group: list) -> pd.DataFrame:
@@ -643,14 +675,14 @@ def word_hash(word: bytes) -> int:
     return (xxhash.xxh64_intdigest(word, 42) + (1 << 63)) % (1 << 64) - (1 << 63)
 
 
-def with_spelling(rows: DataFrame, model: spelling.Speller, word: str = "word") -> DataFrame:
+def with_spelling(rows: DataFrame, model: Sent, word: str = "word") -> DataFrame:
     """rows and spell, the log10 probability of the word's spelling."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = model.value
         for b in batches:
             number, distinct = pd.factorize(b[word])
-            yield b.assign(spell=spelling.log_probabilities(shared.value, [w.encode() for w in distinct])[number])
+            yield b.assign(spell=spelling.log_probabilities(m, [w.encode() for w in distinct])[number])
 
     return rows.mapInPandas(run, f"{rows.schema.simpleString()[7:-1]},spell double")
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import pickle
 import random
 import time
 import zlib
@@ -336,6 +337,17 @@ def test_all_decisions_of_a_path_are_mixed():
     assert len(mixlm.decisions(t, k, lex, m.bits).bit) == lex.length[deep]
 
 
+def test_models_go_to_tasks_small():
+    """A pickled lexicon is about its words and a few numbers for each, and comes back the same."""
+    r = random.Random(5)
+    ws = sorted({"".join(r.choice("abcdefgh") for _ in range(r.randint(5, 9))) for _ in range(20_000)})
+    lex = mixlm.lexicon([(w, int(3e6 / (i + 1)) + 2, i % 20) for i, w in enumerate(ws)], 500, 700, 1e8)
+    data = pickle.dumps(lex)
+    back = pickle.loads(data)
+    assert len(data) < 50 * len(ws) and max(back.length) == max(lex.length) > mixlm.DEPTH
+    assert back.ids == lex.ids and all((getattr(back, k) == getattr(lex, k)).all() for k in ("steps", "first", "length", "kind", "tail", "own", "base"))
+
+
 def slow_score(m, text):
     """The same, decision by decision, with contexts from their definition."""
     lex, end = m.lex, m.lex.rare + 1
