@@ -114,3 +114,15 @@ def test_run_and_key(spark, tmp_path):
     empty = one.filter(F.lit(False))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_toxic_stage_with_a_common_word(spark, monkeypatch):
+    """The stage drops all toxic rows and no others, also if toxic ones hold a common word more often than chance would have it."""
+    from .test_text import toxic_corpus
+
+    rows, labels = toxic_corpus()
+    often = lambda i: i // 4 % 10 < 9 if i % 4 == 0 else i % 20 < 11
+    docs = spark.createDataFrame([(i, t[:-1] + " mostly." if often(i) else t, "en", "s", len(t)) for i, t, _ in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    kept = corpus_pipeline.drop_toxic(spark, docs, "")
+    assert kept.columns == list(corpus_pipeline.COLUMNS) and sorted(x["doc_id"] for x in kept.collect()) == [i for i, _, _ in rows if i % 4]
