@@ -18,7 +18,7 @@ telling words of the toxic one, so that knowing any other word speaks for neithe
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,6 +46,8 @@ FRAME = (xxhash.xxh3_128_digest(b"\x01"), xxhash.xxh3_128_digest(b"\x02"))
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Distinct words whose codes a task remembers before it starts anew.
 CACHE = 1 << 20
+#: Windows that meet one dictionary before they meet the other.
+TOGETHER = 4096
 #: The largest saving that is told apart, in bytes.
 MOST = 80
 
@@ -95,32 +97,50 @@ class Scorer:
         self.model, self.codes = model, {}
         self.plain, self.knowing = compressor(model.ordinary), compressor(model.toxic)
 
-    def savings(self, ws: list[bytes]) -> list[int]:
-        """For each window, by how many bytes it is shorter with the toxic dictionary than with the ordinary one."""
+    def windows(self, ws: list[bytes]) -> list[bytes]:
         codes = self.codes
         if len(codes) + len(ws) > CACHE:
             codes.clear()
         for w in set(ws).difference(codes):
             codes[w] = code(w)
-        plain, knowing = self.plain.compress, self.knowing.compress
-        out = []
-        for i in range(0, len(ws), WINDOW):
-            window = FRAME[0] + b"".join([codes[w] for w in ws[i : i + WINDOW]]) + FRAME[1]
-            out.append(len(plain(window)) - len(knowing(window)))
-        return out
-
-    def profile(self, text: str | None) -> tuple[list[int], int]:
+        found, (before, after) = [codes[w] for w in ws], FRAME
+        return [b"".join([before, *found[i : i + WINDOW], after]) for i in range(0, len(found), WINDOW)]
+
+    def savings(self, texts: Iterable[str | None]) -> Iterator[tuple[list[int], int]]:
+        """For each text, by how many bytes each window is shorter with the toxic dictionary than with the ordinary one, and its words.
+
+        Many windows meet one dictionary and then the other: their tables would push each other out of the processor's cache.
+        """
+        held, sizes = [], []
+        for t in texts:
+            ws = letter_words(t)
+            held += self.windows(ws)
+            sizes.append(len(ws))
+            if len(held) >= TOGETHER:
+                yield from self.compressed(held, sizes)
+                held, sizes = [], []
+        yield from self.compressed(held, sizes)
+
+    def compressed(self, windows: list[bytes], sizes: list[int]) -> Iterator[tuple[list[int], int]]:
+        plain, knowing, at = self.plain.compress, self.knowing.compress, 0
+        long = [len(plain(w)) for w in windows]
+        saved = [n - len(knowing(w)) for n, w in zip(long, windows)]
+        for n in sizes:
+            until = at - (-n // WINDOW)
+            yield saved[at:until], n
+            at = until
+
+    def profiles(self, texts: Iterable[str | None]) -> Iterator[tuple[list[int], int]]:
         """How many windows save at least 1, 2, ... MOST bytes, and the number of words."""
-        ws = letter_words(text)
-        counts = np.bincount(np.clip(self.savings(ws), 0, MOST).astype(int), minlength=MOST + 1)
-        return counts[::-1].cumsum()[::-1][1:].tolist(), len(ws)
+        for saved, n in self.savings(texts):
+            counts = np.bincount(np.clip(saved, 0, MOST).astype(int), minlength=MOST + 1)
+            yield counts[::-1].cumsum()[::-1][1:].tolist(), n
 
-    def score(self, text: str | None) -> float:
+    def scores(self, texts: Iterable[str | None]) -> Iterator[float]:
         m = self.model
-        ws = letter_words(text)
-        hits = sum(s >= m.threshold for s in self.savings(ws))
-        z = float(np.dot(m.weights, features(hits, len(ws))))
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+        for saved, n in self.savings(texts):
+            z = float(np.dot(m.weights, features(sum(s >= m.threshold for s in saved), n)))
+            yield 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
 def features(hits: np.ndarray | int, n: np.ndarray | int) -> np.ndarray:
@@ -221,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordi
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = Scorer(model)
         for b in batches:
-            yield pd.DataFrame([(y, *s.profile(t)) for y, t in zip(b["toxic"], b["text"])], columns=["toxic", "hits", "n"])
+            yield pd.DataFrame([(y, *found) for y, found in zip(b["toxic"], s.profiles(b["text"]))], columns=["toxic", "hits", "n"])
 
     sample = rows.mapInPandas(measure, "toxic int, hits array<int>, n long").toPandas()  # a bounded number of rows of a few small numbers
     y, hits = sample["toxic"].to_numpy(float), np.stack(sample["hits"].to_numpy())
@@ -257,7 +277,7 @@ def scored(docs: DataFrame, model: Model | float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(model) if isinstance(model, Model) else None
         for b in batches:
-            score = [s.score(t) if s else model for t in b.column("text").to_pylist()]
+            score = list(s.scores(b.column("text").to_pylist())) if s else [model] * b.num_rows
             held = [crc_mod(i, 5) == 0 for i in b.column("doc_id").to_pylist()]
             more = [pa.array(held, pa.bool_()), pa.array(score, pa.float64()), pa.array([int(x >= 0.5) for x in score], pa.int32())]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "held_out", "score", "predicted"])
