@@ -16,15 +16,18 @@ size from the number of training tokens, up to a size that each task can hold. N
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import Broadcast
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spelling
-from .common import crc_mod, stored, words
+from .common import crc_mod, stored, words  # noqa: F401: what split() does for one text
 from .spelling import SCALE, huffman, logit_table, squash
 
 #: Rows with crc32(doc_id) mod HELD of 0 are never learnt from; of the others, one in TUNE is left to the weights.
@@ -46,7 +49,9 @@ KNOWN2, KNOWN3, KNOWN4 = 2048, 4096, 256
 #: Most bits of each context's table; they have 2^bits slots, about as many as training tokens up to this.
 MOST_BITS = (22, 22, 20, 20)
 #: Slots of a block in which counts travel; bytes of texts that go together; tokens of a document that do, and of its past that they know.
-BLOCK, CHUNK, PART, HISTORY = 1 << 16, 1 << 20, 1 << 17, 64
+BLOCK, CHUNK, PART, HISTORY = 1 << 16, 1 << 22, 1 << 17, 64
+#: Tokens whose decisions are mixed at once, so that they stay within the cache; tokens looked up in one table after the other.
+CACHED, LOOKED = 1 << 12, 1 << 17
 #: Inputs of the mixer: the contexts' logits, the tree's own, a constant. Gates: depth, whether contexts 1 and 3 know anything.
 INPUTS, GATES = len(MOST_BITS) + 2, DEPTH * 4
 #: Cells of the adaptive table for each depth; what it weighs at a document's start.
@@ -91,6 +96,10 @@ class Lexicon:
     def rare(self) -> int:
         return len(self.ids)
 
+    @functools.cached_property
+    def known(self) -> pa.Array:
+        return pa.array([w.decode() for w in self.ids], pa.string())
+
 
 def lexicon(known: list[tuple[str, int, int]], ends: int, rest: int, divisor: float) -> Lexicon:
     """From (word, count, group) of the frequent words, the numbers of ends and of rare words in training, and the base score's divisor."""
@@ -115,9 +124,9 @@ def lexicon(known: list[tuple[str, int, int]], ends: int, rest: int, divisor: fl
 
 def laid_out(ws: list[bytes], leaf: np.ndarray, length: np.ndarray, weight: np.ndarray, base: np.ndarray, endless: bool) -> Lexicon:
     """The lexicon of words, with the paths and weights of all symbols."""
-    length, leaf = length.astype(np.int64), leaf.astype(np.int64)
+    length, leaf = length.astype(np.int64), leaf.astype(np.int32)
     first = np.cumsum(length) - length
-    steps, deepest = np.zeros(length.sum(), np.int64), int(length.max())
+    steps, deepest = np.zeros(length.sum(), np.int32), int(length.max())
     node_weight, ones = np.zeros(1 << deepest), np.zeros(1 << deepest)
     for depth in range(deepest):
         some = np.flatnonzero(length > depth)
@@ -144,6 +153,37 @@ def tokens(ws: list[bytes], lex: Lexicon) -> np.ndarray:
     return np.array([*map(lex.ids.get, ws, repeat(lex.rare)), lex.rare + 1], np.int64)
 
 
+def shares(b: pa.RecordBatch, size: int = CHUNK) -> Iterator[tuple[list[int | None], pa.Array]]:
+    """(ids, texts) of a batch's rows, size bytes at a time; longer texts by themselves."""
+    ids, texts, at, held = b.column("doc_id").to_pylist(), b.column("text"), 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > at and (held + n > size or i - at == 1 << 16):
+            yield ids[at:i], texts.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if ids:
+        yield ids[at:], texts.slice(at)
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, as words() has them, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    n, ws = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), lists.flatten()
+    some = pc.binary_length(ws).to_numpy(zero_copy_only=False) > 0
+    if not some.all():
+        ws, n = ws.filter(pa.array(some)), np.bincount(np.repeat(np.arange(len(n)), n)[some], minlength=len(n))
+    return ws, n.astype(np.int64)
+
+
+def symbols(ws: pa.Array, n: np.ndarray, lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of texts of n words each, with their ends, one after the other, and each one's text."""
+    owner, t = np.repeat(np.arange(len(n)), n + 1), np.full(len(ws) + len(n), lex.rare + 1)
+    word = np.ones(len(t), bool)
+    word[np.cumsum(n + 1) - 1] = False
+    t[word] = pc.fill_null(pc.index_in(ws, value_set=lex.known.cast(ws.type)), lex.rare).to_numpy(zero_copy_only=False)
+    return t, owner
+
+
 # -- contexts
 
 
@@ -169,34 +209,40 @@ def hashed(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
 
 @dataclass
 class Decisions:
-    """Mixed decisions of symbols: number of the symbol, node, outcome, and each context's slot."""
+    """Mixed decisions of symbols, by depth: the first ones of all, then the second ones of those that have two, and so on.
+
+    order: symbols from the longest path to the shortest, of which so many reach each depth; node and outcome.
+    """
 
-    place: np.ndarray
+    order: np.ndarray
+    many: list[int]
     node: np.ndarray
     bit: np.ndarray
-    slots: list[np.ndarray]
 
 
 def decisions(t: np.ndarray, hashes: list[np.ndarray], lex: Lexicon, bits: list[int]) -> Decisions:
-    n = lex.length.take(t)
-    begin = np.cumsum(n) - n
-    place = np.repeat(np.arange(len(t)), n)
-    step = lex.steps.take((lex.first.take(t) - begin).take(place) + np.arange(len(place)))
-    node = step >> 1
-    mark = node.astype(np.uint32) * np.uint32(0x9E3779B1)
-    slots = []
+    n = lex.length.take(t).astype(np.int8)
+    order = np.argsort(-n, kind="stable")
+    n = n.take(order).astype(np.int32)
+    many = np.cumsum(np.bincount(n)[::-1])[::-1][1:].tolist()
+    step = by_depth(lex.leaf.take(t.take(order)), many)
+    step >>= np.concatenate([n[:k] - (depth + 1) for depth, k in enumerate(many)])
+    return Decisions(order, many, step >> 1, (step & 1).astype(np.int8))
+
+
+def slots(d: Decisions, hashes: list[np.ndarray], bits: list[int]) -> Iterator[np.ndarray]:
+    """Each context's table slots of the decisions, one context after the other, so that they stay within the cache."""
     for x, b in zip(hashes, bits):
-        x = x.take(place)
-        x += mark
+        x = by_depth(x.take(d.order).astype(np.uint32), d.many)
+        x += d.node.view(np.uint32) * np.uint32(0x9E3779B1)
         x *= np.uint32(0x85EBCA6B)
         x >>= np.uint32(32 - b)
-        slots.append(x.astype(np.intp))
-    return Decisions(place, node, step & 1, slots)
+        yield x.astype(np.intp)
 
 
-def depths(node: np.ndarray) -> np.ndarray:
-    """Exponents of node numbers, which doubles hold exactly."""
-    return np.minimum(np.frexp(node.astype(np.float64))[1].astype(np.int64) - 1, DEPTH - 1)
+def by_depth(x: np.ndarray, many: list[int]) -> np.ndarray:
+    """What symbols, from the longest path to the shortest, have, for each of their decisions."""
+    return np.concatenate([x[:k] for k in many])
 
 
 def parts(t: np.ndarray, lex: Lexicon) -> Iterator[tuple[np.ndarray, int]]:
@@ -243,36 +289,78 @@ class State:
     def new(m: Model, rows: int) -> State:
         return State(np.tile(m.weights, rows), np.tile(m.refinement(), rows), np.tile(1 / (m.curve * STIFF), rows) if m.curve.all() else m.curve)
 
+    def some(self, first: int, until: int) -> State:
+        """A view of these rows."""
+        gates, cells = slice(first * GATES, until * GATES), slice(first * DEPTH * SSE, until * DEPTH * SSE)
+        return State(self.weights[:, gates], self.sse[:, cells], self.step[:, gates])
+
 
-def mixed(m: Model, s: State, t: np.ndarray, hashes: list[np.ndarray], row: np.ndarray) -> tuple:
-    """(decisions, inputs, their weights' places, the adaptive table's, mixture's probability) of symbols, each with its row of the state."""
-    d = decisions(t, hashes, m.lex, m.bits)
-    raw = [table.take(x) for table, x in zip(m.tables, d.slots)]
-    depth = depths(d.node)
-    own_row = row.take(d.place)
-    gate = own_row * GATES + depth * 4 + (raw[0] != 0) * 2 + (raw[2] != 0)
-    inputs = [spelling.LOGITS.take(r.view(np.uint8)) for r in raw] + [m.lex.own.take(d.node)]
+@dataclass
+class Piece:
+    """Symbols that are mixed at once: their contexts' hashes, the rows of the state from first to until, each symbol's row of these, and
+    whether they are these rows' last ones."""
+
+    t: np.ndarray
+    hashes: list[np.ndarray]
+    first: int
+    until: int
+    row: np.ndarray
+    last: bool
+
+
+def looked_up(m: Model, pieces: Iterator[Piece]) -> Iterator[tuple[Piece, Decisions, list[np.ndarray]]]:
+    """Pieces with decisions and their contexts' logits in 16ths. Tables are read one after the other, for several pieces each, since
+    one alone may stay within the cache."""
+    some, held = [], 0
+    for piece in chain(pieces, [None]):
+        if some and (piece is None or held + len(piece.t) > LOOKED):
+            found = [decisions(p.t, p.hashes, m.lex, m.bits) for p in some]
+            at, raw = [slots(d, p.hashes, m.bits) for p, d in zip(some, found)], [[] for _ in some]
+            for table in m.tables:
+                for x, r in zip(at, raw):
+                    r.append(table.take(next(x), mode="clip"))  # faster; slots are within their tables
+            yield from zip(some, found, raw)
+            some, held = [], 0
+        if piece is not None:
+            some.append(piece)
+            held += len(piece.t)
+
+
+def mixed(m: Model, s: State, d: Decisions, raw: list[np.ndarray], row: np.ndarray) -> tuple:
+    """(inputs, their weights' places, the adaptive table's, mixture's probability) of decisions of symbols, each with its row of the state."""
+    gate = row.take(d.order) * GATES
+    gate = np.concatenate([gate[:k] + 4 * min(depth, DEPTH - 1) for depth, k in enumerate(d.many)])
+    cell = (gate >> 2) * SSE
+    gate += (raw[0] != 0).view(np.uint8) * np.uint8(2) + (raw[2] != 0).view(np.uint8)
+    inputs = [r.astype(np.float32) * np.float32(1 / SCALE) for r in raw] + [m.lex.own.take(d.node)]
     z = s.weights[-1].take(gate)
     for w, x in zip(s.weights, inputs):
         z += w.take(gate) * x
     np.clip(z, -12, 12, out=z)
-    cell = own_row * (DEPTH * SSE) + depth * SSE + np.rint(np.clip(z, -8, 8) * np.float32((SSE - 1) / 16) + np.float32((SSE - 1) / 2)).astype(np.intp)
-    return d, inputs, gate, cell, squash(z)
+    cell += np.rint(np.clip(z, -8, 8) * np.float32((SSE - 1) / 16) + np.float32((SSE - 1) / 2)).astype(np.intp)
+    return inputs, gate, cell, squash(z)
 
 
-def advance(m: Model, s: State, rows: int, t: np.ndarray, hashes: list[np.ndarray], row: np.ndarray) -> np.ndarray:
-    """log10 probability of the symbols of each of the first rows, which then learn from them."""
-    d, inputs, gate, cell, p = mixed(m, s, t, hashes, row)
+def advance(m: Model, s: State, piece: Piece, d: Decisions, raw: list[np.ndarray]) -> np.ndarray:
+    """log10 probability of the piece's symbols for each of its rows, which then learn from them unless these are their last ones."""
+    s = s.some(piece.first, piece.until)
+    inputs, gate, cell, p = mixed(m, s, d, raw, piece.row)
     bit = d.bit.astype(np.float32)
-    q = (p + s.sse[0].take(cell) / s.sse[1].take(cell)) * np.float32(0.5)
-    q = np.abs(np.float32(1) - bit - q)  # of what came
-    out = np.bincount(row.take(d.place), np.log(np.maximum(q, np.float32(1e-9))), rows) * math.log10(math.e)
-    error, n = bit - p, rows * GATES
-    for k in range(INPUTS):
-        s.weights[k, :n] += np.bincount(gate, error * inputs[k] if k < len(inputs) else error, n) * s.step[k, :n]
-    n = rows * DEPTH * SSE
-    s.sse[0, :n] += np.bincount(cell, bit, n)
-    s.sse[1, :n] += np.bincount(cell, minlength=n)
+    q = (p + (s.sse[0] / s.sse[1]).take(cell)) * np.float32(0.5)
+    q = np.maximum(np.abs(np.float32(1) - bit - q), np.float32(1e-9))  # of what came
+    chance, at = np.ones(len(piece.t)), 0
+    for k in d.many:
+        chance[:k] *= q[at : at + k]
+        at += k
+    out = np.bincount(piece.row.take(d.order), np.log10(chance), piece.until - piece.first)
+    if piece.last:
+        return out
+    error, gains = bit - p, np.zeros(s.weights.shape, np.float32)
+    for k, gain in enumerate(gains):
+        np.add.at(gain, gate, error * inputs[k] if k < len(inputs) else error)
+    s.weights += gains * s.step
+    np.add.at(s.sse[0], cell, bit)
+    np.add.at(s.sse[1], cell, np.float32(1))
     return out
 
 
@@ -307,17 +395,24 @@ def score(m: Model, texts: list[np.ndarray]) -> np.ndarray:
 def side_by_side(m: Model, texts: list[np.ndarray]) -> np.ndarray:
     """Of texts from the longest to the shortest; a text of more than PART symbols comes alone."""
     s, out = State.new(m, len(texts)), np.zeros(len(texts))
-    if len(texts) == 1:
-        done = 0
-        for t, h in parts(texts[0], m.lex):
-            hashes, ends = contexts(t, h, m.lex), rounds(len(t) - h) if not done else range(1024, len(t) - h + 1024, 1024)
-            at = 0
-            for end in ends:
-                end = min(end, len(t) - h)
-                out += advance(m, s, 1, t[h + at : h + end], [x[at:end] for x in hashes], np.zeros(end - at, np.intp))
-                at = end
-            done += at
-        return out
+    for piece, d, raw in looked_up(m, alone(m, texts[0]) if len(texts) == 1 else pieces_of(m, texts)):
+        out[piece.first : piece.until] += advance(m, s, piece, d, raw)
+    return out
+
+
+def alone(m: Model, text: np.ndarray) -> Iterator[Piece]:
+    done = 0
+    for t, h in parts(text, m.lex):
+        hashes, ends = contexts(t, h, m.lex), rounds(len(t) - h) if not done else range(1024, len(t) - h + 1024, 1024)
+        at = 0
+        for end in ends:
+            end = min(end, len(t) - h)
+            yield Piece(t[h + at : h + end], [x[at:end] for x in hashes], 0, 1, np.zeros(end - at, np.intp), done + end == len(text))
+            at = end
+        done += at
+
+
+def pieces_of(m: Model, texts: list[np.ndarray]) -> Iterator[Piece]:
     lengths = np.array([len(t) for t in texts])
     start = np.cumsum(lengths) - lengths
     t = np.concatenate([[m.lex.rare + 1] * 2, *texts])
@@ -326,12 +421,13 @@ def side_by_side(m: Model, texts: list[np.ndarray]) -> np.ndarray:
     for end in rounds(int(lengths[0])):
         rows = int(np.count_nonzero(lengths > at))
         size = np.minimum(lengths[:rows], end) - at
-        begin = np.cumsum(size) - size
-        row = np.repeat(np.arange(rows), size)
-        place = (start[:rows] + at - begin).take(row) + np.arange(len(row))
-        out[:rows] += advance(m, s, rows, t.take(place), [x.take(place) for x in hashes], row)
+        cuts = np.flatnonzero(np.diff(np.cumsum(size) // CACHED, prepend=-1)).tolist()
+        for first, until in zip(cuts, [*cuts[1:], rows]):
+            own = size[first:until]
+            row = np.repeat(np.arange(until - first), own)
+            place = (start[first:until] + at - np.cumsum(own) + own).take(row) + np.arange(len(row))
+            yield Piece(t.take(place), [x.take(place) for x in hashes], first, until, row, bool(lengths[first] <= end))
         at = end
-    return out
 
 
 def learn(m: Model, texts: list[np.ndarray], rate: float) -> tuple[Model, np.ndarray]:
@@ -343,16 +439,18 @@ def learn(m: Model, texts: list[np.ndarray], rate: float) -> tuple[Model, np.nda
     for text in texts:
         for t, h in parts(text, m.lex):
             hashes = contexts(t, h, m.lex)
-            for at in range(0, len(t) - h, 512):
-                part = slice(at, min(at + 512, len(t) - h))
-                d, inputs, gate, cell, p = mixed(m, s, t[h:][part], [x[part] for x in hashes], np.zeros(part.stop - at, np.intp))
-                error, spread = d.bit - p, p * (1 - p)
+            steps = (slice(at, min(at + 512, len(t) - h)) for at in range(0, len(t) - h, 512))
+            pieces = (Piece(t[h:][part], [x[part] for x in hashes], 0, 1, np.zeros(part.stop - part.start, np.intp), False) for part in steps)
+            for piece, d, raw in looked_up(m, pieces):
+                inputs, gate, cell, p = mixed(m, s, d, raw, piece.row)
+                bit = d.bit.astype(np.float32)
+                error, spread = bit - p, p * (1 - p)
                 for k in range(INPUTS):
                     x = inputs[k] if k < len(inputs) else np.float32(1)
                     steep = np.bincount(gate, spread * x * x, GATES)
                     s.weights[k] += (rate * np.bincount(gate, error * x, GATES) / (steep + 4)).astype(np.float32)
                     curve[k] += steep
-                sse[:, 0] += np.bincount(cell, d.bit, len(sse))
+                sse[:, 0] += np.bincount(cell, bit, len(sse))
                 sse[:, 1] += np.bincount(cell, minlength=len(sse))
                 seen += np.bincount(gate, minlength=GATES)
     return Model(m.lex, m.tables, m.bits, s.weights.copy(), curve, sse), seen
@@ -388,35 +486,52 @@ def _ids(b: pd.DataFrame) -> list[int | None]:
     return [None if pd.isna(i) else int(i) for i in b["doc_id"]]
 
 
+def first_of_runs(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+
+
+def kinds_of(ws: pa.Array, n: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(word, kind of text, count) of the words of texts of n words each; a text's kind is its most frequent word's, the first one of several."""
+    coded = ws.dictionary_encode()
+    code = coded.indices.to_numpy().astype(np.int64)
+    bits = len(code).bit_length()  # words of a share, and one long text's, take at most 30
+    low = (1 << bits) - 1
+    key = np.repeat(np.arange(len(n)), n) << 2 * bits | code << bits | np.arange(len(code))
+    key.sort()
+    first = first_of_runs(key >> bits)
+    count, key = np.diff(first, append=len(key)), key[first]
+    texts = first_of_runs(key >> 2 * bits)
+    top = code[low - (np.maximum.reduceat(count << bits | low - (key & low), texts) & low)]
+    words_, number = np.unique(top, return_inverse=True)
+    kind = np.array([zlib.crc32(w.encode()) & 0xFF for w in coded.dictionary.take(pa.array(words_)).to_pylist()])[number]
+    # of all texts: words with their kinds and counts
+    pair = (key >> bits & low) << 8 | np.repeat(kind, np.diff(texts, append=len(key)))
+    pair = pair << bits | count
+    pair.sort()
+    first = first_of_runs(pair >> bits)
+    total, pair = np.add.reduceat(pair & low, first), pair[first] >> bits
+    return coded.dictionary.take(pa.array(pair >> 8)), pair & 0xFF, total
+
+
 def corpus_words(docs: DataFrame) -> DataFrame:
     """(word, n, kind) of the training rows: each word's count, the end's under END, and the most frequent word, by checksum, of the
     documents in which it is most frequent."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[int, Counter] = {}
-        held = ends = 0
-
-        def rows() -> pd.DataFrame:
-            ws = [w.decode() for c in found.values() for w in c] + [END]
-            kinds = np.repeat(np.array([*found, -1], np.int32), [*map(len, found.values()), 1])
-            return pd.DataFrame({"word": ws, "kind": kinds, "n": [n for c in found.values() for n in c.values()] + [ends]})
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = 0
         for b in batches:
-            for i, t in zip(_ids(b), b["text"]):
-                if crc_mod(i, HELD):
-                    ends += 1
-                    own = Counter(words(t))
-                    if own:
-                        into = found.setdefault(zlib.crc32(max(own, key=own.get)) & 0xFF, Counter())
-                        held -= len(into)
-                        into.update(own)
-                        held += len(into)
-                        if held > 1 << 20:  # bounded memory, whatever the size of a partition
-                            yield rows()
-                            found, held, ends = {}, 0, 0
-        yield rows()
-
-    each = docs.mapInPandas(run, "word string, kind int, n long").groupBy("word", "kind").agg(F.sum("n").alias("n"))
+            for ids, texts in shares(b, 2 * CHUNK):
+                learnt = [crc_mod(i, HELD) > 0 for i in ids]
+                ends += sum(learnt)
+                ws, n = split(texts.filter(pa.array(learnt, pa.bool_())))
+                if len(ws):
+                    yield rows(*kinds_of(ws, n))
+        yield rows(pa.array([END]), np.array([-1]), np.array([ends]))
+
+    def rows(ws: pa.Array, kinds: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ws.cast(pa.string()), pa.array(kinds, pa.int32()), pa.array(n, pa.int64())], ["word", "kind", "n"])
+
+    each = docs.mapInArrow(run, "word string, kind int, n long").groupBy("word", "kind").agg(F.sum("n").alias("n"))
     return each.groupBy("word").agg(F.sum("n").alias("n"), (F.max(F.col("n") * 512 + F.col("kind") + 1) % 512 - 1).cast("int").alias("kind"))
 
 
@@ -434,11 +549,12 @@ def frequent_words(counts: DataFrame) -> list[tuple[str, int, int]]:
 
 
 def packed(counts: np.ndarray) -> bytes:
-    return zstandard.compress(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zstandard.compress(b"".join((counts >> np.uint32(8 * k)).astype(np.uint8).tobytes() for k in range(4)), 1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return sum(plane.astype(np.uint32) << np.uint32(8 * k) for k, plane in enumerate(planes))
 
 
 def summed_tables(rows: DataFrame, count, bits: list[int]) -> list[np.ndarray]:
@@ -449,13 +565,13 @@ def summed_tables(rows: DataFrame, count, bits: list[int]) -> list[np.ndarray]:
     sizes = [max(1 << b, BLOCK) for b in bits]
     firsts = np.cumsum([0, *[n // BLOCK for n in sizes]])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.zeros(2 * n, np.uint32) for n in sizes]
         count(batches, tables)
         for first, table in zip(firsts, tables):
             blocks = table.reshape(-1, 2 * BLOCK)
             some = [k for k, p in enumerate(blocks) if p.any()]
-            yield pd.DataFrame({"block": [int(first) + k for k in some], "counts": [packed(blocks[k]) for k in some]})
+            yield pa.RecordBatch.from_arrays([pa.array([int(first) + k for k in some], pa.int32()), pa.array([packed(blocks[k]) for k in some], pa.binary())], ["block", "counts"])
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, total = None, np.zeros(2 * BLOCK, np.uint64)
@@ -473,7 +589,7 @@ def summed_tables(rows: DataFrame, count, bits: list[int]) -> list[np.ndarray]:
         if block is not None:
             yield row()
 
-    summed = rows.mapInPandas(run, "block int, counts binary").repartition("block").sortWithinPartitions("block").mapInPandas(add, "block int, logits binary")
+    summed = rows.mapInArrow(run, "block int, counts binary").repartition("block").sortWithinPartitions("block").mapInPandas(add, "block int, logits binary")
     tables = [np.zeros(n, np.int8) for n in sizes]
     for r in summed.collect():  # at most 4 MB for each context
         which = int(np.searchsorted(firsts, r["block"], "right")) - 1
@@ -485,22 +601,20 @@ def summed_tables(rows: DataFrame, count, bits: list[int]) -> list[np.ndarray]:
 def context_tables(docs: DataFrame, lex: Lexicon, bits: list[int]) -> list[np.ndarray]:
     shared = docs.sparkSession.sparkContext.broadcast(lex)
 
-    def count(batches: Iterator[pd.DataFrame], tables: list[np.ndarray]) -> None:
+    def count(batches: Iterator[pa.RecordBatch], tables: list[np.ndarray]) -> None:
         lex = shared.value
         for b in batches:
-            for t, h in grouped((tokens(words(t), lex) for i, t in zip(_ids(b), b["text"]) if learnt_by(i) == "train"), lex):
-                hashes = contexts(t, h, lex)
-                for at in range(0, len(t) - h, 1 << 13):  # what stays within the cache
-                    d = decisions(t[h + at : h + at + (1 << 13)], [x[at : at + (1 << 13)] for x in hashes], lex, bits)
-                    for table, x in zip(tables, d.slots):
-                        np.add.at(table, x * 2 + d.bit, np.uint32(1))
+            for ids, texts in shares(b):
+                ws, n = split(texts.filter(pa.array([learnt_by(i) == "train" for i in ids], pa.bool_())))
+                for t, h in grouped(np.split(symbols(ws, n, lex)[0], np.cumsum(n + 1)), lex):
+                    count_part(t, h, lex, bits, tables)
 
     tables = summed_tables(docs, count, bits)
     shared.destroy()
     return tables
 
 
-def grouped(texts: Iterator[np.ndarray], lex: Lexicon) -> Iterator[tuple[np.ndarray, int]]:
+def grouped(texts: list[np.ndarray], lex: Lexicon) -> Iterator[tuple[np.ndarray, int]]:
     """(symbols, how many of them stood before): short texts joined, long ones in parts."""
     pending, held = [], 0
     for t in texts:
@@ -512,10 +626,22 @@ def grouped(texts: Iterator[np.ndarray], lex: Lexicon) -> Iterator[tuple[np.ndar
         if held > PART:
             yield np.concatenate(([lex.rare + 1] * 2, *pending)), 2
             pending, held = [], 0
-    if pending:
+    if held:
         yield np.concatenate(([lex.rare + 1] * 2, *pending)), 2
 
 
+def count_part(t: np.ndarray, h: int, lex: Lexicon, bits: list[int], tables: list[np.ndarray]) -> None:
+    """Adds the outcomes of the symbols t[h:] to tables [slots * 2], one table after the other, since together they exceed the cache."""
+    hashes, keys = contexts(t, h, lex), [[] for _ in tables]
+    for at in range(h, len(t), CACHED):
+        part = [x[at - h : at - h + CACHED] for x in hashes]
+        d = decisions(t[at : at + CACHED], part, lex, bits)
+        for key, x in zip(keys, slots(d, part, bits)):
+            key.append((x * 2 + d.bit).astype(np.uint32))
+    for key, table in zip(keys, tables):
+        spelling.add(table, key)
+
+
 def in_lanes(rows: DataFrame, lanes: int, *columns: str) -> DataFrame:
     """The rows with their lane, dealt by it and in an order of their own, so that nothing depends on partitions."""
     h = F.xxhash64(*columns)
@@ -562,7 +688,8 @@ def tuned(docs: DataFrame, model: Model, train_tokens: int) -> Sent:
                 nonlocal state, seen
                 if part is None:
                     return np.concatenate((state.weights.ravel() * float(seen.sum()), state.curve.ravel(), state.sse.ravel(), seen)), seen.sum()
-                state, n = learn(state, [tokens(words(t), state.lex) for t in part["text"]], rate)
+                ws, length = split(pa.array(part["text"], pa.string()))
+                state, n = learn(state, np.split(symbols(ws, length, state.lex)[0], np.cumsum(length + 1)[:-1]), rate)
                 seen = seen + n
 
             return learner
@@ -597,9 +724,9 @@ def speller(rare: DataFrame, types: int) -> Sent:
         total[r["k"]] = r["n"]
     shared = sc.broadcast(spelling.code_of(total.reshape(256, 256)))
 
-    def count(batches: Iterator[pd.DataFrame], tables: list[np.ndarray]) -> None:
+    def count(batches: Iterator[pa.RecordBatch], tables: list[np.ndarray]) -> None:
         for b in batches:
-            spelling.count([w.encode() for w in b["word"]], shared.value, tables)
+            spelling.count([w.encode() for w in b.column("word").to_pylist()], shared.value, tables)
 
     model = spelling.Speller.new(shared.value, summed_tables(rare.filter(~held), count, list(spelling.TABLE_BITS)))
     shared.destroy()
@@ -635,39 +762,48 @@ def score_texts(docs: DataFrame, model: Sent) -> DataFrame:
     """
     from pyspark import TaskContext
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         number = TaskContext.get().partitionId() << 33
-
-        def frame(group: list) -> pd.DataFrame:
-            nonlocal number
-            out, symbols = [], []
-            for i, t in group:
-                ws = words(t)
-                t = tokens(ws, m.lex)
-                some = np.flatnonzero(t == m.lex.rare)
-                rare = Counter(map(ws.__getitem__, some.tolist()))
-                held = crc_mod(i, HELD) == 0
-                base = m.lex.base.take(t)
-                base[some] = 0.0
-                out.append((number, i, held, len(t), sum(map(len, ws)) + len(t), len(t) - len(some) - m.lex.endless, float(base.sum()), len(some), [word_hash(w) for w in rare], list(rare.values()), [w.decode() for w in rare] if held else None))
-                symbols.append(t)
-                number += 1
-            made = pd.DataFrame(out, columns=["row", "doc_id", "held_out", "n_tokens", "n_bytes", "known", "base", "n_rare", "rare", "times", "words"])
-            return made.assign(doc_id=made["doc_id"].astype("Int64"), score=score(m, symbols))
-
+        base = m.lex.base.copy()
+        base[m.lex.rare] = 0.0
         for b in batches:
-            group, held = [], 0
-            for i, t in zip(_ids(b), b["text"]):
-                group.append((i, t))
-                held += len(t or "")
-                if held > CHUNK:
-                    yield frame(group)
-                    group, held = [], 0
-            if group:
-                yield frame(group)
-
-    return docs.mapInPandas(run, "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, n_rare long, rare array<long>, times array<int>, words array<string>, score double")
+            for ids, texts in shares(b):
+                rows = len(ids)
+                ws, n = split(texts)
+                t, owner = symbols(ws, n, m.lex)
+                held = np.array([crc_mod(i, HELD) == 0 for i in ids])
+                n_bytes = np.bincount(np.repeat(np.arange(rows), n), pc.binary_length(ws).to_numpy(zero_copy_only=False), rows).astype(np.int64) + n + 1
+                rare = np.flatnonzero(t == m.lex.rare)
+                n_rare = np.bincount(owner[rare], minlength=rows)
+                distinct, lists = listed(ws.take(pa.array(rare - owner[rare])), owner[rare], rows)
+                hashes = np.array([word_hash(w) for w in distinct.cast(pa.binary()).to_pylist()], np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(number + np.arange(rows)), pa.array(ids, pa.int64()), pa.array(held), pa.array(n + 1), pa.array(n_bytes),
+                        pa.array(n + 1 - n_rare - m.lex.endless), pa.array(np.bincount(owner, base.take(t), rows)), pa.array(n_rare),
+                        lists(lambda code, times: pa.array(hashes[code])), lists(lambda code, times: pa.array(times, pa.int32())),
+                        lists(lambda code, times: distinct.take(pa.array(code)), held), pa.array(score(m, np.split(t, np.cumsum(n + 1)[:-1]))),
+                    ],
+                    ["row", "doc_id", "held_out", "n_tokens", "n_bytes", "known", "base", "n_rare", "rare", "times", "words", "score"],
+                )
+                number += rows
+
+    return docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, n_rare long, rare array<long>, times array<int>, words array<string>, score double")
+
+
+def listed(ws: pa.Array, owner: np.ndarray, rows: int) -> tuple[pa.Array, Callable[..., pa.Array]]:
+    """The distinct words, and what makes lists for each row from its words' numbers and counts, null where it is not wanted."""
+    coded = ws.cast(pa.string()).dictionary_encode()
+    key, times = np.unique(owner << 32 | coded.indices.to_numpy(), return_counts=True)
+    of, code = key >> 32, key & 0xFFFFFFFF
+
+    def lists(values: Callable[[np.ndarray, np.ndarray], pa.Array], wanted: np.ndarray | None = None) -> pa.Array:
+        some = slice(None) if wanted is None else wanted[of]
+        ends = np.cumsum(np.bincount(of[some], minlength=rows))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), values(code[some], times[some]), mask=None if wanted is None else pa.array(~wanted))
+
+    return coded.dictionary, lists
 
 
 def word_hash(word: bytes) -> int:

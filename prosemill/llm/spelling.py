@@ -254,11 +254,24 @@ def learn(m: Speller, words: list[bytes], rate: float) -> tuple[Speller, int]:
 
 def count(words: list[bytes], code: Code, tables: list[np.ndarray]) -> None:
     """Adds the words' decisions to tables [slots * 2] of how often each outcome came."""
+    keys: list[list[np.ndarray]] = [[] for _ in tables]
     for data, history, _ in chunks(words):
         d = decisions(data, history, code)
         bit = (d.step & 1).astype(np.intp)
-        for table, x in zip(tables, slots(d)):
-            np.add.at(table, x * 2 + bit, np.uint32(1))
+        for key, x in zip(keys, slots(d)):
+            key.append((x * 2 + bit).astype(np.uint32))
+        if sum(map(len, keys[0])) > 1 << 20:
+            for table, key in zip(tables, keys):
+                add(table, key)
+    for table, key in zip(tables, keys):
+        add(table, key)
+
+
+def add(table: np.ndarray, keys: list[np.ndarray]) -> None:
+    """Counts the keys in the table and empties their list."""
+    for key in keys:
+        np.add.at(table, key.astype(np.intp), np.uint32(1))
+    keys.clear()
 
 
 def logit_table(counts: np.ndarray) -> np.ndarray:

@@ -11,6 +11,7 @@ from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -392,6 +393,44 @@ def test_scores_equal_a_slow_model():
     assert np.allclose(got, [mixlm.score(m, [t])[0] for t in texts], rtol=1e-9)
 
 
+def test_tables_are_read_one_after_the_other():
+    """Each table is larger than most caches, so short blocks of many texts read it together, and the next one after it."""
+    m, r = token_model()
+    texts = [np.append(r.integers(0, m.lex.rare + 1, n), m.lex.rare + 1) for n in range(400, 480)]
+    want, reads = mixlm.score(m, texts), []
+
+    class Table:
+        def __init__(self, k, logits):
+            self.k, self.logits = k, logits
+
+        def take(self, at, **how):
+            reads.append(self.k)
+            return self.logits.take(at, **how)
+
+    m.tables = [Table(k, x) for k, x in enumerate(m.tables)]
+    assert (mixlm.score(m, texts) == want).all()
+    assert len(reads) > 20 and sum(a != b for a, b in zip(reads, reads[1:])) == len(m.tables) - 1
+
+
+def test_columns_of_texts_are_split_and_counted_as_texts():
+    odd = [f" Ab{chr(c)}Cd {chr(c)}{chr(c)}x " for c in [*range(256), 0x1680, 0x2028, 0x3000, 0x130, 0x212A, 0x10FFFF]]
+    texts = [None, "", *odd, " ", "b a a b c", "a c\nC a", *["z"] * 300]
+    ws, n = mixlm.split(pa.array(texts, pa.string()))
+    each = [mixlm.words(t) for t in texts]
+    assert ws.to_pylist() == [w.decode() for x in each for w in x] and n.tolist() == [*map(len, each)]
+    m, _ = token_model()
+    texts = ["w000 W001 other", None, "w399"]
+    t, owner = mixlm.symbols(*mixlm.split(pa.array(texts, pa.string())), m.lex)
+    assert t.tolist() == [x for s in texts for x in mixlm.tokens(mixlm.words(s), m.lex).tolist()] and owner.tolist() == [0] * 4 + [1] + [2] * 2
+    want: Counter = Counter()
+    for own in map(Counter, each):
+        if own:
+            for w, k in own.items():
+                want[w.decode(), zlib.crc32(max(own, key=own.get)) & 0xFF] += k
+    words, kinds, counts = mixlm.kinds_of(ws, n)
+    assert {(w, k): c for w, k, c in zip(words.to_pylist(), kinds.tolist(), counts.tolist(), strict=True)} == want
+
+
 def test_long_texts_are_scored_in_parts(monkeypatch):
     m, r = token_model()
     t = np.append(np.minimum(r.geometric(0.02, 6000), m.lex.rare), m.lex.rare + 1)
