@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -106,33 +107,68 @@ class _Budget(StatefulProcessor):
         pass
 
 
+#: Groups in which calls wait for their verdicts, and for how long a call is remembered after its last answer. Checkpoints depend on them.
+GROUPS = 512
+REMEMBERED_MS = 2 * 86_400_000
+#: What a group remembers of a call: its answers, whether one refused it, whether it has its verdict, and when it and its last answer came.
+CALL = np.dtype([("call_id", "<i8"), ("answers", "<i4"), ("refused", "?"), ("done", "?"), ("since", "<i8"), ("last", "<i8")])
+
+
 class _Verdict(StatefulProcessor):
-    """A call's budgets as they answer: refused by the first that is used up, allowed when all have said so, refused when its time is up."""
+    """Calls' budgets as they answer: refused by the first that is used up, allowed when all have said so, refused when their time is up.
+
+    A key is a group of calls, all worked out together, since a key costs milliseconds of its own. Its state is one value, the
+    remembered calls in order of their ids. Group -1 holds calls without an id, which are one call.
+    """
 
     def __init__(self, wait_ms: int):
         self.wait_ms = wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "answers int, refused boolean, done boolean", ttlDurationMs=2 * 86_400_000)
+        self.calls = handle.getValueState("calls", "packed binary", ttlDurationMs=REMEMBERED_MS)
+
+    def _known(self, now_ms: int) -> np.ndarray:
+        calls = np.frombuffer(bytes(self.calls.get()[0]), CALL).copy() if self.calls.exists() else np.empty(0, CALL)
+        return calls[calls["last"] > now_ms - REMEMBERED_MS]
+
+    def _verdicts(self, key, told: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"call_id": [None] * len(told) if key[0] < 0 else told["call_id"], "allowed": ~told["refused"], "answers": told["answers"]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got = pd.concat(list(rows))
-        answers, refused, done = self.seen.get() if self.seen.exists() else (0, False, False)
-        first = answers == 0
-        answers, refused = answers + len(got), refused or not got["within"].all()
-        now = not done and (refused or answers >= int(got["budgets"].iloc[0]))
-        self.seen.update((answers, refused, done or now))
-        if first and not now:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
-        if now:
-            yield pd.DataFrame({"call_id": [key[0]], "allowed": [not refused], "answers": pd.Series([answers], dtype="int32")})
+        now_ms = timerValues.getCurrentProcessingTimeInMs()
+        known, parts = self._known(now_ms), []
+        for got in rows:  # each part is summed by call at once, so a group's rows are never held together
+            ids, first, at = np.unique(got["call_id"].to_numpy("int64", na_value=0), return_index=True, return_inverse=True)
+            parts.append((ids, np.bincount(at), np.bincount(at, ~got["within"].to_numpy(bool)), got["budgets"].to_numpy()[first]))
+        given, counts, refusals, budgets = (np.concatenate(x) for x in zip(*parts))
+        ids, first, at = np.unique(given, return_index=True, return_inverse=True)
+        calls = np.zeros(len(np.union1d(known["call_id"], ids)), CALL)
+        calls["call_id"], calls["since"] = np.union1d(known["call_id"], ids), now_ms
+        calls[np.searchsorted(calls["call_id"], known["call_id"])] = known
+        here = calls[place := np.searchsorted(calls["call_id"], ids)]
+        new = here["answers"] == 0
+        here["answers"] += np.bincount(at, counts).astype("int32")
+        here["refused"] |= np.bincount(at, refusals) > 0
+        here["last"] = now_ms
+        told = ~here["done"] & (here["refused"] | (here["answers"] >= budgets[first]))
+        here["done"] |= told
+        calls[place] = here
+        self.calls.update((calls.tobytes(),))
+        if (new & ~told).any():
+            self.handle.registerTimer(now_ms + self.wait_ms)
+        if told.any():
+            yield self._verdicts(key, here[told])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        answers, refused, done = self.seen.get() if self.seen.exists() else (0, False, True)
-        if not done:
-            self.seen.update((answers, True, True))
-            yield pd.DataFrame({"call_id": [key[0]], "allowed": [False], "answers": pd.Series([answers], dtype="int32")})
+        now_ms = timerValues.getCurrentProcessingTimeInMs()
+        calls = self._known(now_ms)
+        late = ~calls["done"] & (calls["since"] + self.wait_ms <= expiredTimerInfo.getExpiryTimeInMs())
+        if late.any():
+            for field, value in (("refused", True), ("done", True), ("last", now_ms)):
+                calls[field][late] = value
+            self.calls.update((calls.tobytes(),))
+            yield self._verdicts(key, calls[late])
 
     def close(self) -> None:
         pass
@@ -150,8 +186,9 @@ def stream_verdicts(stream: DataFrame, wait_ms: int = 60_000) -> DataFrame:
     """call_id, allowed, answers: one verdict a call. budgets says on how many a call draws; one that waits for answers longer than wait_ms is
     refused. A call allowed by all its budgets is allowed as spend() allows it, if calls arrive in their order."""
     out = "call_id long, allowed boolean, answers int"
-    answers = stream_budgets(stream).select("call_id", "budgets", "within")
-    return answers.groupBy("call_id").transformWithStateInPandas(_Verdict(wait_ms), outputStructType=out, outputMode="Append", timeMode="ProcessingTime")
+    group = F.when(F.col("call_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("call_id"), F.lit(GROUPS))).cast("int")
+    answers = stream_budgets(stream).select(group.alias("group"), "call_id", "budgets", "within")
+    return answers.groupBy("group").transformWithStateInPandas(_Verdict(wait_ms), outputStructType=out, outputMode="Append", timeMode="ProcessingTime")
 
 
 def stream_rescore(stream: DataFrame, keys: list[str], schema: str, idle_ms: int = 30 * 86_400_000) -> DataFrame:

@@ -61,6 +61,22 @@ def test_verdicts_equal_spend(rocks, tmp_path):
     assert late == {99: (False, 1), 100: (True, 1)}
 
 
+def test_verdicts_of_many_calls(rocks, tmp_path):
+    """Calls are kept by group, not by a key of state each; calls without an id are one call, and none is told twice."""
+    spark, t, n = rocks, datetime.datetime(2026, 1, 1), 6_000
+    ids = spark.range(n).select(F.when(F.col("id") >= 3, F.col("id")).alias("call_id"), F.when(F.col("id") < 3, 6).otherwise(2).cast("int").alias("budgets"))
+    rows = [ids.select("call_id", "budgets", F.lit(t).alias("ts"), F.lit(s).alias("scope"), F.pmod("call_id", F.lit(k)).cast("string").alias("key"), F.lit("d").alias("period"), F.lit(1).cast("long").alias("amount"), F.lit(most).cast("long").alias("limit")) for s, k, most in (("a", 7, 10**6), ("b", 100, 50))]
+    for part in rows:
+        part.coalesce(2).write.mode("append").parquet(str(tmp_path / "in"))
+        build = streams.stream_verdicts(spark.readStream.schema(CALLS).parquet(str(tmp_path / "in")))
+        q = build.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        assert q.awaitTermination(180) and q.exception() is None
+    assert max(x["numRowsTotal"] for x in q.lastProgress["stateOperators"]) <= streams.GROUPS + 1 < n
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == n - 2 and got.distinct().count() == n - 2 and got.filter("call_id is null and allowed and answers = 6").count() == 1
+    assert got.filter("call_id is not null and not allowed and answers = 2").count() == n - 3 - got.filter("call_id is not null and allowed").count() == sum(max(0, len(range(k + 100 * (k < 3), n, 100)) - 50) for k in range(100))
+
+
 def test_budgets_stream(rocks, tmp_path):
     spark, t = rocks, datetime.datetime(2026, 1, 1)
     rows = [(i, 1, t + datetime.timedelta(seconds=i), "a", "k", "d", n, 3) for i, n in enumerate((2, 1, 1))]
