@@ -47,18 +47,28 @@ def line_spans(c: Column) -> Column:
     """array<struct<start, end, text>>: lines that aren't blank."""
     def placed(pieces: Column) -> Column:
         starts = prefix_sums(F.transform(pieces, lambda p: F.length(p) + 1))
-        return F.filter(F.zip_with(pieces, starts, lambda p, s: F.struct(s.alias("start"), (s + F.length(p)).alias("end"), p.alias("text"))), lambda x: T.trim(x["text"]) != "")
+        return F.filter(F.zip_with(pieces, starts, lambda p, s: F.struct(s.alias("start"), (s + F.length(p)).alias("end"), p.alias("text"))), lambda x: x["text"].rlike(T.NOT_WS))
 
     return once(F.split(c, "\n", -1), placed)
 
 
-def located(df: DataFrame, text: str) -> DataFrame:
-    """df with raw, text, low, found_words, found_sentences, found_lines, behind a projection of their own; a null text is an empty one."""
+#: What rules of words, sentences and lines read; all others read the text alone.
+READ = {"found_words": ("r-018", "r-023"), "found_sentences": ("r-007", "r-017", "r-019", "r-020", "r-024", "r-025", "r-027", "r-030"), "found_lines": ("r-012", "r-016")}
+
+
+def located(df: DataFrame, text: str, called: Column | None = None) -> DataFrame:
+    """df with raw, text, low, found_words, found_sentences, found_lines, behind a projection of their own; a null text is an empty one.
+
+    called: ids of the rules that a row is asked for, by default all; what none of them reads is null.
+    """
     raw = F.coalesce(F.col(text), F.lit(""))
     own = ("raw", "text", "low", "found_words", "found_sentences", "found_lines")
     base = df.select(*[c for c in df.columns if c not in own], raw.alias("raw"), T.normalise_quotes(raw).alias("text"))
     words = F.transform(matches(F.col("text"), T.WORD), lambda w: F.struct(w["start"], w["end"], F.lower(w["hit"]).alias("lower")))
-    return base.select("*", F.lower("text").alias("low"), words.alias("found_words"), sentence_spans(F.col("text")).alias("found_sentences"), line_spans(F.col("text")).alias("found_lines"))
+    found = {"found_words": words, "found_sentences": sentence_spans(F.col("text")), "found_lines": line_spans(F.col("text"))}
+    if called is not None:
+        found = {k: F.when(F.arrays_overlap(called, F.array(*map(F.lit, READ[k]))), c) for k, c in found.items()}
+    return base.select("*", F.lower("text").alias("low"), *[c.alias(k) for k, c in found.items()])
 
 
 def _opener(phrases: tuple[str, ...]) -> Column:
@@ -89,8 +99,8 @@ def _most_repeated() -> Column:
     return once(once(names, most), own)
 
 
-def rule_spans(phrases: dict[str, tuple[str, ...]] | None = None, openers: dict[str, tuple[str, ...]] | None = None) -> dict[str, Column]:
-    """The spans of each rule's hits over located columns, in code points of the raw text."""
+def rule_spans(phrases: dict[str, tuple[str, ...]] | None = None, openers: dict[str, tuple[str, ...]] | None = None, rules: tuple[str, ...] = X.RULES) -> dict[str, Column]:
+    """The spans of the hits of these rules over located columns, in code points of the raw text."""
     p, o = L.PHRASES | (phrases or {}), L.OPENERS | (openers or {})
     text, none = F.col("text"), F.array().cast(SPANS)
     all_of = lambda pattern: find_spans(text, pattern)
@@ -121,23 +131,25 @@ def rule_spans(phrases: dict[str, tuple[str, ...]] | None = None, openers: dict[
         "r-026": bare(F.filter(matches(text, X.FROM_TO), lambda x: ~x["hit"].rlike(real_range))), "r-027": _opener(o["r-027"]),
         "r-028": all_of(rf"(?i),{T.WS}+(?:{'|'.join(L.PARTICIPLES)}){T.END}[^.!?]*[.!?]"), "r-029": find_spans(text, STAGED_PART, 1), "r-030": _most_repeated(), "r-034": none,
     }
-    return {r: out[r].cast(SPANS) for r in X.RULES}
+    return {r: out[r].cast(SPANS) for r in rules}
 
 
 #: The staged question of features.STAGED as a group.
 STAGED_PART = X.STAGED.replace(r"(?:(?:the|so|and|but)?", r"((?:the|so|and|but)?", 1)
 
 
-def span_rows(df: DataFrame, text: str, keys: list[str], phrases=None, openers=None, units: str = "points") -> DataFrame:
-    """keys, rule, pos (from 0), start, end, hit: each span of each rule, in code points or, for units utf16, in UTF-16 units.
+def span_rows(df: DataFrame, text: str, keys: list[str], phrases=None, openers=None, units: str = "points", rules: tuple[str, ...] = X.RULES) -> DataFrame:
+    """keys, rule, pos (from 0), start, end, hit: each span of each of these rules, in code points or, for units utf16, in UTF-16 units.
 
     The raw text from start to end is the hit. Null and empty texts have none; repeated rows have theirs as often as they come.
     """
     found = located(df.select(*keys, text), text)
     move = (lambda s: utf16_spans(F.col("raw"), s)) if units == "utf16" else bare
-    spans = [F.struct(F.lit(r).alias("rule"), s.alias("at"), move(s).alias("shown")) for r, s in rule_spans(phrases, openers).items()]
-    rows = found.select(*keys, "raw", F.explode(F.array(*spans)).alias("x")).select(*keys, "raw", "x.rule", F.posexplode(F.arrays_zip(F.col("x.at").alias("at"), F.col("x.shown").alias("shown"))).alias("pos", "s"))
-    return rows.select(*keys, "rule", "pos", "s.shown.start", "s.shown.end", cut(F.col("raw"), F.col("s.at")).alias("hit"))
+    # hits are cut out before rows are made, which don't carry the whole text then
+    shown = lambda at: F.zip_with(at, move(at), lambda a, m: F.struct(m["start"].alias("start"), m["end"].alias("end"), cut(F.col("raw"), a).alias("hit")))
+    spans = [F.struct(F.lit(r).alias("rule"), once(s, shown).alias("found")) for r, s in rule_spans(phrases, openers, rules).items()]
+    rows = found.select(*keys, F.explode(F.array(*spans)).alias("x")).select(*keys, "x.rule", F.posexplode("x.found").alias("pos", "s"))
+    return rows.select(*keys, "rule", "pos", "s.start", "s.end", "s.hit")
 
 
 def tell_spans(rows: DataFrame, most: int = MOST_SHOWN, statistical: tuple[str, ...] = STATISTICAL) -> DataFrame:
@@ -145,7 +157,15 @@ def tell_spans(rows: DataFrame, most: int = MOST_SHOWN, statistical: tuple[str,
     return rows.filter(~F.col("rule").isin(*statistical) & (F.col("end") - F.col("start") <= most))
 
 
-def rule_hit_structs(phrases=None, openers=None) -> Column:
-    """array<struct<rule, spans>> over located columns, rules with spans only: what explanations show beside a rule's name."""
-    each = F.array(*[F.struct(F.lit(r).alias("rule"), s.alias("spans")) for r, s in rule_spans(phrases, openers).items()])
-    return F.filter(each, lambda x: F.size(x["spans"]) > 0)
+#: Rules whose spans are shown, besides by their length.
+SHOWN = tuple(r for r in X.RULES if r not in STATISTICAL)
+
+
+def rule_hit_structs(phrases=None, openers=None, called: Column | None = None) -> Column:
+    """array<struct<rule, spans>> over located columns, rules with spans only: what explanations show beside a rule's name.
+
+    called: ids of the rules that a row is asked for, by default all; the others aren't looked for.
+    """
+    asked = lambda r, s: s if called is None else F.when(F.array_contains(called, r), s)
+    each = F.array(*[F.struct(F.lit(r).alias("rule"), asked(r, s).alias("spans")) for r, s in rule_spans(phrases, openers).items()])
+    return F.filter(each, lambda x: x["spans"].isNotNull() & (F.size(x["spans"]) > 0))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -124,11 +124,12 @@ def explain(df: DataFrame, model: Network, keys: list[str], names: tuple[str, ..
     return df.select(*keys, "vector", "decision").mapInPandas(run, schema)
 
 
-def reasons(df: DataFrame, pushes: DataFrame, keys: list[str], names: DataFrame | None = None, hits: str | None = None) -> DataFrame:
+def reasons(df: DataFrame, pushes: DataFrame, keys: list[str], names: DataFrame | None = None, hits: str | None = None, find: Callable[[DataFrame, Column], DataFrame] | None = None) -> DataFrame:
     """df with reasons: array<struct<id, name, spans>>, the rules of pushes (keys, rank, rule; see explain) in order of rank.
 
     names: (id, name) of rules, a few dozen rows; a rule without one shows its id. hits: df's column of array<struct<rule, spans>>; a rule
-    without hits has no spans. Rows without pushes, and null spans, have empty arrays. keys tell df's rows apart.
+    without hits has no spans. Rows without pushes, and null spans, have empty arrays. keys tell df's rows apart. find: adds hits to df's
+    rows, told the ids of the rules that push them, so that no others are looked for.
     """
     spans = "array<struct<start:int,end:int>>"
     called = pushes.select(*keys, "rank", "rule")
@@ -140,7 +141,10 @@ def reasons(df: DataFrame, pushes: DataFrame, keys: list[str], names: DataFrame
     why = called.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("rule").alias("id"), F.coalesce("name", "rule").alias("name")))).alias("_why"))
     own = lambda x: F.get(F.filter(F.col(hits), lambda h: h["rule"] == x["id"]), F.lit(0))["spans"] if hits else F.lit(None).cast(spans)
     rows = F.transform("_why", lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name"), F.coalesce(own(x), F.array().cast(spans)).alias("spans")))
-    return df.join(why, keys, "left").withColumn("reasons", F.coalesce(rows, F.array().cast(f"array<struct<id:string,name:string,spans:{spans}>>"))).drop("_why")
+    both = df.join(why, keys, "left")
+    if find:
+        both = find(both, F.transform("_why", lambda x: x["id"]))
+    return both.withColumn("reasons", F.coalesce(rows, F.array().cast(f"array<struct<id:string,name:string,spans:{spans}>>"))).drop("_why")
 
 
 def shown_p(p: Column) -> Column:

@@ -288,10 +288,15 @@ def sc5_reasons(spark, d):
     model = untrained(len(features.FEATURE_NAMES))
     read = scoring.decide(scoring.score_mlp(rows, model).withColumn("probs", scoring.softmax(F.col("logits"))), 0.5, 0.7).drop("logits")
     path = scratch(spark)
-    spans.located(read.withColumnRenamed("text", "body"), "body").withColumn("hits", spans.rule_hit_structs(phrases, openers)).drop("found_words", "found_sentences", "found_lines", "low", "raw", "text").write.parquet(path)
+    read.withColumnRenamed("text", "body").write.parquet(path)
     found = spark.read.parquet(path)  # scored once, for the reasons and for what they join
-    pushes = scoring.explain(found, model, ["doc_id"], features.RULES)
-    read = scoring.reading(scoring.reasons(found, pushes, ["doc_id"], hits="hits"), "reasons")
+
+    def find(rows, called):
+        return spans.located(rows, "body", called).withColumn("hits", spans.rule_hit_structs(phrases, openers, called))
+
+    # readings that are skipped show no reasons
+    pushes = scoring.explain(found.filter((F.col("n_words") >= T.MIN_WORDS) & F.col("english")), model, ["doc_id"], features.RULES)
+    read = scoring.reading(scoring.reasons(found, pushes, ["doc_id"], hits="hits", find=find), "reasons")
     return read.select("doc_id", "verdict", "label", "confidence", "skipped", F.transform("reasons", lambda r: F.struct(r["id"], F.size(r["spans"]).alias("n_spans"))).alias("reasons"))
 
 

@@ -110,3 +110,23 @@ def test_reasons(spark):
     assert [(r["id"], r["name"], [text[a:b] for a, b in r["spans"]]) for r in out[1]["reasons"]] == [("r-001", "stock words", ["delve"] * 3), ("r-007", "openers", ["Moreover"] * 3), ("r-022", "r-022", [])]
     assert out[2]["reasons"] == [] and out[2]["skipped"] == "too-short"
     assert scoring.reasons(found, pushes.limit(0), ["id"]).filter(F.size("reasons") > 0).count() == 0
+
+
+def test_only_called_rules_are_looked_for(spark):
+    """Hits of the rules that a row is asked for are those that it has among all rules' hits; nobody else's are looked for."""
+    texts = [(1, "It’s robust. Moreover, it is probably perhaps fine. Moreover, we delve quickly into an extraordinary tapestry.", ["r-001", "r-018"]), (2, "Robust and lavish.", []), (3, None, ["r-030"]), (4, "One two. One three. One four.", ["r-030", "r-025"])]
+    df = spark.createDataFrame(texts, "id int, body string, called array<string>")
+    every = {r["id"]: r["h"] for r in S.located(df, "body").select("id", S.rule_hit_structs().alias("h")).collect()}
+    some = S.located(df, "body", F.col("called"))
+    got = {r["id"]: r for r in some.select("id", "called", "found_sentences", "found_words", S.rule_hit_structs(called=F.col("called")).alias("h")).collect()}
+    assert all(got[i]["h"] == [x for x in every[i] if x["rule"] in called] for i, _, called in texts)
+    assert got[1]["h"] and got[4]["h"] and got[1]["found_sentences"] is None and got[4]["found_words"] is None
+
+
+def test_spans_of_some_rules(spark):
+    """Rows of these rules alone, cut from the raw text, whose quotes stay as they are."""
+    df = spark.createDataFrame([(1, "\U0001F680 It’s robust, and it’s a testament. The family quickly delves."), (2, None), (3, "")], "id int, body string")
+    rows = lambda **x: sorted(map(tuple, S.span_rows(df, "body", ["id"], **x).collect()))
+    some = rows(rules=S.SHOWN)
+    assert some and some == [r for r in rows() if r[1] not in S.STATISTICAL] != rows()
+    assert {"’", "robust", "testament"} <= {r[-1] for r in some}
