@@ -1,6 +1,7 @@
 """Feedback, budgets, scoring, dom blocks, audit, language-model statistics, sources and streams on hand-written cases."""
 
 import datetime
+import time
 
 import numpy as np
 import pytest
@@ -246,3 +247,14 @@ def test_training_paragraphs(spark):
     assert [x["text"] for x in got if x["id"] == 3] == [("a b c\nd " * 10).strip()]
     drawn = [x["n"] for x in spark.range(4000).select(T.chunk_words(F.col("id"), min_words=1).alias("n")).collect()]
     assert abs(np.log(drawn).mean() - np.log(40)) < 0.05 and abs(np.log(drawn).std() - 0.65) < 0.05
+
+
+def test_rules_of_a_long_text_are_linear(spark):
+    """Statistics of sentences are told once a text, not once a sentence."""
+    name = lambda i: "x" + "".join(chr(97 + int(c)) for c in str(i % 5000))
+    text = " ".join(f"{name(i)} goes {'on and on and on ' * (i // 2 % 4)}here." for i in range(10_000))
+    df = spark.createDataFrame([(1, text)], "id int, body string")
+    began = time.time()
+    r = features.rule_features(features.parse(df, "body")).select("rules.`r-017`", "rules.`r-025`", "rules.`r-030`").first()
+    assert time.time() - began < 30
+    assert round(r[2], 9) == round(1 / 9999, 9) and 0 < r[0] < 1 and r[1] > 0
